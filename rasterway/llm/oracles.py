@@ -24,6 +24,30 @@ SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)
 FROM documents d LEFT JOIN kept USING (doc_id)
 """
 
+OP10 = r"""
+WITH fold AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), wins AS (
+  SELECT DISTINCT item_id, m, array_to_string(ws[i:i+m-1], ' ') AS s
+  FROM (SELECT item_id, ws, least(10, len(ws)) AS m, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM items WHERE len(ws) > 0)
+), lens AS (SELECT DISTINCT m FROM wins
+), spans AS (
+  SELECT doc_id, m, i, array_to_string(ws[i:i+m-1], ' ') AS s
+  FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM fold, lens WHERE len(ws) >= m)
+), found AS (
+  SELECT p.doc_id, p.i, p.m, w.item_id FROM spans p JOIN wins w ON p.m = w.m AND p.s = w.s
+), hit AS (
+  SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM found) GROUP BY doc_id
+), ids AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS t FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id
+)
+SELECT f.doc_id, len(f.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(t, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM fold f LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring_dedup": OP4}
+    return {"op4_substring_dedup": OP4, "op10_decontamination": OP10}
