@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that one unit of grouped work should hold.
 GROUP_BYTES = 4 << 20
+#: Groups that even small tables are dealt into.
+LEAST_GROUPS = 64
 #: Text bytes handled at once by the vectorised kernels.
 CHUNK_BYTES = 2 << 20
 
@@ -38,8 +40,7 @@ def written(df: DataFrame) -> DataFrame:
 def groups_for(docs: DataFrame, column: str = "text", group_bytes: int = GROUP_BYTES) -> int:
     """How many hash groups to deal ``docs`` into so that each stays small."""
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(4 * partitions, -(-total // group_bytes))
+    return max(LEAST_GROUPS, -(-total // group_bytes))
 
 
 def group_of(column: str | Column, n: int) -> Column:
@@ -81,21 +82,39 @@ def longs(column) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def _hashed(dtype: np.dtype) -> tuple[list[str], list[str]]:
+    """Fields that hold hashes, and the others, which compress."""
+    return [f for f in dtype.names if f.startswith("key")], [f for f in dtype.names if not f.startswith("key")]
+
+
 def pack(records: np.ndarray) -> bytes:
-    """A structured array as bytes, field after field, so that it compresses."""
-    return b"".join(np.ascontiguousarray(records[f]).tobytes() for f in records.dtype.names)
+    """A structured array as bytes: hashes as they are, other fields by byte planes, compressed."""
+    raw, rest = _hashed(records.dtype)
+    planes = b"".join(np.ascontiguousarray(np.ascontiguousarray(records[f]).view(np.uint8).reshape(len(records), -1).T).tobytes() for f in rest)
+    head = len(records).to_bytes(8, "little")
+    return head + b"".join(np.ascontiguousarray(records[f]).tobytes() for f in raw) + _ZSTD.compress(planes, asbytes=True)
 
 
 def unpack(blobs, dtype: np.dtype) -> np.ndarray:
     """The records of all ``blobs``, in order."""
+    raw, rest = _hashed(dtype)
     parts = []
     for blob in blobs:
-        n, at = len(blob) // dtype.itemsize, 0
+        blob = memoryview(blob)
+        n, at = int.from_bytes(blob[:8], "little"), 8
         out = np.empty(n, dtype)
-        for f in dtype.names:
-            size = n * dtype[f].itemsize
+        for f in raw:
             out[f] = np.frombuffer(blob, dtype[f], n, at)
-            at += size
+            at += n * dtype[f].itemsize
+        planes = _ZSTD.decompress(bytes(blob[at:]), sum(dtype[f].itemsize for f in rest) * n, asbytes=True)
+        at = 0
+        for f in rest:
+            size = dtype[f].itemsize
+            out[f] = np.ascontiguousarray(np.frombuffer(planes, np.uint8, n * size, at).reshape(size, n).T).view(dtype[f])[:, 0]
+            at += n * size
         parts.append(out)
     return np.concatenate(parts) if parts else np.empty(0, dtype)
 
