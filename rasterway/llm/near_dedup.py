@@ -27,6 +27,7 @@ from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ from rasterway.llm.components import components
 SHINGLE = 5
 BANDS = 16
 #: MinHash values for estimates, one byte each.
-SLOTS = 64
+SLOTS = 128
 #: Agreeing slots below which a pair of ``similarity`` 0.8 is all but impossible (3.7 sigma).
 MARGIN = 3.7
 #: Nodes of a bucket that one task compares.
@@ -65,17 +66,19 @@ def shingles(words: np.ndarray, spans: W.Spans, a: int, b: int) -> np.ndarray:
 
 def _sketch(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(keys of all bands, slots) of labelled shingles."""
-    h = x[None, :] * _ODD[:, None]
-    one = h.argmin(1)
-    slots = (h[np.arange(SLOTS), one] >> _U(20)).astype(np.uint8)
+    one, slots, second = np.empty(SLOTS, np.int64), np.empty(SLOTS, np.uint8), np.empty(BANDS, np.int64)
+    step = max(1, (1 << 20) // len(x))  # functions at once, so that long texts stay small
+    for k in range(0, SLOTS, step):
+        h = x[None, :] * _ODD[k : k + step, None]
+        rows = np.arange(len(h))
+        one[k : k + step] = first = h.argmin(1)
+        slots[k : k + step] = (h[rows, first] >> _U(20)).astype(np.uint8)
+        if k < BANDS and len(x) > 1:
+            top = h[: BANDS - k]
+            top[rows[: len(top)], first[: len(top)]] = _U(2**64 - 1)
+            second[k : k + len(top)] = top.argmin(1)
     first = one[:BANDS]
-    if len(x) > 1:
-        top = h[:BANDS]
-        top[np.arange(BANDS), first] = _U(2**64 - 1)
-        second = top.argmin(1)
-        a, b = np.minimum(first, second), np.maximum(first, second)
-    else:
-        a = b = first
+    a, b = (np.minimum(first, second), np.maximum(first, second)) if len(x) > 1 else (first, first)
     keys = W.mix(W.mix(x[a] + _ODD[:BANDS]) + x[b])
     return keys.view(np.int64), slots
 
@@ -151,9 +154,10 @@ def _slots(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SLOTS)
 
 
-def _pairs(a: list[bytes], b: list[bytes]) -> pa.Table:
-    low, high = [min(p) for p in zip(a, b)], [max(p) for p in zip(a, b)]
-    return pa.table({"a": pa.array(low, pa.binary()), "b": pa.array(high, pa.binary())}, schema=_PAIR)
+def _pairs(a: pa.Array, b: pa.Array) -> pa.Table:
+    """Pairs with the smaller node first."""
+    swap = pc.greater(a, b)
+    return pa.table({"a": pc.if_else(swap, b, a), "b": pc.if_else(swap, a, b)}, schema=_PAIR)
 
 
 def _centre(slots: np.ndarray) -> int:
@@ -164,41 +168,58 @@ def _centre(slots: np.ndarray) -> int:
 
 def _stars(table: pa.Table) -> pa.Table:
     """One block of a bucket: its centre with every other node; the centre goes on."""
-    table = table.sort_by("node")
-    nodes = table.column("node").to_pylist()
-    c = nodes[_centre(_slots(table.column("slots")))]
-    others = [x for x in nodes if x != c]
-    return _pairs([c] * len(others), others)
+    table = table.sort_by("node").combine_chunks()
+    nodes = S.plain(table.column("node"))
+    c = _centre(_slots(table.column("slots")))
+    others = nodes.take(pa.array(np.flatnonzero(np.arange(len(nodes)) != c)))
+    return _pairs(pa.array([nodes[c].as_py()] * len(others), pa.binary()), others)
 
 
-def _enough(similarity: float) -> int:
+def _enough(similarity: float, slots: int) -> int:
     """Agreeing slots that a pair of ``similarity`` has but for MARGIN sigma."""
-    return max(1, int(SLOTS * similarity - MARGIN * (SLOTS * similarity * (1 - similarity)) ** 0.5))
+    return max(1, int(slots * similarity - MARGIN * (slots * similarity * (1 - similarity)) ** 0.5))
 
 
 def _cross(similarity: float, best: bool):
-    """Outsiders (left) of one bucket block with all nodes (right) in other components."""
-    least = _enough(similarity)
+    """Outsiders (left) of one bucket block with all nodes (right) in other components.
+
+    A pair that shares several keys is taken up in the first of them alone, and one of
+    two outsiders from its smaller side.
+    """
+    some, few, least = SLOTS // 4, _enough(similarity, SLOTS // 4), _enough(similarity, SLOTS)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _PAIR.empty_table()
+        key = left.column("key")[0].as_py()
         xs, ys = _slots(left.column("slots")), _slots(right.column("slots"))
-        xn, yn = left.column("node").to_pylist(), right.column("node").to_pylist()
+        head = np.ascontiguousarray(ys[:, :some])
+        kx, ky = (np.array(t.column("keys").to_pylist(), np.int64) for t in (left, right))
         size_x, size_y = left.column("size").to_numpy(), right.column("size").to_numpy()
         codes = {c: i for i, c in enumerate(dict.fromkeys(left.column("class").to_pylist() + right.column("class").to_pylist()))}
         cx, cy = (np.array([codes[c] for c in t.column("class").to_pylist()]) for t in (left, right))
-        a, b = [], []
-        for i in range(len(xn)):
-            near = (ys == xs[i]).sum(1)
-            ok = (near >= least) & (cy != cx[i]) & (np.minimum(size_y, size_x[i]) >= similarity * np.maximum(size_y, size_x[i]) - 1e-9)
+        outside = right.column("outside").to_numpy()
+        x_node, y_node = S.plain(left.column("node")), S.plain(right.column("node"))
+        rank = {v: i for i, v in enumerate(sorted(set(x_node.to_pylist()) | set(y_node.to_pylist())))}
+        rx, ry = (np.array([rank[v] for v in t.to_pylist()]) for t in (x_node, y_node))
+        a, b = [np.zeros(0, int)], [np.zeros(0, int)]
+        for i in range(len(xs)):
+            ok = (cy != cx[i]) & (np.minimum(size_y, size_x[i]) >= similarity * np.maximum(size_y, size_x[i]) - 1e-9)
+            if not best:
+                ok &= ~outside | (rx[i] < ry)
             at = np.flatnonzero(ok)
+            at = at[(head[at] == xs[i, :some]).sum(1) >= few]
+            near = (ys[at] == xs[i]).sum(1)
+            at, near = at[near >= least], near[near >= least]
+            same = ky[at] == kx[i]
+            first = kx[i][same.argmax(1)] == key
+            at, near = at[first], near[first]
             if best and len(at):
-                order = at[np.lexsort([-near[at], cy[at]])]
-                at = order[np.append(True, np.diff(cy[order]) != 0)]
-            a += [xn[i]] * len(at)
-            b += [yn[k] for k in at]
-        return _pairs(a, b)
+                order = np.lexsort([-near, cy[at]])
+                at = at[order][np.append(True, np.diff(cy[at][order]) != 0)]
+            a.append(np.full(len(at), i))
+            b.append(at)
+        return _pairs(x_node.take(pa.array(np.concatenate(a))), y_node.take(pa.array(np.concatenate(b))))
 
     return run
 
@@ -221,7 +242,7 @@ def _classified(docs: DataFrame, similarity: float) -> DataFrame:
     nodes = S.written(nodes)
     exploded = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "node")
     shared = exploded.groupBy("key").count().where("count > 1")
-    members = S.written(exploded.join(shared, "key").join(nodes.select("node", "size", "slots"), "node"))
+    members = S.written(exploded.join(shared, "key").join(nodes.select("node", "size", "slots", "keys"), "node"))
     live = members.select("node").distinct().join(nodes.select("node", "row"), "node").select("node", "row.doc_id", "row._tie")
     # Rows that repeat id and text give one text here.
     texts = slim.join(live, ["doc_id", "_tie"])
@@ -252,10 +273,10 @@ def _classified(docs: DataFrame, similarity: float) -> DataFrame:
         sizes = now.groupBy("key", "class").agg(F.count("*").alias("n"))
         largest = sizes.groupBy("key").agg(F.max(F.struct("n", "class")).alias("m"), F.count("*").alias("k")).where("k > 1")
         now = now.join(largest.select("key", F.col("m.class").alias("main"), F.col("m.n").alias("inside")), "key")
-        now = S.written(now.select("key", "node", "size", "slots", "class", "count", (F.col("class") != F.col("main")).alias("outside"), (F.col("count") - F.col("inside")).alias("out")))
+        now = S.written(now.select("key", "node", "size", "slots", "keys", "class", "count", (F.col("class") != F.col("main")).alias("outside"), (F.col("count") - F.col("inside")).alias("out")))
         i, j = F.ceil(F.col("out") / BLOCK), F.ceil(F.col("count") / BLOCK)
         own = lambda n: F.pmod(F.xxhash64("node"), n)
-        columns = ["key", "i", "j", "node", "size", "slots", "class"]
+        columns = ["key", "i", "j", "node", "size", "slots", "keys", "class", "outside"]
         left = now.where("outside").withColumn("i", own(i)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), j - 1))).select(columns)
         right = now.withColumn("j", own(j)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), i - 1))).select(columns)
         pairs = left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInArrow(_cross(similarity, best), "a binary, b binary").distinct()

@@ -47,12 +47,16 @@ def group_of(column: str | Column, n: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
 
 
+def plain(column) -> pa.Array:
+    """A column as one array."""
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return column
+
+
 def strings(column) -> pa.Array:
     """One string array without nulls."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-        if isinstance(column, pa.ChunkedArray):
-            column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    column = plain(column)
     return column.fill_null("").cast(pa.string() if column.nbytes < 2**31 else pa.large_string())
 
 
