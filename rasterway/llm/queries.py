@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterway.llm import decontamination, language_id, near_dedup, packing, shared, substring_dedup, token_files
+from rasterway.llm import decontamination, html_text, language_id, near_dedup, packing, quality, shared, substring_dedup, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def _labelled(spark: SparkSession, sf_dir: str, label: str, share: int, left: int) -> tuple[DataFrame, DataFrame]:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", language_id.held_out(share, left).alias("held_out"), "text")
+    return docs, _table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score(*_labelled(spark, sf_dir, "quality", 3, 1))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(*_labelled(spark, sf_dir, "toxic", 4, 2))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
 
