@@ -72,46 +72,53 @@ def parts_of(word: str) -> list[str]:
 
 
 class Lattice:
-    """Pieces that end at each place of a word; a character alone is always one."""
+    """Pieces of a word as edges; a character that the vocabulary lacks is an edge of its own."""
 
     def __init__(self, rows: dict[str, int]):
-        self.rows, self.longest = rows, max(map(len, rows), default=1)
-        self.other = len(rows)  # a character that the vocabulary lacks
-
-    def edges(self, word: str) -> list[list[tuple[int, int]]]:
-        """For each end, (begin, row of the piece)."""
-        out = []
-        for end in range(1, len(word) + 1):
-            here = [(b, self.rows[p]) for b in range(max(0, end - self.longest), end) if (p := word[b:end]) in self.rows]
-            if not here or here[-1][0] != end - 1:
-                here.append((end - 1, self.other))
-            out.append(here)
+        self.rows, self.other = rows, len(rows)
+        #: Every prefix of a piece, with the piece's row or -1.
+        self.prefixes: dict[str, int] = {}
+        for p, r in rows.items():
+            for k in range(1, len(p)):
+                self.prefixes.setdefault(p[:k], -1)
+            self.prefixes[p] = r
+
+    def edges(self, word: str) -> list[tuple[int, int, int]]:
+        """(begin, end, row), in the order of begins."""
+        get, n, out = self.prefixes.get, len(word), []
+        for b in range(n):
+            r = get(word[b])
+            out.append((b, b + 1, self.other if r is None or r < 0 else r))
+            e = b + 2
+            while r is not None and e <= n:
+                r = get(word[b:e])
+                if r is not None and r >= 0:
+                    out.append((b, e, r))
+                e += 1
         return out
 
 
-def forward(edges, prob: np.ndarray) -> np.ndarray:
-    """(places, languages) sums over all segmentations up to each place; prob: rows by languages."""
-    alpha = np.zeros((len(edges) + 1, prob.shape[1]))
-    alpha[0] = 1
-    for end, here in enumerate(edges, 1):
-        for b, r in here:
-            alpha[end] += alpha[b] * prob[r]
+def forward(edges, n: int, prob: list[float]) -> list[float]:
+    """Sums over all segmentations up to each of the places 0 to n; ``prob`` by row."""
+    alpha = [0.0] * (n + 1)
+    alpha[0] = 1.0
+    for b, e, r in edges:
+        alpha[e] += alpha[b] * prob[r]
     return alpha
 
 
-def backward(edges, prob: np.ndarray) -> np.ndarray:
-    n = len(edges)
-    beta = np.zeros((n + 1, prob.shape[1]))
-    beta[n] = 1
-    for end in range(n, 0, -1):
-        for b, r in edges[end - 1]:
-            beta[b] += beta[end] * prob[r]
+def backward(edges, n: int, prob: list[float]) -> list[float]:
+    beta = [0.0] * (n + 1)
+    beta[n] = 1.0
+    for b, e, r in reversed(edges):
+        beta[b] += beta[e] * prob[r]
     return beta
 
 
 class Model:
     def __init__(self, languages: list[str], rows: dict[str, int], prob: np.ndarray):
         self.languages, self.prob = languages, prob
+        self.columns = [prob[:, k].tolist() for k in range(len(languages))]
         self.lattice = Lattice(rows)
         self.cache: dict[str, np.ndarray] = {}
 
@@ -119,7 +126,10 @@ class Model:
         """Log-likelihood of one word under each language."""
         found = self.cache.get(word)
         if found is None:
-            found = sum(np.log(np.maximum(forward(self.lattice.edges(p), self.prob)[-1], 1e-300)) for p in parts_of(word))
+            found = np.zeros(len(self.columns))
+            for p in parts_of(word):
+                edges = self.lattice.edges(p)
+                found += [math.log(max(forward(edges, len(p), c)[-1], 1e-300)) for c in self.columns]
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             self.cache[word] = found
@@ -151,16 +161,18 @@ def _expected(rows: dict[str, int], codes: dict[str, int], prob):
 
     def run(batches):
         lattice, p = Lattice(rows), prob.value
-        total = np.zeros_like(p)
+        columns = [p[:, k].tolist() for k in range(p.shape[1])]
+        totals = [[0.0] * len(p) for _ in columns]
         for batch in batches:
             for word, lang, n in zip(batch.column("word").to_pylist(), batch.column("lang").to_pylist(), batch.column("n").to_pylist()):
-                k = codes[lang]
-                edges, own = lattice.edges(word), p[:, k : k + 1]
-                alpha, beta = forward(edges, own)[:, 0], backward(edges, own)[:, 0]
+                own, total = columns[codes[lang]], totals[codes[lang]]
+                edges = lattice.edges(word)
+                alpha, beta = forward(edges, len(word), own), backward(edges, len(word), own)
                 if alpha[-1] > 0:
-                    for end, here in enumerate(edges, 1):
-                        for b, r in here:
-                            total[r, k] += n * alpha[b] * p[r, k] * beta[end] / alpha[-1]
+                    share = n / alpha[-1]
+                    for b, e, r in edges:
+                        total[r] += share * alpha[b] * own[r] * beta[e]
+        total = np.array(totals).reshape(len(columns), len(p)).T
         r, k = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(total[r, k])], ["r", "k", "n"])
 
