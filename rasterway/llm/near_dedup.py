@@ -13,8 +13,9 @@ aligning their shingles in order matches M of them and M / (n1 + n2 - M) is
 3. Candidates are verified by alignment within the band that the similarity
    leaves, and components are taken.
 4. What is not in a bucket's largest component is compared with all of that
-   bucket, in blocks, by MinHash estimate: first the best partner in each other
-   component is verified, then all further partners in other components.
+   bucket, in blocks, by parity sketches, whose differing bits are never more than the
+   differing shingles: first the closest partner in each other component is verified,
+   then all further partners in other components.
 
 Defined results: null texts and texts without words form a class each by row, with
 its id; rows of equal words share a class; a null id counts as the smallest; rows
@@ -37,10 +38,12 @@ from rasterway.llm.components import components
 
 SHINGLE = 5
 BANDS = 16
-#: MinHash values for estimates, one byte each.
-SLOTS = 128
-#: Agreeing slots below which a pair of ``similarity`` 0.8 is all but impossible (3.7 sigma).
-MARGIN = 3.7
+#: MinHash values that elect a centre, one byte each.
+SLOTS = 32
+#: Bits of a text's parity sketch: each shingle flips one.
+BITS = 2048
+#: Sigmas that the parity sketches of a pair may differ beyond expectation.
+MARGIN = 5.0
 #: Nodes of a bucket that one task compares.
 BLOCK = 2048
 _U = np.uint64
@@ -64,8 +67,9 @@ def shingles(words: np.ndarray, spans: W.Spans, a: int, b: int) -> np.ndarray:
     return h
 
 
-def _sketch(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys of all bands, slots) of labelled shingles."""
+def _sketch(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys of all bands, slots, parity sketch) of labelled shingles."""
+    parity = np.packbits(np.bincount((x >> _U(32)).astype(np.int64) % BITS, minlength=BITS).astype(np.uint8) & 1)
     one, slots, second = np.empty(SLOTS, np.int64), np.empty(SLOTS, np.uint8), np.empty(BANDS, np.int64)
     step = max(1, (1 << 20) // len(x))  # functions at once, so that long texts stay small
     for k in range(0, SLOTS, step):
@@ -80,7 +84,7 @@ def _sketch(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     first = one[:BANDS]
     a, b = (np.minimum(first, second), np.maximum(first, second)) if len(x) > 1 else (first, first)
     keys = W.mix(W.mix(x[a] + _ODD[:BANDS]) + x[b])
-    return keys.view(np.int64), slots
+    return keys.view(np.int64), slots, parity
 
 
 def _sketches(batches):
@@ -92,19 +96,19 @@ def _sketches(batches):
             starts, ends, first = W.split(chunk, offsets[i : j + 1] - offsets[i], W.SPACED)
             words = W.hashes(chunk, starts, ends, W.SPACED)
             spans = W.Spans(words)
-            node, size, slots, keys = [], [], [], []
+            node, size, slots, parity, keys = [], [], [], [], []
             whole = np.stack([spans.hash(first[:-1], first[1:], w) for w in (0, 1)], 1)
             for k in range(j - i):
                 a, b = first[k], first[k + 1]
                 if a == b:
-                    node.append(None), size.append(0), slots.append(None), keys.append(None)
+                    node.append(None), size.append(0), slots.append(None), parity.append(None), keys.append(None)
                     continue
                 x = shingles(words, spans, a, b)
-                key, slot = _sketch(x)
-                node.append(whole[k].tobytes()), size.append(len(x)), slots.append(slot.tobytes()), keys.append(key.tolist())
+                key, slot, bits = _sketch(x)
+                node.append(whole[k].tobytes()), size.append(len(x)), slots.append(slot.tobytes()), parity.append(bits.tobytes()), keys.append(key.tolist())
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(i, j - i), batch.column("_tie").slice(i, j - i), pa.array(node, pa.binary()), pa.array(size, pa.int32()), pa.array(slots, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "_tie", "node", "size", "slots", "keys"],
+                [ids.slice(i, j - i), batch.column("_tie").slice(i, j - i), pa.array(node, pa.binary()), pa.array(size, pa.int32()), pa.array(slots, pa.binary()), pa.array(parity, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "_tie", "node", "size", "slots", "parity", "keys"],
             )
 
 
@@ -175,50 +179,42 @@ def _stars(table: pa.Table) -> pa.Table:
     return _pairs(pa.array([nodes[c].as_py()] * len(others), pa.binary()), others)
 
 
-def _enough(similarity: float, slots: int) -> int:
-    """Agreeing slots that a pair of ``similarity`` has but for MARGIN sigma."""
-    return max(1, int(slots * similarity - MARGIN * (slots * similarity * (1 - similarity)) ** 0.5))
+def _most_apart(total: np.ndarray, similarity: float) -> np.ndarray:
+    """Bits by which the parity sketches of a linked pair of ``total`` shingles can differ.
+
+    Never more than the shingles that only one of both has; for long texts, whose
+    sketches fill up, no more than expected of so many and MARGIN sigma.
+    """
+    apart = np.floor(total * (1 - similarity) / (1 + similarity) + 1e-9)
+    expected = BITS / 2 * (1 - (1 - 2 / BITS) ** apart)
+    return np.minimum(apart, np.ceil(expected + MARGIN * np.sqrt(np.maximum(expected, 1) / 2)))
 
 
 def _cross(similarity: float, best: bool):
-    """Outsiders (left) of one bucket block with all nodes (right) in other components.
+    """Outsiders (left) of one bucket block with all nodes (right) in other components."""
 
-    A pair that shares several keys is taken up in the first of them alone, and one of
-    two outsiders from its smaller side.
-    """
-    some, few, least = SLOTS // 4, _enough(similarity, SLOTS // 4), _enough(similarity, SLOTS)
+    def words(column) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return _PAIR.empty_table()
-        key = left.column("key")[0].as_py()
-        xs, ys = _slots(left.column("slots")), _slots(right.column("slots"))
-        head = np.ascontiguousarray(ys[:, :some])
-        kx, ky = (np.array(t.column("keys").to_pylist(), np.int64) for t in (left, right))
+        xs, ys = words(left.column("parity")), words(right.column("parity"))
         size_x, size_y = left.column("size").to_numpy(), right.column("size").to_numpy()
         codes = {c: i for i, c in enumerate(dict.fromkeys(left.column("class").to_pylist() + right.column("class").to_pylist()))}
         cx, cy = (np.array([codes[c] for c in t.column("class").to_pylist()]) for t in (left, right))
-        outside = right.column("outside").to_numpy()
-        x_node, y_node = S.plain(left.column("node")), S.plain(right.column("node"))
-        rank = {v: i for i, v in enumerate(sorted(set(x_node.to_pylist()) | set(y_node.to_pylist())))}
-        rx, ry = (np.array([rank[v] for v in t.to_pylist()]) for t in (x_node, y_node))
         a, b = [np.zeros(0, int)], [np.zeros(0, int)]
         for i in range(len(xs)):
-            ok = (cy != cx[i]) & (np.minimum(size_y, size_x[i]) >= similarity * np.maximum(size_y, size_x[i]) - 1e-9)
-            if not best:
-                ok &= ~outside | (rx[i] < ry)
-            at = np.flatnonzero(ok)
-            at = at[(head[at] == xs[i, :some]).sum(1) >= few]
-            near = (ys[at] == xs[i]).sum(1)
-            at, near = at[near >= least], near[near >= least]
-            same = ky[at] == kx[i]
-            first = kx[i][same.argmax(1)] == key
-            at, near = at[first], near[first]
+            at = np.flatnonzero((cy != cx[i]) & (np.minimum(size_y, size_x[i]) >= similarity * np.maximum(size_y, size_x[i]) - 1e-9))
+            apart = np.bitwise_count(ys[at] ^ xs[i]).sum(1, dtype=np.int64)
+            near = apart <= _most_apart(size_y[at] + size_x[i], similarity)
+            at, apart = at[near], apart[near]
             if best and len(at):
-                order = np.lexsort([-near, cy[at]])
+                order = np.lexsort([apart, cy[at]])
                 at = at[order][np.append(True, np.diff(cy[at][order]) != 0)]
             a.append(np.full(len(at), i))
             b.append(at)
+        x_node, y_node = S.plain(left.column("node")), S.plain(right.column("node"))
         return _pairs(x_node.take(pa.array(np.concatenate(a))), y_node.take(pa.array(np.concatenate(b))))
 
     return run
@@ -235,14 +231,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _classified(docs: DataFrame, similarity: float) -> DataFrame:
     """(_id, _tie, class) of every distinct row; class is null where there are no words."""
     slim = _keyed(docs).select(F.col("_id").alias("doc_id"), "_tie", "text")
-    schema = "doc_id long, _tie long, node binary, size int, slots binary, keys array<long>"
+    schema = "doc_id long, _tie long, node binary, size int, slots binary, parity binary, keys array<long>"
     sketched = S.written(slim.mapInArrow(_sketches, schema))
     some = sketched.where("node IS NOT NULL")
-    nodes = some.groupBy("node").agg(F.min(F.struct("doc_id", "_tie")).alias("row"), F.first("size").alias("size"), F.first("slots").alias("slots"), F.first("keys").alias("keys"))
+    nodes = some.groupBy("node").agg(F.min(F.struct("doc_id", "_tie")).alias("row"), F.first("size").alias("size"), F.first("slots").alias("slots"), F.first("parity").alias("parity"), F.first("keys").alias("keys"))
     nodes = S.written(nodes)
     exploded = nodes.select(F.explode(F.array_distinct("keys")).alias("key"), "node")
     shared = exploded.groupBy("key").count().where("count > 1")
-    members = S.written(exploded.join(shared, "key").join(nodes.select("node", "size", "slots", "keys"), "node"))
+    members = S.written(exploded.join(shared, "key").join(nodes.select("node", "size", "slots", "parity"), "node"))
     live = members.select("node").distinct().join(nodes.select("node", "row"), "node").select("node", "row.doc_id", "row._tie")
     # Rows that repeat id and text give one text here.
     texts = slim.join(live, ["doc_id", "_tie"])
@@ -273,10 +269,10 @@ def _classified(docs: DataFrame, similarity: float) -> DataFrame:
         sizes = now.groupBy("key", "class").agg(F.count("*").alias("n"))
         largest = sizes.groupBy("key").agg(F.max(F.struct("n", "class")).alias("m"), F.count("*").alias("k")).where("k > 1")
         now = now.join(largest.select("key", F.col("m.class").alias("main"), F.col("m.n").alias("inside")), "key")
-        now = S.written(now.select("key", "node", "size", "slots", "keys", "class", "count", (F.col("class") != F.col("main")).alias("outside"), (F.col("count") - F.col("inside")).alias("out")))
+        now = S.written(now.select("key", "node", "size", "parity", "class", "count", (F.col("class") != F.col("main")).alias("outside"), (F.col("count") - F.col("inside")).alias("out")))
         i, j = F.ceil(F.col("out") / BLOCK), F.ceil(F.col("count") / BLOCK)
         own = lambda n: F.pmod(F.xxhash64("node"), n)
-        columns = ["key", "i", "j", "node", "size", "slots", "keys", "class", "outside"]
+        columns = ["key", "i", "j", "node", "size", "parity", "class"]
         left = now.where("outside").withColumn("i", own(i)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), j - 1))).select(columns)
         right = now.withColumn("j", own(j)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), i - 1))).select(columns)
         pairs = left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInArrow(_cross(similarity, best), "a binary, b binary").distinct()
