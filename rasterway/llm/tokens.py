@@ -13,8 +13,10 @@ import re
 
 import numpy as np
 
-#: Pieces kept by a worker before it starts anew.
-CACHE = 400_000
+#: Pieces of a worker's young generation; the old one has as many at most.
+CACHE = 350_000
+#: Signs that the pre-tokenizer parts from a letter or digit before them.
+TAIL = ".,;:!?%&*$#|"
 #: Texts encoded at once.
 BATCH = 1024
 
@@ -28,6 +30,28 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Cache:
+    """Two generations: what is used moves to the young one, and the old one is dropped when that is full."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def age(self) -> None:
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, {}
+
+    def missing(self, pieces: set[str]) -> list[str]:
+        """Pieces of neither generation; those of the old one move."""
+        out, young, old = [], self.young, self.old
+        for p in pieces.difference(young):
+            if p in old:
+                young[p] = old[p]
+            else:
+                out.append(p)
+        return out
+
+
 class Encoder:
     def __init__(self, path: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -36,18 +60,26 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or default_path())
         self.tokenizer.encode_special_tokens = True  # such strings in a text are text
         #: Ids, as little-endian uint32 bytes, of pieces; of words after a space.
-        self.whole: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.whole, self.spaced = Cache(), Cache()
 
-    def _learn(self, cache: dict[str, bytes], pieces: set[str], prefix: str) -> None:
-        new = [p for p in pieces if p not in cache]
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([prefix + p for p in new], add_special_tokens=False)):
-            cache[p] = np.array(e.ids, "<u4").tobytes()
+    def _learn(self, cache: "Cache", pieces: set[str], prefix: str) -> None:
+        """Makes ``cache`` hold all ``pieces``; a word with signs behind it costs no more than the word."""
+        new = cache.missing(pieces)
+        stems = {}
+        for p in new:
+            stem = p.rstrip(TAIL)
+            stems[p] = stem if stem and stem[-1].isalnum() else p
+        bare = [x for x in cache.missing(set(stems.values())) if x not in new or stems[x] == x]
+        ids = self.tokenizer.encode_batch_fast([prefix + x for x in bare], add_special_tokens=False)
+        cache.young.update({x: np.array(e.ids, "<u4").tobytes() for x, e in zip(bare, ids)})
+        tails = {p[len(x) :] for p, x in stems.items() if x != p}
+        if tails:
+            self._learn(self.whole, tails, "")
+            cache.young.update({p: cache.young[x] + self.whole.young[p[len(x) :]] for p, x in stems.items() if x != p})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian uint32 bytes."""
-        if len(self.whole) + len(self.spaced) > CACHE:
-            self.whole.clear(), self.spaced.clear()
+        self.whole.age(), self.spaced.age()
         plans, whole, spaced = [], {"\n"}, set()
         for text in texts:
             words = text.split()
@@ -63,7 +95,7 @@ class Encoder:
                 plans.append(tuple(pieces))
         self._learn(self.whole, whole, "")
         self._learn(self.spaced, spaced, " ")
-        get, after, line_break = self.whole.__getitem__, self.spaced.__getitem__, self.whole["\n"]
+        get, after, line_break = self.whole.young.__getitem__, self.spaced.young.__getitem__, self.whole.young["\n"]
         out = []
         for plan in plans:
             if isinstance(plan, tuple):

@@ -71,7 +71,7 @@ _LENGTHS = "lens AS (SELECT o_orderkey, o_totalprice AS cost, (o_orderkey % 2000
 _STEPM = "CASE WHEN length_km < 3 * 1.609344::DOUBLE THEN 1.5::DOUBLE WHEN length_km <= 10 * 1.609344::DOUBLE THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END"
 _ZONES = "zones AS (SELECT n_nationkey AS id, n_nationkey % 5 * 500.0::DOUBLE + 33 AS x0, floor(n_nationkey / 5) * 600.0::DOUBLE - 107 AS y0 FROM nation)"
 #: Cells of each box, touched by more than an edge or by centre, and the share inside.
-_TOUCHED = _ZONES + """, at AS (SELECT z.id, c.*, greatest(0, least(c.col * 90 + 90, x0 + 700) - greatest(c.col * 90, x0)) * greatest(0, least(2880 - c."row" * 90, y0 + 410) - greatest(2790 - c."row" * 90, y0)) AS part
+_TOUCHED = _ZONES + """, hits AS (SELECT z.id, c.*, greatest(0, least(c.col * 90 + 90, x0 + 700) - greatest(c.col * 90, x0)) * greatest(0, least(2880 - c."row" * 90, y0 + 410) - greatest(2790 - c."row" * 90, y0)) AS part
   FROM zones z JOIN cells c ON c.col * 90 < x0 + 700 AND c.col * 90 + 90 > x0 AND 2790 - c."row" * 90 < y0 + 410 AND 2880 - c."row" * 90 > y0)"""
 
 
@@ -152,7 +152,7 @@ def oracle_sql() -> dict[str, str]:
       UNION ALL SELECT route_id, segment + 1, o2, step + 0.5::DOUBLE, ("row" + r2) / 2, (col + c2) / 2 FROM b WHERE o2 <> "option" """
     unit = f"""{_STEPS}, u AS (SELECT route_id, step, (sum((("row" // 5) % 3 <> 1)::INTEGER) OVER w)::INTEGER AS "row", (sum((("row" // 5) % 3 <> 2)::INTEGER) OVER w)::INTEGER AS col, "option" FROM steps WINDOW w AS (PARTITION BY route_id ORDER BY step))"""
     q["route_turns"] = f"""WITH {unit} SELECT route_id, step, "row", col, "option" FROM u
-      QUALIFY NOT coalesce("row" - lag("row") OVER w = lead("row") OVER w - "row" AND col - lag(col) OVER w = lead(col) OVER w - col, false) WINDOW w AS (PARTITION BY route_id ORDER BY step)"""
+      WINDOW w AS (PARTITION BY route_id ORDER BY step) QUALIFY NOT coalesce("row" - lag("row") OVER w = lead("row") OVER w - "row" AND col - lag(col) OVER w = lead(col) OVER w - col, false)"""
     q["route_wkt"] = f"""WITH {_STEPS}, p AS (SELECT route_id, count(*) AS n, string_agg(((col + 0.5) * 90.0::DOUBLE)::VARCHAR || ' ' || (2880.0::DOUBLE + ("row" + 0.5) * -90.0::DOUBLE)::VARCHAR, ', ' ORDER BY step) AS t FROM steps WHERE step < 3 GROUP BY 1)
       SELECT route_id, CASE WHEN n > 1 THEN 'LINESTRING (' ELSE 'POINT (' END || t || ')' AS wkt FROM p"""
 
@@ -183,21 +183,21 @@ def oracle_sql() -> dict[str, str]:
     q["length_multiplier_linear"] = f"WITH {_LENGTHS} SELECT o_orderkey, round(cost * ({linear}), 4) AS cost, length_km, round({linear}, 9) AS length_mult, cost AS raw_cost FROM lens"
     floor = "CASE WHEN length_km < 5.7 AND length_km > 0 THEN 5.7::DOUBLE / length_km ELSE 1 END"
     q["length_floor"] = f"WITH {_LENGTHS} SELECT o_orderkey, round(cost * ({floor}), 4) AS cost, greatest(length_km, 5.7::DOUBLE) AS length_km FROM lens"
-    q["finalized_routes"] = f"WITH {_LENGTHS} SELECT o_orderkey, round(cost * ({_STEPM}) * ({floor}), 4) AS cost, greatest(length_km, 5.7::DOUBLE) AS length_km, {_STEPM} AS length_mult, cost AS raw_cost FROM lens"
+    q["finalized_routes"] = f"WITH {_LENGTHS} SELECT o_orderkey, round(cost * ({_STEPM}) * ({floor}) / 7, 3) AS cost, greatest(length_km, 5.7::DOUBLE) AS length_km, {_STEPM} AS length_mult, cost AS raw_cost FROM lens"
     q["routes_with_features"] = f"""WITH {_ROUTES}, own AS (SELECT (s_suppkey % 8)::INTEGER AS end_row, (s_suppkey % 3)::INTEGER AS end_col, max(s_suppkey) AS trans_gid FROM supplier GROUP BY 1, 2) SELECT trans_gid, end_row, end_col, route_id, price, s_nationkey AS price_trans FROM routes LEFT JOIN own USING (end_row, end_col) LEFT JOIN supplier ON s_suppkey = trans_gid"""
     q["dissolved_features"] = "SELECT s_nationkey AS gid, 'line' AS category, 'GEOMETRYCOLLECTION (' || string_agg('POINT (' || s_suppkey || ' 0)', ', ' ORDER BY 'POINT (' || s_suppkey || ' 0)') || ')' AS wkt FROM supplier GROUP BY 1"
 
     ok = "slope <> 12"
-    q["zonal_basic"] = f"""{_C}, {_TOUCHED}, a AS (SELECT id, count(*) FILTER ({ok}) AS "count", min(slope) FILTER ({ok})::DOUBLE AS "min", max(slope) FILTER ({ok})::DOUBLE AS "max", round(avg(slope) FILTER ({ok}), 9) AS mean, sum(slope) FILTER ({ok}) AS "sum", round(stddev_pop(slope) FILTER ({ok}), 9) AS std, median(slope) FILTER ({ok})::DOUBLE AS median, count(DISTINCT slope) FILTER ({ok}) AS "unique", (max(slope) FILTER ({ok}) - min(slope) FILTER ({ok}))::DOUBLE AS "range", count(*) FILTER (slope = 12)::DOUBLE AS nodata FROM at GROUP BY id)
+    q["zonal_basic"] = f"""{_C}, {_TOUCHED}, a AS (SELECT id, count(*) FILTER ({ok}) AS "count", min(slope) FILTER ({ok})::DOUBLE AS "min", max(slope) FILTER ({ok})::DOUBLE AS "max", round(avg(slope) FILTER ({ok}), 9) AS mean, sum(slope) FILTER ({ok}) AS "sum", round(stddev_pop(slope) FILTER ({ok}), 9) AS std, median(slope) FILTER ({ok})::DOUBLE AS median, count(DISTINCT slope) FILTER ({ok}) AS "unique", (max(slope) FILTER ({ok}) - min(slope) FILTER ({ok}))::DOUBLE AS "range", count(*) FILTER (slope = 12)::DOUBLE AS nodata FROM hits GROUP BY id)
       SELECT z.id, coalesce("count", 0) AS "count", "min", "max", mean, "sum", std, median, coalesce("unique", 0) AS "unique", "range", coalesce(nodata, 0) AS nodata FROM zones z LEFT JOIN a USING (id)"""
     q["zonal_centre_rule"] = f"""{_C}, {_ZONES}, a AS (SELECT z.id, count(*) AS n, sum(c2)::DOUBLE AS s FROM zones z JOIN cells c ON (c.col + 0.5) * 90 >= x0 AND (c.col + 0.5) * 90 < x0 + 700 AND 2880 - (c."row" + 0.5) * 90 >= y0 AND 2880 - (c."row" + 0.5) * 90 < y0 + 410 GROUP BY 1) SELECT z.id, coalesce(n, 0) AS c2_count, s AS c2_sum FROM zones z LEFT JOIN a USING (id)"""
-    q["zonal_percentiles"] = f"{_C}, {_TOUCHED} SELECT z.id, round(quantile_cont(c1::DOUBLE, 0.105), 6) AS p10, round(quantile_cont(c1::DOUBLE, 0.9), 6) AS p90 FROM zones z LEFT JOIN at USING (id) GROUP BY z.id"
-    named = """n AS (SELECT id, slope::DOUBLE AS v, CASE slope WHEN 0 THEN 'flat' WHEN 5 THEN 'mid' WHEN 6 THEN 'mid' ELSE slope::DOUBLE::VARCHAR END AS k, count(*) AS n FROM at GROUP BY 1, 2, 3), m AS (SELECT id, k, arg_max(n, v) AS n, min(v) AS v FROM n GROUP BY 1, 2)"""
+    q["zonal_percentiles"] = f"{_C}, {_TOUCHED} SELECT z.id, round(quantile_cont(c1::DOUBLE, 0.105), 6) AS p10, round(quantile_cont(c1::DOUBLE, 0.9), 6) AS p90 FROM zones z LEFT JOIN hits USING (id) GROUP BY z.id"
+    named = """n AS (SELECT id, slope::DOUBLE AS v, CASE slope WHEN 0 THEN 'flat' WHEN 5 THEN 'mid' WHEN 6 THEN 'mid' ELSE slope::DOUBLE::VARCHAR END AS k, count(*) AS n FROM hits GROUP BY 1, 2, 3), m AS (SELECT id, k, arg_max(n, v) AS n, min(v) AS v FROM n GROUP BY 1, 2)"""
     q["zonal_majority"] = f"{_C}, {_TOUCHED}, {named}, a AS (SELECT id, arg_min(k, (-n, v)) AS majority, arg_min(k, (n, v)) AS minority FROM m GROUP BY 1) SELECT z.id, majority, minority FROM zones z LEFT JOIN a USING (id)"
-    q["zonal_pixel_count"] = f"{_C}, {_TOUCHED} SELECT z.id, " + ", ".join(f"nullif(count(*) FILTER (zone = {i}), 0) AS pixel_count_{n}" for i, n in enumerate(("zero", "one", "two", "three"))) + " FROM zones z LEFT JOIN at USING (id) GROUP BY z.id"
-    q["zonal_fractional"] = f"""{_C}, {_TOUCHED} SELECT z.id, round(sum(zone * part), 5) AS value_multiplied_by_fractional_area, round(sum(part) FILTER (zone = 1) / 8100, 5) AS fractional_pixel_count_one, round(sum(part) FILTER (zone = 2) / 8100, 5) AS fractional_pixel_count_two, round(sum(part) FILTER (zone = 3), 5) AS fractional_area_three FROM zones z LEFT JOIN at USING (id) GROUP BY z.id"""
-    q["zonal_zone_func"] = f'{_C}, {_TOUCHED} SELECT z.id, sum(c2 * 2 + 1)::DOUBLE AS "sum" FROM zones z LEFT JOIN at USING (id) GROUP BY z.id'
-    q["zonal_user_stats"] = f"""{_C}, {_TOUCHED} SELECT z.id, (max(c2) - min(c2))::DOUBLE AS spread, arg_max(c2, "row" * 32 + col)::DOUBLE AS "last" FROM zones z LEFT JOIN at USING (id) GROUP BY z.id"""
+    q["zonal_pixel_count"] = f"{_C}, {_TOUCHED} SELECT z.id, " + ", ".join(f"nullif(count(*) FILTER (zone = {i}), 0) AS pixel_count_{n}" for i, n in enumerate(("zero", "one", "two", "three"))) + " FROM zones z LEFT JOIN hits USING (id) GROUP BY z.id"
+    q["zonal_fractional"] = f"""{_C}, {_TOUCHED} SELECT z.id, round(sum(zone * part), 5) AS value_multiplied_by_fractional_area, round(sum(part) FILTER (zone = 1) / 8100, 5) AS fractional_pixel_count_one, round(sum(part) FILTER (zone = 2) / 8100, 5) AS fractional_pixel_count_two, round(sum(part) FILTER (zone = 3), 5) AS fractional_area_three FROM zones z LEFT JOIN hits USING (id) GROUP BY z.id"""
+    q["zonal_zone_func"] = f'{_C}, {_TOUCHED} SELECT z.id, sum(c2 * 2 + 1)::DOUBLE AS "sum" FROM zones z LEFT JOIN hits USING (id) GROUP BY z.id'
+    q["zonal_user_stats"] = f"""{_C}, {_TOUCHED} SELECT z.id, (max(c2) - min(c2))::DOUBLE AS spread, arg_max(c2, "row" * 32 + col)::DOUBLE AS "last" FROM zones z LEFT JOIN hits USING (id) GROUP BY z.id"""
     q["rasterized_boxes"] = f"""WITH {_ALL}, {_ZONES}, b AS (SELECT c."row", c.col, arg_max(id * 1.5::DOUBLE, id) AS v FROM zones z JOIN allcells c ON c.col * 90 < x0 + 700 AND c.col * 90 + 90 > x0 AND 2790 - c."row" * 90 < y0 + 410 AND 2880 - c."row" * 90 > y0 GROUP BY 1, 2) SELECT a."row", a.col, coalesce(v, 0)::DOUBLE AS value FROM allcells a LEFT JOIN b USING ("row", col)"""
     q["buffered_line_cells"] = f"""WITH {_ALL}, l AS (SELECT n_nationkey AS id, n_nationkey * 80.0::DOUBLE + 100 AS x, n_nationkey * 60.0::DOUBLE + 700 AS y1, CASE n_nationkey WHEN 3 THEN 250 WHEN 7 THEN 100 ELSE CASE WHEN n_nationkey < 10 THEN 150 WHEN n_nationkey < 20 THEN 210 END END AS h FROM nation)
       SELECT id, "row", col FROM l JOIN allcells ON abs((col + 0.5) * 90 - x) <= h AND 2880 - ("row" + 0.5) * 90 BETWEEN 300 AND y1"""

@@ -485,7 +485,7 @@ def length_floor(spark, sf_dir):
 
 
 def finalized_routes(spark, sf_dir):
-    return finalize.finalized(_lengths(spark, sf_dir), "step", 5.7).withColumn("cost", F.round("cost", 4))
+    return finalize.finalized(_lengths(spark, sf_dir), "step", 5.7).withColumn("cost", F.round(F.col("cost") / 7, 3))
 
 
 def routes_with_features(spark, sf_dir):
