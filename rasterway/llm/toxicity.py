@@ -20,6 +20,8 @@ such examples; without labels every score is 0; repeated rows are scored each.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +31,7 @@ from rasterway.llm import calibration
 from rasterway.llm import shared as S
 from rasterway.llm import words as W
 
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 10_000, 4096, 25, 64
+EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 10_000, 4096, 25, 1024
 #: Bytes of the stems that count as terms beside the words.
 STEMS = (4, 6)
 #: Examples that a term must stand in, and its least chi-squared.
@@ -102,44 +104,47 @@ def _weighed(v: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Index:
     """Unit vectors in blocks, with the largest weight of each column in each block.
 
-    Entries are sorted by their heaviest column, so that blocks are alike inside.
+    Entries are sorted by their heaviest column, so that blocks are alike inside.  A
+    block keeps its postings by column in flat arrays.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], columns: int):
         heavy = [int(c[w.argmax()]) if len(c) else -1 for c, w in vectors]
         self.order = np.argsort(heavy, kind="stable")
-        n = len(vectors)
-        blocks = -(-n // BLOCK)
+        blocks = -(-len(vectors) // BLOCK)
+        size = np.array([len(c) for c, _ in vectors], np.int64)[self.order]
+        column = np.concatenate([np.zeros(0, np.int64), *(vectors[k][0] for k in self.order)]).astype(np.int64)
+        weight = np.concatenate([np.zeros(0), *(vectors[k][1] for k in self.order)])
+        entry = np.repeat(np.arange(len(vectors)), size)
         self.bound = np.zeros((columns, blocks), np.float32)
-        #: By block and column: entries and their weights.
-        self.posts: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for b in range(blocks):
-            lists: dict[int, list] = {}
-            for slot, k in enumerate(self.order[b * BLOCK : (b + 1) * BLOCK]):
-                for c, w in zip(vectors[k][0].tolist(), vectors[k][1].tolist()):
-                    lists.setdefault(c, []).append((slot, w))
-                    self.bound[c, b] = max(self.bound[c, b], np.nextafter(np.float32(w), np.float32(2)))
-            self.posts.append({c: (np.array([s for s, _ in x]), np.array([w for _, w in x])) for c, x in lists.items()})
-        self.n = n
+        np.maximum.at(self.bound, (column, entry // BLOCK), np.nextafter(weight.astype(np.float32), np.float32(2)))
+        #: By block: where each column's postings begin, their entries and weights.
+        self.posts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        cuts = np.searchsorted(entry, np.arange(blocks + 1) * BLOCK)
+        for a, b in zip(cuts, cuts[1:]):
+            by = np.argsort(column[a:b], kind="stable")
+            begin = np.searchsorted(column[a:b][by], np.arange(columns + 1))
+            self.posts.append((begin, (entry[a:b] % BLOCK)[by].astype(np.int32), weight[a:b][by]))
 
     def nearest(self, c: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(entries, cosines) of the k largest cosines and all that equal the last."""
         bound = w @ self.bound[c] if len(c) else np.zeros(self.bound.shape[1])
-        found, cosines, worst = [], [], 0.0
+        found, cosines, worst, many = [], [], 0.0, 0
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] * (1 + 1e-5) < worst or bound[b] <= 0:
                 break
-            scores = np.zeros(BLOCK)
-            posts = self.posts[b]
-            for column, weight in zip(c.tolist(), w.tolist()):
-                if column in posts:
-                    slots, weights = posts[column]
-                    scores[slots] += weight * weights
+            begin, slots, weights = self.posts[b]
+            first = begin[c]
+            n = begin[c + 1] - first
+            at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+            scores = np.bincount(slots[at], weights[at] * np.repeat(w, n), BLOCK)
             at = np.flatnonzero((scores > 0) & (scores >= worst))
             found.append(self.order[b * BLOCK + at])
             cosines.append(scores[at])
-            if sum(map(len, cosines)) >= k:
-                worst = np.partition(np.concatenate(cosines), -k)[-k] - 1e-9
+            many += len(at)
+            if many >= k:
+                known = np.concatenate(cosines)
+                worst = np.partition(known, -k)[-k] - 1e-9
         if not found:
             return np.zeros(0, int), np.zeros(0)
         entries, cosines = np.concatenate(found), np.concatenate(cosines)
@@ -180,6 +185,17 @@ class Voters:
         return float(weight[:, 1].sum() / total) if total > 0 else float(self.votes[:, 1].sum() / max(self.votes.sum(), 1e-9))
 
 
+#: The last voters that this process has built, by the name of their model.
+_BUILT: dict[str, Voters] = {}
+
+
+def _voters(name: str, state) -> Voters:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Voters(*state.value)
+    return _BUILT[name]
+
+
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, held_out): doc_id, held_out, score and evidence.
 
@@ -227,9 +243,10 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         if len(e[2]) < 5:
             e[2].append(r.doc_id)
     state = spark.sparkContext.broadcast((idf, [(v, *e) for v, e in entries.items()]))
+    name = uuid.uuid4().hex
 
     def raw(batches):
-        own = Voters(*state.value)
+        own = _voters(name, state)
         for batch in batches:
             label = batch.column("label").to_pylist()
             out = [own.share(v, np.array([weight[0], 0]) if k == 0 else np.array([0, weight[1]])) for v, k in zip(batch.column("v").to_pylist(), label)]
@@ -238,7 +255,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     steps = calibration.fit(labelled.select("label", "v").mapInArrow(raw, "raw double, label int, weight double"), 0.0, 1.0)
 
     def final(batches):
-        own = Voters(*state.value)
+        own = _voters(name, state)
         for batch in batches:
             vs = batch.column("v").to_pylist()
             share = np.array([own.share(v) for v in vs])
