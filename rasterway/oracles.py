@@ -182,7 +182,7 @@ def oracle_sql() -> dict[str, str]:
     linear = "CASE WHEN length_km <= 16.09344 THEN (1 - 1.5::DOUBLE) / (16.09344::DOUBLE - 2.414016::DOUBLE) * (length_km - 16.09344::DOUBLE) + 1 ELSE 1.0::DOUBLE END"
     q["length_multiplier_linear"] = f"WITH {_LENGTHS} SELECT o_orderkey, round(cost * ({linear}), 4) AS cost, length_km, round({linear}, 9) AS length_mult, cost AS raw_cost FROM lens"
     floor = "CASE WHEN length_km < 5.7 AND length_km > 0 THEN 5.7::DOUBLE / length_km ELSE 1 END"
-    q["length_floor"] = f"WITH {_LENGTHS} SELECT o_orderkey, round(cost * ({floor}), 4) AS cost, greatest(length_km, 5.7::DOUBLE) AS length_km FROM lens"
+    q["length_floor"] = f"WITH {_LENGTHS} SELECT o_orderkey, cost * ({floor}) AS cost, greatest(length_km, 5.7::DOUBLE) AS length_km FROM lens"
     q["finalized_routes"] = f"WITH {_LENGTHS} SELECT o_orderkey, round(cost * ({_STEPM}) * ({floor}) / 7, 3) AS cost, greatest(length_km, 5.7::DOUBLE) AS length_km, {_STEPM} AS length_mult, cost AS raw_cost FROM lens"
     q["routes_with_features"] = f"""WITH {_ROUTES}, own AS (SELECT (s_suppkey % 8)::INTEGER AS end_row, (s_suppkey % 3)::INTEGER AS end_col, max(s_suppkey) AS trans_gid FROM supplier GROUP BY 1, 2) SELECT trans_gid, end_row, end_col, route_id, price, s_nationkey AS price_trans FROM routes LEFT JOIN own USING (end_row, end_col) LEFT JOIN supplier ON s_suppkey = trans_gid"""
     q["dissolved_features"] = "SELECT s_nationkey AS gid, 'line' AS category, 'GEOMETRYCOLLECTION (' || string_agg('POINT (' || s_suppkey || ' 0)', ', ' ORDER BY 'POINT (' || s_suppkey || ' 0)') || ')' AS wkt FROM supplier GROUP BY 1"

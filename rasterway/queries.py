@@ -481,7 +481,7 @@ def length_multiplier_linear(spark, sf_dir):
 
 
 def length_floor(spark, sf_dir):
-    return finalize.with_length_floor(_lengths(spark, sf_dir), 5.7).withColumn("cost", F.round("cost", 4))
+    return finalize.with_length_floor(_lengths(spark, sf_dir), 5.7)
 
 
 def finalized_routes(spark, sf_dir):
