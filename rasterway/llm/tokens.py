@@ -69,7 +69,7 @@ class Encoder:
         for p in new:
             stem = p.rstrip(TAIL)
             stems[p] = stem if stem and stem[-1].isalnum() else p
-        bare = [x for x in cache.missing(set(stems.values())) if x not in new or stems[x] == x]
+        bare = cache.missing(set(stems.values()))
         ids = self.tokenizer.encode_batch_fast([prefix + x for x in bare], add_special_tokens=False)
         cache.young.update({x: np.array(e.ids, "<u4").tobytes() for x, e in zip(bare, ids)})
         tails = {p[len(x) :] for p, x in stems.items() if x != p}
