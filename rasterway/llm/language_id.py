@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -203,14 +204,26 @@ def fit(training: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> M
     return Model(languages, rows, prob)
 
 
+#: The last model that this process has used, by name, with the words it has scored.
+_USED: dict[str, Model] = {}
+
+
+def _model(name: str, state) -> Model:
+    if name not in _USED:
+        _USED.clear()
+        _USED[name] = Model(*state.value)
+    return _USED[name]
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score."""
     docs = docs.drop("lang_pred", "score")
+    name = uuid.uuid4().hex
     state = docs.sparkSession.sparkContext.broadcast((model.languages, model.lattice.rows, model.prob))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double"])
 
     def run(batches):
-        own = Model(*state.value)
+        own = _model(name, state)
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
