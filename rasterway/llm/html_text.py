@@ -6,10 +6,12 @@ summed over sliding windows; the text surges where a window's sum rises over the
 threshold and dives where it falls back, and the lines between are kept.
 
 Lengths alone cannot tell a short paragraph from a short notice, so the strip also
-uses what the markup states: lines in navigation, headers, footers, sidebars,
-forms, adverts and comments are never text, scripts and styles never become
-lines, and where a page marks an article, the surge is its first line and the dive
-its last, since windows that straddle its border see text on one side alone.
+uses what the markup states, as weights of lines: those in navigation, headers,
+footers, sidebars, forms, adverts and comments weigh nothing, scripts and styles
+never become lines, and where articles bound the text, their lines weigh
+``ARTICLE`` times their length and those outside nothing.  Articles bound it where the
+only one surges by its lengths alone, or where all hold no less running text than the
+rest; beside a longer story outside, such as teasers, they are lines like others.
 
 Defined results: a null or empty page, and one without text, give an empty string;
 unclosed tags end with their container; a page cut in the middle keeps what
@@ -26,7 +28,9 @@ from pyspark.sql import DataFrame
 
 #: Lines of a window, and the characters of running text it must exceed.
 WINDOW, SURGE = 3, 86
-#: Lines of fewer characters do not begin or end a surge.
+#: Times that a character counts in articles that bound the text.
+ARTICLE = 32
+#: Lines of less weight do not begin or end a surge.
 SHORT = 12
 
 # HTML's raw-text, void and block elements.
@@ -36,6 +40,7 @@ BLOCK = {
     "address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
     "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
+TITLE = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Containers that hold no running text of the article.
 ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 #: Words in class, id or role that mark such containers.
@@ -61,14 +66,14 @@ def _marked(attributes: str) -> bool:
     return False
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters outside links, inside an aside container, inside an article) of each line."""
-    out: list[tuple[str, int, bool, bool]] = []
+def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
+    """(text, characters outside links, inside an aside container, number of the outermost article or 0) of each line."""
+    out: list[tuple[str, int, bool, int]] = []
     parts: list[str] = []
     loose = at = 0
     #: Open elements: name, is an aside container, is an article.
     stack: list[tuple[str, bool, bool]] = []
-    aside = article = links = 0
+    aside = article = links = titles = articles = 0
     lower = None
 
     def end_line():
@@ -76,22 +81,23 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                out.append((text, loose, aside > 0, article > 0))
+                out.append((text, loose, aside > 0, articles if article else 0))
         parts, loose = [], 0
 
     def text(piece: str):
         nonlocal loose
         if piece:
             parts.append(piece)
-            if not links:
+            if not links or article and titles:  # an article's title may link to itself
                 loose += len(piece)
 
     def close(n: int):
         """Closes open elements until ``n`` are left."""
-        nonlocal aside, article, links
+        nonlocal aside, article, links, titles
         while len(stack) > n:
             name, is_aside, is_article = stack.pop()
             aside, article, links = aside - is_aside, article - is_article, links - (name == "a")
+            titles -= name in TITLE
 
     while at < len(html):
         start = html.find("<", at)
@@ -134,9 +140,11 @@ def lines_of(html: str) -> list[tuple[str, int, bool, bool]]:
                 if stack[k][0] in BLOCK:
                     break
         is_article = name in ("article", "main")
-        is_aside = (name in ASIDE or name not in ("html", "body", "article", "main") and _marked(tag[3])) and not (name == "header" and article and not aside)
+        articles += is_article and not article
+        is_aside = (name in ASIDE or name not in ("html", "body", "main") and _marked(tag[3])) and not (name == "header" and article and not aside)
         stack.append((name, is_aside, is_article))
         aside, article, links = aside + is_aside, article + is_article, links + (name == "a")
+        titles += name in TITLE
     end_line()
     return out
 
@@ -164,17 +172,25 @@ def spans_of(lengths: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def _bounded(running: list[int], articles: list[int]) -> bool:
+    """Whether the text lies in articles (numbers by line, 0 outside)."""
+    inside = [w if k else 0 for w, k in zip(running, articles)]
+    if len({k for w, k in zip(inside, articles) if w}) == 1 and spans_of(inside):
+        return True
+    return 0 < sum(inside) >= sum(running) - sum(inside)
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks in page order, joined by one space."""
     lines = lines_of(html or "")
-    if any(article for _, _, _, article in lines):
-        kept = [text for text, _, aside, article in lines if article and not aside]
-    else:
-        lengths = [0 if aside else loose for _, loose, aside, _ in lines]
-        spans = spans_of(lengths)
-        if not spans:  # a short page: all running text
-            spans = [(0, len(lines))]
-        kept = [lines[i][0] for a, b in spans for i in range(a, b) if lengths[i]]
+    running = [0 if aside else loose for _, loose, aside, _ in lines]
+    bounded = _bounded(running, [k for *_, k in lines])
+    weights = [w * ARTICLE if k else 0 for w, (*_, k) in zip(running, lines)] if bounded else running
+    spans = spans_of(weights)
+    if not spans:  # a short page: all running text
+        spans = [(0, len(lines))]
+    # Lines that are links alone are kept in an article, between others.
+    kept = [lines[i][0] for a, b in spans for i in range(a, b) if weights[i] or bounded and lines[i][3] and not lines[i][2]]
     return " ".join(kept)
 
 

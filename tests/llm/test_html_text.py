@@ -22,6 +22,17 @@ def test_surge_and_dive():
     assert op.spans_of([]) == []
 
 
+def test_windows_decide_beside_and_inside_articles():
+    long = "Running text of an article goes on and on for many words, as it does in a page of news. "
+    teasers = "".join(f"<article><h3>Teaser {i}</h3></article><div><a href=m>more</a></div>" for i in range(3))
+    links = "<ul><li><a href=a>one</a></li><li><a href=b>two</a></li><li><a href=c>three</a></li></ul>"
+    assert op.main_text(f"<body><div><p>{long}</p><p>{long}</p></div>{links}{teasers}</body>") == (long * 2).strip()
+    readers = f"<article class='comment'><p>A reader. {long * 3}</p></article>"
+    assert op.main_text(f"<body><div><p>{long}</p></div>{readers}</body>") == long.strip()
+    # A list of links makes the windows dive inside an article too.
+    assert op.main_text(f"<article><h1><a href=t>Title</a></h1><p>{long}</p><p>Sh.</p>{links}</article><p>{long}</p>") == f"Title {long}Sh."
+
+
 def test_cut_and_odd_markup():
     assert op.main_text(None) == op.main_text("") == op.main_text("<html><body></body>") == ""
     assert op.main_text("<article><p>one <b>two</p><p>three") == "one two three"
