@@ -11,7 +11,9 @@ footers, sidebars, forms, adverts and comments weigh nothing, scripts and styles
 never become lines, and where articles bound the text, their lines weigh
 ``ARTICLE`` times their length and those outside nothing.  Articles bound it where the
 only one surges by its lengths alone, or where all hold no less running text than the
-rest; beside a longer story outside, such as teasers, they are lines like others.
+rest; beside a longer story outside, such as teasers, they are lines like others.  Class names,
+ids and roles mark containers by whole names; such a mark does not hold where its
+container encloses the article or most of the running text.
 
 Defined results: a null or empty page, and one without text, give an empty string;
 unclosed tags end with their container; a page cut in the middle keeps what
@@ -43,37 +45,92 @@ BLOCK = {
 TITLE = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Containers that hold no running text of the article.
 ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
-#: Words in class, id or role that mark such containers.
+#: Class names, ids and roles that mark such containers, whole and with one affix.
 MARKED = {
     "ad", "ads", "advert", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "complementary", "consent", "contentinfo", "cookie", "cookies", "discussion", "disqus",
     "footer", "gdpr", "header", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pagination", "popup", "promo", "promoted", "related", "replies", "reply", "respond", "search", "share",
     "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "widget",
 }
+#: Among them those of readers' words, which may be longer than the article.
+READERS = {"comment", "comments", "discussion", "disqus", "replies", "reply", "respond"}
+#: What may stand before or after such a name.
+AFFIX = {"area", "bar", "block", "body", "bottom", "box", "container", "form", "global", "inner", "left", "links", "list", "right", "section", "site", "slot", "thread", "top", "wrap", "wrapper"}
+#: Kinds of marks: of those by name and by readers' words, wrappers of the page are let go.
+FIRM, BY_READERS, BY_NAME = 1, 2, 3
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*(?:>|\Z)|\?[^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-_WORD = re.compile(r"[a-z]+")
+_PART = re.compile(r"[-_\d]+")
 _SPACE = re.compile(r"\s+")
 
 
-def _marked(attributes: str) -> bool:
+def _name(value: str) -> str | None:
+    """The listed name that a class name, id or role is, alone or with affixes."""
+    if value in MARKED:
+        return value
+    parts = [x for x in _PART.split(value) if x]
+    listed = [x for x in parts if x in MARKED]
+    return listed[0] if listed and all(x in MARKED or x in AFFIX for x in parts) else None
+
+
+def _marked(attributes: str) -> int:
+    """0 without a mark, or FIRM, BY_READERS, BY_NAME."""
+    found = 0
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name in ("class", "id", "role") and not MARKED.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
+            return FIRM
+        if name in ("class", "id", "role"):
+            for x in map(_name, value.split()):
+                if x:
+                    found = BY_READERS if x in READERS or found == BY_READERS else BY_NAME
+    return found
+
+
+def _let_go(lines: list[tuple[str, int, tuple[int, ...], int, int]], kinds: list[int]) -> set[int]:
+    """Marks that do not hold: their containers enclose the article or most of the running text.
+
+    ``lines`` are (text, loose, marks around it, article, marks around that), marks as places in ``kinds``.
+    """
+    gone: set[int] = set()
+    soft = {BY_NAME}
+    while any(k in soft for k in kinds):
+        free = free_article = 0
+        whole: dict[int, int] = {}
+        articles: dict[int, int] = {}
+        for _, loose, marks, article, within in lines:
+            held = [m for m in marks if m not in gone]
+            if not held:
+                free += loose
+                free_article += loose if article else 0
+            elif all(kinds[m] in soft for m in held):
+                whole[held[0]] = whole.get(held[0], 0) + loose
+                if article and marks.index(held[0]) < within:
+                    articles[held[0]] = articles.get(held[0], 0) + loose
+        total = free + sum(whole.values())
+        found = [m for m, n in articles.items() if n > free]
+        if not found and not free_article:
+            found = [m for m, n in whole.items() if n > SURGE and 2 * n > total]
+        if found:
+            gone.add(max(found, key=lambda m: whole[m]))
+        elif BY_READERS not in soft and total <= SURGE:  # nothing but readers' words
+            soft = {BY_NAME, BY_READERS}
+        else:
+            break
+    return gone
 
 
 def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
     """(text, characters outside links, inside an aside container, number of the outermost article or 0) of each line."""
-    out: list[tuple[str, int, bool, int]] = []
+    out: list[tuple[str, int, tuple[int, ...], int, int]] = []
     parts: list[str] = []
     loose = at = 0
     #: Open elements: name, is an aside container, is an article.
     stack: list[tuple[str, bool, bool]] = []
-    aside = article = links = titles = articles = 0
+    #: Kinds of all marks, those that are open, and how many were when the article began.
+    kinds: list[int] = []
+    marks: list[int] = []
+    article = links = titles = articles = within = 0
     lower = None
 
     def end_line():
@@ -81,7 +138,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             if text:
-                out.append((text, loose, aside > 0, articles if article else 0))
+                out.append((text, loose, tuple(marks), articles if article else 0, within))
         parts, loose = [], 0
 
     def text(piece: str):
@@ -93,10 +150,12 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
 
     def close(n: int):
         """Closes open elements until ``n`` are left."""
-        nonlocal aside, article, links, titles
+        nonlocal article, links, titles
         while len(stack) > n:
             name, is_aside, is_article = stack.pop()
-            aside, article, links = aside - is_aside, article - is_article, links - (name == "a")
+            article, links = article - is_article, links - (name == "a")
+            if is_aside:
+                marks.pop()
             titles -= name in TITLE
 
     while at < len(html):
@@ -140,13 +199,23 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
                 if stack[k][0] in BLOCK:
                     break
         is_article = name in ("article", "main")
-        articles += is_article and not article
-        is_aside = (name in ASIDE or name not in ("html", "body", "main") and _marked(tag[3])) and not (name == "header" and article and not aside)
-        stack.append((name, is_aside, is_article))
-        aside, article, links = aside + is_aside, article + is_article, links + (name == "a")
+        if is_article and not article:
+            articles, within = articles + 1, len(marks)
+        kind = 0
+        if not (name == "header" and article):
+            if name in ASIDE and name != "form":
+                kind = FIRM
+            elif name not in ("html", "body", "main"):
+                kind = _marked(tag[3]) or (BY_NAME if name == "form" else 0)
+        stack.append((name, kind > 0, is_article))
+        if kind:
+            kinds.append(kind)
+            marks.append(len(kinds) - 1)
+        article, links = article + is_article, links + (name == "a")
         titles += name in TITLE
     end_line()
-    return out
+    gone = _let_go(out, kinds)
+    return [(text, loose, not gone.issuperset(held), k) for text, loose, held, k, _ in out]
 
 
 def spans_of(lengths: list[int]) -> list[tuple[int, int]]:

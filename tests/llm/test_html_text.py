@@ -33,6 +33,20 @@ def test_windows_decide_beside_and_inside_articles():
     assert op.main_text(f"<article><h1><a href=t>Title</a></h1><p>{long}</p><p>Sh.</p>{links}</article><p>{long}</p>") == f"Title {long}Sh."
 
 
+def test_marks_of_wrappers_do_not_hold():
+    story = "Running text of an article goes on and on for many words, as it does in a page of news."
+    for mark in ("class='content no-sidebar'", "id='page-widget'", "class='widget'", "class=search"):
+        assert op.main_text(f"<div {mark}><article><p>{story}</p></article></div><p>Short</p>") == story
+        assert op.main_text(f"<div {mark}><div class='share'>Share it</div><p>{story}</p></div>").endswith(story)
+        assert op.main_text(f"<div {mark}><div {mark}><p>{story}</p><p>{story}</p></div></div>") == f"{story} {story}"
+    assert op.main_text(f"<article><p>{story}</p><div class='share-price'>It fell.</div><section id='related-work'>Others.</section></article>") == f"{story} It fell. Others."
+    # Marks of parts hold, also where readers write more than the article has.
+    rest = f"<div class='sidebar widget'><p>{story}</p></div><ol class='comment-list'><li>{story * 4}</ol><div class='site-footer'>me</div>"
+    assert op.main_text(f"<article><p>Short story.</p></article>{rest}") == "Short story."
+    assert op.main_text(f"<p>{story}</p><p>{story}</p>{rest}") == f"{story} {story}"
+    assert op.main_text("<div class='cookie-banner'>We use cookies</div>") == ""
+
+
 def test_cut_and_odd_markup():
     assert op.main_text(None) == op.main_text("") == op.main_text("<html><body></body>") == ""
     assert op.main_text("<article><p>one <b>two</p><p>three") == "one two three"
