@@ -2,8 +2,8 @@
 
 1. Examples are at most ``EXAMPLES`` training rows of each class, the smallest by a
    hash of their ids, each standing for its class's share of all training rows.
-2. Terms are folded words and their first bytes (``STEMS``).  The ``TERMS`` terms that go
-   with the labels most by chi-squared are the vector space.
+2. Terms are folded words and their first bytes (``STEMS``).  All terms that any example
+   holds are the vector space; terms that no example holds meet none of them.
 3. One pass over all documents counts these terms in every whole text; document
    frequencies come from all of them.
 4. The examples' vectors form an inverted index in blocks, with the largest weight of
@@ -13,13 +13,14 @@
 5. Votes weigh by closeness; isotonic regression over the examples, each without
    its own vote, turns them into probabilities.
 
-Index and term list are bounded by the parameters and broadcast.  Defined results:
+Index and term list are bounded by the examples and broadcast.  Defined results:
 null and empty texts and texts without any of the terms get the calibrated share of
 such examples; without labels every score is 0; repeated rows are scored each.
 """
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 import numpy as np
@@ -31,11 +32,9 @@ from rasterway.llm import calibration
 from rasterway.llm import shared as S
 from rasterway.llm import words as W
 
-EXAMPLES, TERMS, NEIGHBOURS, BLOCK = 10_000, 4096, 25, 1024
+EXAMPLES, NEIGHBOURS, BLOCK = 10_000, 25, 1024
 #: Bytes of the stems that count as terms beside the words.
 STEMS = (4, 6)
-#: Examples that a term must stand in, and its least chi-squared.
-LEAST, CHI2 = 4, 25.0
 #: Distance added to that of a neighbour before its vote is divided by it.
 NEAR = 0.05
 _U = np.uint64
@@ -58,16 +57,11 @@ def _counted(term: np.ndarray, doc: np.ndarray):
     return t[head], d[head], np.diff(np.append(head, len(t)))
 
 
-def _class_counts(batches):
-    """How many examples of each class hold each term."""
+def _distinct_terms(batches):
     for batch in batches:
         data, offsets = S.utf8(batch.column("text"))
-        label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
         for i, j in S.chunks(offsets):
-            t, d, _ = _counted(*_terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
-            term, at = np.unique(t, return_inverse=True)
-            pos = np.bincount(at, weights=label[i:j][d], minlength=len(term)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(pos), pa.array(np.bincount(at, minlength=len(term)).astype(np.int64))], ["term", "pos", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0]))], ["term"])
 
 
 def _vectors(terms):
@@ -123,7 +117,7 @@ class Index:
         cuts = np.searchsorted(entry, np.arange(blocks + 1) * BLOCK)
         for a, b in zip(cuts, cuts[1:]):
             by = np.argsort(column[a:b], kind="stable")
-            begin = np.searchsorted(column[a:b][by], np.arange(columns + 1))
+            begin = np.searchsorted(column[a:b][by], np.arange(columns + 1)).astype(np.int32)
             self.posts.append((begin, (entry[a:b] % BLOCK)[by].astype(np.int32), weight[a:b][by]))
 
     def nearest(self, c: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -165,14 +159,15 @@ class Voters:
         self.cache: dict[bytes, tuple] = {}
 
     def neighbours(self, v: bytes) -> tuple[np.ndarray, np.ndarray]:
-        if v not in self.cache:
+        key = hashlib.blake2b(v, digest_size=16).digest()
+        if key not in self.cache:
             if len(self.cache) > 50_000:
                 self.cache.clear()
             if v:
-                self.cache[v] = self.index.nearest(*_weighed(v, self.idf), NEIGHBOURS)
+                self.cache[key] = self.index.nearest(*_weighed(v, self.idf), NEIGHBOURS)
             else:
-                self.cache[v] = (np.array([] if self.empty is None else [self.empty], int), np.ones(int(self.empty is not None)))
-        return self.cache[v]
+                self.cache[key] = (np.array([] if self.empty is None else [self.empty], int), np.ones(int(self.empty is not None)))
+        return self.cache[key]
 
     def share(self, v: bytes, own: np.ndarray | None = None) -> float:
         """The positive share of distance-weighted votes; ``own`` is taken from an equal entry's."""
@@ -214,13 +209,11 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if not chosen:
         return docs.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.array().cast("array<long>").alias("evidence"))
     texts = docs.join(F.broadcast(examples), "doc_id")
-    counts = texts.select("label", "text").mapInArrow(_class_counts, "term long, pos long, n long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
-    p, n = chosen.get(1, 0), sum(chosen.values())
-    expected = F.col("n") * (p / n)
-    chi2 = (F.col("pos") - expected) ** 2 / F.greatest(expected * (1 - p / n), F.lit(1e-9))
-    table = counts.where(F.col("n") >= LEAST).withColumn("chi2", chi2).where(F.col("chi2") >= CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS).select("term").toArrow()
+    table = texts.select("text").mapInArrow(_distinct_terms, "term long").distinct().toArrow()
     terms = np.sort(table["term"].to_numpy())
-    vectors = S.written(docs.mapInArrow(_vectors(spark.sparkContext.broadcast(terms)), "doc_id long, held_out boolean, v binary"))
+    known_terms = spark.sparkContext.broadcast(terms)
+    # Larger than the texts: counted again where needed, written for the examples alone.
+    vectors = docs.mapInArrow(_vectors(known_terms), "doc_id long, held_out boolean, v binary")
 
     def columns(batches):
         total, rows = np.zeros(len(terms) + 1, np.int64), 0
@@ -228,14 +221,15 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             rows += batch.num_rows
             total[: len(terms)] += np.bincount(np.concatenate([np.zeros(0, np.int32), *(_cells(v)[0] for v in batch.column("v").to_pylist())]), minlength=len(terms))
         total[-1] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["c", "n"])
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], ["c", "n"])
 
     df = np.zeros(len(terms) + 1)
-    for r in vectors.select("v").mapInArrow(columns, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).collect():
-        df[r.c] = r.n
+    found = vectors.select("v").mapInArrow(columns, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
+    df[found["c"].to_numpy()] = found["n"].to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     weight = {k: totals[k] / chosen[k] for k in chosen}
-    labelled = vectors.join(F.broadcast(examples), "doc_id").select("doc_id", "label", "v")
+    labelled = S.written(texts.select("doc_id", "label", "text").mapInArrow(_vectors(known_terms), "doc_id long, label int, v binary"))
     entries: dict[bytes, list] = {}
     for r in labelled.orderBy("doc_id").toLocalIterator():  # 2 * EXAMPLES rows at most
         e = entries.setdefault(bytes(r.v), [0.0, 0.0, []])

@@ -96,3 +96,12 @@ def test_calibration_rises(spark):
     got = calibration.apply(np.linspace(0, 1, 21), 0.0, 1.0, table)
     assert (np.diff(got) >= -1e-12).all()
     assert np.abs(got - np.linspace(0, 1, 21))[1:-1].max() < 0.15
+
+
+def test_terms_of_few_examples_find_their_neighbours(spark):
+    rare = [f"{chr(97 + i // 10)}{chr(97 + i % 10)}qx" for i in range(60)]
+    common = " ".join(NICE)
+    rows = [(i, False, f"{common} {w}", i % 2) for i, w in enumerate(rare)] + [(100 + i, True, f"{common} {w}", i % 2) for i, w in enumerate(rare)]
+    docs = spark.createDataFrame(rows, "doc_id long, held_out boolean, text string, label int")
+    got = toxicity.score(docs.select("doc_id", "held_out", "text"), docs.select("doc_id", "label")).collect()
+    assert [r.evidence[0] for r in sorted(got, key=lambda r: r.doc_id) if r.held_out] == list(range(60))
