@@ -361,7 +361,7 @@ def _unit_steps(spark, sf_dir):
 
 
 def route_wkt(spark, sf_dir):
-    return reports.wkt(_steps(spark, sf_dir).where("step < 3"), ["route_id"], GRID)
+    return reports.wkt(_steps(spark, sf_dir), ["route_id"], GRID)
 
 
 # Route tables ----------------------------------------------------------------

@@ -45,6 +45,17 @@ def test_equals_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_wkt_holds_every_step(spark):
+    path = SF.replace("0.01", "0.001")
+    events = spark.read.parquet(f"{path}/events.parquet").select("user_id", "ts", "event_id").collect()
+    lines = {}
+    for user, _, event in sorted(tuple(e) for e in events):
+        lines.setdefault(user, []).append(((event * 7 + user) % 32 * 90 + 45.0, 2880 - event % 32 * 90 - 45.0))
+    assert max(map(len, lines.values())) > 3
+    got = {r.route_id: r.wkt for r in queries.route_wkt(spark, path).collect()}
+    assert got == {k: ("LINESTRING (" if len(v) > 1 else "POINT (") + ", ".join(f"{x} {y}" for x, y in v) + ")" for k, v in lines.items()}
+
+
 def test_every_query_has_sql():
     assert set(queries.queries()) == set(oracles.oracle_sql())
 
