@@ -15,7 +15,7 @@ shorter item.  A document word inside any occurrence of a window is hit.
    Items shorter than a window are found by hashing all spans of their lengths.
 
 Defined results: null and empty texts have no words, hits or items; items
-without words have no window; a null item id names no item; repeated rows each
+without words have no window; a null item id names no item, but its windows hit; repeated rows each
 get their result; rows that share an id each count for themselves.
 """
 
@@ -199,7 +199,7 @@ def hits(docs: DataFrame, items: DataFrame, key: str, window: int = 10) -> DataF
     """
     spark = docs.sparkSession
     found = S.written(items.select("item_id", "text").mapInArrow(_item_windows(window), "item string, len int, h1 long, h2 long, mark long"))
-    windows = found.where("mark IS NULL AND item IS NOT NULL").select("item", "len", "h1", "h2").distinct()
+    windows = found.where("mark IS NULL").select("item", "len", "h1", "h2").distinct()
     lengths = sorted(r[0] for r in found.where(f"mark IS NULL AND len < {window}").select("len").distinct().collect())
 
     def short_marks(batches):

@@ -55,3 +55,10 @@ def test_edge_cases(spark):
     assert got == [(-1, 2, 2, ["3"]), (1, 1, 1, ["3"]), (1, 2, 2, ["3"]), (1, 2, 2, ["3"])]
     assert op.decontaminate(docs.limit(0), items).collect() == []
     assert {r.n_hit for r in op.decontaminate(docs, items.limit(0)).collect()} == {0}
+
+
+def test_items_without_an_id_hit(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one"), (None, "two"), (3, "one")], "item_id long, text string")
+    got = sorted((r.doc_id, r.n_hit, r.item_ids, r.contaminated) for r in op.decontaminate(docs, items).collect())
+    assert got == [(1, 2, ["3"], True), (2, 0, [], False)]
