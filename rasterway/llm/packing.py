@@ -12,7 +12,10 @@
    no more rows than patterns times lengths in them, whatever the corpus.
 
 Defined results: null and empty texts are one piece, the end id alone; repeated
-rows are packed each; a null id is kept as null.
+rows are packed each; a null id is kept as null; pieces of equal length are taken in the
+order of their other columns, and of equal pieces it does not matter which goes where;
+a text of any length becomes as many pieces as it needs; an empty table gives no row;
+columns of the documents other than doc_id and text are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterway.llm import shared as S
-from rasterway.llm.tokens import Encoder
+from rasterway.llm.tokens import encoder
 
 
 def fullest(counts: dict[int, int], target: int) -> dict[int, int]:
@@ -126,23 +129,23 @@ def pieces_of(docs: DataFrame, capacity: int = 1024, end_id: int = 2, path: str
     """A row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary)."""
 
     def run(batches):
-        encoder, end = Encoder(path), np.array([end_id], "<u4")
         for batch in batches:
-            rows: list[tuple] = []
-            for k, ids in encoder.encode_column(batch.column("text")):
-                ids = np.concatenate([ids, end])
-                first = len(ids) % capacity or capacity
-                cuts = [0, *range(first, len(ids) + 1, capacity)]
-                for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    part = ids[a:b].tobytes()
-                    rows.append((k, piece, a, b - a, zlib.crc32(part), part if keep_ids else None))
-            doc, piece, start, length, crc, part = zip(*rows) if rows else [()] * 6
-            columns = [batch.column("doc_id").take(pa.array(doc, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if keep_ids:
-                columns.append(pa.array(part, pa.binary()))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for row, ids, at in encoder(path).encode_ended(batch.column("text"), end_id):
+                n = np.diff(at)
+                pieces = -(-n // capacity)
+                doc = np.repeat(np.arange(len(n)), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                # The first piece holds what full ones leave.
+                start = np.where(piece > 0, n[doc] - (pieces[doc] - piece) * capacity, 0)
+                length = np.where(piece > 0, capacity, n[doc] - (pieces[doc] - 1) * capacity)
+                raw, begin = memoryview(ids).cast("B"), (4 * (at[:-1][doc] + start)).tolist()
+                parts = [raw[a : a + b] for a, b in zip(begin, (4 * length).tolist())]
+                columns = [batch.column("doc_id").take(pa.array(doc + row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(list(map(zlib.crc32, parts)), pa.int64())]
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                if keep_ids:
+                    columns.append(pa.array(list(map(bytes, parts)), pa.binary()))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids

@@ -1,14 +1,18 @@
 """Token-id files compressed by Re-Pair grammars, one grammar a shard.
 
 Documents are dealt out by ranges of their ids and encoded in order.  In each shard
-frequent pairs of symbols become nonterminals, round after round, never across the
-end of a document.  A shard row holds its rules, the length each nonterminal
-expands to, the remaining symbols and where each document's begin, so one document is
-decoded without the others.  Shards are rows of a Parquet table: tasks that are
-run again leave one copy, and any store that Spark writes to will do.
-
-Defined results: null and empty texts are the end id alone; repeated rows are
-written each; a null id comes first.
+frequent pairs of symbols become nonterminals, round after round and never across the
+end of a document, until no pair can be replaced ``LEAST`` times more.  A shard row
+holds its rules, in the order in which they were made, the remaining symbols and where
+each document's begin, so one document is decoded without the others.  The lengths that
+rules expand to follow from the rules, round by round.  Shards are rows of a Parquet
+table: tasks that are run again leave one copy, and any store that Spark writes to will do.
+
+Defined results: null and empty texts are the end id alone; repeated rows are written
+each; rows that share an id come in the order of a text hash (equal texts are equal
+rows); null ids come first; an empty table gives no shard and no row; texts of any length
+are one document of one shard; columns other than doc_id and text are left alone,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,82 +25,146 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterway.llm import shared as S
-from rasterway.llm.tokens import Encoder
+from rasterway.llm.tokens import encoder
 
 #: Tokens of a shard (the last document may exceed it).
 SHARD_TOKENS = 1 << 20
-#: Rounds, new rules in each, and how often a pair must occur.
-ROUNDS, RULES, LEAST = 8, 1500, 24
-_SLOTS = 1 << 18
+#: How often a pair must be replaced to be worth its rule.
+LEAST = 24
+_SLOT_BITS = 18
+_U = np.uint64
 
 
-def _frequent(code: np.ndarray) -> np.ndarray:
-    """The most frequent pair codes, at most RULES."""
+def _counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pair codes that occur LEAST times or more, and how often."""
     s = np.sort(code)
-    head = np.flatnonzero(np.append(True, s[1:] != s[:-1])) if len(s) else np.zeros(0, np.int64)
-    count = np.diff(np.append(head, len(s)))
+    head = np.flatnonzero(s[1:] != s[:-1]) + 1
+    count = np.diff(head, prepend=0, append=len(s))
     at = np.flatnonzero(count >= LEAST)
-    at = at[np.argsort(-count[at], kind="stable")[:RULES]]
-    return s[head[at]]
-
-
-def _slot(code: np.ndarray) -> np.ndarray:
-    return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int64)
-
-
-def compress(ids: np.ndarray, last: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, where documents end, rules) of ``ids``; ``last`` marks final tokens."""
-    symbols, last, rules = ids.astype(np.uint32), last.copy(), []
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
-        small = first_rule + len(rules) < 1 << 16
-        code = symbols[:-1] * np.uint32(1 << 16) + symbols[1:] if small else symbols[:-1].astype(np.uint64) << np.uint64(32) | symbols[1:]
-        inside = ~last[:-1]
-        chosen = _frequent(code[inside])
-        # Of pairs that meet in a slot of the lookup table the most frequent stays.
-        _, one = np.unique(_slot(chosen), return_index=True)
-        chosen = chosen[np.sort(one)]
-        if not len(chosen):
+    return s[np.append(0, head)[at]], count[at]
+
+
+def _winners(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which pairs at the places ``at`` are replaced: of overlapping ones those of higher rank.
+
+    Runs of one pair (such as a a a a) take every other place from the left.
+    """
+    near = at[1:] == at[:-1] + 1
+    win = np.ones(len(at), bool)
+    win[1:] &= ~near | (rank[1:] >= rank[:-1])
+    win[:-1] &= ~near | (rank[:-1] >= rank[1:])
+    same = np.flatnonzero(near & (rank[1:] == rank[:-1])) + 1
+    if len(same):
+        again = np.zeros(len(at), bool)
+        again[same] = True
+        k = np.arange(len(at))
+        head = np.maximum.accumulate(np.where(again, 0, k))
+        win &= (k - head) % 2 == 0
+    return win
+
+
+def _slot(code: np.ndarray, turn: int) -> np.ndarray:
+    """Multiplicative hashes of codes, others each turn."""
+    bits = 8 * code.itemsize
+    factor = (0x9E3779B97F4A7C15 >> (64 - bits)) + 2 * turn | 1
+    return (code * code.dtype.type(factor) >> code.dtype.type(bits - _SLOT_BITS)).astype(np.intp)
+
+
+def _found(code: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the ``chosen`` codes in ``code``, which of them each is), in order of place."""
+    tables, left = [], np.arange(len(chosen), dtype=np.int32)
+    while len(left):  # codes that share a slot are looked up in turn
+        _, one = np.unique(_slot(chosen[left], len(tables)), return_index=True)
+        slots = _slot(chosen[left[one]], len(tables))
+        key, name = np.zeros(1 << _SLOT_BITS, code.dtype), np.full(1 << _SLOT_BITS, -1, np.int32)
+        key[slots], name[slots] = chosen[left[one]], left[one]
+        tables.append((key, name))
+        left = np.delete(left, one)
+    places, names = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for a in range(0, len(code), 1 << 15):
+        some = code[a : a + (1 << 15)]
+        pair = np.full(len(some), -1, np.int32)
+        for turn, (key, name) in enumerate(tables):
+            where = _slot(some, turn)
+            at = np.flatnonzero(key.take(where) == some)
+            pair[at] = np.maximum(pair[at], name.take(where[at]))
+        at = np.flatnonzero(pair >= 0)
+        places.append(at + a), names.append(pair[at])
+    return np.concatenate(places), np.concatenate(names)
+
+
+def compress(ids: np.ndarray, last: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, where documents end, rules, rules after each round) of ``ids``; ``last`` marks final tokens.
+
+    Rounds go on until no pair can be replaced LEAST times.  Symbols of a vocabulary
+    that fits 16 bits stay within 16 bits: then rules end with these numbers, too.
+    A pair's places all arise in one round, so later rounds look only at places next
+    to new symbols and at frequent pairs that lost to an overlapping one.
+    """
+    symbols, last = ids.astype(np.uint32), last.copy()
+    shift = _U(16 if first_rule < 1 << 16 else 32)
+    room = (1 << int(shift) if first_rule < 1 << 16 else 1 << 31) - first_rule
+    rules, rounds, made = [np.zeros((0, 2), np.uint32)], [], 0
+    active = np.flatnonzero(~last)
+    while room > made and len(active):
+        left, right = symbols[active], symbols[active + 1]
+        code = left << np.uint32(16) | right if shift == 16 else left.astype(_U) << shift | right
+        chosen, count = _counted(code)
+        order = np.argsort(-count, kind="stable")[: room - made]
+        chosen = chosen[order]
+        at, pair = _found(code, chosen)
+        at = active[at]
+        win = _winners(at, -pair)
+        good = np.bincount(pair[win], minlength=len(chosen)) >= LEAST
+        if not good.any():
             break
-        key, name = np.zeros(_SLOTS, code.dtype), np.zeros(_SLOTS, np.uint32)
-        key[_slot(chosen)] = chosen
-        name[_slot(chosen)] = first_rule + len(rules) + np.arange(len(chosen), dtype=np.uint32) + 1
-        where = _slot(code)
-        at = np.flatnonzero((key[where] == code) & (name[where] > 0) & inside)
-        # Overlapping pairs: every other one of consecutive places, from the left.
-        new = np.append(True, np.diff(at) != 1) if len(at) else np.zeros(0, bool)
-        head = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0)) if len(at) else new
-        at = at[(np.arange(len(at)) - head) % 2 == 0]
-        shift = np.uint64(16 if small else 32)
-        left = chosen.astype(np.uint64) >> shift
-        rules.extend(zip(left.tolist(), (chosen.astype(np.uint64) - (left << shift)).tolist()))
-        symbols[at] = name[where[at]] - 1
-        last[at] |= last[at + 1]
+        win &= good[pair]
+        number = np.cumsum(good) - 1
+        both = chosen[good].astype(_U)
+        rules.append(np.stack([both >> shift, both & ((_U(1) << shift) - _U(1))], 1).astype(np.uint32))
+        new = at[win]
+        symbols[new] = (first_rule + made + number[pair[win]]).astype(np.uint32)
+        last[new] |= last[new + 1]
         keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
+        keep[new + 1] = False
+        to = np.cumsum(keep, dtype=np.int32) - 1
+        lost = at[~win]
         symbols, last = symbols[keep], last[keep]
-    return symbols, np.flatnonzero(last) + 1, np.array(rules, np.uint32).reshape(-1, 2)
-
-
-def _lengths(rules: np.ndarray, first_rule: int) -> np.ndarray:
-    out = np.ones(len(rules), np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        out[k] = sum(out[x - first_rule] if x >= first_rule else 1 for x in (a, b))
-    return out
-
-
-def expansions(rules: np.ndarray, lengths: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray]:
-    """(all rules' expansions one after another, where each begins)."""
-    begin = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    flat = np.zeros(begin[-1], np.uint32)
-    for k, (a, b) in enumerate(rules.tolist()):
-        at = begin[k]
-        for x in (a, b):
-            n = lengths[x - first_rule] if x >= first_rule else 1
-            flat[at : at + n] = flat[begin[x - first_rule] : begin[x - first_rule] + n] if x >= first_rule else x
-            at += n
-    return flat, begin
+        look = np.zeros(len(symbols) + 1, bool)
+        look[to[lost[keep[lost]]]] = look[to[new]] = look[to[new] - 1] = True  # the spare place takes -1
+        look = look[:-1]
+        look[last] = False
+        active = np.flatnonzero(look)
+        made += len(rules[-1])
+        rounds.append(made)
+    return symbols, np.flatnonzero(last) + 1, np.concatenate(rules), np.array(rounds, np.uint32)
+
+
+def expansions(rules: np.ndarray, rounds: np.ndarray, first_rule: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(all rules' expansions one after another, where each begins, their lengths)."""
+    length, begin, flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    for a, b in zip([0, *rounds.tolist()], rounds.tolist()):
+        symbols = rules[a:b].ravel().astype(np.int64)
+        ids, size = _expanded(symbols, first_rule, flat, begin, length)
+        begin = np.concatenate([begin, len(flat) + np.cumsum(size)[1::2] - size.reshape(-1, 2).sum(1)])
+        length = np.concatenate([length, size.reshape(-1, 2).sum(1)])
+        flat = np.concatenate([flat, ids])
+    return flat, begin, length
+
+
+def _expanded(symbols: np.ndarray, first_rule: int, flat: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, how many stand for each symbol)."""
+    rule = np.flatnonzero(symbols >= first_rule)
+    k = symbols[rule] - first_rule
+    size = np.ones(len(symbols), np.int64)
+    size[rule] = length[k]
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint32)
+    plain = symbols < first_rule
+    out[at[plain]] = symbols[plain]
+    inner = np.repeat(at[rule] - (np.cumsum(size[rule]) - size[rule]), size[rule]) + np.arange(size[rule].sum())
+    out[inner] = flat[np.repeat(begin[k] - at[rule], size[rule]) + inner]
+    return out, size
 
 
 class Shard:
@@ -106,29 +174,20 @@ class Shard:
         wide = np.uint16 if row["width"] == 2 else np.uint32
         self.first_rule = row["first_rule"]
         self.rules = np.frombuffer(row["rules"], np.uint32).reshape(-1, 2)
-        self.lengths = np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
         self.symbols = np.frombuffer(row["symbols"], wide)
         self.ends = np.frombuffer(row["ends"], np.uint32).astype(np.int64)
-        self.flat, self.begin = expansions(self.rules, self.lengths, self.first_rule)
-
-    def decode(self, a: int, b: int) -> np.ndarray:
-        """The ids of the symbols a:b."""
-        s = self.symbols[a:b].astype(np.int64)
-        rule = s >= self.first_rule
-        k = np.where(rule, s - self.first_rule, 0)
-        n = np.where(rule, self.lengths[k] if len(self.lengths) else 1, 1)
-        at = np.cumsum(n) - n
-        source = np.repeat(np.where(rule, self.begin[k], 0) - at, n) + np.arange(n.sum())
-        out = self.flat[source] if len(self.flat) else np.zeros(len(source), np.uint32)
-        out[at[~rule]] = s[~rule]
-        return out
+        self.flat, self.begin, self.lengths = expansions(self.rules, np.frombuffer(row["rounds"], np.uint32), self.first_rule)
+
+    def decode(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the symbols a:b, and how many stand for each."""
+        return _expanded(self.symbols[a:b].astype(np.int64), self.first_rule, self.flat, self.begin, self.lengths)
 
     def document(self, k: int) -> np.ndarray:
         """The ids of the shard's k-th document alone."""
-        return self.decode(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
+        return self.decode(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))[0]
 
 
-_SHARD = "first_id long, part int, shard int, n_tokens long, width int, first_rule int, doc_ids binary, no_ids binary, rules binary, lengths binary, symbols binary, ends binary"
+_SHARD = "first_id long, part int, shard int, n_tokens long, width int, first_rule int, doc_ids binary, no_ids binary, rules binary, rounds binary, symbols binary, ends binary"
 
 
 def write(docs: DataFrame, path: str, end_id: int = 0, tokenizer: str | None = None) -> None:
@@ -137,38 +196,40 @@ def write(docs: DataFrame, path: str, end_id: int = 0, tokenizer: str | None = N
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part = Encoder(tokenizer), TaskContext.get().partitionId()
-        end, first_rule = np.array([end_id], "<u4"), encoder.tokenizer.get_vocab_size()
-        names = [x.split()[0] for x in _SHARD.split(", ")]
-        held: list[tuple] = []
-        size = number = 0
+        own, part = encoder(tokenizer), TaskContext.get().partitionId()
+        first_rule = own.tokenizer.get_vocab_size()
+        #: Ids, numbers of tokens, doc_ids and whether they are null, of the next shard's documents.
+        held: list[tuple[np.ndarray, ...]] = []
+        number = size = 0
 
         def flush():
-            ids = np.concatenate([x for _, x in held])
+            ids, count, doc, none = (np.concatenate(x) for x in zip(*held))
             last = np.zeros(len(ids), bool)
-            last[np.cumsum([len(x) for _, x in held]) - 1] = True
-            symbols, ends, rules = compress(ids, last, first_rule)
+            last[np.cumsum(count) - 1] = True
+            symbols, ends, rules, rounds = compress(ids, last, first_rule)
             wide = np.uint16 if first_rule + len(rules) <= 1 << 16 else np.uint32
-            doc = np.array([k or 0 for k, _ in held], np.int64)
-            none = np.array([k is None for k, _ in held], np.uint8)
-            row = [held[0][0], part, number, len(ids), np.dtype(wide).itemsize, first_rule, doc.tobytes(), none.tobytes(), rules.tobytes()]
-            row += [_lengths(rules, first_rule).astype(np.uint32).tobytes(), symbols.astype(wide).tobytes(), ends.astype(np.uint32).tobytes()]
+            row = [None if none[0] else int(doc[0]), part, number, len(ids), np.dtype(wide).itemsize, first_rule, doc.tobytes(), none.tobytes(), rules.tobytes(), rounds.tobytes(), symbols.astype(wide).tobytes(), ends.astype(np.uint32).tobytes()]
             kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-            return pa.RecordBatch.from_arrays([pa.array([v], kinds[x.split()[1]]) for v, x in zip(row, _SHARD.split(", "))], names)
+            fields = [x.split() for x in _SHARD.split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array([v], kinds[kind]) for v, (_, kind) in zip(row, fields)], [name for name, _ in fields])
 
         for batch in batches:
-            keys = batch.column("doc_id").to_pylist()
-            for k, ids in encoder.encode_column(batch.column("text")):
-                held.append((keys[k], np.concatenate([ids, end])))
-                size += len(held[-1][1])
-                if size >= SHARD_TOKENS:
-                    yield flush()
-                    held, size, number = [], 0, number + 1
+            keys, none = S.longs(batch.column("doc_id")), batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            for row, ids, at in own.encode_ended(batch.column("text"), end_id):
+                i, n = 0, len(at) - 1
+                while i < n:
+                    j = min(n, int(np.searchsorted(at, at[i] + SHARD_TOKENS - size)))
+                    held.append((ids[at[i] : at[j]], np.diff(at[i : j + 1]), keys[row + i : row + j], none[row + i : row + j]))
+                    size += int(at[j] - at[i])
+                    i = j
+                    if size >= SHARD_TOKENS:
+                        yield flush()
+                        held, size, number = [], 0, number + 1
         if held:
             yield flush()
 
     n = S.groups_for(docs)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"))
     ordered.mapInArrow(run, _SHARD).write.parquet(path)
 
 
@@ -187,11 +248,8 @@ def read(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(row)
-                ids = shard.decode(0, len(shard.symbols))
-                doc, none = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["no_ids"], np.uint8).astype(bool)
-                rule = shard.symbols >= shard.first_rule
-                size = np.ones(len(shard.symbols), np.int64)
-                size[rule] = shard.lengths[shard.symbols[rule].astype(np.int64) - shard.first_rule]
+                ids, size = shard.decode(0, len(shard.symbols))
+                doc, none = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["no_ids"], bool)
                 ends = np.cumsum(size)[shard.ends - 1]
                 starts = np.append(0, ends[:-1])
                 parts = [ids[a:b].tobytes() for a, b in zip(starts, ends)]

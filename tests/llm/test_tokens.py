@@ -1,8 +1,9 @@
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,7 +13,6 @@ from rasterway.llm import packing, shared, token_files
 from rasterway.llm.tokens import Encoder, default_path
 
 PLAIN = Tokenizer.from_file(default_path())
-PLAIN.encode_special_tokens = True
 ENCODER = Encoder()
 TEXTS = ["", " ", "a", "it's  two\n\n spaces ", "x y z\t w", "née ß\r\n<|endoftext|> end", "word " * 3000, None, "a\nb c\nd", "\x1c a \x85b c"]
 
@@ -21,17 +21,23 @@ def ids(text):
     return PLAIN.encode(text or "", add_special_tokens=False).ids
 
 
+def encoded(encoder, texts):
+    """Ids of each text, by chunks of a column."""
+    return [x[a:b].tolist() for _, x, at in encoder.encode_column(pa.array(texts)) for a, b in zip(at, at[1:])]
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from([" ", "\n", "a", "'s", "B1", "é", " ", "\t", "..", "　", "\x1c", "  ", "don't", "🙂"])).map("".join))
+@given(st.lists(st.sampled_from([" ", "\n", "a", "'s", "B1", "é", " ", "\t", "..", "　", "\x1c", "  ", "don't", "🙂", "<|endoftext|>", "\x85", "\u2009", "Ünï", "q" * 40])).map("".join))
 def test_pieces_equal_whole_text(text):
-    assert np.frombuffer(ENCODER.encode([text])[0], "<u4").tolist() == ids(text)
+    assert encoded(ENCODER, [text]) == [ids(text)]
 
 
 def test_cache_starts_anew(monkeypatch):
-    monkeypatch.setattr("rasterway.llm.tokens.CACHE", 3)
+    monkeypatch.setattr("rasterway.llm.tokens.SLOTS", 4)
+    monkeypatch.setattr("rasterway.llm.tokens.ARENA", 8)
     e = Encoder()
-    for text in ("one two three four", "five six seven", "one two"):
-        assert np.frombuffer(e.encode([text])[0], "<u4").tolist() == ids(text)
+    for text in ("one two three four", "five six seven one one", "one two", "x" * 40 + " " + "y" * 40, "y" * 40):
+        assert encoded(e, [text, text]) == [ids(text)] * 2
 
 
 @settings(max_examples=100, deadline=None)
@@ -117,7 +123,7 @@ def test_token_files(spark, monkeypatch, tokens):
     shards = spark.read.parquet(path).collect()
     shard = token_files.Shard(shards[0].asDict())
     documents = [shard.document(k).tolist() for k in range(len(shard.ends))]
-    assert sum(documents, []) == shard.decode(0, len(shard.symbols)).tolist()
+    assert sum(documents, []) == shard.decode(0, len(shard.symbols))[0].tolist()
 
 
 def test_grammar_round_trip_and_gain():
@@ -127,12 +133,33 @@ def test_grammar_round_trip_and_gain():
     last = np.zeros(len(seq), bool)
     last[rng.integers(0, len(seq), 300)] = True
     last[-1] = True
-    for first_rule in (40, 70000):
-        symbols, ends, rules = token_files.compress(seq, last, first_rule)
-        assert len(symbols) < len(seq) / 2
-        lengths = token_files._lengths(rules, first_rule)
-        row = dict(width=4, first_rule=first_rule, rules=rules.tobytes(), lengths=lengths.astype(np.uint32).tobytes(), symbols=symbols.astype(np.uint32).tobytes(), ends=ends.astype(np.uint32).tobytes())
+    for first_rule in (40, 65530, 70000):  # the second leaves room for six rules
+        symbols, ends, rules, rounds = token_files.compress(seq, last, first_rule)
+        assert len(rules) == 6 or len(symbols) < len(seq) / 2
+        row = dict(width=4, first_rule=first_rule, rules=rules.tobytes(), rounds=rounds.tobytes(), symbols=symbols.astype(np.uint32).tobytes(), ends=ends.astype(np.uint32).tobytes())
         shard = token_files.Shard(row)
-        assert (shard.decode(0, len(symbols)) == seq).all()
+        assert (shard.decode(0, len(symbols))[0] == seq).all()
+        assert all(n == len(shard.flat[b : b + n]) for b, n in zip(shard.begin, shard.lengths))
         stops = np.flatnonzero(last) + 1
         assert (shard.document(7) == seq[stops[6] : stops[7]]).all()
+        if len(rules) != 6:  # no pair is left that occurs often apart from itself
+            pairs = Counter((int(a), int(b)) for k, (a, b) in enumerate(zip(symbols, symbols[1:]), 1) if k not in set(ends.tolist()) and a != b)
+            assert max(pairs.values(), default=0) < 2 * token_files.LEAST
+
+
+def test_winners_take_turns():
+    at, rank = np.array([0, 1, 2, 3, 7, 8, 9]), np.array([5, 5, 5, 5, 1, 9, 1])
+    assert token_files._winners(at, rank).tolist() == [True, False, True, False, False, True, False]
+
+
+def test_no_documents(spark):
+    path = shared.shared_dir(spark)
+    token_files.write(frame(spark).limit(0), path)
+    assert token_files.read(spark, path).collect() == []
+
+
+def test_other_columns_do_not_matter(spark):
+    wide = frame(spark).selectExpr("*", "'x' AS n_tokens", "1 AS start", "2 AS length", "3 AS ids", "4 AS _rank", "5 AS first_id", "6 AS piece")
+    path = shared.shared_dir(spark)
+    token_files.write(wide, path)
+    assert token_files.read(spark, path).count() == packing.pack_documents(wide).where("piece = 0").count() == len(TEXTS) + 2
