@@ -10,9 +10,11 @@ Jaccard similarity, the sum of smaller weights over the sum of larger ones.
 Neighbouring documents are compared within sorted partitions; only the last
 document of each partition meets the first of the next in a join of one row a partition.
 
-Defined results: texts without words have the fingerprint of no words, which is like
-itself and unlike all others; rows that share an id come in the order of a text hash,
-null ids first; a single document is its own next.
+Defined results: null and empty texts and others without words have the fingerprint of no
+words, which is like itself and unlike all others; rows that share an id come in the order
+of a text hash (equal ones are equal rows), null ids first; a single document is its own
+next; an empty table gives no row; texts of any length are read whole; other columns are
+left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,49 +30,69 @@ from rasterway.llm import shared as S
 from rasterway.llm import words as W
 
 SAMPLES = 96
-#: Text bytes whose words draw their numbers at once.
-CHUNK = 1 << 20
-#: Words that draw at once.
-ROWS = 8192
+#: Text characters whose words draw their numbers at once.
+CHUNK = 4 << 20
+#: Words that draw at once: their numbers stay in the processor's cache.
+ROWS = 256
+#: Values that are held at once, in words.
+HELD = 1 << 16
 _U = np.uint64
 _NONE = np.zeros(SAMPLES, np.uint16)
-_SEEDS = W.mix(np.arange(1, 5 * SAMPLES + 1, dtype=_U)).reshape(5, 1, SAMPLES)
-
-
-def _draws(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c and b of every word and sample."""
-    u = [((W.mix(words[:, None] + s) >> _U(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24) for s in _SEEDS]
-    r = -np.log(u[0] * u[1])
-    return r, np.log(-np.log(u[2] * u[3])), u[4]
+_SEEDS = W.mix(np.arange(1, 3 * SAMPLES + 1, dtype=_U)).reshape(3, 1, SAMPLES)
+_HALF = _U(0xFFFFFFFF)
+
+
+def _unit(bits: np.ndarray) -> np.ndarray:
+    """32 random bits to the open unit interval."""
+    return ((bits >> _U(8)).astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-24)
+
+
+def _values(words: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Every sample's value of words and their logarithmic weights, with the sample it would be.
+
+    The value, as an integer in the same order, fills the upper 32 bits, the sample's
+    16 bits the lower ones, so that the smallest number carries its sample along.
+    """
+    out = np.empty((len(words), SAMPLES), _U)
+    for i in range(0, len(words), ROWS):
+        own, weight = words[i : i + ROWS, None], weights[i : i + ROWS, None]
+        x, y, z = (W.mix(own + s) for s in _SEEDS)
+        r = -np.log(_unit(x >> _U(32)) * _unit(x & _HALF))
+        c = np.log(-np.log(_unit(y >> _U(32)) * _unit(y & _HALF)))
+        b = _unit(z >> _U(32))
+        t = np.floor(weight / r + b)
+        bits = (c - r * (t - b + 1)).view(np.int32)
+        ordered = np.where(bits < 0, ~bits, bits | np.int32(-(2**31))).view(np.uint32)
+        sample = W.mix(own ^ (t.astype(np.int64).astype(_U) * _U(0x9E3779B97F4A7C15) + _SEEDS[0])) >> _U(48) | _U(1)
+        out[i : i + ROWS] = ordered.astype(_U) << _U(32) | sample
+    return out
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """(documents, SAMPLES) 16-bit samples of UTF-8 texts."""
     starts, ends, first = W.split(data, offsets, W.SPACED)
     words = W.hashes(data, starts, ends, W.SPACED)
-    out = np.tile(_NONE, (len(offsets) - 1, 1))
-    known, row = np.unique(words, return_inverse=True)
-    own = []
-    for k in range(len(offsets) - 1):
-        at, n = np.unique(row[first[k] : first[k + 1]], return_counts=True)
-        own.append((at, np.log(n).astype(np.float32)))
-    best = np.full(out.shape, np.inf, np.float32)
-    for a in range(0, len(known), ROWS):  # so many words' draws at a time
-        r, c, b = _draws(known[a : a + ROWS])
-        for k, (at, weight) in enumerate(own):
-            lo, hi = np.searchsorted(at, (a, a + ROWS))
-            if lo == hi:
-                continue
-            i = at[lo:hi] - a
-            t = np.floor(weight[lo:hi, None] / r[i] + b[i])
-            value = c[i] - r[i] * (t - b[i] + 1)
-            j = value.argmin(0)
-            s = np.arange(SAMPLES)
-            better = value[j, s] < best[k]
-            best[k][better] = value[j, s][better]
-            sample = W.mix(known[at[lo:hi][j]] ^ (t[j, s].astype(np.int64).astype(_U) * _U(0x9E3779B97F4A7C15) + _SEEDS[0, 0]))
-            out[k][better] = (sample[better] >> _U(48)).astype(np.uint16) | np.uint16(1)
-    return out
+    n = len(offsets) - 1
+    best = np.full((n, SAMPLES), 2**64 - 1, _U)
+    if not len(words):
+        return np.tile(_NONE, (n, 1))
+    known, word = np.unique(words, return_inverse=True)
+    # Distinct words of each document with their numbers; then distinct pairs of word and number.
+    doc = np.repeat(np.arange(n), np.diff(first))
+    cell, count = np.unique(doc * len(known) + word, return_counts=True)
+    doc, word = cell // len(known), cell % len(known)
+    most = int(count.max()) + 1
+    pair, at = np.unique(word * most + count, return_inverse=True)
+    for a in range(0, len(pair), HELD):
+        some = pair[a : a + HELD]
+        values = _values(known[some // most], np.log(some % most).astype(np.float32))
+        inside = np.flatnonzero((at >= a) & (at < a + HELD)) if len(pair) > HELD else np.arange(len(at))
+        row, d = at[inside] - a, doc[inside]
+        cuts = np.append(np.flatnonzero(np.diff(d, prepend=-1)), len(d)).tolist()
+        for x, y in zip(cuts, cuts[1:]):
+            own = best[d[x]]
+            np.minimum(own, values.take(row[x:y], 0).min(0), out=own)
+    return np.where(best == 2**64 - 1, 0, best & _U(0xFFFF)).astype(np.uint16)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:

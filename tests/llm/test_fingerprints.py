@@ -27,11 +27,30 @@ def test_collisions_follow_generalised_jaccard():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.07
 
 
+def test_samples_are_those_of_the_definition():
+    text = "a b b c c c d " * 3 + "e"
+    counts = Counter(text.split())
+    hashes = {w: op.W.hashes(*[np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w.encode())]), op.W.SPACED])[0] for w in counts}
+    values = {w: op._values(np.array([hashes[w]]), np.array([np.log(n)], np.float32))[0] for w, n in counts.items()}
+    want = np.min(list(values.values()), axis=0)
+    assert (prints([text])[0] == (want & np.uint64(0xFFFF)).astype(np.uint16)).all()
+    # Greater weights win: a word's share of samples follows its weight.
+    wins = np.array([np.argmin([values[w][s] for w in counts]) for s in range(op.SAMPLES)])
+    assert (wins == list(counts).index("c")).mean() > (wins == list(counts).index("e")).mean()
+
+
+def test_long_text_and_clashing_columns(spark):
+    rows = [(1, "x y " * 300000 + "end", "a", 1), (2, None, "b", 2)]
+    out = op.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, part int")).collect()
+    assert {r.doc_id: r.n_chars for r in out} == {1: 1200003, 2: 0}
+
+
 def test_batches_do_not_matter(monkeypatch):
     texts = [" ".join(f"w{i * k}" for i in range(50)) for k in range(1, 8)] + ["", " \n", "one"]
     whole = prints(texts)
     assert all((prints([t])[0] == whole[k]).all() for k, t in enumerate(texts))
     monkeypatch.setattr(op, "ROWS", 7)
+    monkeypatch.setattr(op, "HELD", 11)
     assert (prints(texts) == whole).all()
     assert (whole[7] == whole[8]).all() and (whole[7] != whole[9]).all()
 
