@@ -2,20 +2,28 @@
 
 1. Examples are at most ``EXAMPLES`` training rows of each class, the smallest by a
    hash of their ids, each standing for its class's share of all training rows.
-2. Terms are folded words and their first bytes (``STEMS``).  All terms that any example
-   holds are the vector space; terms that no example holds meet none of them.
-3. One pass over all documents counts these terms in every whole text; document
-   frequencies come from all of them.
+2. Terms are folded words, whole, by a 64-bit hash.  The vector space are all terms that
+   stand in ``LEAST`` examples or more and go with a class: their chi-squared statistic, as
+   if the examples had the classes' shares of all training rows, is ``ASSOCIATED`` or more.
+   So a term that only one class holds needs the same number of examples at any size and
+   balance of the sample.  Words of the subject outweigh all others in cosines over every
+   word, and neighbours then say little about toxicity (README gives figures).
+3. One pass over all documents counts in how many whole texts each of these terms stands.
 4. The examples' vectors form an inverted index in blocks, with the largest weight of
-   each term in each block.  A document takes the blocks in the order of their bounds
-   and stops when no bound exceeds its ``NEIGHBOURS``-th best cosine, so the neighbours are
-   those of a full scan.  Equal examples are one entry that votes for all of them.
+   each term in each block.  Examples whose commonest word is the same stand together, so
+   that blocks hold texts of one language.  A document takes the blocks in the order of
+   their bounds and stops when no bound exceeds its ``NEIGHBOURS``-th best cosine, so the
+   neighbours are those of a full scan, with all that equal the last.  Equal examples are
+   one entry that votes for all of them.
 5. Votes weigh by closeness; isotonic regression over the examples, each without
    its own vote, turns them into probabilities.
 
 Index and term list are bounded by the examples and broadcast.  Defined results:
 null and empty texts and texts without any of the terms get the calibrated share of
-such examples; without labels every score is 0; repeated rows are scored each.
+such examples; without labels every score is 0; rows with a null id or label teach
+nothing; repeated rows are scored each, and repeated labels count each; texts of any
+length are read whole; an empty table gives no row; other columns are left out, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -33,51 +41,73 @@ from rasterway.llm import shared as S
 from rasterway.llm import words as W
 
 EXAMPLES, NEIGHBOURS, BLOCK = 10_000, 25, 1024
-#: Bytes of the stems that count as terms beside the words.
-STEMS = (4, 6)
+#: What a term needs: chi-squared, and examples that hold it.
+ASSOCIATED, LEAST = 25.0, 4
 #: Distance added to that of a neighbour before its vote is divided by it.
 NEAR = 0.05
+#: Documents' neighbours that a worker keeps for copies.
+CACHE = 20_000
 _U = np.uint64
 
 
 def _terms(data: np.ndarray, offsets: np.ndarray):
     """(term hashes, document of each) with repetitions."""
     starts, ends, first = W.split(data, offsets, W.FOLDED)
-    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
-    whole = W.hashes(data, starts, ends, W.FOLDED)
-    stems = [W.mix(W.hashes(data, starts, np.minimum(ends, starts + n), W.FOLDED) + _U(n)) for n in STEMS]
-    return np.concatenate([whole, *stems]).view(np.int64), np.concatenate([doc] * (1 + len(STEMS)))
+    return W.hashes(data, starts, ends, W.FOLDED).view(np.int64), np.repeat(np.arange(len(offsets) - 1), np.diff(first))
 
 
-def _counted(term: np.ndarray, doc: np.ndarray):
-    """Distinct (doc, term) with their numbers, by document."""
-    order = np.lexsort([term, doc])
-    t, d = term[order], doc[order]
-    head = np.flatnonzero(np.append(True, (t[1:] != t[:-1]) | (d[1:] != d[:-1]))) if len(t) else np.zeros(0, int)
-    return t[head], d[head], np.diff(np.append(head, len(t)))
-
-
-def _distinct_terms(batches):
+def _holders(batches):
+    """How many examples of each class hold each term."""
     for batch in batches:
         data, offsets = S.utf8(batch.column("text"))
+        label = batch.column("label").to_numpy()
         for i, j in S.chunks(offsets):
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[0]))], ["term"])
+            term, doc = _terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            known, at = np.unique(term, return_inverse=True)
+            cell = np.unique(doc * max(len(known), 1) + at)
+            doc, at = np.divmod(cell, max(len(known), 1))
+            n = np.bincount(at * 2 + label[i:j][doc], minlength=2 * len(known)).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(n[:, 0]), pa.array(n[:, 1])], ["term", "n0", "n1"])
+
+
+def _associated(texts: DataFrame, chosen: dict[int, int], totals: dict[int, int]) -> np.ndarray:
+    """The terms of the examples ``texts`` (label, text) that go with a class, in ascending order."""
+    if len(chosen) < 2:
+        return np.zeros(0, np.int64)
+    share = totals[1] / (totals[0] + totals[1])
+    p0, p1 = F.col("n0") / chosen[0], F.col("n1") / chosen[1]
+    p = p0 * (1 - share) + p1 * share
+    counts = texts.select("label", "text").mapInArrow(_holders, "term long, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    # A term in all examples goes with neither class.
+    kept = counts.where((F.col("n0") + F.col("n1") >= LEAST) & ((p0 - p1) ** 2 * chosen[1] * (1 - share) >= ASSOCIATED * p * (1 - p)) & (p < 1))
+    return np.sort(kept.select("term").toArrow()["term"].to_numpy())
+
+
+def _cells_of(known: np.ndarray, column):
+    """(first row, end, columns, counts, where each row's begin) of chunks of a text column.
+
+    A row's columns of the ``known`` terms ascend.
+    """
+    data, offsets = S.utf8(column)
+    for i, j in S.chunks(offsets):
+        term, doc = _terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        one, back = np.unique(term, return_inverse=True)
+        at = np.minimum(np.searchsorted(known, one), max(len(known) - 1, 0))
+        at = np.where(known[at] == one, at, -1) if len(known) else np.full(len(one), -1)
+        c = at[back]
+        hit = c >= 0
+        cell, n = np.unique(doc[hit] * max(len(known), 1) + c[hit], return_counts=True)
+        doc, c = np.divmod(cell, max(len(known), 1))
+        yield i, j, c, n, np.searchsorted(doc, np.arange(j - i + 1))
 
 
 def _vectors(terms):
     """Documents to the columns and counts of the terms they hold."""
 
     def run(batches):
-        known = terms.value
         for batch in batches:
-            data, offsets = S.utf8(batch.column("text"))
             keep = [k for k, name in enumerate(batch.schema.names) if name != "text"]
-            for i, j in S.chunks(offsets):
-                term, doc = _terms(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                column = np.searchsorted(known, term)
-                hit = known[np.minimum(column, len(known) - 1)] == term if len(known) else np.zeros(len(term), bool)
-                c, d, n = _counted(column[hit], doc[hit])
-                cuts = np.searchsorted(d, np.arange(j - i + 1))
+            for i, j, c, n, cuts in _cells_of(terms.value, batch.column("text")):
                 cells = [np.stack([c[a:b], n[a:b]]).astype(np.int32).tobytes() for a, b in zip(cuts, cuts[1:])]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in keep), pa.array(cells, pa.binary())], [*(batch.schema.names[k] for k in keep), "v"])
 
@@ -88,27 +118,27 @@ def _cells(v: bytes) -> np.ndarray:
     return np.frombuffer(v, np.int32).reshape(2, -1)
 
 
-def _weighed(v: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Columns and unit-length weights of one vector."""
-    c, n = _cells(v)
+def _weighed(c: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Unit-length weights of one vector."""
     w = (1 + np.log(n)) * idf[c]
-    return c, w / np.linalg.norm(w) if len(w) else w
+    return w / np.sqrt(w @ w) if len(w) else w
 
 
 class Index:
     """Unit vectors in blocks, with the largest weight of each column in each block.
 
-    Entries are sorted by their heaviest column, so that blocks are alike inside.  A
-    block keeps its postings by column in flat arrays.
+    Entries are sorted by their commonest column and then the heaviest, so that blocks are
+    alike inside.  A block keeps its postings by column in flat arrays.
     """
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], columns: int):
-        heavy = [int(c[w.argmax()]) if len(c) else -1 for c, w in vectors]
-        self.order = np.argsort(heavy, kind="stable")
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray, np.ndarray]], columns: int):
+        common = [int(c[n.argmax()]) if len(c) else -1 for c, n, _ in vectors]
+        heavy = [int(c[w.argmax()]) if len(c) else -1 for c, _, w in vectors]
+        self.order = np.lexsort([heavy, common])
         blocks = -(-len(vectors) // BLOCK)
-        size = np.array([len(c) for c, _ in vectors], np.int64)[self.order]
+        size = np.array([len(c) for c, _, _ in vectors], np.int64)[self.order]
         column = np.concatenate([np.zeros(0, np.int64), *(vectors[k][0] for k in self.order)]).astype(np.int64)
-        weight = np.concatenate([np.zeros(0), *(vectors[k][1] for k in self.order)])
+        weight = np.concatenate([np.zeros(0), *(vectors[k][2] for k in self.order)])
         entry = np.repeat(np.arange(len(vectors)), size)
         self.bound = np.zeros((columns, blocks), np.float32)
         np.maximum.at(self.bound, (column, entry // BLOCK), np.nextafter(weight.astype(np.float32), np.float32(2)))
@@ -118,7 +148,7 @@ class Index:
         for a, b in zip(cuts, cuts[1:]):
             by = np.argsort(column[a:b], kind="stable")
             begin = np.searchsorted(column[a:b][by], np.arange(columns + 1)).astype(np.int32)
-            self.posts.append((begin, (entry[a:b] % BLOCK)[by].astype(np.int32), weight[a:b][by]))
+            self.posts.append((begin, (entry[a:b] % BLOCK)[by].astype(np.int16), weight[a:b][by]))
 
     def nearest(self, c: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(entries, cosines) of the k largest cosines and all that equal the last."""
@@ -154,27 +184,28 @@ class Voters:
         self.idf = idf
         self.votes = np.array([[n, p] for _, n, p, _ in entries]).reshape(-1, 2)
         self.ids = [i for *_, i in entries]
-        self.index = Index([_weighed(v, idf) for v, *_ in entries], len(idf))
+        cells = [_cells(v) for v, *_ in entries]
+        self.index = Index([(c, n, _weighed(c, n, idf)) for c, n in cells], len(idf))
         self.empty = next((k for k, (v, *_) in enumerate(entries) if not v), None)
         self.cache: dict[bytes, tuple] = {}
 
-    def neighbours(self, v: bytes) -> tuple[np.ndarray, np.ndarray]:
-        key = hashlib.blake2b(v, digest_size=16).digest()
+    def neighbours(self, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = hashlib.blake2b(np.concatenate([c, n]).astype(np.int32).tobytes(), digest_size=16).digest()
         if key not in self.cache:
-            if len(self.cache) > 50_000:
+            if len(self.cache) >= CACHE:
                 self.cache.clear()
-            if v:
-                self.cache[key] = self.index.nearest(*_weighed(v, self.idf), NEIGHBOURS)
+            if len(c):
+                self.cache[key] = self.index.nearest(c, _weighed(c, n, self.idf), NEIGHBOURS)
             else:
                 self.cache[key] = (np.array([] if self.empty is None else [self.empty], int), np.ones(int(self.empty is not None)))
         return self.cache[key]
 
-    def share(self, v: bytes, own: np.ndarray | None = None) -> float:
+    def share(self, at: np.ndarray, cosine: np.ndarray, own: np.ndarray | None = None) -> float:
         """The positive share of distance-weighted votes; ``own`` is taken from an equal entry's."""
-        at, cosine = self.neighbours(v)
         votes = self.votes[at]
         if own is not None and len(at):
-            votes = np.maximum(votes - np.where((cosine >= 1 - 1e-9)[:, None] & (np.cumsum(cosine >= 1 - 1e-9) == 1)[:, None], own, 0), 0)
+            equal = cosine >= 1 - 1e-9
+            votes = np.maximum(votes - np.where((equal & (np.cumsum(equal) == 1))[:, None], own, 0), 0)
         weight = votes / (NEAR + 1 - np.minimum(cosine, 1))[:, None]
         total = weight.sum()
         return float(weight[:, 1].sum() / total) if total > 0 else float(self.votes[:, 1].sum() / max(self.votes.sum(), 1e-9))
@@ -209,23 +240,22 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if not chosen:
         return docs.select("doc_id", "held_out", F.lit(0.0).alias("score"), F.array().cast("array<long>").alias("evidence"))
     texts = docs.join(F.broadcast(examples), "doc_id")
-    table = texts.select("text").mapInArrow(_distinct_terms, "term long").distinct().toArrow()
-    terms = np.sort(table["term"].to_numpy())
+    terms = _associated(texts, chosen, totals)
     known_terms = spark.sparkContext.broadcast(terms)
-    # Larger than the texts: counted again where needed, written for the examples alone.
-    vectors = docs.mapInArrow(_vectors(known_terms), "doc_id long, held_out boolean, v binary")
 
     def columns(batches):
+        terms = known_terms.value
         total, rows = np.zeros(len(terms) + 1, np.int64), 0
         for batch in batches:
             rows += batch.num_rows
-            total[: len(terms)] += np.bincount(np.concatenate([np.zeros(0, np.int32), *(_cells(v)[0] for v in batch.column("v").to_pylist())]), minlength=len(terms))
+            for *_, c, _, _ in _cells_of(known_terms.value, batch.column("text")):
+                total[: len(terms)] += np.bincount(c, minlength=len(terms))
         total[-1] = rows
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(total[held])], ["c", "n"])
 
     df = np.zeros(len(terms) + 1)
-    found = vectors.select("v").mapInArrow(columns, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
+    found = docs.select("text").mapInArrow(columns, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).toArrow()
     df[found["c"].to_numpy()] = found["n"].to_numpy()
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     weight = {k: totals[k] / chosen[k] for k in chosen}
@@ -240,20 +270,22 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     name = uuid.uuid4().hex
 
     def raw(batches):
-        own = _voters(name, state)
+        voters = _voters(name, state)
         for batch in batches:
             label = batch.column("label").to_pylist()
-            out = [own.share(v, np.array([weight[0], 0]) if k == 0 else np.array([0, weight[1]])) for v, k in zip(batch.column("v").to_pylist(), label)]
+            out = [voters.share(*voters.neighbours(*_cells(v)), np.array([weight[0], 0]) if k == 0 else np.array([0, weight[1]])) for v, k in zip(batch.column("v").to_pylist(), label)]
             yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(label, pa.int32()), pa.array([weight[k] for k in label])], ["raw", "label", "weight"])
 
     steps = calibration.fit(labelled.select("label", "v").mapInArrow(raw, "raw double, label int, weight double"), 0.0, 1.0)
 
     def final(batches):
-        own = _voters(name, state)
+        voters = _voters(name, state)
         for batch in batches:
-            vs = batch.column("v").to_pylist()
-            share = np.array([own.share(v) for v in vs])
-            evidence = [[i for k in own.neighbours(v)[0][:5].tolist() for i in own.ids[k]][:5] for v in vs]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(calibration.apply(share, 0.0, 1.0, steps)), pa.array(evidence, pa.list_(pa.int64()))], ["doc_id", "held_out", "score", "evidence"])
-
-    return vectors.mapInArrow(final, "doc_id long, held_out boolean, score double, evidence array<long>")
+            for i, j, c, n, cuts in _cells_of(known_terms.value, batch.column("text")):
+                near = [voters.neighbours(c[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:])]
+                share = np.array([voters.share(*x) for x in near])
+                evidence = [[e for k in at[:5].tolist() for e in voters.ids[k]][:5] for at, _ in near]
+                columns = [batch.column("doc_id").slice(i, j - i), batch.column("held_out").slice(i, j - i), pa.array(calibration.apply(share, 0.0, 1.0, steps)), pa.array(evidence, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "evidence"])
+
+    return docs.mapInArrow(final, "doc_id long, held_out boolean, score double, evidence array<long>")

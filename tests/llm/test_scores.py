@@ -1,6 +1,9 @@
 """Quality and toxicity: the parts against plain versions, held-out accuracy, edge cases."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -70,12 +73,12 @@ def test_index_finds_what_a_full_scan_finds(monkeypatch, block):
     for _ in range(150):
         c = np.sort(rng.choice(40, rng.integers(0, 8), replace=False))
         w = rng.integers(1, 4, len(c)).astype(float)
-        vectors.append((c, w / np.linalg.norm(w) if len(c) else w))
+        vectors.append((c, rng.integers(1, 3, len(c)), w / np.linalg.norm(w) if len(c) else w))
     index = toxicity.Index(vectors, 40)
     dense = np.zeros((150, 40))
-    for k, (c, w) in enumerate(vectors):
+    for k, (c, _, w) in enumerate(vectors):
         dense[k, c] = w
-    for c, w in vectors[:60]:
+    for c, _, w in vectors[:60]:
         entries, cosines = index.nearest(c, w, 7)
         q = np.zeros(40)
         q[c] = w
@@ -98,10 +101,89 @@ def test_calibration_rises(spark):
     assert np.abs(got - np.linspace(0, 1, 21))[1:-1].max() < 0.15
 
 
-def test_terms_of_few_examples_find_their_neighbours(spark):
-    rare = [f"{chr(97 + i // 10)}{chr(97 + i % 10)}qx" for i in range(60)]
+@pytest.mark.parametrize("clean, most", [(160, 10_000), (640, 60)])
+def test_terms_of_few_examples_count_at_any_balance(spark, monkeypatch, clean, most):
+    monkeypatch.setattr(toxicity, "EXAMPLES", most)
     common = " ".join(NICE)
-    rows = [(i, False, f"{common} {w}", i % 2) for i, w in enumerate(rare)] + [(100 + i, True, f"{common} {w}", i % 2) for i, w in enumerate(rare)]
+    rows = [(i, False, f"{common} word{i % 9}", 0) for i in range(clean)]
+    # Four rude words in four examples each, held by no clean one.
+    rows += [(10_000 + i, False, f"{common} rude{i % 4}", 1) for i in range(16)]
+    rows += [(20_000 + i, True, f"{common} rude{i % 4}", 1) for i in range(8)] + [(30_000, True, common, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, held_out boolean, text string, label int")
-    got = toxicity.score(docs.select("doc_id", "held_out", "text"), docs.select("doc_id", "label")).collect()
-    assert [r.evidence[0] for r in sorted(got, key=lambda r: r.doc_id) if r.held_out] == list(range(60))
+    got = {r.doc_id: r for r in toxicity.score(docs.select("doc_id", "held_out", "text"), docs.select("doc_id", "label")).collect()}
+    assert all(got[20_000 + i].score > 0.9 and set(got[20_000 + i].evidence) == {10_000 + i % 4 + 4 * k for k in range(4)} for i in range(8))
+    assert got[30_000].score < 0.1
+
+
+def test_scores_equal_a_plain_computation(spark):
+    """Every step over again, in plain Python, for a small corpus."""
+    docs = documents(spark, 160, seed=3)
+    got = {r.doc_id: r for r in toxicity.score(docs.select("doc_id", "held_out", "text"), docs.select("doc_id", F.col("bad").alias("label"))).collect()}
+    rows = docs.collect()
+    texts = {r.doc_id: Counter(re.findall(r"[0-9a-z]+", r.text.lower())) for r in rows}
+    examples = [r for r in rows if not r.held_out]
+    n = [sum(r.bad == k for r in examples) for k in (0, 1)]
+    share = n[1] / sum(n)
+    terms = set()
+    for t in {t for r in examples for t in texts[r.doc_id]}:
+        held = [sum(t in texts[r.doc_id] for r in examples if r.bad == k) for k in (0, 1)]
+        p0, p1 = held[0] / n[0], held[1] / n[1]
+        p = p0 * (1 - share) + p1 * share
+        if sum(held) >= toxicity.LEAST and p < 1 and (p0 - p1) ** 2 * n[1] * (1 - share) >= toxicity.ASSOCIATED * p * (1 - p):
+            terms.add(t)
+    idf = {t: math.log((1 + len(rows)) / (1 + sum(t in x for x in texts.values()))) + 1 for t in terms}
+
+    def vector(d):
+        v = {t: (1 + math.log(m)) * idf[t] for t, m in texts[d].items() if t in terms}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {r.doc_id: vector(r.doc_id) for r in rows}
+
+    def share_of(d, without=None):
+        # Vectors without terms are like each other alone.
+        cosines = [(sum(x * vectors[r.doc_id].get(t, 0) for t, x in vectors[d].items()) or float(not vectors[d] and not vectors[r.doc_id]), r) for r in examples]
+        found = [c for c, _ in cosines if c > 0]
+        # Equal vectors are one entry.
+        distinct = sorted({tuple(sorted((t, texts[r.doc_id][t]) for t in vectors[r.doc_id])): c for c, r in cosines if c > 0}.values(), reverse=True)
+        least = distinct[min(len(distinct), toxicity.NEIGHBOURS) - 1] - 1e-9 if found else 0
+        votes = [0.0, 0.0]
+        for c, r in cosines:
+            if c > 0 and c >= least and r.doc_id != without:
+                votes[r.bad] += 1 / (toxicity.NEAR + 1 - min(c, 1))
+        return votes[1] / sum(votes) if sum(votes) else share
+
+    raw = np.array([share_of(r.doc_id, r.doc_id) for r in examples])
+    at = np.clip(np.floor(raw * calibration.BINS), 0, calibration.BINS - 1).astype(int)
+    table = calibration.pool(np.bincount(at, minlength=calibration.BINS).astype(float), np.bincount(at, [r.bad for r in examples], calibration.BINS))
+    for r in rows:
+        assert abs(got[r.doc_id].score - calibration.apply(np.array([share_of(r.doc_id)]), 0.0, 1.0, table)[0]) < 1e-6
+
+
+def test_quality_equals_a_plain_computation(spark):
+    """Kernel features, normal equations, ridge and calibration over again, on one machine."""
+    docs = documents(spark, 160, seed=5)
+    got = {r.doc_id: r.score for r in quality.score(docs.select("doc_id", "held_out", "text"), docs.select("doc_id", F.col("bad").alias("label"))).collect()}
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    one = [quality.statistics(np.frombuffer(r.text.encode(), np.uint8), np.array([0, len(r.text.encode())]))[0] for r in rows]
+    x, y = np.array(one), np.array([r.bad for r in rows], float)
+    learn = np.array([not r.held_out for r in rows])
+    fourier = quality.Fourier(x[learn].mean(0), x[learn].std(0))
+    z = fourier(x)
+    m = z.shape[1]
+    penalty = quality.RIDGE * learn.sum() / m * np.eye(m)
+    penalty[-1, -1] = 0
+    weights = np.linalg.solve(z[learn].T @ z[learn] + penalty + 1e-9 * learn.sum() * np.eye(m), z[learn].T @ y[learn])
+    raw = z @ weights
+    at = np.clip(np.floor((raw - quality.LOW) / (quality.HIGH - quality.LOW) * calibration.BINS), 0, calibration.BINS - 1).astype(int)
+    table = calibration.pool(np.bincount(at[learn], minlength=calibration.BINS).astype(float), np.bincount(at[learn], y[learn], calibration.BINS))
+    assert np.mean([abs(got[r.doc_id] - table[k]) < 1e-4 for r, k in zip(rows, at)]) > 0.97  # a sum's last digits may move a row to the next bin
+
+
+def test_fourier_features_approximate_the_kernel():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(40, quality.STATISTICS))
+    f = quality.Fourier(np.zeros(quality.STATISTICS), np.ones(quality.STATISTICS))
+    z = f(x)[:, :-1]
+    kernel = np.exp(-((x[:, None] - x[None]) ** 2).sum(-1) / (2 * quality.WIDTH**2))
+    assert np.abs(z @ z.T - kernel).max() < 0.3 and np.abs(z @ z.T - kernel).mean() < 0.06
