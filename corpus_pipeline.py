@@ -3,40 +3,59 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs.  All but the last return the
 columns of documents.
+
+Defined results, for every stage: null and empty texts have no language and go with the
+first stage, and so does a text of which no word is left with the third; rows with a null
+id or with an id that others have are rows like all others; repeated rows and near copies
+leave one, that of the smallest id (null first) and then text hash; texts of any length are
+worked on whole; an empty table gives an empty one; columns other than doc_id and text
+(n_chars apart, which follows the text) come back unchanged, whatever their names, as
+stages work beside them under other names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterway.llm import decontamination, language_id, near_dedup, packing, shared, substring_dedup
 
 
+def beside(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], *needed: str) -> DataFrame:
+    """``stage`` of ``docs``, whose columns other than doc_id, text and ``needed`` have names that no operator gives."""
+    others = {c: f"_own{k}" for k, c in enumerate(docs.columns) if c not in ("doc_id", "text", *needed)}
+    out = stage(docs.withColumnsRenamed(others))
+    return out.select(*(F.col(f"`{others.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without letters or without a likely language go."""
-    found = language_id.identified(docs).where("lang_pred <> 'und' AND score >= 0.5")
-    return found.select(*docs.columns)
+    return beside(docs, lambda d: language_id.identified(d).where("lang_pred <> 'und' AND score >= 0.5"), "lang")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
-    return near_dedup.one_of_each(docs)
+    return beside(docs, near_dedup.one_of_each)
 
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in repeated windows go, and documents with no word left."""
-    kept = substring_dedup.remove_repeats(docs).where("n_words > n_removed")
-    kept = kept.withColumn("text", F.col("kept_text"))
+
+    def kept(d: DataFrame) -> DataFrame:
+        return substring_dedup.remove_repeats(d).where("n_words > n_removed").withColumn("text", F.col("kept_text"))
+
+    out = beside(docs, kept)
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with a benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.decontaminate(docs, items).where("NOT contaminated").select(*docs.columns)
+    return beside(docs, lambda d: decontamination.decontaminate(d, items).where("NOT contaminated"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,9 @@ container encloses the article or most of the running text.
 
 Defined results: a null or empty page, and one without text, give an empty string;
 unclosed tags end with their container; a page cut in the middle keeps what
-it has, without an unfinished tag; repeated rows are extracted each.
+it has, without an unfinished tag; repeated rows are extracted each; pages of any length
+are read whole; an empty table gives no row; columns named text and n_chars are replaced,
+all others (null or not) pass through.
 """
 
 from __future__ import annotations
@@ -59,7 +61,8 @@ AFFIX = {"area", "bar", "block", "body", "bottom", "box", "container", "form", "
 FIRM, BY_READERS, BY_NAME = 1, 2, 3
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*(?:>|\Z)|\?[^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z))", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|aria-label|hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A) for name in RAW}
 _PART = re.compile(r"[-_\d]+")
 _SPACE = re.compile(r"\s+")
 
@@ -131,7 +134,6 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
     kinds: list[int] = []
     marks: list[int] = []
     article = links = titles = articles = within = 0
-    lower = None
 
     def end_line():
         nonlocal parts, loose
@@ -183,11 +185,10 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
             continue
         if name in RAW and not tag[3].endswith("/"):
             if name != "head":
-                lower = lower if lower is not None else html.lower()
-                stop = lower.find(f"</{name}", at)
-                if stop < 0:
+                stop = _END[name].search(html, at)
+                if not stop:
                     break
-                at = html.find(">", stop) + 1 or len(html)
+                at = html.find(">", stop.start()) + 1 or len(html)
             continue
         if name in VOID or tag[3].endswith("/"):
             continue

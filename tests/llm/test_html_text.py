@@ -1,3 +1,6 @@
+import itertools
+import random
+
 from rasterway.llm import html_text as op
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -47,6 +50,31 @@ def test_marks_of_wrappers_do_not_hold():
     assert op.main_text("<div class='cookie-banner'>We use cookies</div>") == ""
 
 
+def test_attributes_are_read_by_name():
+    story = "Running text of an article goes on and on for many words, as it does in a page of news."
+    for a in ('title="hidden gem"', 'data-id="share"', 'aria-hidden="false"', "data-class='sidebar'", 'alt="class=menu"', "data-style='display:none'"):
+        assert op.main_text(f"<article><p>{story}</p><p {a}>Also {story}</p></article>") == f"{story} Also {story}"
+    for a in ("hidden", "HIDDEN=''", "style='color:red; display: none'", 'CLASS="sidebar"', "id = share"):
+        assert op.main_text(f"<article><p>{story}</p><p {a}>Also {story}</p></article>") == story
+    # A letter that grows in lower case does not move the end of a script.
+    assert op.main_text(f"<p>{'İ' * 30}</p><script>x</SCRIPT ><p>{story}</p>").endswith(story)
+    assert op.main_text(f"<article><script>a</scripture></script><p>{story}</p></article>") == story
+
+
+def test_spans_equal_plain_windows():
+    rng = random.Random(3)
+    for _ in range(300):
+        lengths = [rng.choice([0, 0, 3, 8, 15, 40, 90, 200]) for _ in range(rng.randint(0, 30))]
+        over = [sum(x for k, x in enumerate(lengths) if abs(k - i) <= op.WINDOW // 2) > op.SURGE for i in range(len(lengths))]
+        want = []
+        for on, run in itertools.groupby(range(len(lengths)), lambda i: over[i]):
+            run = list(run)
+            strong = [i for i in run if lengths[i] >= op.SHORT]
+            if on and strong:
+                want.append((strong[0], strong[-1] + 1))
+        assert op.spans_of(lengths) == want
+
+
 def test_cut_and_odd_markup():
     assert op.main_text(None) == op.main_text("") == op.main_text("<html><body></body>") == ""
     assert op.main_text("<article><p>one <b>two</p><p>three") == "one two three"

@@ -58,3 +58,22 @@ def test_an_empty_corpus(spark, folder):
     for _, stage in pipeline.STAGES:
         docs = shared.written(stage(spark, docs, folder))
         assert docs.count() == 0
+
+
+def test_other_columns_come_back_unchanged(spark, folder):
+    """Columns named as operators name theirs, very long texts, null and repeated ids."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 20 OR doc_id >= 110")
+    names = ["score", "Lang_Pred", "n_words", "n_removed", "kept_text", "n_hit", "item_ids", "contaminated", "class_id", "_id", "_tie", "_key", "held_out", "a.b"]
+    rng = random.Random(5)
+    more = [(None, prose(rng, EN, 70), "en", "web", 0), (7, prose(rng, DE, 90), "de", "web", 0), (500, prose(rng, EN, 30_000), "en", "web", 0)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    tag = F.concat_ws("/", F.col("doc_id").cast("string"), F.substring("text", 1, 12))
+    docs = shared.written(docs.select("*", *(F.concat(F.lit(n), tag).alias(n) for n in names)))
+    columns = docs.columns
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = shared.written(stage(spark, docs, folder))
+        assert docs.columns == columns, name
+        rows = docs.collect()
+        assert rows and all(r[n].startswith(n) and r[n] == n + r["score"][5:] for r in rows for n in names)
+        ids = [r.doc_id for r in rows]
+        assert ids.count(7) == 2 and ids.count(None) == 1 and 500 in ids
