@@ -59,10 +59,16 @@ def collected(spark, pattern: str, schema=None) -> DataFrame:
     return reader.parquet(pattern) if kinds[0] == ".parquet" else reader.json(pattern)
 
 
-def dissolved(features: DataFrame, key: str, geometry: str = "wkt") -> DataFrame:
-    """One row a feature id: first attributes, and all geometries as a collection."""
+def dissolved(features: DataFrame, key: str, geometry: str = "wkt", order: list[str] | None = None) -> DataFrame:
+    """One row a feature id: the attributes of its first row, and all geometries as a collection.
+
+    Rows come in the ``order`` of these columns, or of all attributes and the geometry.
+    """
     rest = [c for c in features.columns if c not in (key, geometry)]
-    return features.groupBy(key).agg(*[F.first(c).alias(c) for c in rest], F.concat(F.lit("GEOMETRYCOLLECTION ("), F.array_join(F.array_sort(F.collect_set(geometry)), ", "), F.lit(")")).alias(geometry))
+    by = F.struct(*(order or [*rest, geometry]))
+    first = F.min_by(F.struct(*rest), by).alias("_first") if rest else F.lit(None).alias("_first")
+    out = features.groupBy(key).agg(first, F.concat(F.lit("GEOMETRYCOLLECTION ("), F.array_join(F.array_sort(F.collect_list(geometry)), ", "), F.lit(")")).alias(geometry))
+    return out.select(key, *(F.col(f"_first.`{c}`").alias(c) for c in rest), geometry)
 
 
 def with_features(routes: DataFrame, feature_cells: DataFrame, features: DataFrame, key: str, suffix: str = "_trans") -> DataFrame:

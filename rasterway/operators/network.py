@@ -27,9 +27,9 @@ def substations_in_regions(substations: DataFrame, regions: DataFrame, key: str
 
 
 def substations_of_connections(connections: DataFrame) -> DataFrame:
-    """Distinct substations of a connection table; rows without a place are dropped."""
+    """Distinct rows of substations of a connection table, so one at two places has two; rows without a place are dropped."""
     columns = [c for c in ("poi_gid", "poi_lat", "poi_lon", "region") if c in connections.columns]
-    return connections.select(*columns).dropna(subset=[c for c in columns if c != "region"]).dropDuplicates(["poi_gid"])
+    return connections.select(*columns).dropna(subset=[c for c in columns if c != "region"]).dropDuplicates(columns)
 
 
 def regions_of_nodes(nodes: DataFrame, regions: DataFrame, key: str = "rid") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rasterway.errors import ConfigError, MissingLayerError, RasterwayWarning
 from rasterway.functions import geometry as G
 from rasterway.grid import Grid
+from rasterway.operators import nearby
 from rasterway.storage import written
 
 #: A radius grows by this part of itself until it holds a feature, so many times at most.
@@ -79,9 +80,7 @@ def definitions(table: DataFrame, by: list[str], swap: bool = True) -> DataFrame
             rename = {a: b for a, b in zip([*start, *end], [*end, *start])}
     turned = table.select(*[F.col(c).alias(rename.get(c, c)) for c in [*start, *end]], *[c for c in table.columns if c not in start + end])
     grouped = turned.groupBy(*by).agg(F.array_sort(F.collect_set(F.struct(*start))).alias("starts"))
-    ids = grouped.select(*by).distinct()
-    ids = ids.withColumn("route_id", F.row_number().over(Window.orderBy(*by)) - 1)
-    return grouped.join(ids, by).withColumn("reversed", F.lit(bool(rename)))
+    return numbered(grouped, "route_id", by).withColumn("reversed", F.lit(bool(rename)))
 
 
 def with_defaults(table: DataFrame, options: list[str]) -> DataFrame:
@@ -139,55 +138,73 @@ def feature_pairs(features: DataFrame, key: str = "id") -> DataFrame:
     return a.join(b, F.col(f"start_{key}") < F.col(f"end_{key}"))
 
 
+def _boxed(regions: DataFrame, key: str) -> DataFrame:
+    """(key, ring, x0, y0, x1, y1)."""
+    return regions.select(key, "ring", G.bounds(F.col("ring")).alias("_b")).select(key, "ring", "_b.*")
+
+
 def nearest_region(points: DataFrame, regions: DataFrame, key: str = "rid") -> DataFrame:
     """``points`` (id, x, y, ...) with the ``key`` of the nearest of ``regions`` (key, ring) and the distance; ties go to the smallest key.
 
-    ``regions`` is a list of a country's size; every point is measured against it.
+    Points and regions meet on squares that widen until each point has its region.
     """
-    d = points.crossJoin(regions.select(key, "ring")).withColumn("_d", G.polygon_distance(F.col("x"), F.col("y"), F.col("ring")))
-    best = d.groupBy("id").agg(F.min(F.struct("_d", key)).alias("_m")).select("id", F.col(f"_m.{key}").alias(key), F.col("_m._d").alias("distance"))
-    return points.join(best, "id")
+    return points.join(nearby.nearest(points, _boxed(regions, key), key, G.polygon_distance(F.col("x"), F.col("y"), F.col("ring"))), "id")
 
 
 def within_region(points: DataFrame, regions: DataFrame, key: str = "rid") -> DataFrame:
     """(id, key) of points inside a region."""
-    return points.crossJoin(regions.select(key, "ring")).where(G.contains(F.col("ring"), F.col("x"), F.col("y"))).select("id", key)
+    return nearby.containing(points.select("id", "x", "y"), _boxed(regions, key), G.contains(F.col("ring"), F.col("x"), F.col("y"))).select("id", key)
 
 
 def within_radius(points: DataFrame, features: DataFrame, radius: float, expand: bool = True) -> DataFrame:
     """(id, feature, distance, radius) of features (feature, fx, fy) no farther than the radius.
 
     With ``expand``, a point without any gets the smallest radius * (1 + 0.05 n) that holds
-    one.  Points and features meet on squares of the radius; only points that
-    find none there are measured against all features.
+    one.  Points and features meet on squares of the radius; points that find none
+    there learn how far the nearest is, and then meet squares of their own size.
     """
-    cell = F.lit(float(radius))
-    square = lambda v: F.floor(v / cell)
-    f = features.select("feature", "fx", "fy", square(F.col("fx")).alias("i"), square(F.col("fy")).alias("j"))
-    around = F.array([F.lit(k) for k in (-1, 0, 1)])
-    p = points.select("id", "x", "y").withColumn("i", F.explode(F.transform(around, lambda k: square(F.col("x")) + k))).withColumn("j", F.explode(F.transform(around, lambda k: square(F.col("y")) + k)))
+    around = lambda own: F.explode(F.array([own + k for k in (-1, 0, 1)]))
     far = F.sqrt((F.col("x") - F.col("fx")) ** 2 + (F.col("y") - F.col("fy")) ** 2)
-    near = p.join(f, ["i", "j"]).withColumn("distance", far).where(F.col("distance") <= radius).select("id", "feature", "distance", F.lit(float(radius)).alias("radius"))
+
+    def meet(p: DataFrame, f: DataFrame, side: Column, *by: str) -> DataFrame:
+        for name, x, fx in (("i", "x", "fx"), ("j", "y", "fy")):
+            p = p.withColumn(name, around(nearby.square(F.col(x), side)))
+            f = f.withColumn(name, nearby.square(F.col(fx), side))
+        return p.join(f, [*by, "i", "j"]).withColumn("distance", far)
+
+    features, whole = features.select("feature", "fx", "fy"), F.lit(float(radius))
+    near = meet(points.select("id", "x", "y"), features, whole).where(F.col("distance") <= radius).select("id", "feature", "distance", whole.alias("radius"))
     if not expand:
         return near
-    lone = points.select("id", "x", "y").join(near.select("id").distinct(), "id", "left_anti")
-    every = lone.crossJoin(features.select("feature", "fx", "fy")).withColumn("distance", far)
-    least = every.groupBy("id").agg(F.min("distance").alias("least"))
-    steps = F.ceil((F.col("least") / radius - 1) / GROWTH - 1e-9)
-    grown = least.where(steps <= MOST_STEPS).select("id", (F.lit(float(radius)) * (1 + F.lit(GROWTH) * steps)).alias("radius"))
-    wide = every.join(grown, "id").where(F.col("distance") <= F.col("radius") + 1e-9).select("id", "feature", "distance", "radius")
-    return near.unionByName(wide)
+    lone = written(points.select("id", "x", "y").join(near.select("id").distinct(), "id", "left_anti"))
+    spots = features.select("feature", F.col("fx").alias("x0"), F.col("fy").alias("y0"), F.col("fx").alias("x1"), F.col("fy").alias("y1"))
+    gap = F.sqrt((F.col("x") - F.col("x0")) ** 2 + (F.col("y") - F.col("y0")) ** 2)
+    least = nearby.nearest(lone, spots, "feature", gap)
+    steps = F.ceil((F.col("distance") / radius - 1) / GROWTH - 1e-9)
+    grown = least.where(steps <= MOST_STEPS).select("id", (whole * (1 + F.lit(GROWTH) * steps)).alias("radius"))
+    # Radii by powers of two: at most as many kinds as MOST_STEPS allows doublings.
+    grown = written(lone.join(grown, "id").withColumn("size", F.ceil(F.log2(F.col("radius") / radius)).cast("int") + 1))
+    sizes = [r[0] for r in grown.select("size").distinct().collect()]
+    if not sizes:
+        return near
+    sized = features.withColumn("size", F.explode(F.array([F.lit(k) for k in sizes])))
+    wide = meet(grown, sized, whole * F.pow(F.lit(2.0), F.col("size")), "size").where(F.col("distance") <= F.col("radius") + 1e-9)
+    return near.unionByName(wide.select("id", "feature", "distance", "radius"))
 
 
 def latest(done: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key; missing keys are an error of the caller's data and are dropped."""
+    """The last row of each key; rows without a key belong to no route."""
     w = Window.partitionBy(*keys).orderBy(F.desc(order))
     return done.dropna(subset=keys).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def resumed(table: DataFrame, done: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
-    """``table`` with the last known values of its keys, missing where there are none."""
-    return table.join(latest(done, keys, order).select(*keys, *values), keys, "left")
+    """``table`` with the last known values of its keys, missing where there are none.
+
+    A finished row of a key without a value cannot be resumed: the job that meets it ends with an error.
+    """
+    sure = [F.when(F.col(v).isNull(), F.raise_error(F.lit(f"cannot resume: finished routes have rows without {v}"))).otherwise(F.col(v)).alias(v) for v in values]
+    return table.join(latest(done, keys, order).select(*keys, *sure), keys, "left")
 
 
 def tidy_features(features: DataFrame) -> DataFrame:

@@ -153,13 +153,13 @@ def oracle_sql() -> dict[str, str]:
     unit = f"""{_STEPS}, u AS (SELECT route_id, step, (sum((("row" // 5) % 3 <> 1)::INTEGER) OVER w)::INTEGER AS "row", (sum((("row" // 5) % 3 <> 2)::INTEGER) OVER w)::INTEGER AS col, "option" FROM steps WINDOW w AS (PARTITION BY route_id ORDER BY step))"""
     q["route_turns"] = f"""WITH {unit} SELECT route_id, step, "row", col, "option" FROM u
       WINDOW w AS (PARTITION BY route_id ORDER BY step) QUALIFY NOT coalesce("row" - lag("row") OVER w = lead("row") OVER w - "row" AND col - lag(col) OVER w = lead(col) OVER w - col, false)"""
-    q["route_wkt"] = f"""WITH {_STEPS}, p AS (SELECT route_id, count(*) AS n, string_agg(((col + 0.5) * 90.0::DOUBLE)::VARCHAR || ' ' || (2880.0::DOUBLE + ("row" + 0.5) * -90.0::DOUBLE)::VARCHAR, ', ' ORDER BY step) AS t FROM steps WHERE step < 3 GROUP BY 1)
+    q["route_wkt"] = f"""WITH {_STEPS}, p AS (SELECT route_id, count(*) AS n, string_agg(((col + 0.5) * 90.0::DOUBLE)::VARCHAR || ' ' || (2880.0::DOUBLE + ("row" + 0.5) * -90.0::DOUBLE)::VARCHAR, ', ' ORDER BY step) AS t FROM steps GROUP BY 1)
       SELECT route_id, CASE WHEN n > 1 THEN 'LINESTRING (' ELSE 'POINT (' END || t || ')' AS wkt FROM p"""
 
     places = """p AS (SELECT c_custkey, floor((c_custkey * 17 % 4000 - 500 - 2880) / -90.0)::INTEGER AS start_row, floor((c_custkey * 31 % 4000) / 90.0)::INTEGER AS start_col, floor((c_custkey * 11 % 3000 - 2880) / -90.0)::INTEGER AS end_row, floor((c_custkey * 13 % 3000) / 90.0)::INTEGER AS end_col FROM customer)"""
     q["route_points_on_grid"] = f"WITH {places} SELECT * FROM p WHERE start_row BETWEEN 0 AND 31 AND start_col BETWEEN 0 AND 31 AND end_row BETWEEN 0 AND 31 AND end_col BETWEEN 0 AND 31"
     q["route_supply_points"] = """SELECT n_nationkey::BIGINT AS sc_point_gid, (n_nationkey // 6)::INTEGER AS sc_row_ind, (n_nationkey % 6)::INTEGER AS sc_col_ind, (n_nationkey // 6 * 10 + 5)::INTEGER AS start_row, (n_nationkey % 6 * 10 + 5)::INTEGER AS start_col,
-      90.0::DOUBLE + (n_nationkey // 6 * 10 + 5.5) * -2.0::DOUBLE AS latitude, 10.0::DOUBLE + (n_nationkey % 6 * 10 + 5.5) * 2.0::DOUBLE AS longitude FROM nation WHERE n_nationkey < 30"""
+      90.0::DOUBLE + (n_nationkey // 6 * 10 + 5.5) * -2.0::DOUBLE AS latitude, 10.0::DOUBLE + (n_nationkey % 6 * 10 + 5.5) * 2.0::DOUBLE AS longitude FROM range(30) t(n_nationkey)"""
     q["route_valid_nodes"] = f"""{_C}, {_ROUTES} SELECT route_id, start_row AS "row", start_col AS col, (route_id % 2)::INTEGER AS "option" FROM routes JOIN cells ON "row" = start_row AND col = start_col WHERE CASE WHEN route_id % 2 = 0 THEN c1 * 0.5 * c2 + slope > 0 ELSE (c1 * 4 + c2) * c2 > 0 END"""
     q["route_remaining"] = f"WITH {_ROUTES}, done AS (SELECT * FROM routes WHERE route_id % 3 = 0 OR start_row < 4) SELECT route_id, start_row, start_col, voltage FROM routes r WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.start_row = r.start_row AND d.start_col = r.start_col AND d.voltage = r.voltage)"
     q["route_definitions"] = f"""WITH {_ROUTES}, n AS (SELECT count(DISTINCT (end_row, end_col)) > count(DISTINCT (start_row, start_col)) AS rev FROM routes), turned AS (SELECT CASE WHEN rev THEN end_row ELSE start_row END AS sr, CASE WHEN rev THEN end_col ELSE start_col END AS sc, CASE WHEN rev THEN start_row ELSE end_row END AS end_row, CASE WHEN rev THEN start_col ELSE end_col END AS end_col, rev FROM routes, n)
@@ -185,7 +185,7 @@ def oracle_sql() -> dict[str, str]:
     q["length_floor"] = f"WITH {_LENGTHS} SELECT o_orderkey, cost * ({floor}) AS cost, greatest(length_km, 5.7::DOUBLE) AS length_km FROM lens"
     q["finalized_routes"] = f"WITH {_LENGTHS} SELECT o_orderkey, round(cost * ({_STEPM}) * ({floor}) / 7, 3) AS cost, greatest(length_km, 5.7::DOUBLE) AS length_km, {_STEPM} AS length_mult, cost AS raw_cost FROM lens"
     q["routes_with_features"] = f"""WITH {_ROUTES}, own AS (SELECT (s_suppkey % 8)::INTEGER AS end_row, (s_suppkey % 3)::INTEGER AS end_col, max(s_suppkey) AS trans_gid FROM supplier GROUP BY 1, 2) SELECT trans_gid, end_row, end_col, route_id, price, s_nationkey AS price_trans FROM routes LEFT JOIN own USING (end_row, end_col) LEFT JOIN supplier ON s_suppkey = trans_gid"""
-    q["dissolved_features"] = "SELECT s_nationkey AS gid, 'line' AS category, 'GEOMETRYCOLLECTION (' || string_agg('POINT (' || s_suppkey || ' 0)', ', ' ORDER BY 'POINT (' || s_suppkey || ' 0)') || ')' AS wkt FROM supplier GROUP BY 1"
+    q["dissolved_features"] = "SELECT s_nationkey AS gid, 'line ' || min(s_suppkey % 3) AS category, 'GEOMETRYCOLLECTION (' || string_agg('POINT (' || s_suppkey % 60 || ' 0)', ', ' ORDER BY 'POINT (' || s_suppkey % 60 || ' 0)') || ')' AS wkt FROM supplier GROUP BY 1"
 
     ok = "slope <> 12"
     q["zonal_basic"] = f"""{_C}, {_TOUCHED}, a AS (SELECT id, count(*) FILTER ({ok}) AS "count", min(slope) FILTER ({ok})::DOUBLE AS "min", max(slope) FILTER ({ok})::DOUBLE AS "max", round(avg(slope) FILTER ({ok}), 9) AS mean, sum(slope) FILTER ({ok}) AS "sum", round(stddev_pop(slope) FILTER ({ok}), 9) AS std, median(slope) FILTER ({ok})::DOUBLE AS median, count(DISTINCT slope) FILTER ({ok}) AS "unique", (max(slope) FILTER ({ok}) - min(slope) FILTER ({ok}))::DOUBLE AS "range", count(*) FILTER (slope = 12)::DOUBLE AS nodata FROM hits GROUP BY id)
@@ -203,7 +203,7 @@ def oracle_sql() -> dict[str, str]:
       SELECT id, "row", col FROM l JOIN allcells ON abs((col + 0.5) * 90 - x) <= h AND 2880 - ("row" + 0.5) * 90 BETWEEN 300 AND y1"""
 
     q["substation_voltages"] = "SELECT l_orderkey AS gid, min(p_size * 3) AS min_volts, max(p_size * 3) AS max_volts FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1 HAVING max(p_size * 3) >= 69"
-    q["substations_of_connections"] = "SELECT DISTINCT o_custkey % 40 AS poi_gid, (o_custkey % 40 * 1.5)::DOUBLE AS poi_lat, 7.0::DOUBLE AS poi_lon FROM orders WHERE o_custkey % 40 <> 3"
+    q["substations_of_connections"] = "SELECT DISTINCT o_custkey % 40 AS poi_gid, (o_custkey % 40 * 1.5 + CASE WHEN o_custkey % 40 = 5 AND o_custkey % 3 = 0 THEN 0.25 ELSE 0 END)::DOUBLE AS poi_lat, 7.0::DOUBLE AS poi_lon FROM orders WHERE o_custkey % 40 <> 3"
     q["nodes_with_regions"] = f"WITH {_POINTS}, {_REGIONS}, d AS (SELECT id, x, y, rid, {_GAP} AS d FROM points, regions) SELECT id, x, y, rid FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, rid) = 1"
     q["region_centroids"] = f"WITH {_REGIONS} SELECT rid, round(((x0 + x1) / 2)::DOUBLE, 6) AS cx, round(((y0 + y1) / 2)::DOUBLE, 6) AS cy FROM regions"
     q["poi_lines"] = "SELECT s_name AS name, 'XX' AS state, s_nationkey::DOUBLE AS voltage, 'Substation' AS category, (s_suppkey + 50)::DOUBLE AS x1 FROM supplier UNION ALL SELECT 'fake', '', 0, 'TransLine', 100000"

@@ -385,9 +385,7 @@ def route_points_on_grid(spark, sf_dir):
 
 
 def route_supply_points(spark, sf_dir):
-    n = _t(spark, sf_dir, "nation").select("n_nationkey")
-    g = Grid(45, 52, a=2.0, c=10.0, e=-2.0, f=90.0)
-    return route_tables.supply_points(spark, g, 10).join(n, F.col("sc_point_gid") == F.col("n_nationkey")).drop("n_nationkey")
+    return route_tables.supply_points(spark, Grid(45, 52, a=2.0, c=10.0, e=-2.0, f=90.0), 10)
 
 
 def route_valid_nodes(spark, sf_dir):
@@ -403,7 +401,7 @@ def route_remaining(spark, sf_dir):
 
 def route_definitions(spark, sf_dir):
     d = route_tables.definitions(_routes(spark, sf_dir), ["end_row", "end_col"])
-    return d.select("route_id", "end_row", "end_col", F.size("starts").alias("n_starts"), "reversed")
+    return d.select(F.col("route_id").cast("int").alias("route_id"), "end_row", "end_col", F.size("starts").alias("n_starts"), "reversed")
 
 
 def route_combinations(spark, sf_dir):
@@ -495,7 +493,7 @@ def routes_with_features(spark, sf_dir):
 
 
 def dissolved_features(spark, sf_dir):
-    s = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("gid"), F.lit("line").alias("category"), F.concat(F.lit("POINT ("), F.col("s_suppkey"), F.lit(" 0)")).alias("wkt"))
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("gid"), F.concat(F.lit("line "), F.col("s_suppkey") % 3).alias("category"), F.concat(F.lit("POINT ("), F.col("s_suppkey") % 60, F.lit(" 0)")).alias("wkt"))
     return finalize.dissolved(s, "gid").select("gid", "category", "wkt")
 
 
@@ -567,7 +565,7 @@ def substation_voltages(spark, sf_dir):
 
 
 def substations_of_connections(spark, sf_dir):
-    c = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("poi_gid"), (F.col("o_custkey") % 40 * 1.5).alias("poi_lat"), F.when(F.col("o_custkey") % 40 != 3, F.lit(7.0)).alias("poi_lon"))
+    c = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("poi_gid"), (F.col("o_custkey") % 40 * 1.5 + F.when((F.col("o_custkey") % 40 == 5) & (F.col("o_custkey") % 3 == 0), 0.25).otherwise(0.0)).alias("poi_lat"), F.when(F.col("o_custkey") % 40 != 3, F.lit(7.0)).alias("poi_lon"))
     return network.substations_of_connections(c)
 
 

@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,13 +169,17 @@ def read_features(spark: SparkSession, path: str, where: str | None = None) -> D
     return out.where(where) if where else out
 
 
+#: Conditions of a table that nothing was written to yet.
+NOTHING_STORED = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def append(df: DataFrame, path: str) -> None:
     """Appends to a table whose first chunk has fixed the columns."""
     spark = df.sparkSession
     try:
         columns = spark.read.parquet(path).schema
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() not in NOTHING_STORED:
             raise
         df.write.parquet(path)
         return

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from rasterway.operators.route_tables import remaining
-from rasterway.sources.store import append
+from rasterway.sources.store import NOTHING_STORED, append
 
 
 def requests(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -26,8 +27,8 @@ def serve(stream: DataFrame, search: Callable[[DataFrame], DataFrame], output: s
         todo = df.dropDuplicates(keys)
         try:
             todo = remaining(todo, df.sparkSession.read.parquet(output), keys)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        except AnalysisException as e:
+            if e.getCondition() not in NOTHING_STORED:
                 raise
         append(search(todo), output)
 

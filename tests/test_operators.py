@@ -1,6 +1,8 @@
 """Layers, zones, reports, finalising, stores and streams against small arrays with known results."""
 
 import math
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -9,16 +11,16 @@ from pyspark.sql import functions as F
 from rasterway.errors import ConfigError, LayerExistsError, MissingLayerError
 from rasterway.functions import geometry as G
 from rasterway.grid import Grid
-from rasterway.operators import finalize, reports, zonal
+from rasterway.operators import finalize, network, reports, route_tables, zonal
 from rasterway.plans import layers as L
 from rasterway.plans import scenario as P
-from rasterway.sources.store import Store
+from rasterway.sources.store import Store, append
 from rasterway.storage import shared_dir
 from rasterway.streaming import requests
 
-RASTER = [[1, 1, 5], [4, 5, 5], [9, 9, 9]]
-GRID = Grid(3, 3, a=10.0, c=-15.0, e=-10.0, f=15.0)
-NAMES = {1: "CAT_A", 5: "CAT_B", 9: "CAT_C"}
+RASTER = [[2, 7, 7, 3], [2, 2, 0, 7], [8, 3, 7, 7]]
+GRID = Grid(3, 4, a=20.0, c=100.0, e=-20.0, f=60.0)
+NAMES = {2: "meadow", 7: "forest", 8: "lake"}
 
 
 def cells(spark, values, name="v"):
@@ -40,12 +42,12 @@ def boxes(spark, *sides):
 
 
 def test_slope_and_land_use(spark):
-    slope = cells(spark, [[1, 10, 15], [1, 20, 30]]).withColumn("m", L.slope_multiplier(F.col("v"), 3, 4, 10, 20))
-    assert array(slope, "m") == [[1, 3, 3], [1, 4, 4]]
-    land = cells(spark, [[1, 2, 3], [3, 1, 4]]).withColumn("m", L.land_use_multiplier(F.col("v"), {"A": 1.5, "B": 2}, {"A": [1, 2], "B": [3]}))
-    assert array(land, "m") == [[1.5, 1.5, 2], [2, 1.5, 1]]
+    slope = cells(spark, [[2, 12, 25], [0, 10, 40]]).withColumn("m", L.slope_multiplier(F.col("v"), 3, 4, 10, 20))
+    assert array(slope, "m") == [[1, 3, 4], [1, 3, 4]]
+    land = cells(spark, [[5, 6], [7, 5], [8, 9]]).withColumn("m", L.land_use_multiplier(F.col("v"), {"grass": 1.25, "rock": 3}, {"grass": [5], "rock": [6, 8]}))
+    assert array(land, "m") == [[1.25, 3], [1, 1.25], [3, 1]]
     with pytest.raises(ConfigError):
-        L.land_use_multiplier(F.col("v"), {"C": 2}, {"A": [1]})
+        L.land_use_multiplier(F.col("v"), {"sand": 2}, {"grass": [5]})
 
 
 def test_layers_check_their_definitions(spark):
@@ -60,20 +62,45 @@ def test_layers_check_their_definitions(spark):
     assert array(built, "x") == [[1, 7, 7]]
 
 
+def overlaps(side):
+    """(value, share of the cell) of every cell that a box meets, cell by cell."""
+    a, b, c, d = side
+    out = []
+    for i, row in enumerate(RASTER):
+        for j, v in enumerate(row):
+            x, y = GRID.c + j * GRID.a, GRID.f + (i + 1) * GRID.e
+            w, h = min(c, x + 20) - max(a, x), min(d, y + 20) - max(b, y)
+            if w > 0 and h > 0:
+                out.append((v, w * h / 400))
+    return out
+
+
 def test_zonal_statistics(spark):
-    zones = boxes(spark, (-5, -5, 5, 5), (0, 0, 1, 1), (100, 100, 200, 200), (-5, -5, 15, 15), (-10, -10, 10, 10))
-    out = zonal.zonal(zones, cells(spark, RASTER), "v", GRID, "*", nodata=9, categories=NAMES)
+    sides = [(101, 41, 119, 59), (105, 5, 151, 33), (103, 1, 178, 58), (161, 22, 179, 38), (500, 500, 510, 510), (133, 27, 135, 29)]
+    out = zonal.zonal(boxes(spark, *sides), cells(spark, RASTER), "v", GRID, "*", nodata=0, categories=NAMES)
     got = {r.id: r for r in out.collect()}
-    basic = lambda r: (r["count"], r.min, r.max, r.mean, r["sum"], round(r.std, 7), r.median, r.majority, r.minority, r.unique, r.range, r.nodata)
-    assert basic(got[1]) == basic(got[2]) == (1, 5, 5, 5, 5, 0, 5, "CAT_B", "CAT_B", 1, 0, 0)
-    assert basic(got[4]) == (4, 1, 5, 4, 16, 1.7320508, 5, "CAT_B", "CAT_A", 2, 4, 0)
-    assert basic(got[5]) == (6, 1, 5, 3.5, 21, 1.8027756, 4.5, "CAT_B", "4.0", 3, 4, 3)
-    assert (got[3]["count"], got[3].mean, got[3].pixel_count) == (0, None, {})
-    assert got[4].pixel_count == {"CAT_A": 1, "CAT_B": 3} and got[5].pixel_count == {"CAT_A": 2, "CAT_B": 3, "4.0": 1}
-    area = {k: r.value_multiplied_by_fractional_area for k, r in got.items()}
-    assert {k: v and round(v, 6) for k, v in area.items()} == {1: 500, 2: 5, 3: None, 4: 1600, 5: 1150}
-    assert {k: round(v, 9) for k, v in got[5].fractional_pixel_count.items()} == {"CAT_A": 0.75, "CAT_B": 1.75, "4.0": 0.5}
-    assert {k: round(v, 9) for k, v in got[2].fractional_pixel_count.items()} == {"CAT_B": 0.01}
+    name = lambda v: NAMES.get(v, str(float(v)))
+    for k, side in enumerate(sides, 1):
+        hits, r = overlaps(side), got[k]
+        values = [v for v, _ in hits if v != 0]
+        shares = {}
+        for v, part in hits:
+            if v != 0:
+                shares[name(v)] = shares.get(name(v), 0) + part
+        assert (r["count"], r.nodata or 0) == (len(values), len(hits) - len(values))
+        assert r.pixel_count == {n: sum(name(v) == n for v in values) for n in shares}
+        if not values:
+            assert (r.mean, r.min, r.value_multiplied_by_fractional_area) == (None, None, None)
+            continue
+        assert (r.min, r.max, r["sum"], r.unique, r.range) == (min(values), max(values), sum(values), len(set(values)), max(values) - min(values))
+        assert np.allclose([r.mean, r.std, r.median], [np.mean(values), np.std(values), np.median(values)])
+        often = Counter(values).most_common()
+        if len(often) == 1 or often[0][1] > often[1][1]:
+            assert r.majority == name(often[0][0])
+        if len(often) == 1 or often[-1][1] < often[-2][1]:
+            assert r.minority == name(often[-1][0])
+        assert np.isclose(r.value_multiplied_by_fractional_area, sum(v * part * 400 for v, part in hits if v != 0))
+        assert r.fractional_pixel_count.keys() == shares.keys() and all(np.isclose(r.fractional_pixel_count[n], x) for n, x in shares.items())
 
 
 def test_statistic_names():
@@ -89,9 +116,9 @@ def steps(spark, places):
 
 
 def test_travel_lengths_and_turns(spark):
-    m = reports.travel_lengths(steps(spark, [(0, 0), (0, 1), (1, 2)]), ["route_id"])
+    m = reports.travel_lengths(steps(spark, [(4, 4), (5, 5), (5, 6)]), ["route_id"])
     root = math.sqrt(2)
-    assert np.allclose([r.len for r in m.orderBy("step").collect()], [0.5, (1 + root) / 2, root / 2])
+    assert np.allclose([r.len for r in m.orderBy("step").collect()], [root / 2, (1 + root) / 2, 0.5])
     assert reports.travel_lengths(steps(spark, [(3, 3)]), ["route_id"]).first().len == 0
     path = steps(spark, [(k, k) for k in range(11)] + [(11, 10)])
     for tolerance in (None, 0.5):
@@ -124,11 +151,12 @@ def test_scenarios_are_strict(spark):
 
 
 def test_friction_and_barriers(spark):
-    config = {"routing_options": {"a": {"cost_layers": [{"layer_name": "v"}], "friction_layers": [{"multiplier_layer": "v", "multiplier_scalar": -1}], "barrier_layers": [{"layer_name": "v", "where": "==4", "barrier_importance": 2}, {"layer_name": "v", "where": ">=9"}, {"layer_name": "v", "where": "==5", "barrier_importance": 1}]}}}
+    config = {"routing_options": {"a": {"cost_layers": [{"layer_name": "v"}], "friction_layers": [{"multiplier_layer": "v", "multiplier_scalar": -1}], "barrier_layers": [{"layer_name": "v", "where": "==3", "barrier_importance": 2}, {"layer_name": "v", "where": ">=8"}, {"layer_name": "v", "where": "==7", "barrier_importance": 1}]}}}
     surf = P.surface(cells(spark, RASTER), P.Scenario.from_json(config))
-    assert array(surf, "soft_rank") == [[0, 0, 1], [2, 1, 1], [0, 0, 0]]
-    assert array(surf, "hard") == [[False] * 3, [False] * 3, [True] * 3]
-    assert all(0 < c < 1e-5 for r in array(surf, "cost") for c in r)
+    assert array(surf, "soft_rank") == [[0, 1, 1, 2], [0, 0, 0, 1], [0, 2, 1, 1]]
+    assert array(surf, "hard") == [[False] * 4, [False] * 4, [True] + [False] * 3]
+    # Friction takes the whole cost away; a cell without a cost stays without one.
+    assert all(c is None if v == 0 else 0 < c < 1e-5 for r, values in zip(array(surf, "cost"), RASTER) for c, v in zip(r, values))
 
 
 def test_store(spark):
@@ -153,3 +181,89 @@ def test_requests_as_a_stream(spark):
     for k in range(2):
         requests.serve(requests.requests(spark, f"{base}/in", schema), search, f"{base}/out", ["route_id"], f"{base}/state{k}").awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(f"{base}/out").collect())) == [(1, 5, 10), (2, 6, 12)]
+
+
+def ring_distance(ring, x, y):
+    """(whether inside, 0 inside or else the distance to the nearest side)."""
+    inside, gap = False, math.inf
+    for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+        if (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax:
+            inside = not inside
+        n = (bx - ax) ** 2 + (by - ay) ** 2
+        t = max(0, min(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / n)) if n else 0
+        gap = min(gap, math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)))
+    return inside, 0.0 if inside else gap
+
+
+def test_regions_and_radii_equal_all_pairs(spark):
+    rng = random.Random(11)
+    rings = {}
+    for k in range(25):
+        x, y, w, h = rng.uniform(0, 900), rng.uniform(0, 900), rng.uniform(5, 150), rng.uniform(5, 400 if k == 3 else 60)
+        rings[k] = [(x, y), (x + w, y + h / 3), (x + w / 2, y + h), (x, y)]
+    places = {i: (rng.uniform(-50, 1050), rng.uniform(-50, 1050)) for i in range(150)} | {150: (90_000.0, -70_000.0), 151: rings[4][0], 152: (rings[7][1])}
+    points = spark.createDataFrame([(i, x, y) for i, (x, y) in places.items()] + [(900, None, 1.0), (901, float("nan"), 2.0)], "id int, x double, y double")
+    regions = spark.createDataFrame([(k, [{"x": x, "y": y} for x, y in r]) for k, r in rings.items()], "rid int, ring array<struct<x:double,y:double>>")
+    both = {i: {k: ring_distance(r, *p) for k, r in rings.items()} for i, p in places.items()}
+    gap = {i: {k: d for k, (_, d) in x.items()} for i, x in both.items()}
+    got = {r.id: (r.rid, r.distance) for r in route_tables.nearest_region(points, regions).collect()}
+    assert got.keys() == places.keys()
+    assert all(math.isclose(d, min(gap[i].values()), abs_tol=1e-6) and math.isclose(gap[i][k], d, abs_tol=1e-6) for i, (k, d) in got.items())
+    assert {tuple(r) for r in route_tables.within_region(points, regions).collect()} == {(i, k) for i in places for k in rings if both[i][k][0]}
+    assert route_tables.nearest_region(points, regions.limit(0)).count() == route_tables.within_region(points, regions.limit(0)).count() == 0
+    spots = {f: (rng.uniform(0, 400), rng.uniform(0, 1000)) for f in range(40)}
+    features = spark.createDataFrame([(f, x, y) for f, (x, y) in spots.items()], "feature int, fx double, fy double")
+    want = {}
+    for i, (x, y) in places.items():
+        far = {f: math.hypot(x - fx, y - fy) for f, (fx, fy) in spots.items()}
+        n = max(0, math.ceil((min(far.values()) / 30 - 1) / 0.05 - 1e-9))
+        if n <= route_tables.MOST_STEPS:
+            want |= {(i, f): 30 * (1 + 0.05 * n) for f, d in far.items() if d <= 30 * (1 + 0.05 * n) + 1e-9}
+    got = {(r.id, r.feature): r.radius for r in route_tables.within_radius(points, features, 30.0).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k]) for k in want)
+
+
+def test_substations_at_two_places_have_two_rows(spark):
+    df = spark.createDataFrame([(1, 2.0, 3.0), (1, 2.0, 3.0), (1, 2.5, 3.0), (2, None, 3.0)], "poi_gid int, poi_lat double, poi_lon double")
+    assert sorted(map(tuple, network.substations_of_connections(df).collect())) == [(1, 2.0, 3.0), (1, 2.5, 3.0)]
+
+
+def test_resuming_needs_values(spark):
+    table = spark.createDataFrame([(1,), (2,), (3,)], "k int")
+    done = spark.createDataFrame([(1, 0, 7), (1, 1, 8), (2, 0, 9), (None, 5, 1)], "k int, n int, v int")
+    assert {r.k: r.v for r in route_tables.resumed(table, done, ["k"], "n", ["v"]).collect()} == {1: 8, 2: 9, 3: None}
+    with pytest.raises(Exception, match="cannot resume"):
+        route_tables.resumed(table, done.withColumn("v", F.when(F.col("k") != 2, F.col("v"))), ["k"], "n", ["v"]).collect()
+
+
+def test_dissolving_keeps_equal_geometries_and_the_first_attributes(spark):
+    df = spark.createDataFrame([(1, "b", 3, "POINT (1 1)"), (1, "a", 9, "POINT (1 1)"), (1, "a", 4, "POINT (0 0)"), (2, None, 1, None)], "gid int, category string, o int, wkt string")
+    got = {r.gid: (r.category, r.o, r.wkt) for r in finalize.dissolved(df, "gid").collect()}
+    assert got[1] == ("a", 4, "GEOMETRYCOLLECTION (POINT (0 0), POINT (1 1), POINT (1 1))") and got[2][:2] == (None, 1)
+    assert {r.gid: r.category for r in finalize.dissolved(df, "gid", order=["o"]).collect()}[1] == "b"
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master, applicationId = "spark://host:7077", "app-1"
+
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(ConfigError):
+        shared_dir(Session())
+    Session.conf["spark.checkpoint.dir"] = "hdfs://shared/"
+    assert shared_dir(Session()).startswith("hdfs://shared/rasterway-app-1/")
+    Session.conf.clear()
+    Context.master = "local[4]"
+    assert "rasterway-app-1" in shared_dir(Session()) and Session.conf["spark.checkpoint.dir"]
+
+
+def test_a_wrong_table_is_not_an_empty_one(spark):
+    base = shared_dir(spark)
+    append(spark.createDataFrame([(1, "a")], "k int, v string"), base)
+    append(spark.createDataFrame([(2,)], "k int"), base)
+    assert sorted(map(tuple, spark.read.parquet(base).collect()), key=str) == [(1, "a"), (2, None)]

@@ -5,6 +5,7 @@ import os
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -25,7 +26,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or isinstance(v, float) and v != v:
+    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and v != v:
         return "-"
     if isinstance(v, bool) or not isinstance(v, (int, float)):
         return str(v)
