@@ -16,7 +16,8 @@ shorter item.  A document word inside any occurrence of a window is hit.
 
 Defined results: null and empty texts have no words, hits or items; items
 without words have no window; a null item id names no item, but its windows hit; repeated rows each
-get their result; rows that share an id each count for themselves.
+get their result; rows that share an id each count for themselves; texts of any length are
+read whole; an empty table gives no row, and without items nothing is hit.
 """
 
 from __future__ import annotations
@@ -219,7 +220,7 @@ def hits(docs: DataFrame, items: DataFrame, key: str, window: int = 10) -> DataF
     totals = spans.where("at < 0").select("_row", F.col("len").cast("long").alias("n_words"), F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("len"), F.lit(None).cast("array<string>").alias("items"))
     rows = totals.unionByName(places.select("_row", F.lit(None).cast("long").alias("n_words"), "at", "len", "items"))
     order = F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct(F.col("at").alias("b"), (F.col("at") + F.col("len")).alias("e")))))
-    merged = rows.groupBy("_row").agg(F.max("n_words").alias("n_words"), order.alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = rows.groupBy("_row").agg(F.max("n_words").alias("n_words"), order.alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     # Words hit: each range adds what lies beyond the furthest end so far.
     step = lambda acc, x: F.struct(F.greatest(acc["far"], x["e"]).alias("far"), (acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(acc["far"], x["b"]))).alias("n"))
     n_hit = F.aggregate("r", F.struct(F.lit(0).alias("far"), F.lit(0).alias("n")), step)["n"].cast("long")

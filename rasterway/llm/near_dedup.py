@@ -19,7 +19,9 @@ aligning their shingles in order matches M of them and M / (n1 + n2 - M) is
 
 Defined results: null texts and texts without words form a class each by row, with
 its id; rows of equal words share a class; a null id counts as the smallest; rows
-that share an id each take their own text's class.  Other columns pass through.
+that share an id each take their own text's class.  Texts of any length are compared
+whole; an empty table gives no row.  Other columns pass through, but for class_id, which
+is replaced.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@
 Labels are those of (doc_id, label); rows without a label or with a null one teach
 nothing.  Defined results: null and empty texts have the statistics of an empty
 text and are scored; without any label every score is 0.5; repeated rows are scored
-each, and repeated labels count each.
+each, and repeated labels count each; texts with equal statistics score alike; texts of
+any length are read whole; an empty table gives no row; other columns are left out,
+whatever their names.
 """
 
 from __future__ import annotations

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterway.storage import shared_dir, written
+
+__all__ = ["shared_dir", "written"]
+
 #: Text bytes that one unit of grouped work should hold.
 GROUP_BYTES = 4 << 20
 #: Groups that even small tables are dealt into.
@@ -18,25 +19,6 @@ LEAST_GROUPS = 64
 CHUNK_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir, which every executor can reach.
-
-    Where the session names none (local tests), a temporary folder is set once.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="rasterway-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts lineage, survives executors."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def groups_for(docs: DataFrame, column: str = "text", group_bytes: int = GROUP_BYTES) -> int:
     """How many hash groups to deal ``docs`` into so that each stays small."""
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

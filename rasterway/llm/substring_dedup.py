@@ -16,7 +16,9 @@ starts earlier, in a document with a smaller id or before it in the same one.
 Defined results: null and empty texts have no words and keep none; rows that are
 equal in id and text count as one document and each gets its result; rows that
 share an id with other texts come in the order of a text hash; a null id comes
-before all others.  Columns beside id and text pass through untouched.
+before all others.  Texts of any length are parsed whole, in one task each; an empty
+table gives no row.  Columns beside id and text pass through untouched; those named
+n_words, n_removed or kept_text are replaced.
 """
 
 from __future__ import annotations
@@ -47,10 +49,13 @@ _PACKED = "to int, kind string, records binary"
 _SCHEMA = pa.schema([("to", pa.int32()), ("kind", pa.string()), ("records", pa.binary())])
 
 
-def _home(doc: np.ndarray, n: int) -> np.ndarray:
-    """The group of a document; the same for its rows and for records about it."""
-    doc = doc.astype(np.int64)
-    return ((doc ^ (doc >> 17)) % n).astype(np.int32)
+def _home(records: np.ndarray, n: int) -> np.ndarray:
+    """The group of a document; the same for its rows and for records about it.
+
+    It depends on the text, too, so that rows without an id, or with one id, spread.
+    """
+    doc = records["doc"].astype(np.int64)
+    return ((doc ^ (doc >> 17) ^ records["tie"].astype(np.int64)) % n).astype(np.int32)
 
 
 def _packed(parts: list[tuple[str, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -129,8 +134,8 @@ def _symbols(window: int, n: int):
             [
                 ("symbol", k, (k["key"] % np.uint64(n)).astype(np.int32)),
                 ("pair", p, (p["key"] % np.uint64(n)).astype(np.int32)),
-                ("repeated", points, _home(points["doc"], n)),
-                ("removed", ranges, _home(ranges["doc"], n)),
+                ("repeated", points, _home(points, n)),
+                ("removed", ranges, _home(ranges, n)),
             ]
         )
 
@@ -191,13 +196,13 @@ def _compare(n: int):
             twice[order[:-1]] |= same
             r = k[twice & (k["many"] == 0)]
             r = _records(_POINT, r["doc"], r["tie"], r["at"])
-            out.append(("repeated", r, _home(r["doc"], n)))
+            out.append(("repeated", r, _home(r, n)))
         for kind in ("pair", "window"):
             if kind in kinds:
                 p = S.unpack(kinds[kind], _SPAN)
                 r = p[_earlier(p, ["key", "key2"])]
                 r = _records(_RANGE, r["doc"], r["tie"], r["at"], len=r["len"])
-                out.append(("removed", r, _home(r["doc"], n)))
+                out.append(("removed", r, _home(r, n)))
         return pa.Table.from_batches([_packed(out)])
 
     return run
@@ -268,7 +273,7 @@ def _windows(window: int, n: int):
         gone = p[late]
         ranges = _records(_RANGE, gone["doc"], gone["tie"], gone["at"], len=gone["len"])
         p = p[~late]
-        out += [("removed", ranges, _home(ranges["doc"], n)), ("window", p, (p["key"] % np.uint64(n)).astype(np.int32))]
+        out += [("removed", ranges, _home(ranges, n)), ("window", p, (p["key"] % np.uint64(n)).astype(np.int32))]
         return pa.Table.from_batches([_packed(out)])
 
     return run
@@ -313,7 +318,8 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     records = docs.select("doc_id", "text").mapInArrow(_symbols(window, n), _PACKED)
     known = records.groupBy("to").applyInArrow(_compare(n), _PACKED)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    dealt = docs.withColumn("_home", F.pmod(doc.bitwiseXOR(F.shiftright(doc, 17)), F.lit(n)).cast("int"))
+    tie = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    dealt = docs.withColumn("_home", F.pmod(doc.bitwiseXOR(F.shiftright(doc, 17)).bitwiseXOR(tie), F.lit(n)).cast("int"))
     open_windows = dealt.groupBy("_home").cogroup(known.groupBy("to")).applyInArrow(_windows(window, n), _PACKED)
     decided = open_windows.groupBy("to").applyInArrow(_compare(n), _PACKED)
     return dealt.groupBy("_home").cogroup(decided.groupBy("to")).applyInArrow(_kept(columns), schema)

@@ -62,3 +62,11 @@ def test_items_without_an_id_hit(spark):
     items = spark.createDataFrame([(None, "one"), (None, "two"), (3, "one")], "item_id long, text string")
     got = sorted((r.doc_id, r.n_hit, r.item_ids, r.contaminated) for r in op.decontaminate(docs, items).collect())
     assert got == [(1, 2, ["3"], True), (2, 0, [], False)]
+
+
+def test_long_texts_with_many_occurrences(spark):
+    window = " ".join(f"k{i}" for i in range(10))
+    docs = spark.createDataFrame([(1, f"{window} gap " * 8000), (2, "a b " * 50_000)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, window), (8, window.upper())], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r.item_ids) for r in op.decontaminate(docs, items).collect()}
+    assert got == {1: (88_000, 80_000, ["7", "8"]), 2: (100_000, 0, [])}

@@ -75,3 +75,14 @@ def test_one_of_each_and_edge_cases(spark):
     out = op.one_of_each(df).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in out) == [(False, 1, "x y"), (False, 2, ""), (False, 3, ""), (True, 0, "a b c d e f")]
     assert op.classes(df.limit(0)).collect() == []
+
+
+def test_long_texts(spark):
+    rng = random.Random(4)
+    many = [f"w{rng.randrange(10**6)}" for _ in range(40_000)]
+    other = list(many)
+    for _ in range(300):
+        other[rng.randrange(len(other))] = "edited"
+    rows = [(1, " ".join(many)), (2, " ".join(other)), (3, " ".join(many[:20_000])), (4, " ".join(reversed(many)))]
+    got = {r.doc_id: r.class_id for r in op.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}

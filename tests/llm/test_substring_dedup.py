@@ -1,3 +1,5 @@
+import numpy as np
+import zlib
 import hashlib
 import random
 import re
@@ -60,3 +62,14 @@ def test_edge_cases(spark):
     assert sorted((r.doc_id is None, r.n_words, r.n_removed, r.kind) for r in out) == [(False, 30, 30, "l"), (False, 30, 30, "l"), (True, 30, 29, "k")]
     assert len(out) == 3
     assert run(spark, []) == {}
+
+
+def test_rows_without_an_id_spread_and_long_texts(spark):
+    rng = random.Random(9)
+    many = [f"w{rng.randrange(10**6)}" for _ in range(60_000)]
+    rows = [(None, f"null {k} " + " ".join(many[k * 40 : k * 40 + 40])) for k in range(30)] + [(5, " ".join(many)), (6, " ".join(many[100:400]) + " own end")]
+    out = op.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.n_words): r.n_removed for r in out}
+    assert got[6, 302] == 300 and got[5, 60_000] == 1200 and got[None, 42] == 0
+    homes = {int(op._home(op._records(op._POINT, np.array([-(2**63)]), np.array([zlib.crc32(t.encode())], np.uint32), np.array([0])), 65)[0]) for d, t in rows if d is None}
+    assert len(homes) > 10
