@@ -45,7 +45,7 @@ SMOOTHING = 0.01
 #: Documents whose words are looked up at once.
 ROWS = 512
 #: Words a worker remembers.
-CACHE = 300_000
+CACHE = 120_000
 #: Log-likelihoods count this much, since neighbouring words are not independent.
 TEMPER = 0.5
 
@@ -332,14 +332,8 @@ def _expected(rows: dict[str, int], codes: dict[str, int], prob):
     return run
 
 
-#: The last lattice that this process has built, with its vocabulary.
-_BUILT: list[tuple[dict, Lattice]] = []
-
-
 def _lattice(rows: dict[str, int]) -> Lattice:
-    if not _BUILT or _BUILT[0][0] != rows:
-        _BUILT[:] = [(rows, Lattice(rows))]
-    return _BUILT[0][1]
+    return S.kept(("lattice", len(rows), hash(tuple(rows))), lambda: Lattice(rows))
 
 
 def fit(training: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> Model:
@@ -366,17 +360,6 @@ def fit(training: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> M
     return Model(languages, rows, prob)
 
 
-#: The last model that this process has used, by name, with the words it has scored.
-_USED: dict[str, Model] = {}
-
-
-def _model(name: str, state) -> Model:
-    if name not in _USED:
-        _USED.clear()
-        _USED[name] = Model(*state.value)
-    return _USED[name]
-
-
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with lang_pred and score."""
     docs = docs.drop("lang_pred", "score")
@@ -385,7 +368,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "lang_pred string, score double"])
 
     def run(batches):
-        own = _model(name, state)
+        own = S.kept(("languages", name), lambda: Model(*state.value))
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)

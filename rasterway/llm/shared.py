@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,6 +22,21 @@ LEAST_GROUPS = 64
 CHUNK_BYTES = 2 << 20
 
 
+#: What this worker process keeps from task to task: one model or cache, that of the last operator.
+_KEPT: dict[tuple, Any] = {}
+
+
+def kept(key: tuple, build: Callable[[], Any]) -> Any:
+    """What ``build`` gives, made once a process as long as no other key is asked for.
+
+    Workers are used again by other operators; each drops what the one before has left.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
 def groups_for(docs: DataFrame, column: str = "text", group_bytes: int = GROUP_BYTES) -> int:
     """How many hash groups to deal ``docs`` into so that each stays small."""
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

@@ -206,14 +206,7 @@ class Encoder:
             yield i, out, np.append(0, ends + 1)
 
 
-#: The encoder of this worker process, by its vocabulary file.
-_OWN: dict[str, Encoder] = {}
-
-
 def encoder(path: str | None = None) -> Encoder:
     """The process's encoder, which keeps its words from task to task."""
     path = path or default_path()
-    if path not in _OWN:
-        _OWN.clear()
-        _OWN[path] = Encoder(path)
-    return _OWN[path]
+    return S.kept(("encoder", path), lambda: Encoder(path))

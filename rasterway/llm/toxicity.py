@@ -211,17 +211,6 @@ class Voters:
         return float(weight[:, 1].sum() / total) if total > 0 else float(self.votes[:, 1].sum() / max(self.votes.sum(), 1e-9))
 
 
-#: The last voters that this process has built, by the name of their model.
-_BUILT: dict[str, Voters] = {}
-
-
-def _voters(name: str, state) -> Voters:
-    if name not in _BUILT:
-        _BUILT.clear()
-        _BUILT[name] = Voters(*state.value)
-    return _BUILT[name]
-
-
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text, held_out): doc_id, held_out, score and evidence.
 
@@ -270,7 +259,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     name = uuid.uuid4().hex
 
     def raw(batches):
-        voters = _voters(name, state)
+        voters = S.kept(("voters", name), lambda: Voters(*state.value))
         for batch in batches:
             label = batch.column("label").to_pylist()
             out = [voters.share(*voters.neighbours(*_cells(v)), np.array([weight[0], 0]) if k == 0 else np.array([0, weight[1]])) for v, k in zip(batch.column("v").to_pylist(), label)]
@@ -279,7 +268,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     steps = calibration.fit(labelled.select("label", "v").mapInArrow(raw, "raw double, label int, weight double"), 0.0, 1.0)
 
     def final(batches):
-        voters = _voters(name, state)
+        voters = S.kept(("voters", name), lambda: Voters(*state.value))
         for batch in batches:
             for i, j, c, n, cuts in _cells_of(known_terms.value, batch.column("text")):
                 near = [voters.neighbours(c[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:])]
