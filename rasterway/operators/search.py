@@ -14,7 +14,7 @@ adds its own cost, cut off.  Among equal paths the smallest parent wins.
 
 from __future__ import annotations
 
-import heapq
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from rasterway.errors import ConfigError
 from rasterway.functions import expressions as X
 from rasterway.plans.scenario import Scenario, surface, transition_table, traversable
-from rasterway.storage import written
+from rasterway.storage import shared_dir, written
 
 ALGORITHMS = ("dijkstra", "astar", "long_range_dijkstra", "long_range_astar", "bidirectional_long_range_dijkstra")
 OFFSETS = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
@@ -105,13 +105,18 @@ def meeting(forward: DataFrame, backward: DataFrame) -> DataFrame:
 
 
 def _tiles(surf: DataFrame, size: int, noptions: int) -> DataFrame:
-    """(ti, tj, data): every tile with a border of one cell, packed."""
-    shifts = F.array([F.lit(x) for x in (-1, 0, 1)])
-    near = surf.where(traversable(10**6)).withColumn("_di", F.explode(shifts)).withColumn("_dj", F.explode(shifts))
+    """(ti, tj, data): every tile with a border of one cell, packed and in order of tiles.
+
+    A cell goes to its own tile, and to others only where it lies on its tile's edge.
+    """
+
+    def owners(at: str) -> Column:
+        r = F.expr(f"{at} % {size}")
+        return F.array_compact(F.array(F.lit(0), F.when(r == 0, F.lit(-1)), F.when(r == size - 1, F.lit(1))))
+
+    near = surf.where(traversable(10**6)).withColumn("_di", F.explode(owners("row"))).withColumn("_dj", F.explode(owners("col")))
     own_i, own_j = F.expr(f"row div {size}") + F.col("_di"), F.expr(f"col div {size}") + F.col("_dj")
-    near = near.select(own_i.cast("long").alias("ti"), own_j.cast("long").alias("tj"), "row", "col", "option", "cost", "inv", "driver", "soft_rank")
-    r, c = F.col("row") - F.col("ti") * size, F.col("col") - F.col("tj") * size
-    near = near.where(r.between(-1, size) & c.between(-1, size) & (F.col("ti") >= 0) & (F.col("tj") >= 0))
+    near = near.select(own_i.cast("long").alias("ti"), own_j.cast("long").alias("tj"), "row", "col", "option", "cost", "inv", "driver", "soft_rank").where("ti >= 0 AND tj >= 0")
 
     def packed(pdf: pd.DataFrame) -> pd.DataFrame:
         ti, tj = int(pdf.ti.iloc[0]), int(pdf.tj.iloc[0])
@@ -121,7 +126,8 @@ def _tiles(surf: DataFrame, size: int, noptions: int) -> DataFrame:
             data[k, i, j, o] = pdf[name].to_numpy()
         return pd.DataFrame({"ti": [ti], "tj": [tj], "data": [data.tobytes()]})
 
-    return near.groupBy("ti", "tj").applyInPandas(packed, "ti long, tj long, data binary")
+    # Ranges of tiles keep a tile together, and let a superstep skip files far from its messages.
+    return near.repartitionByRange("ti", "tj").groupBy("ti", "tj").applyInPandas(packed, "ti long, tj long, data binary")
 
 
 class _Tile:
@@ -132,86 +138,111 @@ class _Tile:
         cost, inv, driver, soft = np.frombuffer(data, np.float32).reshape(4, -1)
         self.weighed, self.entry, self.soft, self.switch = (cost * driver), (inv * driver), soft, switch
         self.steps = [((i * self.side + j) * noptions, CORNER if i and j else SIDE) for i, j in OFFSETS]
+        within = np.zeros((self.side, self.side, noptions), bool)
+        within[1:-1, 1:-1] = True
+        self.inside = within.ravel()
 
     def local(self, row: int, col: int, option: int) -> int:
         return ((row - self.ti * self.size + 1) * self.side + col - self.tj * self.size + 1) * self.n + option
 
-    def place(self, local: int) -> tuple[int, int, int]:
-        cell, option = divmod(local, self.n)
-        i, j = divmod(cell, self.side)
+    def place(self, local):
+        cell, option = np.divmod(local, self.n)
+        i, j = np.divmod(cell, self.side)
         return i - 1 + self.ti * self.size, j - 1 + self.tj * self.size, option
 
-    def number(self, local: int) -> int:
-        row, col, option = self.place(local)
-        return (row * self.ncols + col) * self.n + option
+    def settle(self, dist: np.ndarray, parent: np.ndarray, reached: list[tuple], goals: list[int], attempt: int, bound: int) -> tuple[np.ndarray, np.ndarray]:
+        """Relaxes from improved places; returns the border places that improved, and which of them by a step of no weight.
 
-    def inside(self, local: int) -> bool:
-        i, j = divmod(local // self.n, self.side)
-        return 0 < i <= self.size and 0 < j <= self.size
-
-    def settle(self, dist: np.ndarray, parent: np.ndarray, reached: list[tuple], attempt: int, bound: int) -> set[int]:
-        """Dijkstra from improved places; returns the border places that improved."""
-        heap, out = [], set()
-        for row, col, option, d, p in reached:
+        Places within one usual step of the nearest waiting one are relaxed together; one
+        that improves later waits again.  A step without weight never wins a tie, so
+        parents form no circle.
+        """
+        waiting, out, flat = (np.zeros(len(dist), bool) for _ in range(3))
+        for row, col, option, d, p, level in reached:
             at = self.local(row, col, option)
-            if d < dist[at] or d == dist[at] and p < parent[at]:
+            if d < dist[at] or d == dist[at] and p < parent[at] and not level:
+                waiting[at] = waiting[at] or d < dist[at]
                 dist[at], parent[at] = d, p
-                heapq.heappush(heap, (d, at))
-        weighed, entry, soft = self.weighed, self.entry, self.soft
-        while heap:
-            d, at = heapq.heappop(heap)
-            if d > dist[at] or d > bound or not self.inside(at) or soft[at] > attempt or np.isnan(weighed[at]):
-                continue
-            option, own = at % self.n, self.number(at)
-            for step, half in self.steps:
-                for other in range(self.n):
-                    to = at + step - option + other
-                    w = half * (weighed[at] + weighed[to]) + entry[to]
-                    if not w > 0 or not np.isfinite(w) or soft[to] > attempt:
-                        continue
-                    total = d + int(np.float32(w) * np.float32(10000)) + self.switch[option][other]
-                    if total < dist[to] or total == dist[to] and own < parent[to]:
-                        better = total < dist[to]
-                        dist[to], parent[to] = total, own
-                        if self.inside(to):
-                            if better:
-                                heapq.heappush(heap, (total, to))
-                        else:
-                            out.add(to)
-        return out
-
-
-_MESSAGE = "array<struct<row:int,col:int,option:int,d:bigint,p:bigint>>"
+        weighed, entry, inside = self.weighed, self.entry, self.inside
+        passable = ~(self.soft > attempt)
+        opened = inside & passable & ~np.isnan(weighed)
+        usual = weighed[opened]
+        width = max(1, int(min(float(np.median(usual)) * 10000, 2.0**52))) if len(usual) else 1
+        waiting &= opened
+        while True:
+            queue = np.flatnonzero(waiting)
+            if not len(queue):
+                break
+            d = dist[queue]
+            if goals:
+                bound = min(bound, int(dist[goals].min()))
+            low = d.min()
+            if low > bound:
+                break
+            queue = queue[(d <= low + width) & (d <= bound)]
+            waiting[queue] = False
+            for option in range(self.n):
+                act = queue[queue % self.n == option] if self.n > 1 else queue
+                if not len(act):
+                    continue
+                row, col, _ = self.place(act)
+                d, own, here = dist[act], (row * self.ncols + col) * self.n + option, weighed[act]
+                for step, half in self.steps:
+                    for other in range(self.n):
+                        to = act + (step - option + other)
+                        w = half * (here + weighed[to]) + entry[to]
+                        ok = (w > 0) & np.isfinite(w) & passable[to]
+                        units = np.where(ok, w * np.float32(10000), 0).astype(np.int64) + self.switch[option][other]
+                        total = d + units
+                        better = ok & (total < dist[to])
+                        hit = better | ok & (total == dist[to]) & (units > 0) & (own < parent[to])
+                        if not hit.any():
+                            continue
+                        at = to[hit]
+                        dist[at], parent[at], flat[at] = total[hit], own[hit], units[hit] == 0
+                        out[at] = True
+                        waiting[to[better]] = True
+            waiting &= opened
+        border = np.flatnonzero(out & ~inside)
+        return border, flat[border]
+
+
+_MESSAGE = "array<struct<row:int,col:int,option:int,d:bigint,p:bigint,level:boolean>>"
 _STATE = f"id long, ti long, tj long, dist binary, parent binary, goal struct<d:bigint,row:int,col:int,option:int>, out array<struct<ti:bigint,tj:bigint,m:{_MESSAGE}>>"
 _PLACE = [("row", pa.int32()), ("col", pa.int32()), ("option", pa.int32())]
-_OUT = pa.struct([("ti", pa.int64()), ("tj", pa.int64()), ("m", pa.list_(pa.struct([*_PLACE, ("d", pa.int64()), ("p", pa.int64())])))])
+_OUT = pa.struct([("ti", pa.int64()), ("tj", pa.int64()), ("m", pa.list_(pa.struct([*_PLACE, ("d", pa.int64()), ("p", pa.int64()), ("level", pa.bool_())])))])
 _STATE_ARROW = pa.schema([("id", pa.int64()), ("ti", pa.int64()), ("tj", pa.int64()), ("dist", pa.binary()), ("parent", pa.binary()), ("goal", pa.struct([("d", pa.int64()), *_PLACE])), ("out", pa.list_(_OUT))])
 _TRACE_ARROW = pa.schema([("id", pa.int64()), ("back", pa.int32()), *_PLACE, ("more", pa.bool_())])
 
 
+def _rows(batches):
+    """Rows one by one, so that a worker holds a single tile as objects of its own."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _settled(size: int, noptions: int, ncols: int, switch, attempt: int):
     """(id, tile) rows with messages, state and goals to new states and outgoing messages."""
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                tile = _Tile(r["data"], r["ti"], r["tj"], size, noptions, ncols, switch)
-                n = tile.side * tile.side * noptions
-                dist = np.full(n, NEVER) if r["dist"] is None else np.frombuffer(r["dist"], np.int64).copy()
-                parent = np.full(n, NEVER) if r["parent"] is None else np.frombuffer(r["parent"], np.int64).copy()
-                bound = NEVER - 1 if r["bound"] is None else r["bound"]
-                reached = [(m["row"], m["col"], m["option"], m["d"], m["p"]) for some in r["messages"] for m in some]
-                border: dict[tuple[int, int], list] = {}
-                for at in sorted(tile.settle(dist, parent, reached, attempt, bound)):
-                    row, col, option = tile.place(at)
-                    if dist[at] <= bound and row >= 0 and col >= 0:
-                        border.setdefault((row // size, col // size), []).append({"row": row, "col": col, "option": option, "d": int(dist[at]), "p": int(parent[at])})
-                goals = [{"d": int(dist[tile.local(g["row"], g["col"], g["option"])]), **g} for g in r["goals"] or []]
-                goal = min((g for g in goals if g["d"] < NEVER), key=lambda g: (g["d"], g["row"], g["col"], g["option"]), default=None)
-                out = [{"ti": i, "tj": j, "m": m} for (i, j), m in border.items()]
-                rows.append({"id": r["id"], "ti": r["ti"], "tj": r["tj"], "dist": dist.tobytes(), "parent": parent.tobytes(), "goal": goal, "out": out})
-            yield pa.RecordBatch.from_pylist(rows, schema=_STATE_ARROW)
+        for r in _rows(batches):
+            tile = _Tile(r["data"], r["ti"], r["tj"], size, noptions, ncols, switch)
+            n = tile.side * tile.side * noptions
+            dist = np.full(n, NEVER) if r["dist"] is None else np.frombuffer(r["dist"], np.int64).copy()
+            parent = np.full(n, NEVER) if r["parent"] is None else np.frombuffer(r["parent"], np.int64).copy()
+            bound = NEVER - 1 if r["bound"] is None else r["bound"]
+            reached = [(m["row"], m["col"], m["option"], m["d"], m["p"], m["level"]) for some in r["messages"] for m in some]
+            ends = {tile.local(g["row"], g["col"], g["option"]): g for g in r["goals"] or []}
+            border: dict[tuple[int, int], list] = {}
+            at, level = tile.settle(dist, parent, reached, list(ends), attempt, bound)
+            for row, col, option, d, p, even in zip(*(x.tolist() for x in tile.place(at)), dist[at].tolist(), parent[at].tolist(), level.tolist()):
+                if d <= bound and row >= 0 and col >= 0:
+                    border.setdefault((row // size, col // size), []).append({"row": row, "col": col, "option": option, "d": d, "p": p, "level": even})
+            goals = [{"d": int(dist[k]), **g} for k, g in ends.items()]
+            goal = min((g for g in goals if g["d"] < NEVER), key=lambda g: (g["d"], g["row"], g["col"], g["option"]), default=None)
+            out = [{"ti": i, "tj": j, "m": m} for (i, j), m in border.items()]
+            yield pa.RecordBatch.from_pylist([{"id": r["id"], "ti": r["ti"], "tj": r["tj"], "dist": dist.tobytes(), "parent": parent.tobytes(), "goal": goal, "out": out}], schema=_STATE_ARROW)
 
     return run
 
@@ -220,23 +251,21 @@ def _traced(size: int, noptions: int, ncols: int):
     """Follows parents inside one tile: path cells, and where the path goes on."""
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                parent = np.frombuffer(r["parent"], np.int64)
-                ti, tj, back, more = r["ti"], r["tj"], r["back"], False
-                row, col, option = r["row"], r["col"], r["option"]
-                while True:
-                    rows.append({"id": r["id"], "back": back, "row": row, "col": col, "option": option, "more": more})
-                    if more:
-                        break
-                    p = int(parent[((row - ti * size + 1) * (size + 2) + col - tj * size + 1) * noptions + option])
-                    if p < 0 or p == NEVER:
-                        break
-                    cell, option = divmod(p, noptions)
-                    row, col = divmod(cell, ncols)
-                    back += 1
-                    more = (row // size, col // size) != (ti, tj)
+        for r in _rows(batches):
+            parent, rows = np.frombuffer(r["parent"], np.int64), []
+            ti, tj, back, more = r["ti"], r["tj"], r["back"], False
+            row, col, option = r["row"], r["col"], r["option"]
+            while True:
+                rows.append({"id": r["id"], "back": back, "row": row, "col": col, "option": option, "more": more})
+                if more:
+                    break
+                p = int(parent[((row - ti * size + 1) * (size + 2) + col - tj * size + 1) * noptions + option])
+                if p < 0 or p == NEVER:
+                    break
+                cell, option = divmod(p, noptions)
+                row, col = divmod(cell, ncols)
+                back += 1
+                more = (row // size, col // size) != (ti, tj)
             yield pa.RecordBatch.from_pylist(rows, schema=_TRACE_ARROW)
 
     return run
@@ -246,40 +275,77 @@ def _tile_of(size: int) -> list[Column]:
     return [F.expr(f"row div {size}").alias("ti"), F.expr(f"col div {size}").alias("tj")]
 
 
-def _attempt(tiles: DataFrame, starts: DataFrame, goals: DataFrame, size: int, noptions: int, ncols: int, switch, attempt: int) -> tuple[DataFrame, DataFrame]:
-    """(state, best goals) of one attempt for ``starts`` (id, row, col, option)."""
-    place = F.struct(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("option").cast("int").alias("option"), F.lit(0).cast("bigint").alias("d"), F.lit(-1).cast("bigint").alias("p"))
+@dataclass
+class _States:
+    """Settled tiles: a table a superstep, and an index of the superstep that touched a tile last.
+
+    Only the index (no distances, no parents) is written anew in a superstep.
+    """
+
+    path: str
+    index: DataFrame | None = None
+
+    def read(self, spark, steps: list[int], columns: list[str]) -> DataFrame:
+        """Tiles of these supersteps; the others' files are not opened."""
+        return spark.read.schema(f"{_STATE}, superstep int").option("basePath", self.path).parquet(*[f"{self.path}/superstep={k}" for k in steps]).select("id", "ti", "tj", "superstep", *columns)
+
+    def add(self, states: DataFrame, k: int) -> DataFrame:
+        states.write.parquet(f"{self.path}/superstep={k}")
+        touched = self.read(states.sparkSession, [k], ["goal", "out"])
+        now = touched.select("id", "ti", "tj", "superstep", "goal")
+        keys = ["id", "ti", "tj"]
+        self.index = written(now if self.index is None else now.unionByName(self.index.join(now.select(*keys), keys, "left_anti")))
+        return touched
+
+
+def _attempt(tiles: DataFrame, starts: DataFrame, goals: DataFrame, size: int, noptions: int, ncols: int, switch, attempt: int) -> tuple[_States, DataFrame]:
+    """(states, best goals) of one attempt for ``starts`` (id, row, col, option)."""
+    spark, keys = tiles.sparkSession, ["id", "ti", "tj"]
+    states = _States(shared_dir(spark))
+    place = F.struct(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("option").cast("int").alias("option"), F.lit(0).cast("bigint").alias("d"), F.lit(-1).cast("bigint").alias("p"), F.lit(False).alias("level"))
     messages = starts.select("id", *_tile_of(size), F.array(place).alias("m"))
-    wanted = goals.groupBy("id", *_tile_of(size)).agg(F.collect_set(F.struct("row", "col", "option")).alias("goals"))
-    state = best = None
+    wanted = written(goals.groupBy("id", *_tile_of(size)).agg(F.collect_set(F.struct("row", "col", "option")).alias("goals")))
+    best, k = None, 0
     while True:
-        inbox = messages.groupBy("id", "ti", "tj").agg(F.collect_list("m").alias("messages"))
-        ready = inbox.join(tiles, ["ti", "tj"]).join(wanted, ["id", "ti", "tj"], "left")
-        if state is None:
-            ready = ready.withColumn("dist", F.lit(None).cast("binary")).withColumn("parent", F.lit(None).cast("binary")).withColumn("bound", F.lit(None).cast("bigint"))
+        called = messages.select(*keys)
+        called = called.withColumn("superstep", F.lit(None).cast("int")) if best is None else called.join(states.index.select(*keys, "superstep"), keys, "left")
+        # Five numbers: which tiles and which earlier supersteps this one has to open.
+        seen = called.agg(F.min("ti").alias("i0"), F.max("ti").alias("i1"), F.min("tj").alias("j0"), F.max("tj").alias("j1"), F.collect_set("superstep").alias("steps")).first()
+        if seen.i0 is None:
+            if best is None:
+                best = spark.createDataFrame([], "id long, goal struct<d:bigint,row:int,col:int,option:int>")
+                states.index = spark.createDataFrame([], "id long, ti long, tj long, superstep int, goal struct<d:bigint,row:int,col:int,option:int>")
+            return states, written(best)
+        inbox = messages.groupBy(*keys).agg(F.collect_list("m").alias("messages"))
+        near = tiles.where(F.col("ti").between(seen.i0, seen.i1) & F.col("tj").between(seen.j0, seen.j1))
+        ready = inbox.join(near, ["ti", "tj"]).join(wanted, keys, "left")
+        if seen.steps:
+            known = states.read(spark, sorted(seen.steps), ["dist", "parent"])
+            ready = ready.join(states.index.select(*keys, "superstep"), keys, "left").join(known, [*keys, "superstep"], "left")
         else:
-            ready = ready.join(state.select("id", "ti", "tj", "dist", "parent"), ["id", "ti", "tj"], "left").join(best.select("id", F.col("goal.d").alias("bound")), "id", "left")
-        ready = ready.select("id", "ti", "tj", "data", "messages", "goals", "dist", "parent", "bound")
-        touched = written(ready.mapInArrow(_settled(size, noptions, ncols, switch, attempt), _STATE))
-        now = touched.select("id", "ti", "tj", "dist", "parent", "goal")
-        state = now if state is None else written(now.unionByName(state.join(now.select("id", "ti", "tj"), ["id", "ti", "tj"], "left_anti")))
-        best = state.where("goal IS NOT NULL").groupBy("id").agg(F.min("goal").alias("goal"))
+            ready = ready.withColumn("dist", F.lit(None).cast("binary")).withColumn("parent", F.lit(None).cast("binary"))
+        ready = ready.withColumn("bound", F.lit(None).cast("bigint")) if best is None else ready.join(best.select("id", F.col("goal.d").alias("bound")), "id", "left")
+        ready = ready.select(*keys, "data", "messages", "goals", "dist", "parent", "bound")
+        touched = states.add(ready.mapInArrow(_settled(size, noptions, ncols, switch, attempt), _STATE), k)
+        best = states.index.where("goal IS NOT NULL").groupBy("id").agg(F.min("goal").alias("goal"))
         messages = touched.select("id", F.explode("out").alias("o")).select("id", "o.ti", "o.tj", "o.m")
-        if not messages.limit(1).count():
-            return state, written(best)
+        k += 1
 
 
-def _paths(state: DataFrame, best: DataFrame, size: int, noptions: int, ncols: int) -> DataFrame:
+def _paths(states: _States, best: DataFrame, size: int, noptions: int, ncols: int) -> DataFrame:
     """(id, back, row, col, option): cells from the goal, back = 0, to the start."""
+    spark, keys = best.sparkSession, ["id", "ti", "tj"]
     done: list[DataFrame] = []
     ahead = best.select("id", "goal.row", "goal.col", "goal.option", F.lit(0).alias("back"))
     while True:
-        ready = ahead.select("id", "row", "col", "option", "back", *_tile_of(size)).join(state.select("id", "ti", "tj", "parent"), ["id", "ti", "tj"])
+        at = ahead.select("id", "row", "col", "option", "back", *_tile_of(size)).join(states.index.select(*keys, "superstep"), keys)
+        steps = sorted(r.superstep for r in at.select("superstep").distinct().collect())
+        if not steps:
+            return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], "id long, back int, row int, col int, option int")
+        ready = at.join(states.read(spark, steps, ["parent"]), [*keys, "superstep"]).drop("superstep")
         step = written(ready.mapInArrow(_traced(size, noptions, ncols), "id long, back int, row int, col int, option int, more boolean"))
         done.append(step.where("NOT more").drop("more"))
         ahead = step.where("more").select("id", "row", "col", "option", "back")
-        if not ahead.limit(1).count():
-            return reduce(DataFrame.unionByName, done)
 
 
 def find_paths(cells: DataFrame, s: Scenario, starts: DataFrame, ends: DataFrame, ncols: int, tile: int = TILE, name: str = "long_range_dijkstra") -> tuple[DataFrame, DataFrame]:
@@ -304,11 +370,11 @@ def find_paths(cells: DataFrame, s: Scenario, starts: DataFrame, ends: DataFrame
     for attempt in range(len(s.soft_groups) + 1):
         allowed = unsolved.join(surf.where(traversable(attempt) & (F.col("cost") > 0)).select("row", "col", "option"), ["row", "col", "option"], "left_semi")
         goals = allowed.select("id", "route_id").join(ends, "route_id").select("id", "row", "col", "option")
-        state, best = _attempt(tiles, allowed.select("id", "row", "col", "option"), goals, tile, n, ncols, switch, attempt)
+        states, best = _attempt(tiles, allowed.select("id", "row", "col", "option"), goals, tile, n, ncols, switch, attempt)
         dropped = F.array([F.lit(x) for x in s.dropped(attempt)]).cast("array<string>")
         found = unsolved.join(best, "id")
         solutions.append(found.select("id", "route_id", F.col("row").alias("start_row"), F.col("col").alias("start_col"), F.col("option").alias("start_option"), F.col("goal.row").alias("end_row"), F.col("goal.col").alias("end_col"), F.col("goal.option").alias("end_option"), X.from_fixed_point(F.col("goal.d")).alias("objective"), F.col("goal.d").alias("cost_units"), dropped.alias("dropped")))
-        steps.append(_paths(state, best, tile, n, ncols))
+        steps.append(_paths(states, best, tile, n, ncols))
         unsolved = written(unsolved.join(best, "id", "left_anti"))
         if not unsolved.limit(1).count():
             break
