@@ -1,4 +1,8 @@
-"""Plane geometry as column expressions, on rings and lines given as arrays of (x, y) structs."""
+"""Plane geometry as column expressions, on rings and lines given as arrays of (x, y) structs.
+
+A shape of several parts (polygons with holes, multi-polygons, multi-lines) is one array
+with a null between two parts; outer rings run against the clock, holes with it.
+"""
 
 from __future__ import annotations
 
@@ -17,11 +21,51 @@ def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.array(point(x0, y0), point(x1, y0), point(x1, y1), point(x0, y1), point(x0, y0))
 
 
+def joined(parts: Column) -> Column:
+    """One array of the points of all parts, with a null between two parts."""
+    gap = F.array(F.lit(None).cast("struct<x:double,y:double>"))
+    return F.when(F.size(parts) > 0, F.flatten(F.transform(parts, lambda p, i: F.when(i > 0, F.concat(gap, p)).otherwise(p))))
+
+
+def parts(points: Column) -> Column:
+    """The parts of a shape, each an array of points."""
+    gaps = F.filter(F.sequence(F.lit(1), F.greatest(F.size(points), F.lit(1))), lambda i: F.get(points, i - 1).isNull())
+    first, last = F.concat(F.array(F.lit(0)), gaps), F.concat(gaps, F.array(F.size(points) + 1))
+    cuts = F.arrays_zip(first.alias("a"), last.alias("b"))
+    return F.filter(F.transform(cuts, lambda c: F.slice(points, c["a"] + 1, c["b"] - c["a"] - 1)), lambda p: F.size(p) > 0)
+
+
+def turned(ring: Column, hole: Column) -> Column:
+    """A ring against the clock, or with it for a hole."""
+    return F.when((signed_area(ring) < 0) != hole, F.reverse(ring)).otherwise(ring)
+
+
 def parse_wkt(text: Column) -> Column:
-    """Points of a LINESTRING, POLYGON (outer ring alone) or POINT as an array."""
-    body = F.regexp_extract(text, r"\(+([^()]*)", 1)
+    """Points of a POINT, LINESTRING, POLYGON or a MULTI of them; several parts are parted by nulls."""
     xy = lambda t: F.split(F.trim(t), r"\s+")
-    return F.transform(F.split(body, ","), lambda t: F.struct(xy(t)[0].cast("double").alias("x"), xy(t)[1].cast("double").alias("y")))
+    points = lambda body: F.transform(F.split(body, ","), lambda t: F.struct(xy(t)[0].cast("double").alias("x"), xy(t)[1].cast("double").alias("y")))
+    # An outer ring opens with one bracket more than a hole.
+    bodies = F.regexp_extract_all(text, F.lit(r"(\(?)\(([^()]+)\)"), F.lit(2))
+    outer = F.regexp_extract_all(text, F.lit(r"(\(?)\(([^()]+)\)"), F.lit(1))
+    areal = F.upper(text).rlike(r"^\s*(MULTI)?POLYGON")
+    rings = F.transform(bodies, lambda body, i: bound(points(body), lambda p: F.when(areal, turned(p, F.get(outer, i) == "")).otherwise(p)))
+    return joined(rings)
+
+
+def parse_geojson(kind: Column, coordinates: Column) -> Column:
+    """Points of a GeoJSON geometry by its type and the JSON text of its coordinates, as ``parse_wkt`` gives them."""
+    xy = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
+    line = lambda part: F.transform(part, xy)
+    rings = lambda polygon: F.transform(polygon, lambda r, i: bound(line(r), lambda p: turned(p, i > 0)))
+    read = lambda depth: F.from_json(coordinates, "array<" * depth + "double" + ">" * depth)
+    return (
+        F.when(kind == "Point", F.array(xy(read(1))))
+        .when(kind == "LineString", line(read(2)))
+        .when(kind == "MultiPoint", joined(F.transform(read(2), lambda p: F.array(xy(p)))))
+        .when(kind == "MultiLineString", joined(F.transform(read(3), line)))
+        .when(kind == "Polygon", joined(rings(read(3))))
+        .when(kind == "MultiPolygon", joined(F.flatten(F.transform(read(4), rings))))
+    )
 
 
 def to_wkt(points: Column, kind: str = "LINESTRING") -> Column:
@@ -30,8 +74,9 @@ def to_wkt(points: Column, kind: str = "LINESTRING") -> Column:
 
 
 def sides(points: Column) -> Column:
-    """Consecutive pairs (a, b)."""
-    return F.arrays_zip(F.slice(points, F.lit(1), F.size(points) - 1).alias("a"), F.slice(points, F.lit(2), F.size(points) - 1).alias("b"))
+    """Consecutive pairs (a, b) within the parts."""
+    pairs = F.arrays_zip(F.slice(points, F.lit(1), F.greatest(F.size(points) - 1, F.lit(0))).alias("a"), F.slice(points, F.lit(2), F.greatest(F.size(points) - 1, F.lit(0))).alias("b"))
+    return F.filter(pairs, lambda s: s["a"].isNotNull() & s["b"].isNotNull())
 
 
 def contains(ring: Column, x: Column, y: Column) -> Column:
@@ -64,9 +109,14 @@ def polygon_distance(x: Column, y: Column, ring: Column) -> Column:
     return F.when(contains(ring, x, y), 0.0).otherwise(line_distance(x, y, ring))
 
 
+def signed_area(ring: Column) -> Column:
+    """Shoelace area, positive against the clock."""
+    return F.aggregate(sides(ring), F.lit(0.0), lambda acc, s: acc + s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"]) / 2
+
+
 def area(ring: Column) -> Column:
-    """Shoelace area."""
-    return F.abs(F.aggregate(sides(ring), F.lit(0.0), lambda acc, s: acc + s["a"]["x"] * s["b"]["y"] - s["b"]["x"] * s["a"]["y"])) / 2
+    """Area of all parts, less that of the holes."""
+    return F.abs(signed_area(ring))
 
 
 def centroid(ring: Column) -> Column:
@@ -75,7 +125,8 @@ def centroid(ring: Column) -> Column:
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     add = lambda acc, s: F.struct((acc["a"] + cross(s)).alias("a"), (acc["x"] + (s["a"]["x"] + s["b"]["x"]) * cross(s)).alias("x"), (acc["y"] + (s["a"]["y"] + s["b"]["y"]) * cross(s)).alias("y"))
     total = F.aggregate(sides(ring), zero, add)
-    mean = lambda k: F.aggregate(ring, F.lit(0.0), lambda acc, p: acc + p[k]) / F.size(ring)
+    real = F.filter(ring, lambda p: p.isNotNull())
+    mean = lambda k: F.aggregate(real, F.lit(0.0), lambda acc, p: acc + p[k]) / F.size(real)
     flat = total["a"] == 0
     return F.when(flat, F.struct(mean("x").alias("x"), mean("y").alias("y"))).otherwise(F.struct((total["x"] / (3 * F.when(~flat, total["a"]))).alias("x"), (total["y"] / (3 * F.when(~flat, total["a"]))).alias("y")))
 
@@ -111,10 +162,12 @@ def clipped_area(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -
         closed = lambda out: F.when(F.size(out) > 0, F.concat(out, F.slice(out, 1, 1))).otherwise(out)
         return bound(points, lambda p: bound(F.flatten(F.transform(sides(p), step)), closed))
 
-    points = ring
-    for axis, limit, above in (("x", x0, True), ("x", x1, False), ("y", y0, True), ("y", y1, False)):
-        points = clip(points, axis, limit, above)
-    return bound(points, lambda p: F.when(F.size(p) > 3, area(p)).otherwise(0.0))
+    def clipped(points: Column) -> Column:
+        for axis, limit, above in (("x", x0, True), ("x", x1, False), ("y", y0, True), ("y", y1, False)):
+            points = clip(points, axis, limit, above)
+        return bound(points, lambda p: F.when(F.size(p) > 3, signed_area(p)).otherwise(0.0))
+
+    return F.abs(F.aggregate(F.transform(parts(ring), clipped), F.lit(0.0), lambda acc, x: acc + x))
 
 
 def touches_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:

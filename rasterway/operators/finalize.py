@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterway.errors import ConfigError, MissingLayerError
+from rasterway.grid import Grid
+from rasterway.operators.zonal import crossed_cells
 
 MILE_KM = 1.609344
 # Lengths in km up to which routes cost more, and by how much.
@@ -71,6 +73,17 @@ def dissolved(features: DataFrame, key: str, geometry: str = "wkt", order: list[
     return out.select(key, *(F.col(f"_first.`{c}`").alias(c) for c in rest), geometry)
 
 
+def end_cells(routes: DataFrame, features: DataFrame, key: str, grid: Grid) -> DataFrame:
+    """(row, col, ``key``) of end cells of routes that features (``key``, points) pass through.
+
+    A buffer of 1.1 diagonals around the centre of an end cell holds all of that cell, so
+    of what lies in the buffers just the features through the end cells decide.
+    """
+    ends = routes.select(F.col("end_row").alias("row"), F.col("end_col").alias("col")).distinct()
+    at = crossed_cells(features.select(F.col(key).alias("id"), F.col("points").alias("ring")), grid)
+    return at.join(ends, ["row", "col"], "left_semi").select("row", "col", F.col("id").alias(key)).distinct()
+
+
 def with_features(routes: DataFrame, feature_cells: DataFrame, features: DataFrame, key: str, suffix: str = "_trans") -> DataFrame:
     """Routes with the feature whose cells hold their end, then that feature's attributes.
 

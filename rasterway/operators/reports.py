@@ -7,7 +7,6 @@ any identification of routes works.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,14 +38,14 @@ def sampled(steps: DataFrame, cells: DataFrame, layers: list[str]) -> DataFrame:
 
 
 def option_metrics(measured: DataFrame, cells: DataFrame, s: Scenario, keys: list[str], grid: Grid) -> DataFrame:
-    """Per route and option crossed: cost (without transitions) and length_km.  ``measured`` has len."""
-    parts = []
-    for i, name in enumerate(s.names):
-        cost, inv = report_costs(s, name)
-        values = cells.select("row", "col", cost.alias("_c"), inv.alias("_i"))
-        own = measured.where(F.col("option") == i).join(values, ["row", "col"])
-        parts.append(own.groupBy(*keys).agg(F.lit(name).alias("option_name"), (F.sum(F.col("_c") * F.col("len")) + F.sum("_i")).alias("cost"), (F.sum("len") * F.lit(grid.cell) / 1000).alias("length_km")))
-    return reduce(DataFrame.unionByName, parts)
+    """Per route and option crossed: cost (without transitions) and length_km, in one join.  ``measured`` has len."""
+    costs = [report_costs(s, n) for n in s.names]
+    values = cells.select("row", "col", F.array(*(c for c, _ in costs)).alias("_c"), F.array(*(i for _, i in costs)).alias("_i"))
+    at = measured.where(F.col("option").between(0, len(s.names) - 1)).join(values, ["row", "col"])
+    own = lambda c: F.get(F.col(c), F.col("option"))
+    by = at.groupBy(*keys, "option").agg((F.sum(own("_c") * F.col("len")) + F.sum(own("_i"))).alias("cost"), (F.sum("len") * F.lit(grid.cell) / 1000).alias("length_km"))
+    name = F.get(F.array(*(F.lit(n) for n in s.names)), F.col("option"))
+    return by.select(*keys, name.alias("option_name"), "cost", "length_km")
 
 
 def transition_costs(steps: DataFrame, s: Scenario, keys: list[str]) -> DataFrame:
@@ -61,14 +60,19 @@ def transition_costs(steps: DataFrame, s: Scenario, keys: list[str]) -> DataFram
     return changed.groupBy(*keys).agg(F.sum(F.when(F.col("_b").isNotNull(), cost).otherwise(0.0)).alias("total_transition_costs"))
 
 
+def _along(value: Column, grid: Grid, invariant: bool, method: str | None) -> dict[str, Column]:
+    """Aggregates of one layer's values along a route: one by name, or cost and length_km where it is positive."""
+    if method:
+        return {method: X.aggregate(method)(value).cast("float")}
+    cost = value if invariant else value * F.col("len")
+    length = F.sum(F.when(value > 0, F.col("len")).otherwise(0.0)) * F.lit(grid.cell) / 1000
+    return {"cost": F.sum(cost).cast("float"), "length_km": length.cast("float")}
+
+
 def layer_along(measured: DataFrame, cells: DataFrame, value: Column, keys: list[str], grid: Grid, invariant: bool = False, method: str | None = None) -> DataFrame:
     """One layer along routes: cost and length_km where it is positive, or one aggregate."""
     at = measured.join(cells.select("row", "col", value.alias("_v")), ["row", "col"])
-    if method:
-        return at.groupBy(*keys).agg(X.aggregate(method)("_v").cast("float").alias(method))
-    cost = F.col("_v") if invariant else F.col("_v") * F.col("len")
-    length = F.sum(F.when(F.col("_v") > 0, F.col("len")).otherwise(0.0)) * F.lit(grid.cell) / 1000
-    return at.groupBy(*keys).agg(F.sum(cost).cast("float").alias("cost"), length.cast("float").alias("length_km"))
+    return at.groupBy(*keys).agg(*(x.alias(n) for n, x in _along(F.col("_v"), grid, invariant, method).items()))
 
 
 def tracked(s: Scenario) -> list[tuple[str, str, Column, bool, str | None]]:
@@ -96,24 +100,31 @@ def slug(text: str) -> str:
 
 
 def route_table(solutions: DataFrame, steps: DataFrame, cells: DataFrame, s: Scenario, grid: Grid, attributes: DataFrame | None = None) -> DataFrame:
-    """One wide row a route: ends, objective, totals, per option and per layer, and attributes by left join."""
+    """One wide row a route: ends, objective, totals, per option and per layer, and attributes by left join.
+
+    Steps meet the cells once, with the costs of all options and all reported layers.
+    """
     keys = ["route_id", "start_row", "start_col", "start_option"]
-    measured = travel_lengths(steps, keys)
-    by_option = option_metrics(measured, cells, s, keys, grid)
-    wide = by_option.groupBy(*keys).agg(
-        F.sum("cost").alias("_cost"), F.sum("length_km").alias("length_km"),
-        *[x for n in s.names for x in (F.coalesce(F.sum(F.when(F.col("option_name") == n, F.col("cost"))), F.lit(0.0)).alias(f"{slug(n)}_cost"), F.coalesce(F.sum(F.when(F.col("option_name") == n, F.col("length_km"))), F.lit(0.0)).alias(f"{slug(n)}_length_km"))],
+    costs, layers = [report_costs(s, n) for n in s.names], tracked(s)
+    values = cells.select(
+        "row", "col",
+        *(x.alias(f"_{kind}{i}") for i, pair in enumerate(costs) for kind, x in zip("ci", pair)),
+        *(value.alias(f"_v{k}") for k, (_, _, value, _, _) in enumerate(layers)),
     )
+    at = travel_lengths(steps, keys).select(*keys, "row", "col", "option", "len").join(values, ["row", "col"])
+    own = lambda i, c: F.when(F.col("option") == i, c)
+    some = {}
+    for i, n in enumerate(s.names):
+        cost = F.coalesce(F.sum(own(i, F.col(f"_c{i}") * F.col("len"))) + F.sum(own(i, F.col(f"_i{i}"))), F.lit(0.0))
+        some |= {f"{slug(n)}_cost": cost, f"{slug(n)}_length_km": F.coalesce(F.sum(own(i, F.col("len"))), F.lit(0.0)) * F.lit(grid.cell) / 1000}
+    for k, (option, name, _, invariant, method) in enumerate(layers):
+        found = _along(own(s.names.index(option), F.col(f"_v{k}")), grid, invariant, method)
+        some |= {f"{slug(name)}_{slug(option)}_{n}": x if method else F.coalesce(x, F.lit(0.0).cast("float")) for n, x in found.items()}
+    wide = at.groupBy(*keys).agg(*(x.alias(n) for n, x in some.items()))
+    total = lambda kind: X.total([F.col(f"{slug(n)}_{kind}") for n in s.names])
+    wide = wide.withColumn("_cost", total("cost")).withColumn("length_km", total("length_km"))
     out = solutions.join(wide, keys).join(transition_costs(steps, s, keys), keys)
     out = out.withColumn("cost", F.col("_cost") + F.col("total_transition_costs")).drop("_cost")
-    for option, name, value, invariant, method in tracked(s):
-        own = measured.where(F.col("option") == s.names.index(option))
-        found = layer_along(own, cells, value, keys, grid, invariant, method)
-        stem = f"{slug(name)}_{slug(option)}"
-        names = {method: f"{stem}_{method}"} if method else {"cost": f"{stem}_cost", "length_km": f"{stem}_length_km"}
-        out = out.join(found.withColumnsRenamed(names), keys, "left")
-        if not method:
-            out = out.na.fill(0.0, list(names.values()))
     out = out.withColumn("poi_lat", grid.y(F.col("start_row"))).withColumn("poi_lon", grid.x(F.col("start_col")))
     out = out.withColumn("dropped_barrier_layers", F.when(F.size("dropped") > 0, F.to_json("dropped"))).drop("dropped")
     if attributes is not None:

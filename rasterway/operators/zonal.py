@@ -1,12 +1,14 @@
 """Statistics of raster values by zone.
 
-Zones (id and a ring of points) meet cells in two steps that stay distributed: a zone
-lists the cells of its bounding box, and an equi-join brings their values.  Only the
-geometry test decides about a cell; sums, counts and percentiles are Spark's own.
+Zones (id and a ring of points) meet cells in steps that stay distributed: a zone lists
+the squares of its bounding box, drops those outside, takes those inside whole and tests
+the cells of those on its border; an equi-join brings the values.  Sums, counts and
+percentiles are Spark's own.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -19,6 +21,8 @@ from rasterway.grid import Grid, empty
 
 DEFAULT = ("count", "min", "max", "mean")
 BASIC = ("count", "min", "max", "mean", "sum", "std", "median", "majority", "minority", "unique", "range", "nodata", "pixel_count")
+#: Cells along a side of the squares that zones are cut into before single cells are tested.
+SQUARE = 32
 FRACTIONAL = ("fractional_pixel_count", "fractional_area", "value_multiplied_by_fractional_area")
 
 
@@ -53,47 +57,81 @@ def parse_stats(stats=None) -> Stats:
     return out
 
 
+def _squares(boxed: DataFrame, grid: Grid) -> DataFrame:
+    """``boxed`` (_r0, _r1, _c0, _c1) by squares of its cells: _i, _j and the edges _x0, _y0, _x1, _y1."""
+    span = lambda a, b: F.explode(F.sequence(F.expr(f"{a} div {SQUARE}"), F.expr(f"{b} div {SQUARE}")))
+    out = boxed.withColumn("_i", span("_r0", "_r1")).withColumn("_j", span("_c0", "_c1"))
+    xs = [grid.x(F.col("_j") * SQUARE + k) for k in (0, SQUARE - 1)]
+    ys = [grid.y(F.col("_i") * SQUARE + k) for k in (0, SQUARE - 1)]
+    w, h = abs(grid.a) / 2, abs(grid.e) / 2
+    return out.withColumns({"_x0": F.least(*xs) - w, "_x1": F.greatest(*xs) + w, "_y0": F.least(*ys) - h, "_y1": F.greatest(*ys) + h})
+
+
+def _cells_of(squares: DataFrame) -> DataFrame:
+    """The cells (row, col) of squares within the box they were cut from."""
+    low = lambda at, first: F.greatest(F.col(at) * SQUARE, F.col(first))
+    high = lambda at, last: F.least(F.col(at) * SQUARE + SQUARE - 1, F.col(last))
+    rows = squares.withColumn("row", F.explode(F.sequence(low("_i", "_r0"), high("_i", "_r1")).cast("array<int>")))
+    return rows.withColumn("col", F.explode(F.sequence(low("_j", "_c0"), high("_j", "_c1")).cast("array<int>")))
+
+
+def _boxed(shapes: DataFrame, grid: Grid, x0: Column, y0: Column, x1: Column, y1: Column) -> DataFrame:
+    """``shapes`` that have cells of the grid in their box, with its first and last rows and columns."""
+    r, c = [grid.row_of(y1), grid.row_of(y0)], [grid.col_of(x0), grid.col_of(x1)]
+    first, last = lambda k: F.greatest(F.least(*k), F.lit(0)), lambda k, n: F.least(F.greatest(*k), F.lit(n - 1))
+    return shapes.withColumns({"_r0": first(r), "_r1": last(r, grid.nrows), "_c0": first(c), "_c1": last(c, grid.ncols)}).where("_r0 <= _r1 AND _c0 <= _c1")
+
+
 def zone_cells(zones: DataFrame, grid: Grid, all_touched: bool = True, fraction: bool = False) -> DataFrame:
     """(id, row, col[, fraction]) of ``zones`` (id, ring): cells by centre, or all that a zone touches."""
-    b = zones.withColumn("_b", G.bounds(F.col("ring")))
-    # Zones without a cell of the grid list none.
-    r = [grid.row_of(F.col("_b.y1")), grid.row_of(F.col("_b.y0"))]
-    c = [grid.col_of(F.col("_b.x0")), grid.col_of(F.col("_b.x1"))]
-    lo_r, hi_r = F.greatest(F.least(*r), F.lit(0)), F.least(F.greatest(*r), F.lit(grid.nrows - 1))
-    lo_c, hi_c = F.greatest(F.least(*c), F.lit(0)), F.least(F.greatest(*c), F.lit(grid.ncols - 1))
-    b = b.withColumns({"_r0": lo_r, "_r1": hi_r, "_c0": lo_c, "_c1": hi_c}).where("_r0 <= _r1 AND _c0 <= _c1")
-    rows = b.withColumn("row", F.explode(F.sequence("_r0", "_r1")))
-    at = rows.withColumn("col", F.explode(F.sequence("_c0", "_c1")))
+    b = _boxed(zones.select("id", "ring", G.bounds(F.col("ring")).alias("_b")), grid, *(F.col(f"_b.{k}") for k in ("x0", "y0", "x1", "y1")))
+    on_border = G.touches_box(F.col("ring"), *(F.col(k) for k in ("_x0", "_y0", "_x1", "_y1")))
+    within = G.contains(F.col("ring"), (F.col("_x0") + F.col("_x1")) / 2, (F.col("_y0") + F.col("_y1")) / 2)
+    squares = _squares(b, grid).withColumn("_edge", on_border).where(F.col("_edge") | within)
+    # A square that no side crosses lies inside whole, so its cells need neither test nor ring.
+    at = _cells_of(squares.withColumn("ring", F.when(F.col("_edge"), F.col("ring"))))
     x, y = grid.x(F.col("col")), grid.y(F.col("row"))
     w, h = abs(grid.a) / 2, abs(grid.e) / 2
     edges = (x - w, y - h, x + w, y + h)
     inside = G.contains(F.col("ring"), x, y)
     if all_touched:
         inside = inside | G.touches_box(F.col("ring"), *edges)
-    out = at.where(inside)
+    out = at.where(F.when(F.col("_edge"), inside).otherwise(True))
     if fraction:
-        return out.select("id", "row", "col", (G.clipped_area(F.col("ring"), *edges) / F.lit(abs(grid.a * grid.e))).alias("fraction"))
+        share = G.clipped_area(F.col("ring"), *edges) / F.lit(abs(grid.a * grid.e))
+        return out.select("id", "row", "col", F.when(F.col("_edge"), share).otherwise(1.0).alias("fraction"))
     return out.select("id", "row", "col")
 
 
+def crossed_cells(shapes: DataFrame, grid: Grid) -> DataFrame:
+    """(id, row, col) of cells that a side of a ring or line (id, ring) passes through."""
+    b = _boxed(shapes.select("id", "ring", G.bounds(F.col("ring")).alias("_b")), grid, *(F.col(f"_b.{k}") for k in ("x0", "y0", "x1", "y1")))
+    at = _cells_of(_squares(b, grid).where(G.touches_box(F.col("ring"), *(F.col(k) for k in ("_x0", "_y0", "_x1", "_y1")))))
+    x, y, w, h = grid.x(F.col("col")), grid.y(F.col("row")), abs(grid.a) / 2, abs(grid.e) / 2
+    return at.where(G.touches_box(F.col("ring"), x - w, y - h, x + w, y + h)).select("id", "row", "col")
+
+
 def line_cells(routes: DataFrame, grid: Grid) -> DataFrame:
     """(id, row, col) of cells whose centre lies within half_width of a line (id, points, half_width), with flat ends."""
-    b = routes.withColumn("_b", G.bounds(F.col("points")))
-    r = [grid.row_of(F.col("_b.y1") + F.col("half_width")), grid.row_of(F.col("_b.y0") - F.col("half_width"))]
-    c = [grid.col_of(F.col("_b.x0") - F.col("half_width")), grid.col_of(F.col("_b.x1") + F.col("half_width"))]
-    b = b.withColumns({"_r0": F.greatest(F.least(*r), F.lit(0)), "_r1": F.least(F.greatest(*r), F.lit(grid.nrows - 1)), "_c0": F.greatest(F.least(*c), F.lit(0)), "_c1": F.least(F.greatest(*c), F.lit(grid.ncols - 1))})
-    at = b.where("_r0 <= _r1 AND _c0 <= _c1").withColumn("row", F.explode(F.sequence("_r0", "_r1"))).withColumn("col", F.explode(F.sequence("_c0", "_c1")))
+    p, reach = F.col("points"), F.col("half_width")
+    box = G.bounds(p).alias("_b")
+    sized = routes.select("id", "points", "half_width", box)
+    b = _boxed(sized, grid, F.col("_b.x0") - reach, F.col("_b.y0") - reach, F.col("_b.x1") + reach, F.col("_b.y1") + reach)
+    # A square farther from the line than its half diagonal more than the width has no such cell.
+    radius = math.hypot(abs(grid.a) * SQUARE, abs(grid.e) * SQUARE) / 2
+    squares = _squares(b, grid)
+    squares = squares.where(G.line_distance((F.col("_x0") + F.col("_x1")) / 2, (F.col("_y0") + F.col("_y1")) / 2, p) <= reach + radius * (1 + 1e-9))
+    at = _cells_of(squares)
     x, y = grid.x(F.col("col")), grid.y(F.col("row"))
 
     def beyond(end: Column, towards: Column) -> Column:
         return (x - end["x"]) * (towards["x"] - end["x"]) + (y - end["y"]) * (towards["y"] - end["y"]) < 0
 
-    p = F.col("points")
     first, last = G.line_distance(x, y, F.slice(p, 1, 2)), G.line_distance(x, y, F.slice(p, -2, 2))
     near = G.line_distance(x, y, p)
     # What only the round cap of an end would add stays out.
     cap = (beyond(p[0], p[1]) & (near >= first)) | (beyond(F.element_at(p, -1), F.element_at(p, -2)) & (near >= last))
-    return at.where((near <= F.col("half_width")) & ~F.coalesce(cap, F.lit(False))).select("id", "row", "col")
+    return at.where((near <= reach) & ~F.coalesce(cap, F.lit(False))).select("id", "row", "col")
 
 
 def half_width(value: Column, widths: dict[float, float] | None = None, ranges: list[dict] | None = None) -> Column:
@@ -113,16 +151,21 @@ def _map_of(counts: DataFrame, value: Column, kind: str, name: str) -> DataFrame
     return named.groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))).cast(f"map<{kind}>").alias(name))
 
 
-def zonal(zones: DataFrame, cells: DataFrame, layer: str, grid: Grid, stats=None, nodata: float | None = None, all_touched: bool = True, categories: dict[float, str] | None = None, zone_func=None, prefix: str = "") -> DataFrame:
+def zonal(zones: DataFrame, cells: DataFrame, layer: str, grid: Grid, stats=None, nodata: float | None = None, all_touched: bool = True, categories: dict[float, str] | None = None, zone_func=None, prefix: str = "", at: DataFrame | None = None) -> DataFrame:
     """One row a zone: id and the statistics asked for.
 
+    The cells of a zone are those of its ring, or ``at`` (id, row, col[, fraction]).
+
     ``zone_func`` maps the value column to another before anything is counted.  Zones
     without valid cells have counts of 0 and nothing else.
     """
     if zone_func is not None and not callable(zone_func):
         raise TypeError("zone_func must be callable")
     want = parse_stats(stats)
-    at = zone_cells(zones, grid, all_touched, fraction=bool(want.fractional))
+    if at is None:
+        at = zone_cells(zones, grid, all_touched, fraction=bool(want.fractional))
+    elif want.fractional and "fraction" not in at.columns:
+        raise ConfigError("fractional statistics need the fraction of every cell")
     values = at.join(cells.select("row", "col", F.col(layer).cast("double").alias("v")), ["row", "col"])
     missing = F.col("v").isNull() | F.isnan("v")
     void = F.lit(False) if nodata is None else F.coalesce(F.col("v") == nodata, F.lit(False))
@@ -163,6 +206,15 @@ def zonal(zones: DataFrame, cells: DataFrame, layer: str, grid: Grid, stats=None
     return out.withColumnsRenamed({c: f"{prefix}{c}" for c in out.columns if c != "id"}) if prefix else out
 
 
+def characterized(routes: DataFrame, cells: DataFrame, layer: str, grid: Grid, widths: dict[float, float] | None = None, ranges: list[dict] | None = None, **wanted) -> DataFrame:
+    """Statistics of a layer in the right-of-way of routes (id, points, voltage); ``wanted`` goes to ``zonal``.
+
+    A route of a voltage without a width has no cells.
+    """
+    sized = routes.select("id", "points", half_width(F.col("voltage"), widths, ranges).alias("half_width"))
+    return zonal(sized, cells, layer, grid, at=line_cells(sized.where("half_width IS NOT NULL"), grid), **wanted)
+
+
 def user_stats(zones: DataFrame, cells: DataFrame, layer: str, grid: Grid, functions: dict, all_touched: bool = True) -> DataFrame:
     """Own statistics: each function gets one zone's (row, col, value) frame and returns a number."""
     for f in functions.values():
@@ -186,9 +238,7 @@ def flattened(stats: DataFrame, column: str, keys: list[str]) -> DataFrame:
 
 def rasterized(shapes: DataFrame, grid: Grid, all_touched: bool = False, boundary_only: bool = False, fill: float = 0.0) -> DataFrame:
     """(row, col, value) of all cells: ``shapes`` (id, ring, value, order); later ones overwrite."""
-    at = zone_cells(shapes.where("ring IS NOT NULL AND size(ring) > 0"), grid, all_touched or boundary_only)
-    if boundary_only:
-        x, y, w, h = grid.x(F.col("col")), grid.y(F.col("row")), abs(grid.a) / 2, abs(grid.e) / 2
-        at = at.join(shapes.select("id", "ring"), "id").where(G.touches_box(F.col("ring"), x - w, y - h, x + w, y + h)).drop("ring")
+    shapes = shapes.where("ring IS NOT NULL AND size(ring) > 0")
+    at = crossed_cells(shapes, grid) if boundary_only else zone_cells(shapes, grid, all_touched)
     burned = at.join(shapes.select("id", "value", "order"), "id").groupBy("row", "col").agg(F.max_by("value", "order").alias("value"))
     return empty(shapes.sparkSession, grid).join(burned, ["row", "col"], "left").na.fill(fill, ["value"])

@@ -14,8 +14,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterway.errors import ConfigError, RasterwayWarning
+from rasterway.errors import ConfigError, MissingLayerError, RasterwayWarning
 from rasterway.functions import expressions as X
+from rasterway.grid import Grid
+from rasterway.operators.zonal import rasterized
 from rasterway.plans.lookups import Transmission
 
 EXTENTS = ("all", "wet", "wet+", "landfall", "dry+", "dry")
@@ -46,9 +48,11 @@ class Component:
     pass_through: bool = False
     forced_inclusion: bool = False
     na_fill: float = 0.0
+    rasterize: float | None = None
+    all_touched: bool = False
 
     def check(self) -> None:
-        given = [k for k in ("global_value", "map", "bins") if getattr(self, k) is not None] + [k for k in ("pass_through", "forced_inclusion") if getattr(self, k)]
+        given = [k for k in ("global_value", "map", "bins", "rasterize") if getattr(self, k) is not None] + [k for k in ("pass_through", "forced_inclusion") if getattr(self, k)]
         if self.extent not in EXTENTS:
             raise ConfigError(f"unknown extent {self.extent!r}")
         if len(given) != 1:
@@ -94,6 +98,22 @@ def masks(raw_land: Column, boundary: Column) -> dict[str, Column]:
     return {"wet": wet, "landfall": boundary, "dry": dry, "wet+": wet | boundary, "dry+": dry | boundary, "all": F.lit(True)}
 
 
+def land_masks(land: DataFrame, grid: Grid) -> DataFrame:
+    """(row, col, wet_mask, dry_mask, landfall_mask, raw_land_mask) of all cells from land polygons (id, ring), 1 inside."""
+    burned = land.select("id", "ring", F.lit(1.0).alias("value"), F.lit(0).alias("order"))
+    raw = rasterized(burned, grid, all_touched=True).withColumnRenamed("value", "raw")
+    both = raw.join(rasterized(burned, grid, boundary_only=True).withColumnRenamed("value", "coast"), ["row", "col"])
+    m = masks(F.col("raw") == 1, F.col("coast") == 1)
+    return both.select("row", "col", *(x.cast("int").alias(n) for n, x in {"wet_mask": m["wet"], "dry_mask": m["dry"], "landfall_mask": m["landfall"], "raw_land_mask": F.col("raw") == 1}.items()))
+
+
+def check_masks(cells: DataFrame, names: tuple[str, ...] = ("wet_mask", "dry_mask", "landfall_mask")) -> None:
+    """Raises unless every mask layer holds nothing but 0 and 1."""
+    bad = [F.count(F.when(F.col(n).isNull() | ~F.col(n).isin(0, 1), 1)).alias(n) for n in names]
+    if wrong := [n for n, k in cells.agg(*bad).first().asDict().items() if k]:
+        raise ConfigError(f"masks {wrong} hold values other than 0 and 1")
+
+
 def stored_masks(wet: Column, dry: Column, landfall: Column) -> dict[str, Column]:
     """The same from mask layers that are 1 inside."""
     wet, dry, landfall = wet == 1, dry == 1, landfall == 1
@@ -117,8 +137,23 @@ def _mapped(d: Column, table: dict[float, float]) -> Column:
     return out
 
 
+def burned(cells: DataFrame, specs: list[Layer], shapes: dict[str, DataFrame], grid: Grid) -> DataFrame:
+    """``cells`` with a column for each vector source (id, ring) that a layer rasterizes, under the source's name."""
+    wanted = {}
+    for c in (c for spec in specs for c in spec.build if c.rasterize is not None):
+        c.check()
+        if wanted.setdefault(c.source, c) != c:
+            raise ConfigError(f"source {c.source!r} is rasterized in two ways; give it two names")
+        if c.source not in shapes:
+            raise MissingLayerError(f"no vector source {c.source!r}")
+    for name, c in wanted.items():
+        value = rasterized(shapes[name].select("id", "ring", F.lit(float(c.rasterize)).alias("value"), F.lit(0).alias("order")), grid, c.all_touched, fill=float(c.na_fill))
+        cells = cells.join(value.withColumnRenamed("value", name), ["row", "col"], "left")
+    return cells
+
+
 def component(c: Component, extent: dict[str, Column]) -> Column:
-    """The value of one component, 0 outside its extent."""
+    """The value of one component, 0 outside its extent; what is rasterized is a column by now (see ``burned``)."""
     c.check()
     d = F.col(c.source).cast("double") if c.source else None
     if c.global_value is not None:

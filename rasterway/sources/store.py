@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterway.errors import ConfigError, LayerExistsError, MissingFileError, MissingLayerError
-from rasterway.functions.geometry import parse_wkt
+from rasterway.functions.geometry import parse_geojson, parse_wkt
 from rasterway.grid import Grid, empty, layers, resampled, with_coordinates
 
 #: Cells along a side of the tiles that a store is partitioned by.
@@ -19,10 +21,12 @@ TILE = 512
 
 
 class Store:
-    """A folder with one Parquet table a version and a one-row table of metadata.
+    """A folder with Parquet tables of cells and a one-row table of metadata a version.
 
-    Layers are columns.  A change writes a new version and then the metadata that
-    names it, so readers see the old or the new one.
+    Layers are columns.  Layers that are written together share a table, which holds all
+    cells, and metadata name the table of each: a change writes its own layers alone, a
+    deletion no cells at all.  Metadata come last, so readers see the old or the new
+    version.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -55,27 +59,42 @@ class Store:
     def grid(self) -> Grid:
         return Grid.from_json(json.dumps(self.meta()["grid"]))
 
-    def _commit(self, cells: DataFrame, meta: dict) -> None:
+    def _commit(self, meta: dict) -> None:
         version = (self._versions() or [0])[-1] + 1
-        meta = {**meta, "table": f"{self.path}/cells/v={version}"}
-        keyed = cells.withColumn("tile", F.concat_ws("_", F.expr(f"row div {TILE}"), F.expr(f"col div {TILE}")))
-        keyed.repartition("tile").write.partitionBy("tile").parquet(meta["table"])
         self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(self._meta_path(version))
 
+    def _table(self, cells: DataFrame) -> str:
+        path = f"{self.path}/cells/{uuid.uuid4().hex}"
+        keyed = cells.withColumn("tile", F.concat_ws("_", F.expr(f"row div {TILE}"), F.expr(f"col div {TILE}")))
+        keyed.repartition("tile").write.partitionBy("tile").parquet(path)
+        return path
+
     # Reading -------------------------------------------------------------------
 
+    def _joined(self, names: Iterable[str] | None, tiles: list[str] | None = None) -> DataFrame:
+        """row, col and ``names`` (None: all); only their tables, and these tiles, are read."""
+        meta = self.meta()
+        tables = {**dict.fromkeys(meta["coordinates"], meta["base"]), **meta["tables"]}
+        names = list(tables) if names is None else list(names)
+        if missing := [n for n in names if n not in tables]:
+            raise MissingLayerError(f"no layers {missing} in {self.path}")
+        by_table: dict[str, list[str]] = {}
+        for n in names:
+            by_table.setdefault(tables[n], []).append(n)
+
+        def read(path: str, some: list[str]) -> DataFrame:
+            table = self.spark.read.parquet(path)
+            return (table if tiles is None else table.where(F.col("tile").isin(tiles))).select("row", "col", *some)
+
+        frames = [read(path, some) for path, some in by_table.items()] or [read(meta["base"], [])]
+        return reduce(lambda x, y: x.join(y, ["row", "col"]), frames).select("row", "col", *names)
+
     def cells(self, names: Iterable[str] | None = None) -> DataFrame:
         """The cell table, or row, col and some layers; only these are read."""
-        table = self.spark.read.parquet(self.meta()["table"])
-        if names is None:
-            return table.drop("tile")
-        names = list(names)
-        if missing := [n for n in names if n not in table.columns]:
-            raise MissingLayerError(f"no layers {missing} in {self.path}")
-        return table.select("row", "col", *names)
+        return self._joined(names)
 
     def layers(self) -> list[str]:
-        return layers(self.cells())
+        return list(self.meta()["tables"])
 
     def profile(self, name: str) -> dict:
         """Grid, type, no-data value and attributes of a layer."""
@@ -88,7 +107,7 @@ class Store:
     def window(self, rows: tuple[int, int], cols: tuple[int, int], names: list[str]) -> DataFrame:
         """Cells of a window, missing outside the grid; only the tiles that it meets are read."""
         tiles = [f"{i}_{j}" for i in range(max(0, rows[0]) // TILE, max(0, rows[1] - 1) // TILE + 1) for j in range(max(0, cols[0]) // TILE, max(0, cols[1] - 1) // TILE + 1)]
-        table = self.spark.read.parquet(self.meta()["table"]).where(F.col("tile").isin(tiles)).select("row", "col", *names)
+        table = self._joined(names, tiles)
         wanted = empty(self.spark, Grid(rows[1] - rows[0], cols[1] - cols[0])).select((F.col("row") + rows[0]).alias("row"), (F.col("col") + cols[0]).alias("col"))
         return wanted.join(table, ["row", "col"], "left")
 
@@ -98,7 +117,8 @@ class Store:
         """An empty store with coordinates of all cells."""
         if self.exists() and not overwrite:
             raise LayerExistsError(f"{self.path} exists")
-        self._commit(with_coordinates(empty(self.spark, grid), grid), {"grid": json.loads(grid.to_json()), "layers": {}})
+        cells = with_coordinates(empty(self.spark, grid), grid)
+        self._commit({"grid": json.loads(grid.to_json()), "layers": {}, "tables": {}, "base": self._table(cells), "coordinates": [c for c in cells.columns if c not in ("row", "col")]})
         return self
 
     def write(self, name: str, values: DataFrame, overwrite: bool = False, nodata: float | None = None, grid: Grid | None = None, **attributes) -> None:
@@ -110,20 +130,21 @@ class Store:
         meta = self.meta()
         if grid is not None:
             self.grid.check(grid)
-        names, cells = layers(values), self.cells()
-        if taken := [n for n in names if n in cells.columns]:
-            if not overwrite:
-                raise LayerExistsError(f"layers {taken} exist in {self.path}")
-            cells = cells.drop(*taken)
+        names = layers(values)
+        if (taken := [n for n in names if n in meta["tables"]]) and not overwrite:
+            raise LayerExistsError(f"layers {taken} exist in {self.path}")
+        path = self._table(self._joined([]).join(values.select("row", "col", *names), ["row", "col"], "left"))
         meta["layers"] = {**meta["layers"], **{n: (attributes or {}).get(n, {}) for n in names}}
-        self._commit(cells.join(values.select("row", "col", *names), ["row", "col"], "left"), meta)
+        meta["tables"] = {**meta["tables"], **dict.fromkeys(names, path)}
+        self._commit(meta)
 
     def delete(self, name: str) -> None:
         meta = self.meta()
-        if name not in self.layers():
+        if name not in meta["tables"]:
             raise MissingLayerError(name)
         meta["layers"].pop(name, None)
-        self._commit(self.cells().drop(name), meta)
+        meta["tables"].pop(name)
+        self._commit(meta)
 
     def write_resampled(self, source: DataFrame, own: Grid, names: list[str], overwrite: bool = False, fill: float | None = 0.0) -> None:
         """Layers of another grid in the same reference system, by the nearest cell."""
@@ -155,13 +176,13 @@ def read_points(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_features(spark: SparkSession, path: str, where: str | None = None) -> DataFrame:
-    """GeoJSON lines, or a CSV with a wkt column, with points parsed into arrays."""
+    """GeoJSON lines, or a CSV with a wkt column, with points parsed into arrays
+    (parts parted by nulls; a geometry collection has none)."""
     if path.endswith((".geojsonl", ".json", ".geojson")):
         raw = spark.read.text(path)
         kind = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
         parsed = raw.select(F.from_json("value", kind).alias("f")).where("f.geometry IS NOT NULL")
-        depth = F.regexp_replace("f.geometry.coordinates", r"^\[{2,}", "[[")
-        out = parsed.select("f.properties", F.col("f.geometry.type").alias("type"), F.transform(F.from_json(F.regexp_replace(depth, r"\]{2,}$", "]]"), "array<array<double>>"), lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("points"))
+        out = parsed.select("f.properties", F.col("f.geometry.type").alias("type"), parse_geojson(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("points"))
     elif path.endswith(".csv"):
         out = spark.read.option("header", True).csv(path).withColumn("points", parse_wkt(F.col("wkt")))
     else:

@@ -14,7 +14,7 @@ from rasterway.grid import Grid
 from rasterway.operators import finalize, network, reports, route_tables, zonal
 from rasterway.plans import layers as L
 from rasterway.plans import scenario as P
-from rasterway.sources.store import Store, append
+from rasterway.sources.store import Store, append, read_features
 from rasterway.storage import shared_dir
 from rasterway.streaming import requests
 
@@ -267,3 +267,77 @@ def test_a_wrong_table_is_not_an_empty_one(spark):
     append(spark.createDataFrame([(1, "a")], "k int, v string"), base)
     append(spark.createDataFrame([(2,)], "k int"), base)
     assert sorted(map(tuple, spark.read.parquet(base).collect()), key=str) == [(1, "a"), (2, None)]
+
+
+def test_shapes_of_several_parts(spark, tmp_path):
+    outer, hole, other = [(0, 0), (60, 0), (60, 60), (0, 60), (0, 0)], [(20, 20), (40, 20), (40, 40), (20, 40), (20, 20)], [(100, 0), (120, 0), (120, 30), (100, 30), (100, 0)]
+    text = lambda r: "(" + ", ".join(f"{x} {y}" for x, y in r) + ")"
+    shapes = {
+        "POLYGON": f"POLYGON ({text(outer)}, {text(hole)})",
+        "MULTIPOLYGON": f"MULTIPOLYGON (({text(outer[::-1])}, {text(hole)}), ({text(other)}))",
+        "MULTILINESTRING": f"MULTILINESTRING ({text(outer[:2])}, {text(other[:2])})",
+        "POINT": "POINT (3 4)",
+    }
+    rows = spark.createDataFrame(list(shapes.items()), "kind string, wkt string").withColumn("p", G.parse_wkt(F.col("wkt")))
+    got = {r.kind: r for r in rows.select("kind", "p", G.area(F.col("p")).alias("a"), F.size(G.parts(F.col("p"))).alias("n"), G.contains(F.col("p"), F.lit(30.0), F.lit(30.0)).alias("hole"), G.contains(F.col("p"), F.lit(110.0), F.lit(5.0)).alias("far"), G.line_distance(F.lit(80.0), F.lit(0.0), F.col("p")).alias("d"), G.clipped_area(F.col("p"), F.lit(10.0), F.lit(10.0), F.lit(110.0), F.lit(30.0)).alias("cut")).collect()}
+    assert {k: (r.a, r.n, r.hole, r.far) for k, r in got.items() if "POLYGON" in k} == {"POLYGON": (3200.0, 2, False, False), "MULTIPOLYGON": (3800.0, 3, False, True)}
+    assert (got["MULTILINESTRING"].d, got["MULTILINESTRING"].n, got["POINT"].n, got["POLYGON"].cut, got["MULTIPOLYGON"].cut) == (20.0, 2, 1, 800.0, 1000.0)
+    for r in got.values():
+        signs = [math.copysign(1, sum(a.x * b.y - b.x * a.y for a, b in zip(part, part[1:]))) for part in _split(r.p)] if "POLYGON" in r.kind else []
+        assert signs == {"POLYGON": [1, -1], "MULTIPOLYGON": [1, -1, 1]}.get(r.kind, [])
+    path = tmp_path / "shapes.geojsonl"
+    path.write_text("\n".join(
+        f'{{"type":"Feature","properties":{{"k":"{k}"}},"geometry":{{"type":"{k}","coordinates":{c}}}}}'
+        for k, c in {"Polygon": [outer, hole], "MultiPolygon": [[outer[::-1], hole], [other]], "MultiLineString": [outer[:2], other[:2]], "Point": (3, 4), "LineString": outer[:3]}.items()
+    ).replace("(", "[").replace(")", "]"))
+    read = {r.type.upper(): r.points for r in read_features(spark, str(path)).collect()}
+    assert {k: read[k] for k in shapes} == {k: got[k].p for k in shapes} and len(read["LINESTRING"]) == 3
+
+
+def _split(points):
+    out = [[]]
+    for p in points:
+        out[-1].append(p) if p is not None else out.append([])
+    return out
+
+
+def test_zones_with_holes_over_many_squares(spark):
+    grid = Grid(100, 90, a=1.0, c=0.0, e=-1.0, f=100.0)
+    ring = "POLYGON ((3.2 4.1, 80.5 7.3, 70.2 95.5, 10.1 88.8, 3.2 4.1), (40 40, 60 40, 60 75.5, 40 75.5, 40 40))"
+    zone = spark.createDataFrame([(1, ring)], "id int, wkt string").select("id", G.parse_wkt(F.col("wkt")).alias("ring"))
+    outer = [(3.2, 4.1), (80.5, 7.3), (70.2, 95.5), (10.1, 88.8)]
+
+    def inside(x, y):
+        turns = [(b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) for a, b in zip(outer, outer[1:] + outer[:1])]
+        return min(turns) > 0 and not (40 < x < 60 and 40 < y < 75.5)
+
+    want = {(i, j) for i in range(100) for j in range(90) if inside(j + 0.5, 99.5 - i)}
+    assert {(r.row, r.col) for r in zonal.zone_cells(zone, grid, all_touched=False).collect()} == want
+    shares = zonal.zone_cells(zone, grid, fraction=True).agg(F.sum("fraction").alias("s"), F.count("*").alias("n")).first()
+    area = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(outer, outer[1:] + outer[:1]))) / 2 - 20 * 35.5
+    assert abs(shares.s - area) < 1e-6 and shares.n > len(want)
+
+
+def test_route_table_adds_up_options_and_layers(spark):
+    config = {"routing_options": {"air": {"cost_layers": [{"layer_name": "a"}, {"layer_name": "i", "is_invariant": True}], "tracked_layers": [{"layer_name": "a", "agg_method": "max"}]}, "sea way": {"cost_layers": [{"layer_name": "b"}], "friction_layers": [{"multiplier_layer": "i", "include_in_report": True}]}}, "transition_costs": {"default": 7}}
+    s = P.Scenario.from_json(config)
+    rng = random.Random(5)
+    values = {(i, j): {k: float(rng.randint(1, 9)) for k in "abi"} for i in range(4) for j in range(4)}
+    grid = Grid(4, 4, a=500.0, c=0.0, e=-500.0, f=2000.0)
+    table = spark.createDataFrame([(i, j, v["a"], v["b"], v["i"]) for (i, j), v in values.items()], "row int, col int, a double, b double, i double")
+    walks = {1: [(0, 0, 0), (0, 1, 0), (1, 2, 1), (2, 2, 1)], 2: [(3, 3, 1), (3, 2, 1)]}
+    steps = spark.createDataFrame([(k, *w[0], n, *p) for k, w in walks.items() for n, p in enumerate(w)], "route_id int, start_row int, start_col int, start_option int, step int, row int, col int, option int")
+    found = spark.createDataFrame([(k, *w[0], ["wall"] if k == 2 else []) for k, w in walks.items()], "route_id int, start_row int, start_col int, start_option int, dropped array<string>")
+    more = spark.createDataFrame([(1, "x"), (2, "y")], "route_id int, label string")
+    got = {r.route_id: r for r in reports.route_table(found, steps, table, s, grid, more).collect()}
+    for k, w in walks.items():
+        gap = lambda p, q: math.hypot(p[0] - q[0], p[1] - q[1]) / 2
+        lens = [(gap(p, w[n - 1]) if n else 0) + (gap(p, w[n + 1]) if n + 1 < len(w) else 0) for n, p in enumerate(w)]
+        of = lambda f, o: sum(f(values[p[:2]], x) for p, x in zip(w, lens) if p[2] == o)
+        air, sea = of(lambda v, x: v["a"] * x + v["i"], 0), of(lambda v, x: v["b"] * x, 1)
+        switches = 7.0 * sum(p[2] != q[2] for p, q in zip(w, w[1:]))
+        r = got[k]
+        assert [r.air_cost, r.sea_way_cost, r.cost, r.length_km, r.total_transition_costs] == pytest.approx([air, sea, air + sea + switches, sum(lens) / 2, switches])
+        assert [r.a_air_cost, r.i_air_cost, r.b_sea_way_cost, r.i_sea_way_cost] == pytest.approx([of(lambda v, x: v["a"] * x, 0), of(lambda v, x: v["i"], 0), sea, of(lambda v, x: v["i"] * x, 1)])
+        assert r.a_air_max == max((values[p[:2]]["a"] for p in w if p[2] == 0), default=None)
+        assert (r.label, r.dropped_barrier_layers) == ("xy"[k - 1], '["wall"]' if k == 2 else None)

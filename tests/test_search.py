@@ -120,3 +120,12 @@ def test_algorithm_names():
     assert search.algorithm(" Long-Range-A_Star ") == "long_range_astar"
     with pytest.raises(ConfigError):
         search.algorithm("greedy")
+
+
+def test_steps_without_weight_make_no_circle(spark):
+    cells = grid(spark, np.full((6, 6), 1e-6))
+    paths, steps = found(spark, cells, PLAIN, [(0, 5, 5, 0)], [(0, 0, 0, 0)], 6, 3)
+    assert paths.first().cost_units == 0
+    walk = [(r.row, r.col) for r in steps.orderBy("step").collect()]
+    assert walk[0] == (5, 5) and walk[-1] == (0, 0) and len(set(walk)) == len(walk)
+    assert all(max(abs(a - c), abs(b - d)) == 1 for (a, b), (c, d) in zip(walk, walk[1:]))
