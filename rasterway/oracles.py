@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from rasterway.plans.lookups import BASE_LINE_COSTS, ISO_LOOKUP, ISO_MULTIPLIERS, LAND_USE_CLASSES, NEW_SUBSTATION_COSTS, POWER_CLASSES, TRANSFORMER_COSTS, UPGRADE_SUBSTATION_COSTS
+from rasterway.plans.scenario import POLARITY_SCALE
 
 
 def _cells(n: int = 32) -> str:
@@ -85,6 +86,18 @@ def oracle_sql() -> dict[str, str]:
     q["grid_tiles"] = _C + ' SELECT ("row" // 10)::BIGINT AS i, (col // 10)::BIGINT AS j, count(*) AS cells, max(c1) AS largest FROM cells GROUP BY 1, 2'
     q["store_layer"] = _C + f""", {_ALL} SELECT a."row", a.col, (a.col + 0.5) * 90.0::DOUBLE AS x, 2880.0::DOUBLE + (a."row" + 0.5) * -90.0::DOUBLE AS y, c1, (c1 * 2)::FLOAT AS c2 FROM allcells a LEFT JOIN cells USING ("row", col)"""
     q["store_window"] = _C + ' SELECT a.range::INTEGER AS "row", b.range::INTEGER AS col, c1 FROM range(-2, 6) a CROSS JOIN range(28, 35) b LEFT JOIN cells ON cells."row" = a.range AND cells.col = b.range'
+    q["store_resampled"] = "WITH " + _cells(16) + f""", {_ALL} SELECT a."row", a.col, coalesce(c1, 0)::FLOAT AS c1, coalesce(nlcd, 0)::INTEGER AS nlcd FROM allcells a LEFT JOIN cells c ON c."row" = a."row" // 2 AND c.col = a.col // 2"""
+    q["store_layers_deleted"] = "SELECT * FROM (VALUES ('c1', 'float'), ('nlcd', 'int')) t(layer, kind)"
+    q["features_read"] = """WITH s AS (SELECT s_suppkey::INTEGER AS id, (s_suppkey % 90)::DOUBLE AS x, s_suppkey % 3 AS k FROM supplier)
+      SELECT id, (['Polygon', 'MultiPolygon', 'MultiLineString'])[k + 1] AS type, (CASE k WHEN 1 THEN 3 ELSE 2 END)::INTEGER AS n_parts, CASE k WHEN 0 THEN 800.0::DOUBLE WHEN 1 THEN 825.0::DOUBLE END AS area,
+        57.5 >= x AND 57.5 < x + 30 AND NOT (57.5 >= x + 10 AND 57.5 < x + 20) AS holds, round(x + 5, 6) AS gap FROM s"""
+    q["points_read"] = f"WITH {_POINTS} SELECT id, x, y FROM points"
+    boxed = """hit AS (SELECT a."row", a.col, max((x0 IS NOT NULL)::INTEGER) AS land, max((x0 IS NOT NULL AND NOT (a.col * 90 >= x0 AND a.col * 90 + 90 <= x0 + 700 AND 2790 - a."row" * 90 >= y0 AND 2880 - a."row" * 90 <= y0 + 410))::INTEGER) AS coast
+      FROM allcells a LEFT JOIN zones z ON a.col * 90 < x0 + 700 AND a.col * 90 + 90 > x0 AND 2790 - a."row" * 90 < y0 + 410 AND 2880 - a."row" * 90 > y0 GROUP BY 1, 2)"""
+    q["layer_file"] = f"""{_C}, {_ALL}, {_ZONES}, {_REGIONS}, {boxed}, m AS (SELECT h.*, land = 0 AS wet, coast = 1 AS landfall, land <> coast AS dry, EXISTS (SELECT 1 FROM regions r WHERE h.col * 90 < x1 AND h.col * 90 + 90 > x0 AND 2790 - h."row" * 90 < y1 AND 2880 - h."row" * 90 > y0) AS park FROM hit h),
+      j AS (SELECT m."row" AS "row", m.col AS col, wet, dry, landfall, park, c1, c2, fric, iso, nlcd, slope FROM m LEFT JOIN cells c ON c."row" = m."row" AND c.col = m.col)
+      SELECT "row", col, CASE WHEN c1 IS NOT NULL THEN CASE WHEN dry THEN c1 ELSE 0 END + CASE WHEN landfall THEN 3 ELSE 0 END + CASE WHEN park THEN 5 ELSE 0 END END::FLOAT AS land, CASE WHEN c1 IS NOT NULL THEN CASE WHEN wet OR landfall THEN c2 ELSE 0 END END::FLOAT AS sea,
+        CASE WHEN c1 IS NOT NULL THEN fric + CASE WHEN wet OR landfall THEN c2 ELSE 0 END * 1e6::DOUBLE END::FLOAT AS merged, CASE WHEN c1 IS NOT NULL THEN ({_DRY.format(default='1.0')}) END::FLOAT AS dry_multipliers, wet::INTEGER AS wet_mask, dry::INTEGER AS dry_mask, landfall::INTEGER AS landfall_mask FROM j"""
     q["store_append"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderstatus END AS o_orderstatus FROM orders"
     q["routes_collected"] = f"WITH {_ROUTES} SELECT route_id, start_row, start_col, end_row, end_col FROM routes"
     q["layer_bins"] = _C + ' SELECT "row", col, ((CASE WHEN c1 < 20 THEN 1 ELSE 0 END) + (CASE WHEN c1 >= 10 AND c1 < 50 THEN 5 ELSE 0 END) + (CASE WHEN c1 >= 50 THEN 9 ELSE 0 END))::FLOAT AS v FROM cells'
@@ -110,6 +123,8 @@ def oracle_sql() -> dict[str, str]:
     q["scenario_report_costs"] = _C + """ SELECT "row", col, 'overhead' AS option_name, (c1 * c2 * 0.5::FLOAT + slope)::FLOAT AS cost, inv AS li_cost FROM cells
       UNION ALL SELECT "row", col, 'underground', (c2 * 3::FLOAT * c2)::FLOAT, (inv * 2::FLOAT * 3::FLOAT * c2)::FLOAT FROM cells"""
     q["scenario_soft_invalid_costs"] = _C + ' SELECT "row", col, (CASE WHEN slope <= 0 THEN 1e10 ELSE slope END)::FLOAT::DOUBLE AS cost FROM cells'
+    q["scenario_for_voltage"] = _C + f""" SELECT "row", col, 0 AS "option", (c1 * 2::FLOAT + slope * {4000 * POLARITY_SCALE}::FLOAT)::FLOAT AS cost FROM cells
+      UNION ALL SELECT "row", col, 1, CASE WHEN c2 * 0.5::FLOAT * fric + c2 * 3::FLOAT * inv > 0 THEN (c2 * 0.5::FLOAT * fric + c2 * 3::FLOAT * inv)::FLOAT END FROM cells"""
     v = "CASE WHEN zone NOT IN (1, 2) THEN c1 END"
     q["where_predicates"] = _C + ' SELECT "row", col, ' + ", ".join(f"coalesce({v} {op} 40, {'true' if n == 'ne' else 'false'}) AS {n}" for n, op in zip(("gt", "ge", "lt", "le", "eq", "ne"), (">", ">=", "<", "<=", "=", "<>"))) + " FROM cells"
 
@@ -145,6 +160,12 @@ def oracle_sql() -> dict[str, str]:
     q["route_layer_totals"] = f"""{_C}, {_MEASURED} SELECT route_id, round(sum(slope * len)::FLOAT::DOUBLE, 1) AS cost, round((sum(CASE WHEN slope > 0 THEN len ELSE 0 END) * 90 / 1000)::FLOAT::DOUBLE, 2) AS length_km, sum(slope)::FLOAT::DOUBLE AS inv_cost FROM measured JOIN cells USING ("row", col) GROUP BY 1"""
     q["route_layer_aggregates"] = f"""{_C}, {_STEPS} SELECT route_id, """ + ", ".join(f"round({f}::FLOAT::DOUBLE, 2) AS {n}" for n, f in (("mean", "avg(c1)"), ("min", "min(c1)"), ("max", "max(c1)"), ("sum", "sum(c1)"), ("std", "stddev_pop(c1)"))) + ' FROM steps JOIN cells USING ("row", col) GROUP BY 1'
     q["route_sampled_layers"] = f'{_C}, {_STEPS} SELECT s.*, c1, nlcd FROM steps s LEFT JOIN cells USING ("row", col)'
+    q["route_report"] = f"""{_C}, {_MEASURED}, firsts AS (SELECT route_id, arg_min("row", step) AS start_row, arg_min(col, step) AS start_col, arg_min("option", step) AS start_option FROM steps GROUP BY 1),
+      along AS (SELECT route_id, sum(CASE "option" WHEN 0 THEN c1 * c2 * len + inv ELSE 0 END) AS e, sum(CASE "option" WHEN 1 THEN c2 * 2 * len ELSE 0 END) AS o, sum(len) AS l, sum(CASE "option" WHEN 1 THEN len ELSE 0 END) AS ol, sum(CASE "option" WHEN 0 THEN inv ELSE 0 END) AS i FROM measured JOIN cells USING ("row", col) GROUP BY 1),
+      turns AS (SELECT route_id, sum(CASE WHEN p <> o THEN 4.5 ELSE 0 END)::DOUBLE AS t FROM (SELECT route_id, "option" AS o, lag("option") OVER (PARTITION BY route_id ORDER BY step) AS p FROM steps) GROUP BY 1)
+      SELECT route_id, start_row, start_col, start_option, round(e + o + t, 4) AS cost, round(e, 4) AS even_cost, round(o, 4) AS odd_cost, round(l * 90 / 1000, 6) AS length_km, round(ol * 90 / 1000, 6) AS odd_length_km, i::FLOAT::DOUBLE AS inv_even_cost, t AS total_transition_costs,
+        2880.0::DOUBLE + (start_row + 0.5) * -90.0::DOUBLE AS poi_lat, (start_col + 0.5) * 90.0::DOUBLE AS poi_lon, CASE WHEN route_id % 2 = 0 THEN '["wall"]' END AS dropped_barrier_layers, c_mktsegment FROM firsts JOIN along USING (route_id) JOIN turns USING (route_id) LEFT JOIN customer ON c_custkey = route_id"""
+    q["route_companion"] = f"""{_C}, {_MEASURED} SELECT route_id, CASE "option" WHEN 0 THEN 'even' ELSE 'odd' END AS routing_option, round(sum(len) * 90 / 1000, 6) AS length_km, (CASE "option" WHEN 0 THEN sum(inv) END)::FLOAT::DOUBLE AS inv_layer_cost FROM measured JOIN cells USING ("row", col) GROUP BY route_id, "option" """
     q["route_segments"] = f"""WITH {_STEPS}, a AS (SELECT *, coalesce(("option" <> lag("option") OVER w)::INTEGER, 0) AS new, lead("option") OVER w AS o2, lead("row") OVER w AS r2, lead(col) OVER w AS c2 FROM steps WINDOW w AS (PARTITION BY route_id ORDER BY step)),
       b AS (SELECT *, sum(new) OVER (PARTITION BY route_id ORDER BY step)::BIGINT AS segment FROM a)
       SELECT route_id, segment, "option", step::DOUBLE AS "at", "row"::DOUBLE AS "row", col::DOUBLE AS col FROM b
@@ -185,6 +206,8 @@ def oracle_sql() -> dict[str, str]:
     q["length_floor"] = f"WITH {_LENGTHS} SELECT o_orderkey, cost * ({floor}) AS cost, greatest(length_km, 5.7::DOUBLE) AS length_km FROM lens"
     q["finalized_routes"] = f"WITH {_LENGTHS} SELECT o_orderkey, round(cost * ({_STEPM}) * ({floor}) / 7, 3) AS cost, greatest(length_km, 5.7::DOUBLE) AS length_km, {_STEPM} AS length_mult, cost AS raw_cost FROM lens"
     q["routes_with_features"] = f"""WITH {_ROUTES}, own AS (SELECT (s_suppkey % 8)::INTEGER AS end_row, (s_suppkey % 3)::INTEGER AS end_col, max(s_suppkey) AS trans_gid FROM supplier GROUP BY 1, 2) SELECT trans_gid, end_row, end_col, route_id, price, s_nationkey AS price_trans FROM routes LEFT JOIN own USING (end_row, end_col) LEFT JOIN supplier ON s_suppkey = trans_gid"""
+    q["route_end_features"] = f"""WITH {_ROUTES}, {_ALL}, own AS (SELECT a."row" AS end_row, a.col AS end_col, max(n_nationkey) AS trans_gid FROM allcells a JOIN nation ON n_nationkey * 37 + 11 > a.col * 90 AND n_nationkey * 37 + 11 < a.col * 90 + 90 AND 2300 < 2880 - a."row" * 90 AND n_nationkey * 20 + 2300 > 2790 - a."row" * 90 GROUP BY 1, 2)
+      SELECT trans_gid, end_row, end_col, route_id, n_name AS line FROM routes LEFT JOIN own USING (end_row, end_col) LEFT JOIN nation ON n_nationkey = trans_gid"""
     q["dissolved_features"] = "SELECT s_nationkey AS gid, 'line ' || min(s_suppkey % 3) AS category, 'GEOMETRYCOLLECTION (' || string_agg('POINT (' || s_suppkey % 60 || ' 0)', ', ' ORDER BY 'POINT (' || s_suppkey % 60 || ' 0)') || ')' AS wkt FROM supplier GROUP BY 1"
 
     ok = "slope <> 12"
@@ -202,6 +225,9 @@ def oracle_sql() -> dict[str, str]:
     q["buffered_line_cells"] = f"""WITH {_ALL}, l AS (SELECT n_nationkey AS id, n_nationkey * 80.0::DOUBLE + 100 AS x, n_nationkey * 60.0::DOUBLE + 700 AS y1, CASE n_nationkey WHEN 3 THEN 250 WHEN 7 THEN 100 ELSE CASE WHEN n_nationkey < 10 THEN 150 WHEN n_nationkey < 20 THEN 210 END END AS h FROM nation)
       SELECT id, "row", col FROM l JOIN allcells ON abs((col + 0.5) * 90 - x) <= h AND 2880 - ("row" + 0.5) * 90 BETWEEN 300 AND y1"""
 
+    near = q["buffered_line_cells"].removeprefix("WITH ").replace("SELECT id, \"row\", col FROM l", ", near AS (SELECT id, \"row\", col FROM l", 1) + ")"
+    q["route_characterized"] = f"""{_C}, {near}, a AS (SELECT id, count(*) AS n, sum(c2)::DOUBLE AS s, max(c2)::DOUBLE AS m FROM near JOIN cells USING ("row", col) GROUP BY 1)
+      SELECT n_nationkey AS id, coalesce(n, 0) AS "count", s AS "sum", m AS "max" FROM nation LEFT JOIN a ON a.id = n_nationkey"""
     q["substation_voltages"] = "SELECT l_orderkey AS gid, min(p_size * 3) AS min_volts, max(p_size * 3) AS max_volts FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1 HAVING max(p_size * 3) >= 69"
     q["substations_of_connections"] = "SELECT DISTINCT o_custkey % 40 AS poi_gid, (o_custkey % 40 * 1.5 + CASE WHEN o_custkey % 40 = 5 AND o_custkey % 3 = 0 THEN 0.25 ELSE 0 END)::DOUBLE AS poi_lat, 7.0::DOUBLE AS poi_lon FROM orders WHERE o_custkey % 40 <> 3"
     q["nodes_with_regions"] = f"WITH {_POINTS}, {_REGIONS}, d AS (SELECT id, x, y, rid, {_GAP} AS d FROM points, regions) SELECT id, x, y, rid FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, rid) = 1"

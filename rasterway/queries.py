@@ -10,10 +10,11 @@ from rasterway.functions import expressions as X
 from rasterway.functions import geometry as G
 from rasterway.grid import Grid
 from rasterway.operators import finalize, network, reports, route_tables, search, zonal
+from rasterway.plans import layer_file as layer_files
 from rasterway.plans import layers as L
 from rasterway.plans import scenario as P
 from rasterway.plans.lookups import Transmission
-from rasterway.sources.store import Store, append
+from rasterway.sources.store import Store, append, read_features, read_points
 from rasterway.storage import shared_dir
 
 N = 32
@@ -102,9 +103,56 @@ def routes_collected(spark, sf_dir):
     return finalize.collected(spark, f"{path}/routes_*.csv", kind)
 
 
+def store_resampled(spark, sf_dir):
+    store = Store(spark, shared_dir(spark)).create(GRID)
+    store.write_resampled(_small(spark, sf_dir), Grid(16, 16, a=180.0, c=0.0, e=-180.0, f=N * 90.0), ["c1", "nlcd"])
+    return store.cells(["c1", "nlcd"])
+
+
+def store_layers_deleted(spark, sf_dir):
+    store = _store(spark, sf_dir)
+    store.delete("c2")
+    return spark.createDataFrame([(n, store.profile(n)["dtype"]) for n in store.layers()], "layer string, kind string")
+
+
+def features_read(spark, sf_dir):
+    path = shared_dir(spark) + ".geojson"
+    x = (F.col("s_suppkey") % 90).cast("double")
+    square = lambda x0, side: F.transform(F.array(*(F.array(x0 + i * side, F.lit(j * side)) for i, j in ((0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)))), lambda p: p)
+    kind = F.element_at(F.array(*map(F.lit, ("Polygon", "MultiPolygon", "MultiLineString"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    rings = F.array(square(x, 30.0), square(x + 10.0, 10.0))
+    text = F.when(kind == "MultiPolygon", F.to_json(F.array(rings, F.array(square(x + 100.0, 5.0))))).otherwise(F.to_json(rings))
+    line = F.concat(F.lit('{"type":"Feature","properties":{"id":"'), F.col("s_suppkey"), F.lit('"},"geometry":{"type":"'), kind, F.lit('","coordinates":'), text, F.lit("}}"))
+    _t(spark, sf_dir, "supplier").select(line.alias("value")).write.text(path)
+    p = F.col("points")
+    shape = [F.size(G.parts(p)).alias("n_parts"), F.when(F.col("type") != "MultiLineString", G.area(p)).alias("area"), G.contains(p, F.lit(57.5), F.lit(5.0)).alias("holds"), F.round(G.line_distance(F.lit(-5.0), F.lit(0.0), p), 6).alias("gap")]
+    return read_features(spark, path).select(F.col("properties")["id"].cast("int").alias("id"), "type", *shape)
+
+
+def points_read(spark, sf_dir):
+    path = shared_dir(spark)
+    _points(spark, sf_dir).write.option("header", True).csv(path)
+    return read_points(spark, path, "id bigint, x double, y double")
+
+
 # Layer building --------------------------------------------------------------
 
 
+def layer_file(spark, sf_dir):
+    """Masks from land, layers with a rasterized source, dry costs and a merge, built into a new store."""
+    store = Store(spark, shared_dir(spark)).create(GRID)
+    layer_files.write_masks(store, _zones(spark, sf_dir))
+    specs = [
+        L.Layer("land", [L.Component("c1", extent="dry", pass_through=True), L.Component(global_value=3, extent="landfall"), L.Component("parks", rasterize=5.0, all_touched=True)]),
+        L.Layer("sea", [L.Component("c2", extent="wet+", pass_through=True)]),
+        L.Layer("friction", [L.Component("fric", pass_through=True)]),
+    ]
+    plan = layer_files.Plan(specs, layer_files.DryCosts(), layer_files.Merge("friction", "sea", "merged"))
+    parks = _regions(spark, sf_dir).select(F.col("rid").alias("id"), "ring")
+    layer_files.build(store, plan, _cells(spark, sf_dir), shapes={"parks": parks}, validate_masks=True)
+    return store.cells(["land", "sea", "merged", "dry_multipliers", "wet_mask", "dry_mask", "landfall_mask"])
+
+
 def _built(spark, sf_dir, *specs, extent=None, cell=90.0):
     c = _cells(spark, sf_dir)
     return L.build(c, list(specs), extent, cell).select("row", "col", *[s.name for s in specs])
@@ -208,6 +256,14 @@ def scenario_soft_invalid_costs(spark, sf_dir):
     return P.surface(_cells(spark, sf_dir), s).select("row", "col", F.col("cost").cast("double").alias("cost"))
 
 
+VOLTAGES = {"routing_options": {"o": {"cost_layers": [{"layer_name": "c1", "apply_row_mult": True}, {"layer_name": "slope", "apply_polarity_mult": True}]}, "p": {"cost_layers": [{"layer_name": "c2", "apply_row_mult": True}]}}}
+
+
+def scenario_for_voltage(spark, sf_dir):
+    s = P.for_voltage(P.Scenario.from_json(VOLTAGES), {"o": 138, "p": 500}, {"o": "ac", "p": "dc"}, {"138": 2, "500": {"fric": 0.5, "inv": 3}}, {"138": {"ac": 4000, "dc": 1}})
+    return P.surface(_cells(spark, sf_dir), s).select("row", "col", "option", "cost")
+
+
 def where_predicates(spark, sf_dir):
     c = _cells(spark, sf_dir).withColumn("v", F.when(F.col("zone") == 1, F.lit(float("nan")).cast("float")).when(F.col("zone") != 2, F.col("c1")))
     return c.select("row", "col", *[X.where(F.col("v"), f"{op}40").alias(n) for n, op in zip(("gt", "ge", "lt", "le", "eq", "ne"), (">", ">=", "<", "<=", "==", "!="))])
@@ -344,6 +400,29 @@ def route_sampled_layers(spark, sf_dir):
     return reports.sampled(_steps(spark, sf_dir), _cells(spark, sf_dir), ["c1", "nlcd"])
 
 
+def _started(spark, sf_dir) -> DataFrame:
+    s = _steps(spark, sf_dir)
+    first = lambda c: F.first_value(c).over(reports._order(["route_id"])).alias(f"start_{c}")
+    return s.select("*", *map(first, ("row", "col", "option")))
+
+
+def route_report(spark, sf_dir):
+    steps = _started(spark, sf_dir)
+    found = steps.select(*KEYS, F.when(F.col("route_id") % 2 == 0, F.array(F.lit("wall"))).otherwise(F.array().cast("array<string>")).alias("dropped")).distinct()
+    people = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("route_id"), "c_mktsegment")
+    r = reports.route_table(found, steps, _cells(spark, sf_dir), P.Scenario.from_json(REPORT), GRID, people)
+    exact = [F.round(F.col(c).cast("double"), 4).alias(c) for c in ("cost", "even_cost", "odd_cost")] + [F.round(F.col(c).cast("double"), 6).alias(c) for c in ("length_km", "odd_length_km")]
+    return r.select(*KEYS, *exact, F.col("inv_even_cost").cast("double").alias("inv_even_cost"), "total_transition_costs", "poi_lat", "poi_lon", "dropped_barrier_layers", "c_mktsegment")
+
+
+def route_companion(spark, sf_dir):
+    m, c, s = _measured(spark, sf_dir), _cells(spark, sf_dir), P.Scenario.from_json(REPORT)
+    by_option = reports.option_metrics(m, c, s, ["route_id"], GRID).select("route_id", "option_name", F.round("length_km", 6).alias("length_km"))
+    flat = m.where("option = 0").withColumn("routing_option", F.lit("even"))
+    inv = reports.layer_along(flat, c, F.col("inv"), ["route_id", "routing_option"], GRID, invariant=True).select("route_id", "routing_option", F.col("cost").cast("double").alias("cost"))
+    return reports.companion(by_option, [("Inv. layer", inv)], ["route_id", "routing_option"])
+
+
 def route_segments(spark, sf_dir):
     return reports.segments(_steps(spark, sf_dir), ["route_id"])
 
@@ -492,6 +571,13 @@ def routes_with_features(spark, sf_dir):
     return finalize.with_features(_routes(spark, sf_dir).select("route_id", "end_row", "end_col", "price"), cells, features, "trans_gid")
 
 
+def route_end_features(spark, sf_dir):
+    k = F.col("n_nationkey").cast("double")
+    lines = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("trans_gid"), F.array(G.point(k * 37 + 11, F.lit(2300.0)), G.point(k * 37 + 11, k * 20 + 2300)).alias("points"), F.col("n_name").alias("line"))
+    routes = _routes(spark, sf_dir).select("route_id", "end_row", "end_col")
+    return finalize.with_features(routes, finalize.end_cells(routes, lines, "trans_gid", GRID), lines.drop("points"), "trans_gid")
+
+
 def dissolved_features(spark, sf_dir):
     s = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("gid"), F.concat(F.lit("line "), F.col("s_suppkey") % 3).alias("category"), F.concat(F.lit("POINT ("), F.col("s_suppkey") % 60, F.lit(" 0)")).alias("wkt"))
     return finalize.dissolved(s, "gid").select("gid", "category", "wkt")
@@ -555,6 +641,13 @@ def buffered_line_cells(spark, sf_dir):
     return zonal.line_cells(lines.where("half_width IS NOT NULL"), GRID)
 
 
+def route_characterized(spark, sf_dir):
+    k = F.col("n_nationkey").cast("double")
+    lines = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.array(G.point(k * 80 + 100, F.lit(300.0)), G.point(k * 80 + 100, k * 60 + 700)).alias("points"), k.alias("voltage"))
+    ranges = [{"min": 0, "max": 10, "width": 300.0}, {"min": 10, "max": 20, "width": 420.0}]
+    return zonal.characterized(lines, _cells(spark, sf_dir), "c2", GRID, {3: 500.0, 7: 200.0}, ranges, stats="count sum max")
+
+
 # Network and lookups -----------------------------------------------------------
 
 

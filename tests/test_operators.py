@@ -12,8 +12,10 @@ from rasterway.errors import ConfigError, LayerExistsError, MissingLayerError
 from rasterway.functions import geometry as G
 from rasterway.grid import Grid
 from rasterway.operators import finalize, network, reports, route_tables, zonal
+from rasterway.plans import layer_file
 from rasterway.plans import layers as L
 from rasterway.plans import scenario as P
+from rasterway.plans.lookups import Transmission
 from rasterway.sources.store import Store, append, read_features
 from rasterway.storage import shared_dir
 from rasterway.streaming import requests
@@ -341,3 +343,31 @@ def test_route_table_adds_up_options_and_layers(spark):
         assert [r.a_air_cost, r.i_air_cost, r.b_sea_way_cost, r.i_sea_way_cost] == pytest.approx([of(lambda v, x: v["a"] * x, 0), of(lambda v, x: v["i"], 0), sea, of(lambda v, x: v["i"] * x, 1)])
         assert r.a_air_max == max((values[p[:2]]["a"] for p in w if p[2] == 0), default=None)
         assert (r.label, r.dropped_barrier_layers) == ("xy"[k - 1], '["wall"]' if k == 2 else None)
+
+
+def test_plans_skip_what_a_store_was_built_from(spark):
+    store = Store(spark, shared_dir(spark))
+    grid = Grid(2, 2, a=10.0, c=0.0, e=-10.0, f=20.0)
+    source = cells(spark, [[1, 2], [3, 4]], "s")
+    plan = layer_file.Plan([L.Layer("a", [L.Component("s", pass_through=True)]), L.Layer("b", [L.Component("s", bins=[L.Bin(5, max=3)])]), L.Layer("aside", [L.Component("s", pass_through=True)], include_in_file=False)])
+    assert layer_file.build(store, plan, source, grid) == ["a", "b"]
+    assert layer_file.build(store, plan, source) == []
+    plan.layers[1].build[0].bins[0].value = 6
+    assert layer_file.build(store, plan, source) == ["b"]
+    assert array(store.cells(["a", "b"]), "b") == [[6.0, 6.0], [0.0, 0.0]] and store.layers() == ["a", "b"]
+    with pytest.raises(ConfigError):
+        layer_file.build(store, layer_file.Plan(), source)
+    with pytest.raises(ConfigError):
+        L.check_masks(store.cells(["a"]), ("a",))
+    two = [L.Layer("c", [L.Component("v", rasterize=1.0), L.Component("v", rasterize=2.0)])]
+    with pytest.raises(ConfigError):
+        L.burned(source, two, {"v": source}, grid)
+    with pytest.raises(MissingLayerError):
+        L.burned(source, two[:1], {}, grid)
+
+
+def test_capacities_and_voltages_are_inverse():
+    t = Transmission()
+    for name in t.power_classes:
+        kv = t.capacity_to_kv(name)
+        assert t.capacity_to_kv(t.kv_to_capacity(kv)) == kv == t.capacity_to_kv(name.removesuffix("MW"))
