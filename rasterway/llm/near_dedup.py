@@ -44,8 +44,6 @@ BANDS = 16
 SLOTS = 32
 #: Bits of a text's parity sketch: each shingle flips one.
 BITS = 2048
-#: Sigmas that the parity sketches of a pair may differ beyond expectation.
-MARGIN = 5.0
 #: Nodes of a bucket that one task compares.
 BLOCK = 2048
 _U = np.uint64
@@ -184,12 +182,10 @@ def _stars(table: pa.Table) -> pa.Table:
 def _most_apart(total: np.ndarray, similarity: float) -> np.ndarray:
     """Bits by which the parity sketches of a linked pair of ``total`` shingles can differ.
 
-    Never more than the shingles that only one of both has; for long texts, whose
-    sketches fill up, no more than expected of so many and MARGIN sigma.
+    Never more than the shingles that only one of both has.  This bound holds for every
+    pair; beyond some 9000 shingles it leaves all pairs to the alignment.
     """
-    apart = np.floor(total * (1 - similarity) / (1 + similarity) + 1e-9)
-    expected = BITS / 2 * (1 - (1 - 2 / BITS) ** apart)
-    return np.minimum(apart, np.ceil(expected + MARGIN * np.sqrt(np.maximum(expected, 1) / 2)))
+    return np.floor(total * (1 - similarity) / (1 + similarity) + 1e-9)
 
 
 def _cross(similarity: float, best: bool):
