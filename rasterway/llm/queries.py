@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterway.llm import alignment, decontamination, fingerprints, html_text, language_id, near_dedup, packing, quality, shared, spelling, substring_dedup, token_files, toxicity
+from rasterway.llm import alignment, decontamination, fingerprints, html_text, language_id, language_model, near_dedup, packing, quality, shared, spelling, substring_dedup, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,5 +74,9 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_table(spark, sf_dir, "documents"), language_id.held_out(5, 1))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
