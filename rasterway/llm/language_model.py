@@ -36,7 +36,7 @@ from rasterway.llm import shared as S
 from rasterway.llm import words as W
 
 #: Text bytes of a chunk (each document counts a few more), n-grams that a bucket should receive.
-CHUNK_BYTES, BUCKET_GRAMS = 12 << 20, 1 << 20
+CHUNK_BYTES, BUCKET_GRAMS = 8 << 20, 1 << 20
 #: Bits of an n-gram's hash beyond those that its bucket needs.
 BITS = 40
 #: Buckets of context counts: none, one, then a bucket a power of two up to this one.
@@ -55,7 +55,6 @@ _START0, _START1, _END = (_U(W.mix_int(k)) for k in (31, 32, 33))
 _FACTORS = {2: _U(W.mix_int(34) | 1), 3: _U(W.mix_int(35) | 1)}
 _ASKED = np.dtype([("delta", "<u8"), ("fit", "<u8"), ("all", "<u8")])
 _TOLD = np.dtype([("fit", "<u8"), ("all", "<u8")])
-_COUNTS = np.dtype([(f"{c}{k}", "<u8") for c in ("all", "fit") for k in (1, 2, 3)])
 _HASHES, _IDS = np.dtype([("delta", "<u8")]), np.dtype([("id", "<u4")])
 _CHUNK = "chunk long, doc_id array<long>, role array<int>, n array<long>, words binary, ids binary"
 _ANSWER = "chunk long, bucket int, kind int, counts binary, fit long, all long"
@@ -188,14 +187,16 @@ def _counted(buckets: int):
         blobs = answers.column("counts").combine_chunks()
         out = []
         for _, chunk in _chunks_of(rows):
-            counts = np.zeros(len(chunk.tokens), _COUNTS)
+            own = []
             for kind, places, _, at, _ in chunk.grams(buckets):
-                told = S.unpack([blobs[int(k)].as_py() for k in np.flatnonzero(kinds == kind)], _TOLD)[at]
-                counts[f"all{kind}"][places] = told["all"]
+                counts = np.zeros(len(chunk.tokens), _TOLD)
+                counts[places] = S.unpack((blobs[int(k)].as_buffer() for k in np.flatnonzero(kinds == kind)), _TOLD)[at]
                 # Counts without the deleted part matter at deleted places and at the starts before them.
-                counts[f"fit{kind}"][places] = np.where(chunk.roles[places] == TUNE, told["fit"], 0)
-            out.append(S.pack(counts))
-        return rows.select(["chunk", "doc_id", "role", "n"]).append_column("counts", pa.array(out, pa.binary()))
+                counts["fit"][chunk.roles != TUNE] = 0
+                own.append(S.pack(counts))
+                del counts, at, places
+            out.append(own)
+        return rows.select(["chunk", "doc_id", "role", "n"]).append_column("counts", pa.array(out, pa.list_(pa.binary())))
 
     return run
 
@@ -204,9 +205,14 @@ def _class(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, np.minimum(np.log2(np.maximum(count, 1).astype(float)).astype(np.int64) + 1, CLASSES), 0)
 
 
-def _estimates(counts: np.ndarray, at: np.ndarray, part: str, total: int, words: int):
+def _unpacked(counts: pa.Scalar, part: str) -> list[np.ndarray]:
+    """The counts of one part of the training documents, by kind."""
+    return [S.unpack([blob.as_buffer()], _TOLD)[part].copy() for blob in counts.values]
+
+
+def _estimates(counts: list[np.ndarray], at: np.ndarray, total: int, words: int):
     """(bucket, trigram, bigram, smoothed unigram estimate) at the places ``at``."""
-    one, two, three = (counts[f"{part}{k}"] for k in (1, 2, 3))
+    one, two, three = counts
     with np.errstate(divide="ignore", invalid="ignore"):
         m3 = np.where(two[at - 1] > 0, three[at] / two[at - 1], 0.0)
         m2 = np.where(one[at - 1] > 0, two[at] / one[at - 1], 0.0)
@@ -227,10 +233,10 @@ def _ratios(total: int, words: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 role, n = (np.asarray(batch.column(c)[k].as_py(), np.int64) for c in ("role", "n"))
-                counts = S.unpack([batch.column("counts")[k].as_py()], _COUNTS)
+                counts = _unpacked(batch.column("counts")[k], "fit")
                 at = _predicted(n)
                 at = at[np.repeat(role, n) == TUNE]
-                bucket, m3, m2, base = _estimates(counts, at, "fit", total, words)
+                bucket, m3, m2, base = _estimates(counts, at, total, words)
                 (c3, l3), (c2, l2) = _ratio(m3, base), _ratio(m2, base)
                 cells, back = np.unique((bucket * (MOST + 1) + c3) * (MOST + 1) + c2, return_inverse=True)
                 sums = [np.bincount(back, w, len(cells)) for w in (None, l3, l2)]
@@ -269,12 +275,12 @@ def _scored(lam: np.ndarray, total: int, words: int):
         for batch in batches:
             for k in range(batch.num_rows):
                 role, n = (np.asarray(batch.column(c)[k].as_py(), np.int64) for c in ("role", "n"))
-                counts = S.unpack([batch.column("counts")[k].as_py()], _COUNTS)
+                counts = _unpacked(batch.column("counts")[k], "all")
                 at = _predicted(n)
-                bucket, m3, m2, base = _estimates(counts, at, "all", total, words)
+                bucket, m3, m2, base = _estimates(counts, at, total, words)
                 p = lam[bucket, 0] * m3 + lam[bucket, 1] * m2 + lam[bucket, 2] * base
                 first = np.cumsum(n) - n
-                sums = [np.add.reduceat(x, first) for x in (np.log10(p), np.log10(base), (counts["all1"][at] > 0).astype(np.int64))]
+                sums = [np.add.reduceat(x, first) for x in (np.log10(p), np.log10(base), (counts[0][at] > 0).astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[k].values, pa.array(role == APART), pa.array(n), pa.array(sums[2]), pa.array(sums[1]), pa.array(sums[0])], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
     return run
@@ -298,7 +304,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     answers = S.written(asked.groupBy("bucket", "kind").applyInArrow(_merged, _ANSWER))
     words = answers.agg(F.sum("fit"), F.sum("all")).first()
     told = answers.where("chunk IS NOT NULL").select("chunk", "bucket", "kind", "counts")
-    counted = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_counted(buckets), "chunk long, doc_id array<long>, role array<int>, n array<long>, counts binary")
+    counted = chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_counted(buckets), "chunk long, doc_id array<long>, role array<int>, n array<long>, counts array<binary>")
     counted = S.written(counted)
     tuned = counted.where(F.array_contains("role", TUNE)).select("role", "n", "counts")
     table = tuned.mapInArrow(_ratios(fit, words[0] or 0), "cell long, n long, log3 double, log2 double")
