@@ -73,3 +73,17 @@ def test_rows_without_an_id_spread_and_long_texts(spark):
     assert got[6, 302] == 300 and got[5, 60_000] == 1200 and got[None, 42] == 0
     homes = {int(op._home(op._records(op._POINT, np.array([-(2**63)]), np.array([zlib.crc32(t.encode())], np.uint32), np.array([0])), 65)[0]) for d, t in rows if d is None}
     assert len(homes) > 10
+
+
+def test_texts_of_one_id_that_share_a_crc_keep_their_own_words(spark):
+    seen = {}
+    for k in range(1_000_000):
+        text = f" {k}x".join("abcdefghijklmnopqrstuvw")
+        crc = zlib.crc32(text.encode())
+        if crc in seen and seen[crc] != text:
+            break
+        seen[crc] = text
+    a, b = seen[crc], text
+    for ids in ((1, 5, 5), (None, 5, 5), (None, None, None)):
+        got = op.remove_repeats(spark.createDataFrame(list(zip(ids, (a, a, b))), "doc_id long, text string")).collect()
+        assert sum(r.n_removed for r in got if r.kept_text == b) == 0 and any(r.kept_text == b for r in got)
