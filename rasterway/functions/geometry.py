@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rasterway.errors import UnsupportedError
-
 
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
@@ -187,9 +185,3 @@ def touches_box(ring: Column, x0: Column, y0: Column, x1: Column, y1: Column) ->
         return F.greatest(ax, ay, F.lit(0.0)) < F.least(bx, by, F.lit(1.0))
 
     return F.exists(sides(ring), hit)
-
-
-def same_system(own: str, other: str) -> None:
-    """Raises where a change of reference system would be needed."""
-    if own and other and own.strip().lower() != other.strip().lower():
-        raise UnsupportedError(f"no projection from {own} to {other} is built in; reproject the coordinates first")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterway.errors import ProfileError
+from rasterway.functions import projection
 
 #: Columns of a cell table that are not layers.
 RESERVED = ("row", "col", "x", "y", "latitude", "longitude", "band", "spatial_ref", "tile")
@@ -62,7 +63,7 @@ class Grid:
         """Raises unless both grids have the same shape, system and transform."""
         if (self.nrows, self.ncols) != (other.nrows, other.ncols):
             raise ProfileError(f"shapes differ: {self.nrows, self.ncols} and {other.nrows, other.ncols}")
-        if self.crs and other.crs and self.crs.strip().lower() != other.crs.strip().lower():
+        if not projection.same(self.crs, other.crs):
             raise ProfileError(f"reference systems differ: {self.crs} and {other.crs}")
         if any(abs(getattr(self, k) - getattr(other, k)) > TRANSFORM_TOLERANCE for k in "abcdef"):
             raise ProfileError("transforms differ")
@@ -87,10 +88,11 @@ def empty(spark: SparkSession, grid: Grid) -> DataFrame:
 
 
 def with_coordinates(cells: DataFrame, grid: Grid) -> DataFrame:
-    """Cell centres x and y; also longitude and latitude where the system is geographic."""
+    """Cell centres x and y; also longitude and latitude where the reference system is known."""
     out = cells.withColumn("x", grid.x(F.col("col"), F.col("row"))).withColumn("y", grid.y(F.col("row"), F.col("col")))
-    if grid.crs.upper() in ("EPSG:4326", "WGS84", "OGC:CRS84"):
-        out = out.withColumn("longitude", F.col("x").cast("float")).withColumn("latitude", F.col("y").cast("float"))
+    if projection.known(grid.crs):
+        out = projection.moved(out, F.col("x"), F.col("y"), grid.crs, "EPSG:4326", ("longitude", "latitude"))
+        out = out.withColumns({c: F.col(c).cast("float") for c in ("longitude", "latitude")})
     return out
 
 
@@ -107,13 +109,17 @@ def from_long(cells: DataFrame, names: list[str]) -> DataFrame:
 def resampled(source: DataFrame, own: Grid, target: Grid, columns: list[str] | None = None, fill: float | None = 0.0) -> DataFrame:
     """``source`` on the cells of ``target``: the source cell that holds each centre.
 
-    Both grids share one reference system.  Cells without a source get ``fill``.
+    Centres go to the source's reference system where it is another one.  Of the source only
+    the rows and columns between the least and the greatest that a target cell needs are
+    read.  Cells without a source get ``fill``.
     """
-    if own.crs and target.crs and own.crs.strip().lower() != target.crs.strip().lower():
-        raise ProfileError("another reference system needs a reprojection of the source first")
     columns = columns or layers(source)
     at = empty(source.sparkSession, target)
-    at = at.select("row", "col", own.row_of(target.y(F.col("row"))).alias("_r"), own.col_of(target.x(F.col("col"))).alias("_c"))
-    picked = source.select(F.col("row").alias("_r"), F.col("col").alias("_c"), *columns)
+    at = projection.moved(at, target.x(F.col("col"), F.col("row")), target.y(F.col("row"), F.col("col")), target.crs, own.crs)
+    at = at.select("row", "col", own.row_of(F.col("y")).alias("_r"), own.col_of(F.col("x")).alias("_c"))
+    inside = own.inside(F.col("_r"), F.col("_c"))
+    need = at.agg(*(f(F.when(inside, F.col(c))).alias(f"{c}{k}") for c in ("_r", "_c") for k, f in enumerate((F.min, F.max)))).first()
+    window = F.lit(False) if need["_r0"] is None else F.col("row").between(need["_r0"], need["_r1"]) & F.col("col").between(need["_c0"], need["_c1"])
+    picked = source.where(window).select(F.col("row").alias("_r"), F.col("col").alias("_c"), *columns)
     out = at.join(picked, ["_r", "_c"], "left").drop("_r", "_c")
     return out if fill is None else out.na.fill(fill, columns)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterway.errors import ConfigError, MissingLayerError, RasterwayWarning
 from rasterway.functions import geometry as G
+from rasterway.functions import projection
 from rasterway.grid import Grid
 from rasterway.operators import nearby
 from rasterway.storage import written
@@ -18,10 +19,13 @@ GROWTH, MOST_STEPS = 0.05, 10_000
 
 
 def on_grid(table: DataFrame, grid: Grid, sides: tuple[str, ...] = ("start", "end")) -> DataFrame:
-    """Adds <side>_row and <side>_col from <side>_lat and <side>_lon, which narrow to 32 bits first."""
+    """Adds <side>_row and <side>_col from <side>_lat and <side>_lon, which narrow to 32 bits first and then go to the grid's system."""
     out = table
     for side in sides:
         x, y = F.col(f"{side}_lon").cast("float").cast("double"), F.col(f"{side}_lat").cast("float").cast("double")
+        if projection.known(grid.crs) and not projection.same(grid.crs, "EPSG:4326"):
+            at = projection.transformed(x, y, "EPSG:4326", grid.crs)
+            x, y = at["x"], at["y"]
         out = out.withColumn(f"{side}_row", grid.row_of(y)).withColumn(f"{side}_col", grid.col_of(x))
     return out
 
@@ -50,7 +54,7 @@ def supply_points(spark: SparkSession, grid: Grid, resolution: int = 128) -> Dat
     at = spark.range(rows * cols).select(F.col("id").alias("sc_point_gid"), F.expr(f"cast(id div {cols} as int)").alias("sc_row_ind"), F.expr(f"cast(id % {cols} as int)").alias("sc_col_ind"))
     centre = lambda c: F.bround(F.col(c) * resolution + resolution / 2, 0).cast("int")
     at = at.withColumn("start_row", centre("sc_row_ind")).withColumn("start_col", centre("sc_col_ind"))
-    return at.withColumn("latitude", grid.y(F.col("start_row"))).withColumn("longitude", grid.x(F.col("start_col")))
+    return projection.moved(at, grid.x(F.col("start_col")), grid.y(F.col("start_row")), grid.crs if projection.known(grid.crs) else "", "EPSG:4326", ("longitude", "latitude"))
 
 
 def valid_nodes(nodes: DataFrame, surf: DataFrame, blocking: bool = True) -> DataFrame:
@@ -143,12 +147,25 @@ def _boxed(regions: DataFrame, key: str) -> DataFrame:
     return regions.select(key, "ring", G.bounds(F.col("ring")).alias("_b")).select(key, "ring", "_b.*")
 
 
-def nearest_region(points: DataFrame, regions: DataFrame, key: str = "rid") -> DataFrame:
+def _in_metres(points: DataFrame, regions: DataFrame, crs: str) -> tuple[DataFrame, DataFrame]:
+    """Both in the UTM zone of the middle of all regions, where ``crs`` is geographic."""
+    if not crs or not projection.system(crs).geographic:
+        return points, regions
+    b = regions.select(G.bounds(F.col("ring")).alias("b")).agg(F.min("b.x0"), F.min("b.y0"), F.max("b.x1"), F.max("b.y1")).first()
+    if b[0] is None:
+        return points, regions
+    zone = projection.utm_of((b[0] + b[2]) / 2, (b[1] + b[3]) / 2)
+    return projection.moved(points.select("id", "x", "y"), F.col("x"), F.col("y"), crs, zone), regions.withColumn("ring", projection.transformed_points(F.col("ring"), crs, zone))
+
+
+def nearest_region(points: DataFrame, regions: DataFrame, key: str = "rid", crs: str = "") -> DataFrame:
     """``points`` (id, x, y, ...) with the ``key`` of the nearest of ``regions`` (key, ring) and the distance; ties go to the smallest key.
 
-    Points and regions meet on squares that widen until each point has its region.
+    With a geographic ``crs`` distances are metres in the UTM zone of the regions.  Points
+    and regions meet on squares that widen until each point has its region.
     """
-    return points.join(nearby.nearest(points, _boxed(regions, key), key, G.polygon_distance(F.col("x"), F.col("y"), F.col("ring"))), "id")
+    places, shapes = _in_metres(points, regions, crs)
+    return points.join(nearby.nearest(places, _boxed(shapes, key), key, G.polygon_distance(F.col("x"), F.col("y"), F.col("ring"))), "id")
 
 
 def within_region(points: DataFrame, regions: DataFrame, key: str = "rid") -> DataFrame:
