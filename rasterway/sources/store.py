@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from rasterway.errors import ConfigError, LayerExistsError, MissingFileError, MissingLayerError
 from rasterway.functions.geometry import parse_geojson, parse_wkt
 from rasterway.grid import Grid, empty, layers, resampled, with_coordinates
+from rasterway.sources.geopackage import read_geopackage
 
 #: Cells along a side of the tiles that a store is partitioned by.
 TILE = 512
@@ -176,8 +177,11 @@ def read_points(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_features(spark: SparkSession, path: str, where: str | None = None) -> DataFrame:
-    """GeoJSON lines, or a CSV with a wkt column, with points parsed into arrays
-    (parts parted by nulls; a geometry collection has none)."""
+    """A GeoPackage, GeoJSON lines, or a CSV with a wkt column, with points parsed into
+    arrays (parts parted by nulls; a geometry collection has none)."""
+    if path.endswith(".gpkg"):
+        out = read_geopackage(spark, path)
+        return out.where(where) if where else out
     if path.endswith((".geojsonl", ".json", ".geojson")):
         raw = spark.read.text(path)
         kind = "struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>"
