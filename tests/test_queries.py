@@ -9,10 +9,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from rasterway import oracles, queries
+from rasterway import earth_queries, oracles, queries
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+QUERIES, SQL = queries.queries() | earth_queries.queries(), oracles.oracle_sql() | earth_queries.oracle_sql()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
 
@@ -38,10 +39,10 @@ def rows(frame):
     return sorted(tuple(plain(v) for v in r) for r in frame[names].astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, duck, name):
-    got = queries.queries()[name](spark, SF).toPandas()
-    want = duck.execute(oracles.oracle_sql()[name]).fetchdf()
+    got = QUERIES[name](spark, SF).toPandas()
+    want = duck.execute(SQL[name]).fetchdf()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
 
@@ -58,7 +59,7 @@ def test_wkt_holds_every_step(spark):
 
 
 def test_every_query_has_sql():
-    assert set(queries.queries()) == set(oracles.oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry_works_without_the_optional_part(monkeypatch):
@@ -68,8 +69,8 @@ def test_entry_works_without_the_optional_part(monkeypatch):
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     again = importlib.reload(entry)
     try:
-        assert set(again.queries()) == set(queries.queries())
-        assert set(again.oracle_sql()) == set(oracles.oracle_sql())
+        assert set(again.queries()) == set(QUERIES)
+        assert set(again.oracle_sql()) == set(SQL)
     finally:
         monkeypatch.undo()
         importlib.reload(entry)
