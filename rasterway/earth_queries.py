@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterway import grid as gridlib
+from rasterway.functions import geometry as G
 from rasterway.functions import projection
 from rasterway.grid import Grid
+from rasterway.operators import shapes
 from rasterway.oracles import _C
-from rasterway.queries import _cells, _t
+from rasterway.queries import _cells, _points, _t
 from rasterway.sources.geotiff import read_geotiff, write_geotiff
 from rasterway.sources.store import Store
 from rasterway.sources.zarr import grid_of, read_zarr, write_zarr
@@ -81,8 +83,38 @@ def raster_chunks(spark, sf_dir):
     return read_zarr(spark, path, ["c1", "nlcd"]).where("row BETWEEN 5 AND 25")
 
 
+def united_features(spark, sf_dir):
+    """Boxes of all parts of a size and kind as one shape, with its area and number of rings' points."""
+    k = F.col("p_partkey")
+    box = G.box((k * 37 % 300).cast("double"), (k * 53 % 280).cast("double"), (k * 37 % 300 + k % 11 + 2).cast("double"), (k * 53 % 280 + k % 7 + 2).cast("double"))
+    made = _t(spark, sf_dir, "part").select(F.col("p_size").alias("size"), k.alias("p_partkey"), box.alias("ring"))
+    return shapes.united(made, "size", order=["p_partkey"]).select("size", "p_partkey", F.round(G.area(F.col("ring")), 3).alias("area"))
+
+
+def repaired_shapes(spark, sf_dir):
+    """Bow ties and squares with a hole that runs the wrong way."""
+    k = F.col("s_suppkey")
+    w, h = (k % 9 + 2).cast("double"), (k % 5 + 2).cast("double")
+    at = lambda *p: F.array(*(G.point(F.lit(x) * w, F.lit(y) * h) for x, y in p))
+    bow = at((0.0, 0.0), (1.0, 1.0), (1.0, 0.0), (0.0, 1.0), (0.0, 0.0))
+    holed = G.joined(F.array(at((0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)), at((1.0, 1.0), (2.0, 1.0), (2.0, 2.0), (1.0, 2.0), (1.0, 1.0))))
+    made = _t(spark, sf_dir, "supplier").select(k.alias("s_suppkey"), F.when(k % 2 == 0, bow).otherwise(holed).alias("ring"))
+    return shapes.repaired(made).select("s_suppkey", F.size(G.parts(F.col("ring"))).alias("n_parts"), F.round(G.area(F.col("ring")), 6).alias("area"))
+
+
+def shapes_in_radius(spark, sf_dir):
+    """Level lines and boxes that lie near customers, with what is left of lines in the circle."""
+    k = F.col("s_suppkey")
+    x, y, size = (k * 97 % 2880).cast("double"), (k * 61 % 2880).cast("double"), (k % 90 + 10).cast("double")
+    line = F.array(G.point(x, y), G.point(x + size, y))
+    f = _t(spark, sf_dir, "supplier").select(k.alias("feature"), (k % 2 == 0).alias("areal"), F.when(k % 2 == 0, G.box(x, y, x + size, y + size)).otherwise(line).alias("points"))
+    found = shapes.shapes_within_radius(_points(spark, sf_dir), f, 60.0)
+    length = F.when(F.size("points") == 2, F.abs(F.col("points")[1]["x"] - F.col("points")[0]["x"]))
+    return found.select("id", "feature", F.round("distance", 6).alias("distance"), F.round("radius", 6).alias("radius"), F.when(F.col("feature") % 2 == 1, F.round(F.coalesce(length, F.lit(0.0)), 6)).alias("length"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (places_projected, places_inverted, grid_places, grid_warped, raster_files, raster_chunks)}
+    return {f.__name__: f for f in (united_features, repaired_shapes, shapes_in_radius, places_projected, places_inverted, grid_places, grid_warped, raster_files, raster_chunks)}
 
 
 # SQL ------------------------------------------------------------------------------
@@ -161,4 +193,16 @@ def oracle_sql() -> dict[str, str]:
     everywhere = 'allcells AS (SELECT a.range::INTEGER AS "row", b.range::INTEGER AS col FROM range(32) a, range(32) b)'
     q["raster_files"] = f"""{_C}, {everywhere} SELECT a."row", a.col, c1 FROM allcells a LEFT JOIN (SELECT * FROM cells WHERE nlcd <> 90) c ON c."row" = a."row" AND c.col = a.col WHERE a."row" >= 10 AND a.col < 20"""
     q["raster_chunks"] = f"""{_C}, {everywhere} SELECT a."row", a.col, c.c1 * 2 AS c1, coalesce(CASE WHEN nlcd <> 90 THEN nlcd END, 0)::INTEGER AS nlcd FROM allcells a LEFT JOIN cells c ON c."row" = a."row" AND c.col = a.col WHERE a."row" BETWEEN 5 AND 25"""
+    q["united_features"] = """WITH b AS (SELECT p_size AS size, p_partkey, p_partkey * 37 % 300 AS x0, p_partkey * 53 % 280 AS y0, p_partkey * 37 % 300 + p_partkey % 11 + 2 AS x1, p_partkey * 53 % 280 + p_partkey % 7 + 2 AS y1 FROM part),
+      c AS (SELECT DISTINCT size, x, y FROM (SELECT size, unnest(range(x0, x1)) AS x, y0, y1 FROM b) t, range(0, 300) r(y) WHERE y >= y0 AND y < y1), n AS (SELECT size, count(*) AS area FROM c GROUP BY size)
+      SELECT n.size, p_partkey, area::DOUBLE AS area FROM n JOIN (SELECT size, min(p_partkey) AS p_partkey FROM b GROUP BY size) m ON m.size = n.size"""
+    q["repaired_shapes"] = """SELECT s_suppkey, 2 AS n_parts, CASE WHEN s_suppkey % 2 = 0 THEN 0.5 ELSE 15.0 END::DOUBLE * (s_suppkey % 9 + 2) * (s_suppkey % 5 + 2) AS area FROM supplier"""
+    q["shapes_in_radius"] = """WITH p AS (SELECT c_custkey AS id, (c_custkey * 37 % 2880)::DOUBLE AS x, (c_custkey * 53 % 2880)::DOUBLE AS y FROM customer),
+      f AS (SELECT s_suppkey AS feature, (s_suppkey * 97 % 2880)::DOUBLE AS x0, (s_suppkey * 61 % 2880)::DOUBLE AS y0, (s_suppkey % 90 + 10)::DOUBLE AS size FROM supplier),
+      d AS (SELECT id, feature, x, y, x0, x0 + size AS x1, y0, greatest(x0 - x, 0, x - x0 - size) AS dx, greatest(y0 - y, 0, y - y0 - CASE WHEN feature % 2 = 0 THEN size ELSE 0 END) AS dy FROM p, f),
+      e AS (SELECT *, sqrt(dx * dx + dy * dy) AS distance, min(sqrt(dx * dx + dy * dy)) OVER (PARTITION BY id) AS least FROM d),
+      r AS (SELECT *, 60 * (1 + 0.05::DOUBLE * greatest(0, ceil((least / 60 - 1) / 0.05::DOUBLE - 1e-9::DOUBLE))) AS radius FROM e)
+      SELECT id, feature, round(distance, 6) AS distance, round(radius, 6) AS radius,
+        CASE WHEN feature % 2 = 1 THEN round(greatest(0, least(x1, x + sqrt(greatest(0, radius * radius - dy * dy))) - greatest(x0, x - sqrt(greatest(0, radius * radius - dy * dy)))), 6) END AS length
+      FROM r WHERE distance <= radius + 1e-9 * radius"""
     return q

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from rasterway.errors import ConfigError, MissingLayerError, RasterwayWarning
 from rasterway.functions import expressions as X
 from rasterway.grid import Grid
+from rasterway.operators.shapes import repaired
 from rasterway.operators.zonal import rasterized
 from rasterway.plans.lookups import Transmission
 
@@ -100,7 +101,7 @@ def masks(raw_land: Column, boundary: Column) -> dict[str, Column]:
 
 def land_masks(land: DataFrame, grid: Grid) -> DataFrame:
     """(row, col, wet_mask, dry_mask, landfall_mask, raw_land_mask) of all cells from land polygons (id, ring), 1 inside."""
-    burned = land.select("id", "ring", F.lit(1.0).alias("value"), F.lit(0).alias("order"))
+    burned = repaired(land.select("id", "ring", F.lit(1.0).alias("value"), F.lit(0).alias("order")))
     raw = rasterized(burned, grid, all_touched=True).withColumnRenamed("value", "raw")
     both = raw.join(rasterized(burned, grid, boundary_only=True).withColumnRenamed("value", "coast"), ["row", "col"])
     m = masks(F.col("raw") == 1, F.col("coast") == 1)
@@ -147,7 +148,7 @@ def burned(cells: DataFrame, specs: list[Layer], shapes: dict[str, DataFrame], g
         if c.source not in shapes:
             raise MissingLayerError(f"no vector source {c.source!r}")
     for name, c in wanted.items():
-        value = rasterized(shapes[name].select("id", "ring", F.lit(float(c.rasterize)).alias("value"), F.lit(0).alias("order")), grid, c.all_touched, fill=float(c.na_fill))
+        value = rasterized(shapes[name].select("id", "ring", F.lit(float(c.rasterize)).alias("value"), F.lit(0).alias("order")), grid, c.all_touched, fill=float(c.na_fill), repair=True)
         cells = cells.join(value.withColumnRenamed("value", name), ["row", "col"], "left")
     return cells
 
