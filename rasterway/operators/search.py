@@ -37,7 +37,7 @@ TILE = 256
 
 
 def algorithm(name: str) -> str:
-    """The canonical name; all of them give exact least-cost paths here."""
+    """The canonical name; all of them give exact least-cost paths, and the A* kind is led by lower bounds."""
     found = name.strip().lower().replace("-", "_").replace("a_star", "astar")
     if found not in ALGORITHMS:
         raise ConfigError(f"unknown algorithm {name!r}")
@@ -226,8 +226,11 @@ def _settled(size: int, noptions: int, ncols: int, switch, attempt: int):
     """(id, tile) rows with messages, state and goals to new states and outgoing messages."""
 
     def run(batches):
+        tile = None
         for r in _rows(batches):
-            tile = _Tile(r["data"], r["ti"], r["tj"], size, noptions, ncols, switch)
+            # Rows come in order of tiles: one is unpacked once for all the searches that called it.
+            if tile is None or (tile.ti, tile.tj) != (r["ti"], r["tj"]):
+                tile = _Tile(r["data"], r["ti"], r["tj"], size, noptions, ncols, switch)
             n = tile.side * tile.side * noptions
             dist = np.full(n, NEVER) if r["dist"] is None else np.frombuffer(r["dist"], np.int64).copy()
             parent = np.full(n, NEVER) if r["parent"] is None else np.frombuffer(r["parent"], np.int64).copy()
@@ -298,15 +301,69 @@ class _States:
         return touched
 
 
-def _attempt(tiles: DataFrame, starts: DataFrame, goals: DataFrame, size: int, noptions: int, ncols: int, switch, attempt: int) -> tuple[_States, DataFrame]:
-    """(states, best goals) of one attempt for ``starts`` (id, row, col, option)."""
+@dataclass
+class Bounds:
+    """What a path costs at least between tiles, for searches that are led by it.
+
+    A path from one column of tiles to another passes every column of cells between them,
+    and a cell that it passes costs at least the least weight in its column of tiles; so
+    do rows.  These sums are the lower bounds, for the nearest of the goals' tiles.
+    """
+
+    cols: list[int]
+    rows: list[int]
+    #: What waits longer than this behind the most promising tile of its search is put off.
+    slack: int
+
+    @staticmethod
+    def of(surf: DataFrame, size: int, switch: list[list[int]]) -> "Bounds":
+        """From a surface: one number a row and a column of tiles."""
+        least = F.min(F.col("cost") * F.col("driver")).alias("least")
+        some = surf.where(traversable(10**6))
+        spoiled = some.where((F.col("inv") * F.col("driver") < 0) | (F.col("driver") < 0)).limit(1).count() or min(min(r) for r in switch) < 0
+        sums = []
+        for axis in ("row", "col"):
+            found = {r.k: r.least for r in some.groupBy(F.expr(f"{axis} div {size}").alias("k")).agg(least).collect()}
+            # Weights are cut off step by step, and halves are rounded in single precision.
+            units = [0 if spoiled or found.get(k) is None or found[k] != found[k] else max(0, int(found[k] * 10000 * (1 - 1e-6)) - 2) * size for k in range(max(found, default=0) + 1)]
+            sums.append([0, *np.cumsum(units).tolist()])
+        usual = [b - a for one in sums for a, b in zip(one, one[1:])]
+        return Bounds(sums[1], sums[0], int(np.median(usual)) if usual else 0)
+
+    def to(self, ti: Column, tj: Column) -> Column:
+        """The least cost from a tile to the box (i0, i1, j0, j1) of the goals' tiles."""
+
+        def along(at: Column, lo: Column, hi: Column, sums: list[int]) -> Column:
+            table, most = F.array(*(F.lit(x).cast("bigint") for x in sums)), F.lit(len(sums) - 1).cast("bigint")
+            total = lambda k: F.get(table, F.greatest(F.lit(0).cast("bigint"), F.least(k, most)).cast("int"))
+            return F.when(at < lo, total(lo) - total(at + 1)).when(at > hi, total(at) - total(hi + 1)).otherwise(F.lit(0))
+
+        return F.greatest(F.lit(0), along(ti, F.col("i0"), F.col("i1"), self.rows), along(tj, F.col("j0"), F.col("j1"), self.cols))
+
+    def due(self, messages: DataFrame, boxes: DataFrame, best: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """(messages to take now, those to wait); what cannot beat a found goal is dropped."""
+        hoped = F.array_min(F.transform("m", lambda m: m["d"])) + self.to(F.col("ti"), F.col("tj"))
+        all_ = messages.join(boxes, "id").withColumn("hoped", hoped)
+        if best is not None:
+            all_ = all_.join(best.select("id", F.col("goal.d").alias("bound")), "id", "left").where("bound IS NULL OR hoped <= bound").drop("bound")
+        all_ = written(all_.select("id", "ti", "tj", "m", "hoped"))
+        first = all_.groupBy("id").agg((F.min("hoped") + self.slack).alias("until"))
+        split = all_.join(first, "id")
+        return split.where("hoped <= until").select("id", "ti", "tj", "m"), split.where("hoped > until").select("id", "ti", "tj", "m")
+
+
+def _attempt(tiles: DataFrame, starts: DataFrame, goals: DataFrame, size: int, noptions: int, ncols: int, switch, attempt: int, bounds: Bounds | None = None) -> tuple[_States, DataFrame]:
+    """(states, best goals) of one attempt for ``starts`` (id, row, col, option), led by lower ``bounds`` if there are any."""
     spark, keys = tiles.sparkSession, ["id", "ti", "tj"]
     states = _States(shared_dir(spark))
     place = F.struct(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("option").cast("int").alias("option"), F.lit(0).cast("bigint").alias("d"), F.lit(-1).cast("bigint").alias("p"), F.lit(False).alias("level"))
     messages = starts.select("id", *_tile_of(size), F.array(place).alias("m"))
     wanted = written(goals.groupBy("id", *_tile_of(size)).agg(F.collect_set(F.struct("row", "col", "option")).alias("goals")))
-    best, k = None, 0
+    boxes = None if bounds is None else written(wanted.groupBy("id").agg(*(f(c).cast("bigint").alias(f"{c[1]}{k}") for c in ("ti", "tj") for k, f in enumerate((F.min, F.max)))))
+    best, waiting, k = None, None, 0
     while True:
+        if bounds is not None:
+            messages, waiting = bounds.due(messages if waiting is None else messages.unionByName(waiting), boxes, best)
         called = messages.select(*keys)
         called = called.withColumn("superstep", F.lit(None).cast("int")) if best is None else called.join(states.index.select(*keys, "superstep"), keys, "left")
         # Five numbers: which tiles and which earlier supersteps this one has to open.
@@ -316,18 +373,19 @@ def _attempt(tiles: DataFrame, starts: DataFrame, goals: DataFrame, size: int, n
                 best = spark.createDataFrame([], "id long, goal struct<d:bigint,row:int,col:int,option:int>")
                 states.index = spark.createDataFrame([], "id long, ti long, tj long, superstep int, goal struct<d:bigint,row:int,col:int,option:int>")
             return states, written(best)
-        inbox = messages.groupBy(*keys).agg(F.collect_list("m").alias("messages"))
-        near = tiles.where(F.col("ti").between(seen.i0, seen.i1) & F.col("tj").between(seen.j0, seen.j1))
-        ready = inbox.join(near, ["ti", "tj"]).join(wanted, keys, "left")
+        ready = messages.groupBy(*keys).agg(F.collect_list("m").alias("messages")).join(wanted, keys, "left")
         if seen.steps:
             known = states.read(spark, sorted(seen.steps), ["dist", "parent"])
             ready = ready.join(states.index.select(*keys, "superstep"), keys, "left").join(known, [*keys, "superstep"], "left")
         else:
             ready = ready.withColumn("dist", F.lit(None).cast("binary")).withColumn("parent", F.lit(None).cast("binary"))
         ready = ready.withColumn("bound", F.lit(None).cast("bigint")) if best is None else ready.join(best.select("id", F.col("goal.d").alias("bound")), "id", "left")
-        ready = ready.select(*keys, "data", "messages", "goals", "dist", "parent", "bound")
+        # Tiles come last, so that a tile is shuffled once, not once for each search that called it.
+        near = tiles.where(F.col("ti").between(seen.i0, seen.i1) & F.col("tj").between(seen.j0, seen.j1))
+        ready = ready.join(near.hint("merge"), ["ti", "tj"]).select(*keys, "data", "messages", "goals", "dist", "parent", "bound")
         touched = states.add(ready.mapInArrow(_settled(size, noptions, ncols, switch, attempt), _STATE), k)
-        best = states.index.where("goal IS NOT NULL").groupBy("id").agg(F.min("goal").alias("goal"))
+        reached = touched.where("goal IS NOT NULL").select("id", "goal")
+        best = written((reached if best is None else reached.unionByName(best)).groupBy("id").agg(F.min("goal").alias("goal")))
         messages = touched.select("id", F.explode("out").alias("o")).select("id", "o.ti", "o.tj", "o.m")
         k += 1
 
@@ -357,7 +415,7 @@ def find_paths(cells: DataFrame, s: Scenario, starts: DataFrame, ends: DataFrame
     Starts without a path are left out.  Soft barriers fall group by group, least
     important first, for those starts alone that have no path yet.
     """
-    algorithm(name)
+    led = algorithm(name) in ("astar", "long_range_astar")
     n = len(s.names)
     surf = written(surface(cells, s))
     tiles = written(_tiles(surf, tile, n))
@@ -366,11 +424,15 @@ def find_paths(cells: DataFrame, s: Scenario, starts: DataFrame, ends: DataFrame
     # An id a distinct start, made once and stored.
     unsolved = written(starts.select(*keys).distinct().withColumn("id", F.xxhash64(*keys)))
     ends = ends.select(*keys).distinct()
+    bounds = Bounds.of(surf, tile, switch) if led else None
     solutions, steps = [], []
     for attempt in range(len(s.soft_groups) + 1):
-        allowed = unsolved.join(surf.where(traversable(attempt) & (F.col("cost") > 0)).select("row", "col", "option"), ["row", "col", "option"], "left_semi")
-        goals = allowed.select("id", "route_id").join(ends, "route_id").select("id", "row", "col", "option")
-        states, best = _attempt(tiles, allowed.select("id", "row", "col", "option"), goals, tile, n, ncols, switch, attempt)
+        open_ = surf.where(traversable(attempt) & (F.col("cost") > 0)).select("row", "col", "option")
+        allowed = unsolved.join(open_, ["row", "col", "option"], "left_semi")
+        # A search whose ends cannot be entered would settle all that it reaches for nothing.
+        goals = written(allowed.select("id", "route_id").join(ends.join(open_, ["row", "col", "option"], "left_semi"), "route_id").select("id", "row", "col", "option"))
+        allowed = allowed.join(goals.select("id").distinct(), "id", "left_semi")
+        states, best = _attempt(tiles, allowed.select("id", "row", "col", "option"), goals, tile, n, ncols, switch, attempt, bounds)
         dropped = F.array([F.lit(x) for x in s.dropped(attempt)]).cast("array<string>")
         found = unsolved.join(best, "id")
         solutions.append(found.select("id", "route_id", F.col("row").alias("start_row"), F.col("col").alias("start_col"), F.col("option").alias("start_option"), F.col("goal.row").alias("end_row"), F.col("goal.col").alias("end_col"), F.col("goal.option").alias("end_option"), X.from_fixed_point(F.col("goal.d")).alias("objective"), F.col("goal.d").alias("cost_units"), dropped.alias("dropped")))

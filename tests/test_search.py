@@ -19,9 +19,9 @@ def grid(spark, values, **more):
     return spark.createDataFrame(rows, "row int, col int, " + ", ".join(f"{n} float" for n in names))
 
 
-def found(spark, cells, config, starts, ends, ncols, tile=4):
+def found(spark, cells, config, starts, ends, ncols, tile=4, name="dijkstra"):
     kind = "route_id int, row int, col int, option int"
-    paths, steps = search.find_paths(cells, Scenario.from_json(config), spark.createDataFrame(starts, kind), spark.createDataFrame(ends, kind), ncols, tile)
+    paths, steps = search.find_paths(cells, Scenario.from_json(config), spark.createDataFrame(starts, kind), spark.createDataFrame(ends, kind), ncols, tile, name)
     return paths, steps
 
 
@@ -129,3 +129,74 @@ def test_steps_without_weight_make_no_circle(spark):
     walk = [(r.row, r.col) for r in steps.orderBy("step").collect()]
     assert walk[0] == (5, 5) and walk[-1] == (0, 0) and len(set(walk)) == len(walk)
     assert all(max(abs(a - c), abs(b - d)) == 1 for (a, b), (c, d) in zip(walk, walk[1:]))
+
+
+@pytest.fixture
+def settled(monkeypatch):
+    """Tiles that each attempt has written, superstep by superstep."""
+    seen, whole = [], search._attempt
+
+    def counted(tiles, *rest):
+        states, best = whole(tiles, *rest)
+        seen.append(tiles.sparkSession.read.parquet(states.path).count() if best.limit(1).count() else states.index.count())
+        return states, best
+
+    monkeypatch.setattr(search, "_attempt", counted)
+    return seen
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_led_searches_find_the_same_costs_in_fewer_tiles(spark, settled, seed):
+    rng = np.random.default_rng(seed)
+    n = 30
+    costs = rng.integers(40, 60, (n, n)).astype(np.float32)
+    costs[rng.random((n, n)) < 0.1] = 0
+    costs[15, 15] = costs[15, 28] = costs[13, 27] = costs[4, 4] = costs[5, 15] = 45
+    inv = rng.integers(1, 5, (n, n)).astype(np.float32)
+    config = {"routing_options": {"o": {"cost_layers": [{"layer_name": "c"}, {"layer_name": "i", "is_invariant": True}]}}}
+    cells = grid(spark, costs, i=inv)
+    starts, ends = [(0, 15, 15, 0), (1, 4, 4, 0)], [(0, 15, 28, 0), (0, 13, 27, 0), (1, 5, 15, 0)]
+    dist = {start: heap(costs, inv, start) for start in ((15, 15), (4, 4))}
+    want = {0: min(dist[15, 15][15, 28], dist[15, 15][13, 27]), 1: dist[4, 4][5, 15]}
+    paths = {name: found(spark, cells, config, starts, ends, n, 5, name) for name in ("dijkstra", "long_range_astar")}
+    for solved, steps in paths.values():
+        assert {r.route_id: r.cost_units for r in solved.collect()} == want
+    assert settled[1] < 0.8 * settled[0]
+
+
+def test_led_searches_walk_the_same_way_through_options_and_no_weight(spark):
+    rng = np.random.default_rng(5)
+    costs, other = rng.integers(1, 9, (12, 12)).astype(np.float32), rng.integers(1, 9, (12, 12)).astype(np.float32)
+    config = {"routing_options": {"a": {"cost_layers": [{"layer_name": "c"}]}, "b": {"cost_layers": [{"layer_name": "d"}]}}, "transition_costs": {"default": 2}}
+    cells = grid(spark, costs, d=other)
+    walks = []
+    for name in ("dijkstra", "astar"):
+        solved, steps = found(spark, cells, config, [(0, 1, 1, 0)], [(0, 10, 9, 1), (0, 11, 11, 0)], 12, 4, name)
+        walks.append((solved.first().cost_units, [tuple(r) for r in steps.orderBy("step").select("row", "col", "option").collect()]))
+    assert walks[0] == walks[1]
+    tiny = grid(spark, np.full((6, 6), 1e-6))
+    assert found(spark, tiny, PLAIN, [(0, 5, 5, 0)], [(0, 0, 0, 0)], 6, 3, "astar")[0].first().cost_units == 0
+
+
+def test_lower_bounds_never_exceed_costs(spark):
+    rng = np.random.default_rng(9)
+    costs = rng.integers(1, 40, (24, 18)).astype(np.float32)
+    from pyspark.sql import functions as F
+
+    from rasterway.plans.scenario import surface
+
+    bounds = search.Bounds.of(surface(grid(spark, costs), Scenario.from_json(PLAIN)), 3, [[0]])
+    dist = heap(costs, np.zeros_like(costs), (4, 4))
+    rows = [(i, j, int(min(dist[a, b] for a in range(3 * i, 3 * i + 3) for b in range(3 * j, 3 * j + 3)))) for i in range(8) for j in range(6)]
+    at = spark.createDataFrame(rows, "ti long, tj long, d long").select("*", *(F.lit(1).cast("bigint").alias(c) for c in ("i0", "i1", "j0", "j1")))
+    got = at.select("d", bounds.to(F.col("ti"), F.col("tj")).alias("low")).collect()
+    assert all(r.low <= r.d for r in got) and max(r.low for r in got) > 0
+
+
+def test_searches_without_an_open_end_settle_nothing(spark, settled):
+    costs = np.ones((8, 8))
+    costs[7, 7] = 0
+    paths, _ = found(spark, grid(spark, costs), PLAIN, [(0, 0, 0, 0), (1, 0, 0, 0), (2, 0, 0, 0)], [(0, 7, 7, 0), (2, 0, 1, 0)], 8, 2)
+    assert [r.route_id for r in paths.collect()] == [2]
+    assert settled[0] <= 4
+    assert found(spark, grid(spark, costs), PLAIN, [(0, 0, 0, 0)], [(0, 7, 7, 0)], 8, 2)[0].count() == 0 and settled[1] == 0
