@@ -190,12 +190,3 @@ def wkt(points: DataFrame, keys: list[str], grid: Grid, order: str = "step") ->
     lines = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), xy.alias("xy")))).alias("p"))
     body = F.array_join(F.transform("p", lambda q: q["xy"]), ", ")
     return lines.select(*keys, F.when(F.size("p") > 1, F.concat(F.lit("LINESTRING ("), body, F.lit(")"))).otherwise(F.concat(F.lit("POINT ("), body, F.lit(")"))).alias("wkt"))
-
-
-def checked_agg(name: str) -> str:
-    """The name of a tracked aggregate, if there is one."""
-    try:
-        X.aggregate(name)
-    except ConfigError as e:
-        raise ConfigError(f"tracked layers need a known agg_method: {e}") from e
-    return name

@@ -239,11 +239,3 @@ def points_with_features(points: DataFrame, routes: DataFrame, key: str) -> Data
 def end_cells(ends: DataFrame, cells_of_features: DataFrame, key: str) -> DataFrame:
     """All cells of the feature that each route ends at."""
     return ends.join(cells_of_features, key)
-
-
-def option_index(names: list[str], column: Column) -> Column:
-    """The place of an option's name in its scenario, missing if unknown."""
-    out = F.lit(None).cast("int")
-    for i, n in enumerate(names):
-        out = F.when(column == n, F.lit(i)).otherwise(out)
-    return out

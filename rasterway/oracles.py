@@ -179,8 +179,9 @@ def oracle_sql() -> dict[str, str]:
 
     places = """p AS (SELECT c_custkey, floor((c_custkey * 17 % 4000 - 500 - 2880) / -90.0)::INTEGER AS start_row, floor((c_custkey * 31 % 4000) / 90.0)::INTEGER AS start_col, floor((c_custkey * 11 % 3000 - 2880) / -90.0)::INTEGER AS end_row, floor((c_custkey * 13 % 3000) / 90.0)::INTEGER AS end_col FROM customer)"""
     q["route_points_on_grid"] = f"WITH {places} SELECT * FROM p WHERE start_row BETWEEN 0 AND 31 AND start_col BETWEEN 0 AND 31 AND end_row BETWEEN 0 AND 31 AND end_col BETWEEN 0 AND 31"
-    q["route_supply_points"] = """SELECT n_nationkey::BIGINT AS sc_point_gid, (n_nationkey // 6)::INTEGER AS sc_row_ind, (n_nationkey % 6)::INTEGER AS sc_col_ind, (n_nationkey // 6 * 10 + 5)::INTEGER AS start_row, (n_nationkey % 6 * 10 + 5)::INTEGER AS start_col,
-      90.0::DOUBLE + (n_nationkey // 6 * 10 + 5.5) * -2.0::DOUBLE AS latitude, 10.0::DOUBLE + (n_nationkey % 6 * 10 + 5.5) * 2.0::DOUBLE AS longitude FROM range(30) t(n_nationkey)"""
+    q["route_supply_points"] = """WITH n AS (SELECT (max(c_custkey) // 52 + 10) // 10 * 6 AS points FROM customer), p AS (SELECT unnest(range(points)) AS k FROM n), c AS (SELECT c_custkey // 520 AS i, c_custkey % 52 // 10 AS j, count(*) AS customers FROM customer GROUP BY ALL)
+      SELECT k::BIGINT AS sc_point_gid, (k // 6)::INTEGER AS sc_row_ind, (k % 6)::INTEGER AS sc_col_ind, (k // 6 * 10 + 5)::INTEGER AS start_row, (k % 6 * 10 + 5)::INTEGER AS start_col,
+      90.0::DOUBLE + (k // 6 * 10 + 5.5) * -2.0::DOUBLE AS latitude, 10.0::DOUBLE + (k % 6 * 10 + 5.5) * 2.0::DOUBLE AS longitude, coalesce(customers, 0)::BIGINT AS customers FROM p LEFT JOIN c ON i = k // 6 AND j = k % 6"""
     q["route_valid_nodes"] = f"""{_C}, {_ROUTES} SELECT route_id, start_row AS "row", start_col AS col, (route_id % 2)::INTEGER AS "option" FROM routes JOIN cells ON "row" = start_row AND col = start_col WHERE CASE WHEN route_id % 2 = 0 THEN c1 * 0.5 * c2 + slope > 0 ELSE (c1 * 4 + c2) * c2 > 0 END"""
     q["route_remaining"] = f"WITH {_ROUTES}, done AS (SELECT * FROM routes WHERE route_id % 3 = 0 OR start_row < 4) SELECT route_id, start_row, start_col, voltage FROM routes r WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.start_row = r.start_row AND d.start_col = r.start_col AND d.voltage = r.voltage)"
     q["route_definitions"] = f"""WITH {_ROUTES}, n AS (SELECT count(DISTINCT (end_row, end_col)) > count(DISTINCT (start_row, start_col)) AS rev FROM routes), turned AS (SELECT CASE WHEN rev THEN end_row ELSE start_row END AS sr, CASE WHEN rev THEN end_col ELSE start_col END AS sc, CASE WHEN rev THEN start_row ELSE end_row END AS end_row, CASE WHEN rev THEN start_col ELSE end_col END AS end_col, rev FROM routes, n)

@@ -19,11 +19,10 @@ from rasterway.errors import ConfigError, MissingLayerError
 from rasterway.functions import expressions as X
 from rasterway.grid import layers as layers_of
 
-#: Cost of a cell that may not block although its cost is not positive.
+# Cost of a cell that may not block although its cost is not positive; friction may
+# not reach -1; scale of a polarity multiplier.
 HIGH_COST = 1e10
-#: Friction may not reach -1.
 LEAST_FRICTION = -1 + 1e-7
-#: Scales a polarity multiplier.
 POLARITY_SCALE = 55923.40730136006
 
 
@@ -229,7 +228,7 @@ def part(s: Scenario, o: Option, invariant: bool) -> Column | None:
 
 def driver(s: Scenario, name: str) -> Column:
     """The option's multiplier: later zones override, missing is excluded."""
-    if s.drivers is None:
+    if s.drivers is None or s.drivers.identity:
         return X.single(1)
     out = F.lit(s.drivers.default.get(name, 1.0)).cast("float")
     for z in s.drivers.zones:

@@ -464,7 +464,12 @@ def route_points_on_grid(spark, sf_dir):
 
 
 def route_supply_points(spark, sf_dir):
-    return route_tables.supply_points(spark, Grid(45, 52, a=2.0, c=10.0, e=-2.0, f=90.0), 10)
+    """Supply points of a grid that has a cell for each customer, with the customers in their squares."""
+    c = _t(spark, sf_dir, "customer")
+    last = c.agg(F.max("c_custkey")).first()[0] or 0
+    points = route_tables.supply_points(spark, Grid(last // 52 + 1, 52, a=2.0, c=10.0, e=-2.0, f=90.0), 10)
+    at = [F.expr("cast(c_custkey div 520 as int)").alias("sc_row_ind"), F.expr("cast(c_custkey % 52 div 10 as int)").alias("sc_col_ind")]
+    return points.join(c.groupBy(*at).agg(F.count("*").alias("customers")), ["sc_row_ind", "sc_col_ind"], "left").na.fill(0, ["customers"])
 
 
 def route_valid_nodes(spark, sf_dir):
