@@ -174,7 +174,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     """Per row of ``docs`` its fingerprint, its edited text's, and how like they and the next are."""
     n = S.groups_for(docs, group_bytes=2 * S.GROUP_BYTES)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ordered = slim.repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"))
+    ordered = slim.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"))
     found = S.written(ordered.mapInArrow(_partition, _SCHEMA))
     heads = found.where("kind = 'head'")
     # One number a partition; the last partition meets the first.
