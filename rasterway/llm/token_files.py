@@ -3,10 +3,9 @@
 Documents are dealt out by ranges of their ids and encoded in order.  In each shard
 frequent pairs of symbols become nonterminals, round after round and never across the
 end of a document, until no pair can be replaced ``LEAST`` times more.  A shard row
-holds its rules, in the order in which they were made, the remaining symbols and where
-each document's begin, so one document is decoded without the others.  The lengths that
-rules expand to follow from the rules, round by round.  Shards are rows of a Parquet
-table: tasks that are run again leave one copy, and any store that Spark writes to will do.
+holds its rules, in the order in which they were made, the lengths that they expand to,
+the remaining symbols and where each document's begin: a document, or a range of its ids,
+is decoded by the rules that it uses alone.  Shards are rows of a Parquet table: tasks that are run again leave one copy, and any store that Spark writes to will do.
 
 Defined results: null and empty texts are the end id alone; repeated rows are written
 each; rows that share an id come in the order of a text hash (equal texts are equal
@@ -167,8 +166,17 @@ def _expanded(symbols: np.ndarray, first_rule: int, flat: np.ndarray, begin: np.
     return out, size
 
 
+def lengths(rules: np.ndarray, rounds: np.ndarray, first_rule: int) -> np.ndarray:
+    """How many ids each rule stands for."""
+    out = np.zeros(len(rules), np.int64)
+    for a, b in zip([0, *rounds.tolist()], rounds.tolist()):
+        own = rules[a:b].astype(np.int64)
+        out[a:b] = np.where(own >= first_rule, out[np.maximum(own - first_rule, 0)], 1).sum(1)
+    return out
+
+
 class Shard:
-    """Reads documents of one shard row."""
+    """Reads documents of one shard row; a document, or a part of it, by the rules that it uses alone."""
 
     def __init__(self, row: dict):
         wide = np.uint16 if row["width"] == 2 else np.uint32
@@ -176,18 +184,44 @@ class Shard:
         self.rules = np.frombuffer(row["rules"], np.uint32).reshape(-1, 2)
         self.symbols = np.frombuffer(row["symbols"], wide)
         self.ends = np.frombuffer(row["ends"], np.uint32).astype(np.int64)
-        self.flat, self.begin, self.lengths = expansions(self.rules, np.frombuffer(row["rounds"], np.uint32), self.first_rule)
+        self.rounds = np.frombuffer(row["rounds"], np.uint32)
+        self.lengths = np.frombuffer(row["lengths"], np.uint32).astype(np.int64)
+        self._whole: tuple[np.ndarray, np.ndarray] | None = None
 
     def decode(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the symbols a:b, and how many stand for each."""
-        return _expanded(self.symbols[a:b].astype(np.int64), self.first_rule, self.flat, self.begin, self.lengths)
-
-    def document(self, k: int) -> np.ndarray:
-        """The ids of the shard's k-th document alone."""
-        return self.decode(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))[0]
-
-
-_SHARD = "first_id long, part int, shard int, n_tokens long, width int, first_rule int, doc_ids binary, no_ids binary, rules binary, rounds binary, symbols binary, ends binary"
+        """The ids of the symbols a:b, and how many stand for each, by the expansions of all rules (for whole shards)."""
+        if self._whole is None:
+            self._whole = expansions(self.rules, self.rounds, self.first_rule)[:2]
+        return _expanded(self.symbols[a:b].astype(np.int64), self.first_rule, *self._whole, self.lengths)
+
+    def document(self, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """The ids [start, stop) of the shard's k-th document.
+
+        Stored lengths tell which symbols, and in each round of replacing rules by their
+        pairs which of these, hold wanted ids; no other rule is looked at.
+        """
+        a, b = int(self.ends[k - 1]) if k else 0, int(self.ends[k])
+        symbols, skipped = self.symbols[a:b].astype(np.int64), 0
+        while True:
+            rule = symbols >= self.first_rule
+            size = np.ones(len(symbols), np.int64)
+            size[rule] = self.lengths[symbols[rule] - self.first_rule]
+            last = skipped + np.cumsum(size)
+            stop = int(last[-1]) if stop is None and len(last) else stop
+            keep = (last > start) & (last - size < (stop or 0))
+            if not keep.any():
+                return np.zeros(0, np.uint32)
+            skipped = int((last - size)[keep][0])
+            symbols, rule = symbols[keep], rule[keep]
+            if not rule.any():
+                return symbols.astype(np.uint32)
+            pairs = np.repeat(symbols, 1 + rule)
+            first = (np.cumsum(1 + rule) - 1 - rule)[rule]
+            pairs[first], pairs[first + 1] = self.rules[symbols[rule] - self.first_rule].astype(np.int64).T
+            symbols = pairs
+
+
+_SHARD = "first_id long, part int, shard int, n_tokens long, width int, first_rule int, doc_ids binary, no_ids binary, rules binary, rounds binary, lengths binary, symbols binary, ends binary"
 
 
 def write(docs: DataFrame, path: str, end_id: int = 0, tokenizer: str | None = None) -> None:
@@ -208,7 +242,7 @@ def write(docs: DataFrame, path: str, end_id: int = 0, tokenizer: str | None = N
             last[np.cumsum(count) - 1] = True
             symbols, ends, rules, rounds = compress(ids, last, first_rule)
             wide = np.uint16 if first_rule + len(rules) <= 1 << 16 else np.uint32
-            row = [None if none[0] else int(doc[0]), part, number, len(ids), np.dtype(wide).itemsize, first_rule, doc.tobytes(), none.tobytes(), rules.tobytes(), rounds.tobytes(), symbols.astype(wide).tobytes(), ends.astype(np.uint32).tobytes()]
+            row = [None if none[0] else int(doc[0]), part, number, len(ids), np.dtype(wide).itemsize, first_rule, doc.tobytes(), none.tobytes(), rules.tobytes(), rounds.tobytes(), lengths(rules, rounds, first_rule).astype(np.uint32).tobytes(), symbols.astype(wide).tobytes(), ends.astype(np.uint32).tobytes()]
             kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
             fields = [x.split() for x in _SHARD.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], kinds[kind]) for v, (_, kind) in zip(row, fields)], [name for name, _ in fields])
@@ -229,7 +263,7 @@ def write(docs: DataFrame, path: str, end_id: int = 0, tokenizer: str | None = N
             yield flush()
 
     n = S.groups_for(docs)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"))
     ordered.mapInArrow(run, _SHARD).write.parquet(path)
 
 

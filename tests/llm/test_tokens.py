@@ -136,12 +136,19 @@ def test_grammar_round_trip_and_gain():
     for first_rule in (40, 65530, 70000):  # the second leaves room for six rules
         symbols, ends, rules, rounds = token_files.compress(seq, last, first_rule)
         assert len(rules) == 6 or len(symbols) < len(seq) / 2
-        row = dict(width=4, first_rule=first_rule, rules=rules.tobytes(), rounds=rounds.tobytes(), symbols=symbols.astype(np.uint32).tobytes(), ends=ends.astype(np.uint32).tobytes())
+        row = dict(width=4, first_rule=first_rule, rules=rules.tobytes(), rounds=rounds.tobytes(), lengths=token_files.lengths(rules, rounds, first_rule).astype(np.uint32).tobytes(), symbols=symbols.astype(np.uint32).tobytes(), ends=ends.astype(np.uint32).tobytes())
         shard = token_files.Shard(row)
         assert (shard.decode(0, len(symbols))[0] == seq).all()
-        assert all(n == len(shard.flat[b : b + n]) for b, n in zip(shard.begin, shard.lengths))
+        flat, begin, length = token_files.expansions(rules, rounds, first_rule)
+        assert (length == shard.lengths).all() and all(n == len(flat[b : b + n]) for b, n in zip(begin, length))
         stops = np.flatnonzero(last) + 1
-        assert (shard.document(7) == seq[stops[6] : stops[7]]).all()
+        alone = token_files.Shard(row)
+        for k in (0, 7, 50):
+            whole = seq[(stops[k - 1] if k else 0) : stops[k]]
+            assert (alone.document(k) == whole).all()
+            for a, b in ((0, 1), (3, 9), (5, 5), (len(whole) - 2, len(whole) + 5)):
+                assert alone.document(k, max(a, 0), b).tolist() == whole[max(a, 0) : b].tolist()
+        assert alone._whole is None  # no rule was expanded but those of these documents
         if len(rules) != 6:  # no pair is left that occurs often apart from itself
             pairs = Counter((int(a), int(b)) for k, (a, b) in enumerate(zip(symbols, symbols[1:]), 1) if k not in set(ends.tolist()) and a != b)
             assert max(pairs.values(), default=0) < 2 * token_files.LEAST
@@ -163,3 +170,12 @@ def test_other_columns_do_not_matter(spark):
     path = shared.shared_dir(spark)
     token_files.write(wide, path)
     assert token_files.read(spark, path).count() == packing.pack_documents(wide).where("piece = 0").count() == len(TEXTS) + 2
+
+
+def test_rows_without_an_id_spread_over_partitions(spark):
+    many = spark.range(4000).selectExpr("CAST(NULL AS LONG) AS doc_id", "concat('text ', id) AS text")
+    path = shared.shared_dir(spark)
+    token_files.write(many, path)
+    shards = spark.read.parquet(path).select("part").distinct().count()
+    rows = sorted(token_files.read(spark, path).collect(), key=lambda r: r.start)
+    assert shards > 10 and len(rows) == 4000 and rows[-1].start + rows[-1].n_tokens == sum(r.n_tokens for r in rows)
