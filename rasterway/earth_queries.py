@@ -16,7 +16,7 @@ from rasterway import grid as gridlib
 from rasterway.functions import geometry as G
 from rasterway.functions import projection
 from rasterway.grid import Grid
-from rasterway.operators import shapes
+from rasterway.operators import shapes, simplify
 from rasterway.oracles import _C
 from rasterway.queries import _cells, _points, _t
 from rasterway.sources.geotiff import read_geotiff, write_geotiff
@@ -102,6 +102,15 @@ def repaired_shapes(spark, sf_dir):
     return shapes.repaired(made).select("s_suppkey", F.size(G.parts(F.col("ring"))).alias("n_parts"), F.round(G.area(F.col("ring")), 6).alias("area"))
 
 
+def simplified_regions(spark, sf_dir):
+    """A row of regions whose shared borders bend by up to 0.8; bends of half a unit or less go from both neighbours."""
+    k = F.col("s_suppkey")
+    x, bend = k * 10.0, lambda n: (n * 7 % 9 - 4) * F.lit(0.2)
+    ring = F.array(G.point(x, F.lit(0)), G.point(x + 10, F.lit(0)), G.point(x + 10 + bend(k + 1), F.lit(5)), G.point(x + 10, F.lit(10)), G.point(x, F.lit(10)), G.point(x + bend(k), F.lit(5)), G.point(x, F.lit(0)))
+    made = _t(spark, sf_dir, "supplier").select(k.alias("s_suppkey"), ring.alias("ring"))
+    return simplify.simplified(made, 0.5).select("s_suppkey", (F.size("ring") - 1).alias("n_corners"), F.round(G.area(F.col("ring")), 6).alias("area"))
+
+
 def shapes_in_radius(spark, sf_dir):
     """Level lines and boxes that lie near customers, with what is left of lines in the circle."""
     k = F.col("s_suppkey")
@@ -114,7 +123,7 @@ def shapes_in_radius(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (united_features, repaired_shapes, shapes_in_radius, places_projected, places_inverted, grid_places, grid_warped, raster_files, raster_chunks)}
+    return {f.__name__: f for f in (united_features, repaired_shapes, simplified_regions, shapes_in_radius, places_projected, places_inverted, grid_places, grid_warped, raster_files, raster_chunks)}
 
 
 # SQL ------------------------------------------------------------------------------
@@ -197,6 +206,9 @@ def oracle_sql() -> dict[str, str]:
       c AS (SELECT DISTINCT size, x, y FROM (SELECT size, unnest(range(x0, x1)) AS x, y0, y1 FROM b) t, range(0, 300) r(y) WHERE y >= y0 AND y < y1), n AS (SELECT size, count(*) AS area FROM c GROUP BY size)
       SELECT n.size, p_partkey, area::DOUBLE AS area FROM n JOIN (SELECT size, min(p_partkey) AS p_partkey FROM b GROUP BY size) m ON m.size = n.size"""
     q["repaired_shapes"] = """SELECT s_suppkey, 2 AS n_parts, CASE WHEN s_suppkey % 2 = 0 THEN 0.5 ELSE 15.0 END::DOUBLE * (s_suppkey % 9 + 2) * (s_suppkey % 5 + 2) AS area FROM supplier"""
+    q["simplified_regions"] = """WITH b AS (SELECT s_suppkey, (s_suppkey * 7 % 9 - 4) * 0.2::DOUBLE AS l, ((s_suppkey + 1) * 7 % 9 - 4) * 0.2::DOUBLE AS r FROM supplier),
+      k AS (SELECT s_suppkey, CASE WHEN abs(l) > 0.5 THEN l ELSE 0 END AS l, CASE WHEN abs(r) > 0.5 THEN r ELSE 0 END AS r FROM b)
+      SELECT s_suppkey, (4 + (l <> 0)::INTEGER + (r <> 0)::INTEGER)::INTEGER AS n_corners, round(100 + 5 * r - 5 * l, 6) AS area FROM k"""
     q["shapes_in_radius"] = """WITH p AS (SELECT c_custkey AS id, (c_custkey * 37 % 2880)::DOUBLE AS x, (c_custkey * 53 % 2880)::DOUBLE AS y FROM customer),
       f AS (SELECT s_suppkey AS feature, (s_suppkey * 97 % 2880)::DOUBLE AS x0, (s_suppkey * 61 % 2880)::DOUBLE AS y0, (s_suppkey % 90 + 10)::DOUBLE AS size FROM supplier),
       d AS (SELECT id, feature, x, y, x0, x0 + size AS x1, y0, greatest(x0 - x, 0, x - x0 - size) AS dx, greatest(y0 - y, 0, y - y0 - CASE WHEN feature % 2 = 0 THEN size ELSE 0 END) AS dy FROM p, f),

@@ -246,3 +246,33 @@ def lines_inside(lines: list[np.ndarray], region: list[np.ndarray]) -> list[np.n
         else:
             out.append([p[:2], p[2:]])
     return [np.array(x) for x in out]
+
+
+def farthest(p: np.ndarray) -> tuple[int, float]:
+    """(place, distance) of the point that lies farthest from the straight side between the ends; the first of equals."""
+    d, v = p[-1] - p[0], p - p[0]
+    square = float(d @ d)
+    along = np.clip(v @ d / square, 0, 1)[:, None] * d if square else 0.0
+    off = np.hypot(*(v - along).T)
+    k = 1 + int(np.argmax(off[1:-1]))
+    return k, float(off[k])
+
+
+def bends(p: np.ndarray, tolerance: float) -> np.ndarray:
+    """Places of the points that stay where points no farther than the tolerance from sides go; three corners of a ring do."""
+    kept, todo = {0, len(p) - 1}, [(0, len(p) - 1)]
+    if len(p) > 3 and (p[0] == p[-1]).all():
+        k, _ = farthest(p)
+        halves = [(off, a + at) for a, b in ((0, k), (k, len(p) - 1)) if b > a + 1 for at, off in (farthest(p[a : b + 1]),)]
+        kept |= {k, max(halves, key=lambda h: (h[0], -h[1]))[1]} if halves else {k}
+        cuts = sorted(kept)
+        todo = list(zip(cuts[:-1], cuts[1:]))
+    while todo:
+        a, b = todo.pop()
+        if b < a + 2:
+            continue
+        k, off = farthest(p[a : b + 1])
+        if off > tolerance:
+            kept.add(a + k)
+            todo += [(a, a + k), (a + k, b)]
+    return np.array(sorted(kept))
