@@ -75,6 +75,72 @@ def test_spans_equal_plain_windows():
         assert op.spans_of(lengths) == want
 
 
+def plain_article(blocks, links):
+    """Kept words of an article of paragraphs (None: a link in a list), by windows of three written out."""
+    n = len(blocks)
+    weight = [0 if b is None else len(b) for b in blocks]
+    window = [sum(weight[k] for k in (i - 1, i, i + 1) if 0 <= k < n) for i in range(n)]
+    least = min(op.SURGE, max(window, default=0) / 2)
+    edge = min(op.SHORT, max(weight, default=0))
+    keep = set()
+    for i in range(n):
+        if window[i] > least:  # the surge around i, as far as windows have text
+            lo = hi = i
+            while lo > 0 and window[lo - 1] > least:
+                lo -= 1
+            while hi < n - 1 and window[hi + 1] > least:
+                hi += 1
+            strong = [k for k in range(lo, hi + 1) if weight[k] >= edge]
+            if strong:
+                lo, hi = strong[0], strong[-1]
+                while lo > 0 and window[lo - 1] > 0:
+                    lo -= 1
+                while hi < n - 1 and window[hi + 1] > 0:
+                    hi += 1
+                text = [k for k in range(lo, hi + 1) if weight[k]]
+                keep.update(range(text[0], text[-1] + 1))
+    return " ".join(links[k] if blocks[k] is None else blocks[k] for k in sorted(keep))
+
+
+def test_whole_articles_equal_plain_windows():
+    rng = random.Random(4)
+    windows = 0
+    for _ in range(400):
+        blocks = [rng.choice([None, None, "a", "short one", "words of a line " * rng.randint(1, 3), "running text " * rng.randint(4, 20)]) for _ in range(rng.randint(1, 25))]
+        blocks = [b and b.strip() for b in blocks]
+        links = [f"link {i}" for i in range(len(blocks))]
+        body = "".join(f"<ul><li><a href=x>{links[i]}</a></li></ul>" if b is None else f"<p>{b}</p>" for i, b in enumerate(blocks))
+        page = f"<body><nav><a href=a>Home</a></nav><div>Menu</div><article>{body}</article><div>tail</div></body>"
+        if sum(len(b or "") for b in blocks) < 20:
+            continue
+        want = plain_article(blocks, links)
+        assert op.main_text(page) == want
+        windows += want != " ".join(b or links[i] for i, b in enumerate(blocks))
+    assert windows > 100  # windows, not the tag, decide
+
+
+def test_short_pages_and_ends_of_texts():
+    story = "Running text of an article goes on and on for many words, as it does in a page of news."
+    # Without articles: title, first and last short paragraphs are siblings of the surge.
+    page = f"<div id=nav><a href=a>m</a></div><div>Menu of things</div><div><h1>Hi</h1><p>Oh no.</p><p>{story}</p><p>{story}</p><p>The end.</p></div><div>Home</div><div>x</div>"
+    assert op.main_text(page).endswith(f"Hi Oh no. {story} {story} The end.") and "Home" not in op.main_text(page)
+    # A short page has the same rule: no menu comes back with it.
+    assert op.main_text("<p>He said.</p><p>Go.</p><p>Now.</p><div>Home</div><div>Menu</div>") == "He said. Go. Now."
+    assert op.main_text("<article><p>He said.</p></article><div>Home</div><div>Menu</div>") == "He said."
+    assert op.main_text("<div><a href=a>Home</a></div><div><a href=b>Menu</a></div>") == ""
+    # One-character blocks at the start of an article, and a paragraph that is a link at its end.
+    assert op.main_text(f"<article><p>A</p><p>B</p><p>{story}</p><p><a href=s>Source</a></p></article>") == f"A B {story} Source"
+
+
+def test_readers_words_in_nested_articles():
+    story = "Running text of an article goes on and on for many words, as it does in a page of news."
+    assert op.main_text(f"<article><p>{story}</p><article><p>I read it. {story}</p></article></article>") == story
+    assert op.main_text(f"<main><article><p>{story}</p><section><article>Me too, at length: {story * 3}</article></section><p>End.</p></article></main>") == f"{story} End."
+    assert op.main_text(f"<article><p>{story}</p><div id='user-reviews'><p>{story * 2}</p></div></article>") == story
+    # A frame around the only story is not one of readers.
+    assert op.main_text(f"<article><article><p>{story}</p></article></article>") == story
+
+
 def test_cut_and_odd_markup():
     assert op.main_text(None) == op.main_text("") == op.main_text("<html><body></body>") == ""
     assert op.main_text("<article><p>one <b>two</p><p>three") == "one two three"
