@@ -1,6 +1,8 @@
 """Language identification by unigram pieces summed over all segmentations.
 
-Words are runs of letters, lower-cased, with the vocabulary's word mark before them.
+Words are runs of letters with their combining marks (vowel signs, points, accents),
+composed where Unicode has one character for both, lower-cased, with the vocabulary's word
+mark before them.  Marks alone are no word, and the dot that lower-casing parts from İ is none.
 Its pieces carry that mark at their start only, so no piece crosses words
 and the sum over all segmentations of a text is the product of its words' sums.
 
@@ -27,6 +29,7 @@ pass through.
 from __future__ import annotations
 
 import math
+import unicodedata
 import uuid
 from collections import Counter
 
@@ -57,6 +60,8 @@ SHORT = 16
 STEP = 8
 
 
+#: What lower-casing leaves of İ beside an i.
+DOT = "\u0307"
 #: ASCII bytes other than letters become spaces.
 _LETTERS = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256))
 
@@ -77,13 +82,19 @@ def vocabulary(path: str | None = None) -> dict[str, int]:
 
 
 def words_of(text: str) -> list[str]:
-    """The runs of letters of the lower-cased text."""
+    """The runs of letters, with their marks, of the lower-cased text."""
     text = text.lower()
-    if not text.isascii():
-        for c in set(text):
-            if c > "\x7f" and not c.isalpha():
+    if text.isascii():
+        return text.encode().translate(_LETTERS).decode().split()
+    text, marks = unicodedata.normalize("NFC", text), False
+    for c in set(text):
+        if c > "\x7f" and not c.isalpha():
+            if unicodedata.category(c)[0] == "M" and c != DOT:
+                marks = True
+            else:
                 text = text.replace(c, " ")
-    return text.encode().translate(_LETTERS).decode().split()
+    words = text.encode().translate(_LETTERS).decode().split()
+    return [w for w in words if w.isascii() or any(map(str.isalpha, w))] if marks else words
 
 
 class Lattice:

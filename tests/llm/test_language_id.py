@@ -71,6 +71,14 @@ def test_words_are_runs_of_letters():
     assert op.words_of("²½ 12 --") == []
 
 
+def test_marks_stay_with_their_letters():
+    assert op.words_of("हिन्दी भाषा।") == ["हिन्दी", "भाषा"] and op.words_of("שָׁלוֹם 12 عَرَبِيّ") == op.words_of("שָׁלוֹם") + op.words_of("عَرَبِيّ")
+    assert len(op.words_of("שָׁלוֹם")) == 1 and op.words_of("cafe\u0301, CAFÉ") == ["café", "café"]
+    assert op.words_of("\u093f \u0301 \u0951x \u20dd") == ["\u0951x"]
+    model = op.Model(["x"], {"a": 0}, np.full((2, 1), 0.5))
+    assert model.texts(["\u0301 \u093f 7", "हिन्दी"])[0] == ["und", "x"]
+
+
 def test_text_is_the_product_of_its_words(monkeypatch):
     monkeypatch.setattr(op, "CACHE", 2)
     rows = op.vocabulary()
