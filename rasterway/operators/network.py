@@ -21,6 +21,17 @@ def substation_voltages(substations: DataFrame, lines: DataFrame, least_kv: floa
     return substations.join(volts, "gid").where(F.col("max_volts") >= least_kv)
 
 
+def substations_of_category(features: DataFrame, category: str = "Substation", least_kv: float = LEAST_KV) -> DataFrame:
+    """Features (gid, category, trans_gids, voltage, ...) of a category as substations (trans_gid, ...) with min_volts and max_volts.
+
+    Voltages are those of all features that a substation lists; weak substations and columns without any value go.
+    """
+    own = features.where(F.col("category") == category)
+    some = own.agg(*(F.count(F.col(f"`{c}`")).alias(c) for c in own.columns)).first()
+    lines = features.select(F.col("gid").alias("trans_gid"), "voltage")
+    return substation_voltages(own.select(*(c for c in own.columns if some[c] or c in ("gid", "trans_gids"))), lines, least_kv).withColumnRenamed("gid", "trans_gid")
+
+
 def substations_in_regions(substations: DataFrame, regions: DataFrame, key: str = "rid") -> DataFrame:
     """Each substation (gid, x, y, ...) with its nearest region."""
     return nearest_region(substations.withColumnRenamed("gid", "id"), regions, key).withColumnRenamed("id", "gid").drop("distance")

@@ -6,7 +6,9 @@ any identification of routes works.
 
 from __future__ import annotations
 
+import posixpath
 import re
+import warnings
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -190,3 +192,41 @@ def wkt(points: DataFrame, keys: list[str], grid: Grid, order: str = "step") ->
     lines = points.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), xy.alias("xy")))).alias("p"))
     body = F.array_join(F.transform("p", lambda q: q["xy"]), ", ")
     return lines.select(*keys, F.when(F.size("p") > 1, F.concat(F.lit("LINESTRING ("), body, F.lit(")"))).otherwise(F.concat(F.lit("POINT ("), body, F.lit(")"))).alias("wkt"))
+
+
+def option_wkt(runs: DataFrame, keys: list[str], grid: Grid) -> DataFrame:
+    """Per route and option a MULTILINESTRING of its runs (as ``segments`` gives them), through ends and turns.
+
+    A route of one cell is a POINT.
+    """
+    w = Window.partitionBy(*keys, "segment").orderBy("at")
+    into = lambda c: F.col(c) - F.lag(c).over(w)
+    out = lambda c: F.lead(c).over(w) - F.col(c)
+    straight = (into("row") * out("col") == into("col") * out("row")) & (into("row") * out("row") + into("col") * out("col") > 0)
+    turns = runs.withColumn("_s", F.coalesce(straight, F.lit(False))).where("NOT _s")
+    xy = F.concat_ws(" ", grid.x(F.col("col")).cast("string"), grid.y(F.col("row")).cast("string"))
+    lines = turns.groupBy(*keys, "segment", "option").agg(F.array_sort(F.collect_list(F.struct("at", xy.alias("xy")))).alias("p"))
+    lines = lines.select(*keys, "segment", "option", F.size("p").alias("n"), F.array_join(F.transform("p", lambda q: q["xy"]), ", ").alias("line"))
+    whole = lines.groupBy(*keys, "option").agg(F.array_sort(F.collect_list(F.struct("segment", "line"))).alias("l"), F.max("n").alias("n"))
+    several = F.concat(F.lit("MULTILINESTRING ("), F.array_join(F.transform("l", lambda s: F.concat(F.lit("("), s["line"], F.lit(")"))), ", "), F.lit(")"))
+    return whole.select(*keys, "option", F.when(F.col("n") > 1, several).otherwise(F.concat(F.lit("POINT ("), F.col("l")[0]["line"], F.lit(")"))).alias("wkt"))
+
+
+def write_routes(routes: DataFrame, options: DataFrame, path: str, geometry: str | None = None, mode: str = "errorifexists") -> tuple[str, str]:
+    """Writes routes and their rows by option; gives both paths, the second with ``_routing_options`` after the stem.
+
+    With a ``geometry`` column the files are Parquet, else CSV; another ending is replaced with a
+    warning.  Rows by option without a geometry are left out then.
+    """
+    want = ".parquet" if geometry else ".csv"
+    stem, end = posixpath.splitext(path)
+    if end.lower() != want:
+        warnings.warn(f"routes {'with' if geometry else 'without'} paths are written as {want}, not as {path!r}", stacklevel=2)
+        end = want
+    targets = f"{stem}{end}", f"{stem}_routing_options{end}"
+    for table, target in zip((routes, options.where(F.col(geometry).isNotNull()) if geometry else options), targets):
+        if geometry:
+            table.write.mode(mode).parquet(target)
+        else:
+            table.write.mode(mode).option("header", True).csv(target)
+    return targets

@@ -171,6 +171,11 @@ def oracle_sql() -> dict[str, str]:
       SELECT route_id, segment, "option", step::DOUBLE AS "at", "row"::DOUBLE AS "row", col::DOUBLE AS col FROM b
       UNION ALL SELECT route_id, segment, "option", step + 0.5::DOUBLE, ("row" + r2) / 2, (col + c2) / 2 FROM b WHERE o2 <> "option"
       UNION ALL SELECT route_id, segment + 1, o2, step + 0.5::DOUBLE, ("row" + r2) / 2, (col + c2) / 2 FROM b WHERE o2 <> "option" """
+    q["route_files"] = f"""WITH g AS ({q["route_segments"]}), {_STEPS}, p AS (SELECT route_id, count(*) AS n, string_agg(((col + 0.5) * 90.0::DOUBLE)::VARCHAR || ' ' || (2880.0::DOUBLE + ("row" + 0.5) * -90.0::DOUBLE)::VARCHAR, ', ' ORDER BY step) AS t FROM steps GROUP BY 1),
+      d AS (SELECT *, "row" - lag("row") OVER w AS ri, lead("row") OVER w - "row" AS ro, col - lag(col) OVER w AS ci, lead(col) OVER w - col AS co FROM g WINDOW w AS (PARTITION BY route_id, segment ORDER BY "at")),
+      l AS (SELECT route_id, segment, "option", count(*) AS n, string_agg(((col + 0.5) * 90.0::DOUBLE)::VARCHAR || ' ' || (2880.0::DOUBLE + ("row" + 0.5) * -90.0::DOUBLE)::VARCHAR, ', ' ORDER BY "at") AS t FROM d WHERE NOT coalesce(ri * co = ci * ro AND ri * ro + ci * co > 0, false) GROUP BY 1, 2, 3)
+      SELECT route_id, -1 AS "option", CASE WHEN n > 1 THEN 'LINESTRING (' ELSE 'POINT (' END || t || ')' AS wkt FROM p
+      UNION ALL SELECT route_id, "option", CASE WHEN max(n) > 1 THEN 'MULTILINESTRING (' || string_agg('(' || t || ')', ', ' ORDER BY segment) || ')' ELSE 'POINT (' || any_value(t) || ')' END FROM l GROUP BY 1, 2"""
     unit = f"""{_STEPS}, u AS (SELECT route_id, step, (sum((("row" // 5) % 3 <> 1)::INTEGER) OVER w)::INTEGER AS "row", (sum((("row" // 5) % 3 <> 2)::INTEGER) OVER w)::INTEGER AS col, "option" FROM steps WINDOW w AS (PARTITION BY route_id ORDER BY step))"""
     q["route_turns"] = f"""WITH {unit} SELECT route_id, step, "row", col, "option" FROM u
       WINDOW w AS (PARTITION BY route_id ORDER BY step) QUALIFY NOT coalesce("row" - lag("row") OVER w = lead("row") OVER w - "row" AND col - lag(col) OVER w = lead(col) OVER w - col, false)"""
@@ -230,6 +235,7 @@ def oracle_sql() -> dict[str, str]:
     q["route_characterized"] = f"""{_C}, {near}, a AS (SELECT id, count(*) AS n, sum(c2)::DOUBLE AS s, max(c2)::DOUBLE AS m FROM near JOIN cells USING ("row", col) GROUP BY 1)
       SELECT n_nationkey AS id, coalesce(n, 0) AS "count", s AS "sum", m AS "max" FROM nation LEFT JOIN a ON a.id = n_nationkey"""
     q["substation_voltages"] = "SELECT l_orderkey AS gid, min(p_size * 3) AS min_volts, max(p_size * 3) AS max_volts FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1 HAVING max(p_size * 3) >= 69"
+    q["substations_of_category"] = "SELECT l_orderkey + 1000000000 AS trans_gid, 'Substation' AS category, min(p_size * 3) AS min_volts, max(p_size * 3) AS max_volts FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1 HAVING max(p_size * 3) >= 69"
     q["substations_of_connections"] = "SELECT DISTINCT o_custkey % 40 AS poi_gid, (o_custkey % 40 * 1.5 + CASE WHEN o_custkey % 40 = 5 AND o_custkey % 3 = 0 THEN 0.25 ELSE 0 END)::DOUBLE AS poi_lat, 7.0::DOUBLE AS poi_lon FROM orders WHERE o_custkey % 40 <> 3"
     q["nodes_with_regions"] = f"WITH {_POINTS}, {_REGIONS}, d AS (SELECT id, x, y, rid, {_GAP} AS d FROM points, regions) SELECT id, x, y, rid FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, rid) = 1"
     q["region_centroids"] = f"WITH {_REGIONS} SELECT rid, round(((x0 + x1) / 2)::DOUBLE, 6) AS cx, round(((y0 + y1) / 2)::DOUBLE, 6) AS cy FROM regions"

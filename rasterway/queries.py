@@ -443,6 +443,15 @@ def route_wkt(spark, sf_dir):
     return reports.wkt(_steps(spark, sf_dir), ["route_id"], GRID)
 
 
+def route_files(spark, sf_dir):
+    """Routes and their lines by option through the two files of a writer."""
+    steps = _steps(spark, sf_dir)
+    by_option = reports.option_wkt(reports.segments(steps, ["route_id"]), ["route_id"], GRID)
+    paths = reports.write_routes(reports.wkt(steps, ["route_id"], GRID), by_option, f"{shared_dir(spark)}/routes.parquet", "wkt")
+    whole, parts = map(spark.read.parquet, paths)
+    return whole.select("route_id", F.lit(-1).alias("option"), "wkt").unionByName(parts.select("route_id", "option", "wkt"))
+
+
 # Route tables ----------------------------------------------------------------
 
 
@@ -662,6 +671,13 @@ def substation_voltages(spark, sf_dir):
     return network.substation_voltages(lists.withColumnRenamed("l_orderkey", "gid"), lines).select("gid", "min_volts", "max_volts")
 
 
+def substations_of_category(spark, sf_dir):
+    """Orders as substations among parts as lines; a column that only lines have goes."""
+    lists = _t(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") + 1_000_000_000).alias("gid")).agg(F.to_json(F.sort_array(F.collect_set("l_partkey"))).alias("trans_gids"))
+    lines = _t(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("gid"), (F.col("p_size") * 3).alias("voltage"), F.col("p_brand").alias("owner"), F.lit("TransLine").alias("category"))
+    return network.substations_of_category(lists.withColumn("category", F.lit("Substation")).unionByName(lines, allowMissingColumns=True)).drop("trans_gids")
+
+
 def substations_of_connections(spark, sf_dir):
     c = _t(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("poi_gid"), (F.col("o_custkey") % 40 * 1.5 + F.when((F.col("o_custkey") % 40 == 5) & (F.col("o_custkey") % 3 == 0), 0.25).otherwise(0.0)).alias("poi_lat"), F.when(F.col("o_custkey") % 40 != 3, F.lit(7.0)).alias("poi_lon"))
     return network.substations_of_connections(c)
