@@ -19,6 +19,7 @@ from rasterway.errors import ConfigError
 from rasterway.functions import geometry as G
 from rasterway.grid import Grid, empty
 from rasterway.operators.shapes import repaired
+from rasterway.operators.simplify import half_cell, simplified
 
 DEFAULT = ("count", "min", "max", "mean")
 BASIC = ("count", "min", "max", "mean", "sum", "std", "median", "majority", "minority", "unique", "range", "nodata", "pixel_count")
@@ -237,9 +238,13 @@ def flattened(stats: DataFrame, column: str, keys: list[str]) -> DataFrame:
     return stats.select("*", *[F.col(column)[k].alias(f"{column}_{k}") for k in keys]).drop(column)
 
 
-def rasterized(shapes: DataFrame, grid: Grid, all_touched: bool = False, boundary_only: bool = False, fill: float = 0.0, repair: bool = False) -> DataFrame:
-    """(row, col, value) of all cells: ``shapes`` (id, ring, value, order); later ones overwrite.  Polygons that may be invalid are repaired first on request."""
+def rasterized(shapes: DataFrame, grid: Grid, all_touched: bool = False, boundary_only: bool = False, fill: float = 0.0, repair: bool = False, simplify: bool = False) -> DataFrame:
+    """(row, col, value) of all cells: ``shapes`` (id, ring, value, order); later ones overwrite.
+
+    On request, polygons that may be invalid are repaired first, and shapes simplified to half a cell.
+    """
     shapes = repaired(shapes) if repair else shapes.where("ring IS NOT NULL AND size(ring) > 0")
+    shapes = simplified(shapes, half_cell(grid)) if simplify else shapes
     at = crossed_cells(shapes, grid) if boundary_only else zone_cells(shapes, grid, all_touched)
     burned = at.join(shapes.select("id", "value", "order"), "id").groupBy("row", "col").agg(F.max_by("value", "order").alias("value"))
     return empty(shapes.sparkSession, grid).join(burned, ["row", "col"], "left").na.fill(fill, ["value"])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rasterway.functions import planar
 from rasterway.grid import Grid
 from rasterway.operators import simplify as S
+from rasterway.operators import zonal
 
 KIND = "id long, note string, ring array<struct<x:double,y:double>>"
 
@@ -117,3 +118,10 @@ def test_single_lines_and_half_a_cell(spark):
     assert S.half_cell(Grid(3, 3, 90.0, 0.0, 0.0, 0.0, -30.0, 0.0)) == 45.0
     none = spark.createDataFrame([(1, "x", None)], KIND)
     assert S.thinned(none, "ring", 1.0).where(F.col("ring").isNull()).count() == 1
+
+
+def test_simplified_shapes_are_rasterized(spark):
+    wavy = [(0, 0), (2, 0.3), (4, 0), (4, 4), (0, 4), (0, 0)]
+    shapes = spark.createDataFrame([(1, [(float(x), float(y)) for x, y in wavy], 1.0, 0)], "id long, ring array<struct<x:double,y:double>>, value double, order int")
+    cells = lambda **k: {(r.row, r.col) for r in zonal.rasterized(shapes, Grid(6, 6, f=6.0), **k).where("value = 1").collect()}
+    assert cells(simplify=True) == cells() == {(r, c) for r in range(2, 6) for c in range(4)}
