@@ -10,6 +10,11 @@ or surface passes the driver.
 Weights are integers in ten-thousandths: a step of half a side (or half a diagonal) in
 either cell, plus the invariant cost of the cell entered, cut off; changing the option
 adds its own cost, cut off.  Among equal paths the smallest parent wins.
+
+The bidirectional kind also searches backward from all goals at once, over the same
+steps turned round (a step keeps the invariant cost of the cell that it enters).  Once
+both sides know a place, half of the least sum bounds either of them; among equal paths
+it takes the one through the first place where they meet.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ TILE = 256
 
 
 def algorithm(name: str) -> str:
-    """The canonical name; all of them give exact least-cost paths, and the A* kind is led by lower bounds."""
+    """The canonical name; all of them give exact least-cost paths; the A* kind is led by lower bounds, the bidirectional one searches from both ends."""
     found = name.strip().lower().replace("-", "_").replace("a_star", "astar")
     if found not in ALGORITHMS:
         raise ConfigError(f"unknown algorithm {name!r}")
@@ -150,9 +155,16 @@ class _Tile:
         i, j = np.divmod(cell, self.side)
         return i - 1 + self.ti * self.size, j - 1 + self.tj * self.size, option
 
-    def settle(self, dist: np.ndarray, parent: np.ndarray, reached: list[tuple], goals: list[int], attempt: int, bound: int) -> tuple[np.ndarray, np.ndarray]:
+    def sums(self, dist: np.ndarray) -> np.ndarray:
+        """What a path through each place of the tile itself costs, where both sides know it."""
+        known = self.inside & (dist[0] < NEVER) & (dist[1] < NEVER)
+        return np.where(known, np.where(known, dist[0], 0) + np.where(known, dist[1], 0), NEVER)
+
+    def settle(self, dist: np.ndarray, parent: np.ndarray, reached: list[tuple], goals: list[int], attempt: int, bound: int, back: bool = False) -> tuple[np.ndarray, np.ndarray]:
         """Relaxes from improved places; returns the border places that improved, and which of them by a step of no weight.
 
+        ``back``: distances are those to the goals, over steps turned round.
+
         Places within one usual step of the nearest waiting one are relaxed together; one
         that improves later waits again.  A step without weight never wins a tie, so
         parents form no circle.
@@ -190,9 +202,9 @@ class _Tile:
                 for step, half in self.steps:
                     for other in range(self.n):
                         to = act + (step - option + other)
-                        w = half * (here + weighed[to]) + entry[to]
+                        w = half * (here + weighed[to]) + (entry[act] if back else entry[to])
                         ok = (w > 0) & np.isfinite(w) & passable[to]
-                        units = np.where(ok, w * np.float32(10000), 0).astype(np.int64) + self.switch[option][other]
+                        units = np.where(ok, w * np.float32(10000), 0).astype(np.int64) + (self.switch[other][option] if back else self.switch[option][other])
                         total = d + units
                         better = ok & (total < dist[to])
                         hit = better | ok & (total == dist[to]) & (units > 0) & (own < parent[to])
@@ -208,9 +220,9 @@ class _Tile:
 
 
 _MESSAGE = "array<struct<row:int,col:int,option:int,d:bigint,p:bigint,level:boolean>>"
-_STATE = f"id long, ti long, tj long, dist binary, parent binary, goal struct<d:bigint,row:int,col:int,option:int>, out array<struct<ti:bigint,tj:bigint,m:{_MESSAGE}>>"
+_STATE = f"id long, ti long, tj long, dist binary, parent binary, goal struct<d:bigint,row:int,col:int,option:int>, out array<struct<ti:bigint,tj:bigint,back:boolean,m:{_MESSAGE}>>"
 _PLACE = [("row", pa.int32()), ("col", pa.int32()), ("option", pa.int32())]
-_OUT = pa.struct([("ti", pa.int64()), ("tj", pa.int64()), ("m", pa.list_(pa.struct([*_PLACE, ("d", pa.int64()), ("p", pa.int64()), ("level", pa.bool_())])))])
+_OUT = pa.struct([("ti", pa.int64()), ("tj", pa.int64()), ("back", pa.bool_()), ("m", pa.list_(pa.struct([*_PLACE, ("d", pa.int64()), ("p", pa.int64()), ("level", pa.bool_())])))])
 _STATE_ARROW = pa.schema([("id", pa.int64()), ("ti", pa.int64()), ("tj", pa.int64()), ("dist", pa.binary()), ("parent", pa.binary()), ("goal", pa.struct([("d", pa.int64()), *_PLACE])), ("out", pa.list_(_OUT))])
 _TRACE_ARROW = pa.schema([("id", pa.int64()), ("back", pa.int32()), *_PLACE, ("more", pa.bool_())])
 
@@ -222,8 +234,14 @@ def _rows(batches):
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def _settled(size: int, noptions: int, ncols: int, switch, attempt: int):
-    """(id, tile) rows with messages, state and goals to new states and outgoing messages."""
+def _settled(size: int, noptions: int, ncols: int, switch, attempt: int, sides: int):
+    """(id, tile) rows with messages, state and goals to new states and outgoing messages.
+
+    With two ``sides`` a state holds the forward and the backward distances one after the
+    other, and its goal is the place where they meet cheapest.  Either side goes on from
+    places within half of the bound; the forward one still tells the next tile what lies
+    beyond it, so that the step in the middle of a path is met on one of its ends.
+    """
 
     def run(batches):
         tile = None
@@ -232,30 +250,41 @@ def _settled(size: int, noptions: int, ncols: int, switch, attempt: int):
             if tile is None or (tile.ti, tile.tj) != (r["ti"], r["tj"]):
                 tile = _Tile(r["data"], r["ti"], r["tj"], size, noptions, ncols, switch)
             n = tile.side * tile.side * noptions
-            dist = np.full(n, NEVER) if r["dist"] is None else np.frombuffer(r["dist"], np.int64).copy()
-            parent = np.full(n, NEVER) if r["parent"] is None else np.frombuffer(r["parent"], np.int64).copy()
+            dist, parent = ((np.full(sides * n, NEVER) if r[c] is None else np.frombuffer(r[c], np.int64).copy()).reshape(sides, n) for c in ("dist", "parent"))
             bound = NEVER - 1 if r["bound"] is None else r["bound"]
-            reached = [(m["row"], m["col"], m["option"], m["d"], m["p"], m["level"]) for some in r["messages"] for m in some]
-            ends = {tile.local(g["row"], g["col"], g["option"]): g for g in r["goals"] or []}
-            border: dict[tuple[int, int], list] = {}
-            at, level = tile.settle(dist, parent, reached, list(ends), attempt, bound)
-            for row, col, option, d, p, even in zip(*(x.tolist() for x in tile.place(at)), dist[at].tolist(), parent[at].tolist(), level.tolist()):
-                if d <= bound and row >= 0 and col >= 0:
-                    border.setdefault((row // size, col // size), []).append({"row": row, "col": col, "option": option, "d": d, "p": p, "level": even})
-            goals = [{"d": int(dist[k]), **g} for k, g in ends.items()]
-            goal = min((g for g in goals if g["d"] < NEVER), key=lambda g: (g["d"], g["row"], g["col"], g["option"]), default=None)
-            out = [{"ti": i, "tj": j, "m": m} for (i, j), m in border.items()]
+            ends = {tile.local(g["row"], g["col"], g["option"]): g for g in r["goals"] or []} if sides == 1 else {}
+            border: dict[tuple[int, int, bool], list] = {}
+            for side in range(sides):
+                reached = [(m["row"], m["col"], m["option"], m["d"], m["p"], m["level"]) for some in r["messages"] if some["back"] == bool(side) for m in some["m"]]
+                if not reached:
+                    continue
+                at, level = tile.settle(dist[side], parent[side], reached, list(ends), attempt, bound // sides, bool(side))
+                if sides == 2:
+                    bound = min(bound, int(tile.sums(dist).min()))
+                most = bound // 2 if side else bound
+                for row, col, option, d, p, even in zip(*(x.tolist() for x in tile.place(at)), dist[side, at].tolist(), parent[side, at].tolist(), level.tolist()):
+                    if d <= most and row >= 0 and col >= 0:
+                        border.setdefault((row // size, col // size, bool(side)), []).append({"row": row, "col": col, "option": option, "d": d, "p": p, "level": even})
+            if sides == 2:
+                sums = tile.sums(dist)
+                k = int(sums.argmin())
+                row, col, option = (int(x) for x in tile.place(k))
+                goal = {"d": int(sums[k]), "row": row, "col": col, "option": option} if sums[k] < NEVER else None
+            else:
+                goals = [{"d": int(dist[0, k]), **g} for k, g in ends.items()]
+                goal = min((g for g in goals if g["d"] < NEVER), key=lambda g: (g["d"], g["row"], g["col"], g["option"]), default=None)
+            out = [{"ti": i, "tj": j, "back": back, "m": m} for (i, j, back), m in border.items()]
             yield pa.RecordBatch.from_pylist([{"id": r["id"], "ti": r["ti"], "tj": r["tj"], "dist": dist.tobytes(), "parent": parent.tobytes(), "goal": goal, "out": out}], schema=_STATE_ARROW)
 
     return run
 
 
-def _traced(size: int, noptions: int, ncols: int):
-    """Follows parents inside one tile: path cells, and where the path goes on."""
+def _traced(size: int, noptions: int, ncols: int, side: int):
+    """Follows one side's parents inside one tile: path cells, and where the path goes on."""
 
     def run(batches):
         for r in _rows(batches):
-            parent, rows = np.frombuffer(r["parent"], np.int64), []
+            parent, rows = np.frombuffer(r["parent"], np.int64)[side * (size + 2) ** 2 * noptions :], []
             ti, tj, back, more = r["ti"], r["tj"], r["back"], False
             row, col, option = r["row"], r["col"], r["option"]
             while True:
@@ -346,24 +375,54 @@ class Bounds:
         all_ = messages.join(boxes, "id").withColumn("hoped", hoped)
         if best is not None:
             all_ = all_.join(best.select("id", F.col("goal.d").alias("bound")), "id", "left").where("bound IS NULL OR hoped <= bound").drop("bound")
-        all_ = written(all_.select("id", "ti", "tj", "m", "hoped"))
+        all_ = written(all_.select("id", "ti", "tj", "back", "m", "hoped"))
         first = all_.groupBy("id").agg((F.min("hoped") + self.slack).alias("until"))
         split = all_.join(first, "id")
-        return split.where("hoped <= until").select("id", "ti", "tj", "m"), split.where("hoped > until").select("id", "ti", "tj", "m")
+        return split.where("hoped <= until").select("id", "ti", "tj", "back", "m"), split.where("hoped > until").select("id", "ti", "tj", "back", "m")
+
 
+def _due(messages: DataFrame, best: DataFrame | None, index: DataFrame | None, slack: int) -> tuple[DataFrame, DataFrame]:
+    """(messages to take now, those to wait) of searches from both ends.
 
-def _attempt(tiles: DataFrame, starts: DataFrame, goals: DataFrame, size: int, noptions: int, ncols: int, switch, attempt: int, bounds: Bounds | None = None) -> tuple[_States, DataFrame]:
-    """(states, best goals) of one attempt for ``starts`` (id, row, col, option), led by lower ``bounds`` if there are any."""
+    The side that is behind goes first, so that both reach equally far.  Beyond half of
+    the bound only a meeting can be found: such messages come last, and only to tiles
+    that the search has been in.  A search one side of which has ended without a meeting
+    has no path.
+    """
+    least = F.array_min(F.transform("m", lambda m: m["d"]))
+    all_ = messages.withColumn("least", least)
+    if best is None:
+        all_ = all_.withColumn("far", F.lit(False)).withColumn("bound", F.lit(None).cast("bigint"))
+    else:
+        all_ = all_.join(best.select("id", F.col("goal.d").alias("bound")), "id", "left")
+        all_ = all_.withColumn("far", F.expr("coalesce(least > bound div 2, false)")).where("bound IS NULL OR NOT far OR NOT back AND least < bound")
+    all_ = written(all_.select("id", "ti", "tj", "back", "m", "least", "far", "bound"))
+    first = all_.groupBy("id").agg((F.min("least") + slack).alias("until"), F.bool_and("far").alias("last"), (F.min("back") != F.max("back")).alias("both"))
+    split = all_.join(first, "id").where("both OR bound IS NOT NULL")
+    taken = ["id", "ti", "tj", "back", "m"]
+    now = split.where("NOT far AND least <= until").select(*taken)
+    if index is not None:
+        now = now.unionByName(split.where("last").select(*taken).join(index.select("id", "ti", "tj"), ["id", "ti", "tj"], "left_semi"))
+    return now, split.where("NOT last AND (far OR least > until)").select(*taken)
+
+
+def _attempt(tiles: DataFrame, starts: DataFrame, goals: DataFrame, size: int, noptions: int, ncols: int, switch, attempt: int, bounds: Bounds | None = None, sides: int = 1) -> tuple[_States, DataFrame]:
+    """(states, best goals) of one attempt for ``starts`` (id, row, col, option), led by lower ``bounds`` if there are any.
+
+    With two ``sides`` the goals are searched from as well, and the best goals are the places where both meet.
+    """
     spark, keys = tiles.sparkSession, ["id", "ti", "tj"]
     states = _States(shared_dir(spark))
     place = F.struct(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col("option").cast("int").alias("option"), F.lit(0).cast("bigint").alias("d"), F.lit(-1).cast("bigint").alias("p"), F.lit(False).alias("level"))
-    messages = starts.select("id", *_tile_of(size), F.array(place).alias("m"))
+    ahead = lambda places, back: places.select("id", *_tile_of(size), F.lit(back).alias("back"), F.array(place).alias("m"))
+    messages = ahead(starts, False) if sides == 1 else ahead(starts, False).unionByName(ahead(goals, True))
     wanted = written(goals.groupBy("id", *_tile_of(size)).agg(F.collect_set(F.struct("row", "col", "option")).alias("goals")))
-    boxes = None if bounds is None else written(wanted.groupBy("id").agg(*(f(c).cast("bigint").alias(f"{c[1]}{k}") for c in ("ti", "tj") for k, f in enumerate((F.min, F.max)))))
+    boxes = None if bounds is None or sides == 2 else written(wanted.groupBy("id").agg(*(f(c).cast("bigint").alias(f"{c[1]}{k}") for c in ("ti", "tj") for k, f in enumerate((F.min, F.max)))))
     best, waiting, k = None, None, 0
     while True:
         if bounds is not None:
-            messages, waiting = bounds.due(messages if waiting is None else messages.unionByName(waiting), boxes, best)
+            messages = messages if waiting is None else messages.unionByName(waiting)
+            messages, waiting = bounds.due(messages, boxes, best) if sides == 1 else _due(messages, best, states.index, bounds.slack)
         called = messages.select(*keys)
         called = called.withColumn("superstep", F.lit(None).cast("int")) if best is None else called.join(states.index.select(*keys, "superstep"), keys, "left")
         # Five numbers: which tiles and which earlier supersteps this one has to open.
@@ -373,7 +432,7 @@ def _attempt(tiles: DataFrame, starts: DataFrame, goals: DataFrame, size: int, n
                 best = spark.createDataFrame([], "id long, goal struct<d:bigint,row:int,col:int,option:int>")
                 states.index = spark.createDataFrame([], "id long, ti long, tj long, superstep int, goal struct<d:bigint,row:int,col:int,option:int>")
             return states, written(best)
-        ready = messages.groupBy(*keys).agg(F.collect_list("m").alias("messages")).join(wanted, keys, "left")
+        ready = messages.groupBy(*keys).agg(F.collect_list(F.struct("back", "m")).alias("messages")).join(wanted, keys, "left")
         if seen.steps:
             known = states.read(spark, sorted(seen.steps), ["dist", "parent"])
             ready = ready.join(states.index.select(*keys, "superstep"), keys, "left").join(known, [*keys, "superstep"], "left")
@@ -383,15 +442,15 @@ def _attempt(tiles: DataFrame, starts: DataFrame, goals: DataFrame, size: int, n
         # Tiles come last, so that a tile is shuffled once, not once for each search that called it.
         near = tiles.where(F.col("ti").between(seen.i0, seen.i1) & F.col("tj").between(seen.j0, seen.j1))
         ready = ready.join(near.hint("merge"), ["ti", "tj"]).select(*keys, "data", "messages", "goals", "dist", "parent", "bound")
-        touched = states.add(ready.mapInArrow(_settled(size, noptions, ncols, switch, attempt), _STATE), k)
+        touched = states.add(ready.mapInArrow(_settled(size, noptions, ncols, switch, attempt, sides), _STATE), k)
         reached = touched.where("goal IS NOT NULL").select("id", "goal")
         best = written((reached if best is None else reached.unionByName(best)).groupBy("id").agg(F.min("goal").alias("goal")))
-        messages = touched.select("id", F.explode("out").alias("o")).select("id", "o.ti", "o.tj", "o.m")
+        messages = touched.select("id", F.explode("out").alias("o")).select("id", "o.ti", "o.tj", "o.back", "o.m")
         k += 1
 
 
-def _paths(states: _States, best: DataFrame, size: int, noptions: int, ncols: int) -> DataFrame:
-    """(id, back, row, col, option): cells from the goal, back = 0, to the start."""
+def _paths(states: _States, best: DataFrame, size: int, noptions: int, ncols: int, side: int = 0) -> DataFrame:
+    """(id, back, row, col, option): cells from the goal, back = 0, to the start (or from where both sides meet to the end that ``side`` came from)."""
     spark, keys = best.sparkSession, ["id", "ti", "tj"]
     done: list[DataFrame] = []
     ahead = best.select("id", "goal.row", "goal.col", "goal.option", F.lit(0).alias("back"))
@@ -401,11 +460,25 @@ def _paths(states: _States, best: DataFrame, size: int, noptions: int, ncols: in
         if not steps:
             return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], "id long, back int, row int, col int, option int")
         ready = at.join(states.read(spark, steps, ["parent"]), [*keys, "superstep"]).drop("superstep")
-        step = written(ready.mapInArrow(_traced(size, noptions, ncols), "id long, back int, row int, col int, option int, more boolean"))
+        step = written(ready.mapInArrow(_traced(size, noptions, ncols, side), "id long, back int, row int, col int, option int, more boolean"))
         done.append(step.where("NOT more").drop("more"))
         ahead = step.where("more").select("id", "row", "col", "option", "back")
 
 
+def _joined(forward: DataFrame, backward: DataFrame) -> DataFrame:
+    """One path from both halves: ``back`` is 0 at the meeting place and below it beyond.
+
+    Over steps without weight the halves may pass one place twice: what lies between is cut
+    out at the common place nearest to the start.
+    """
+    place = ["id", "row", "col", "option"]
+    common = forward.join(backward.withColumnRenamed("back", "on"), place)
+    cut = common.groupBy("id").agg(F.max(F.struct("back", "on")).alias("cut"))
+    before = forward.join(cut, "id").where("back >= cut.back")
+    after = backward.join(cut, "id").where("back > cut.on").withColumn("back", (F.col("cut.back") + F.col("cut.on") - F.col("back")).cast("int"))
+    return before.unionByName(after).select("id", "back", "row", "col", "option")
+
+
 def find_paths(cells: DataFrame, s: Scenario, starts: DataFrame, ends: DataFrame, ncols: int, tile: int = TILE, name: str = "long_range_dijkstra") -> tuple[DataFrame, DataFrame]:
     """The least-cost path of every start of every route to the cheapest of the route's ends.
 
@@ -415,7 +488,8 @@ def find_paths(cells: DataFrame, s: Scenario, starts: DataFrame, ends: DataFrame
     Starts without a path are left out.  Soft barriers fall group by group, least
     important first, for those starts alone that have no path yet.
     """
-    led = algorithm(name) in ("astar", "long_range_astar")
+    kind = algorithm(name)
+    sides = 2 if kind.startswith("bidirectional") else 1
     n = len(s.names)
     surf = written(surface(cells, s))
     tiles = written(_tiles(surf, tile, n))
@@ -424,7 +498,7 @@ def find_paths(cells: DataFrame, s: Scenario, starts: DataFrame, ends: DataFrame
     # An id a distinct start, made once and stored.
     unsolved = written(starts.select(*keys).distinct().withColumn("id", F.xxhash64(*keys)))
     ends = ends.select(*keys).distinct()
-    bounds = Bounds.of(surf, tile, switch) if led else None
+    bounds = Bounds.of(surf, tile, switch) if sides == 2 or kind.endswith("astar") else None
     solutions, steps = [], []
     for attempt in range(len(s.soft_groups) + 1):
         open_ = surf.where(traversable(attempt) & (F.col("cost") > 0)).select("row", "col", "option")
@@ -432,11 +506,16 @@ def find_paths(cells: DataFrame, s: Scenario, starts: DataFrame, ends: DataFrame
         # A search whose ends cannot be entered would settle all that it reaches for nothing.
         goals = written(allowed.select("id", "route_id").join(ends.join(open_, ["row", "col", "option"], "left_semi"), "route_id").select("id", "row", "col", "option"))
         allowed = allowed.join(goals.select("id").distinct(), "id", "left_semi")
-        states, best = _attempt(tiles, allowed.select("id", "row", "col", "option"), goals, tile, n, ncols, switch, attempt, bounds)
+        states, best = _attempt(tiles, allowed.select("id", "row", "col", "option"), goals, tile, n, ncols, switch, attempt, bounds, sides)
+        path = _paths(states, best, tile, n, ncols)
+        if sides == 2:
+            path = written(_joined(path, _paths(states, best, tile, n, ncols, 1)))
+            last = path.groupBy("id").agg(F.min_by(F.struct("row", "col", "option"), "back").alias("last"))
+            best = best.join(last, "id").select("id", F.struct("goal.d", "last.*").alias("goal"))
         dropped = F.array([F.lit(x) for x in s.dropped(attempt)]).cast("array<string>")
         found = unsolved.join(best, "id")
         solutions.append(found.select("id", "route_id", F.col("row").alias("start_row"), F.col("col").alias("start_col"), F.col("option").alias("start_option"), F.col("goal.row").alias("end_row"), F.col("goal.col").alias("end_col"), F.col("goal.option").alias("end_option"), X.from_fixed_point(F.col("goal.d")).alias("objective"), F.col("goal.d").alias("cost_units"), dropped.alias("dropped")))
-        steps.append(_paths(states, best, tile, n, ncols))
+        steps.append(path)
         unsolved = written(unsolved.join(best, "id", "left_anti"))
         if not unsolved.limit(1).count():
             break

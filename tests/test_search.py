@@ -178,6 +178,62 @@ def test_led_searches_walk_the_same_way_through_options_and_no_weight(spark):
     assert found(spark, tiny, PLAIN, [(0, 5, 5, 0)], [(0, 0, 0, 0)], 6, 3, "astar")[0].first().cost_units == 0
 
 
+BOTH = "bidirectional_long_range_dijkstra"
+
+
+@pytest.mark.parametrize("seed", [2])
+def test_both_ends_find_the_same_costs_in_fewer_tiles(spark, settled, seed):
+    rng = np.random.default_rng(seed)
+    n = 30
+    costs = rng.integers(40, 60, (n, n)).astype(np.float32)
+    costs[rng.random((n, n)) < 0.1] = 0
+    ends = [(0, 15, 29, 0), (0, 14, 28, 0), (1, 4, 20, 0), (2, 9, 9, 0)]
+    starts = [(0, 15, 5, 0), (1, 4, 4, 0), (2, 9, 9, 0)]
+    for _, i, j, _ in starts + ends:
+        costs[i, j] = 45
+    inv = rng.integers(1, 50, (n, n)).astype(np.float32)
+    config = {"routing_options": {"o": {"cost_layers": [{"layer_name": "c"}, {"layer_name": "i", "is_invariant": True}]}}}
+    cells = grid(spark, costs, i=inv)
+    dist = {rid: heap(costs, inv, (i, j)) for rid, i, j, _ in starts}
+    want = {rid: min(dist[rid][i, j] for r, i, j, _ in ends if r == rid) for rid in dist}
+    for name in ("dijkstra", BOTH):
+        solved, steps = found(spark, cells, config, starts, ends, n, 5, name)
+        got = solved.collect()
+        assert {r.route_id: r.cost_units for r in got} == want
+        for r in got:
+            walk = [(x.row, x.col) for x in steps.where(f"route_id = {r.route_id}").orderBy("step").collect()]
+            assert walk[0] == (r.start_row, r.start_col) and walk[-1] == (r.end_row, r.end_col)
+            assert [dist[r.route_id][at] for at in walk] == sorted(dist[r.route_id][at] for at in walk) and dist[r.route_id][walk[-1]] == r.cost_units
+            assert all(max(abs(a - c), abs(b - d)) == 1 for (a, b), (c, d) in zip(walk, walk[1:]))
+    assert settled[1] < 0.8 * settled[0]
+
+
+def test_both_ends_meet_across_options_and_no_weight(spark):
+    rng = np.random.default_rng(5)
+    costs, other = rng.integers(1, 9, (12, 12)).astype(np.float32), rng.integers(1, 9, (12, 12)).astype(np.float32)
+    uneven = {"default": 2, "pairwise": [{"between": ["a", "b"], "cost": 7}]}
+    config = {"routing_options": {"a": {"cost_layers": [{"layer_name": "c"}, {"layer_name": "d", "is_invariant": True}]}, "b": {"cost_layers": [{"layer_name": "d"}, {"layer_name": "c", "is_invariant": True}]}}, "transition_costs": uneven}
+    cells = grid(spark, costs, d=other)
+    starts, ends = [(0, 1, 1, 0), (1, 11, 0, 1)], [(0, 10, 9, 1), (0, 11, 11, 0), (1, 0, 10, 0)]
+    costs_of = [{r.route_id: r.cost_units for r in found(spark, cells, config, starts, ends, 12, 4, name)[0].collect()} for name in ("dijkstra", BOTH)]
+    assert costs_of[0] == costs_of[1] and len(costs_of[0]) == 2
+    solved, steps = found(spark, grid(spark, np.full((6, 6), 1e-6)), PLAIN, [(0, 5, 5, 0)], [(0, 0, 0, 0)], 6, 3, BOTH)
+    walk = [(r.row, r.col) for r in steps.orderBy("step").collect()]
+    assert solved.first().cost_units == 0 and walk[0] == (5, 5) and walk[-1] == (0, 0) and len(set(walk)) == len(walk)
+    assert all(max(abs(a - c), abs(b - d)) == 1 for (a, b), (c, d) in zip(walk, walk[1:]))
+
+
+def test_both_ends_without_a_way_and_with_soft_barriers(spark, settled):
+    wall = np.zeros((9, 9))
+    wall[4, :] = 1
+    barrier = {"layer_name": "w", "where": ">0"}
+    hard, soft = ({"routing_options": {"o": {"cost_layers": [{"layer_name": "c"}], "barrier_layers": [b]}}} for b in (barrier, {**barrier, "barrier_importance": 1}))
+    cells = grid(spark, np.ones((9, 9)), w=wall)
+    assert found(spark, cells, hard, [(0, 0, 0, 0)], [(0, 8, 0, 0)], 9, 3, BOTH)[0].count() == 0
+    paths = found(spark, cells, soft, [(0, 0, 0, 0), (1, 0, 0, 0)], [(0, 8, 0, 0), (1, 0, 8, 0)], 9, 3, BOTH)[0]
+    assert {r.route_id: (r.objective, r.dropped) for r in paths.collect()} == {0: (8.0, ["w"]), 1: (8.0, [])}
+
+
 def test_lower_bounds_never_exceed_costs(spark):
     rng = np.random.default_rng(9)
     costs = rng.integers(1, 40, (24, 18)).astype(np.float32)
