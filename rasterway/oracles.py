@@ -140,6 +140,8 @@ def oracle_sql() -> dict[str, str]:
       SELECT route_id, start_row, start_col, min(d) AS cost_units FROM ends JOIN t USING (id, n) GROUP BY ALL"""
     q["shortest_paths_by_tiles"] = f"""WITH RECURSIVE {_cells(32)}, {_plain_edges(32)}, {_distance('SELECT id, n, 0::BIGINT FROM (VALUES (0, 0), (1, 992)) s(id, n)')}
       SELECT id AS route_id, d AS cost_units, d AS along FROM t WHERE (id = 0 AND n = 1023) OR (id = 1 AND n = 31)"""
+    q["shortest_paths_both_ends"] = f"""WITH RECURSIVE {_cells(32)}, {_plain_edges(32)}, {_distance('SELECT id, n, 0::BIGINT FROM (VALUES (0, 0), (1, 992)) s(id, n)')}
+      SELECT id AS route_id, (n // 32)::INTEGER AS end_row, (n % 32)::INTEGER AS end_col, d AS cost_units FROM t WHERE (id = 0 AND n = 1023) OR (id = 1 AND n = 31)"""
     q["option_paths"] = f"""WITH RECURSIVE {_cells(16)}, {two}, {_OFF}, edges AS (
       SELECT (a."row" * 16 + a.col) * 2 + a.o AS src, (b."row" * 16 + b.col) * 2 + b.o AS dst, trunc(({_HALF} * (a.c + b.c) + b.i) * 10000::FLOAT)::BIGINT + CASE WHEN a.o = b.o THEN 0 ELSE 125000 END AS w
       FROM surf a, off, surf b WHERE b."row" = a."row" + di AND b.col = a.col + dj AND NOT a.hard AND NOT b.hard), {_distance('SELECT id, n, 0::BIGINT FROM (VALUES (0, 0), (1, 31)) s(id, n)')}

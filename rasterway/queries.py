@@ -312,9 +312,9 @@ def _ends(rows, spark):
     return spark.createDataFrame(rows, "route_id int, row int, col int, option int")
 
 
-def _found(spark, sf_dir, config, starts, ends, n=N, cells=None, tile=search.TILE):
+def _found(spark, sf_dir, config, starts, ends, n=N, cells=None, tile=search.TILE, name="long_range_dijkstra"):
     s = P.Scenario.from_json(config)
-    return search.find_paths(_cells(spark, sf_dir, n) if cells is None else cells, s, _ends(starts, spark), _ends(ends, spark), n, tile)
+    return search.find_paths(_cells(spark, sf_dir, n) if cells is None else cells, s, _ends(starts, spark), _ends(ends, spark), n, tile, name)
 
 
 def shortest_paths(spark, sf_dir):
@@ -324,6 +324,13 @@ def shortest_paths(spark, sf_dir):
     return found.select("route_id", "start_row", "start_col", "cost_units")
 
 
+def shortest_paths_both_ends(spark, sf_dir):
+    """Two routes over tiles well below the grid's side, searched from their starts and from all their ends."""
+    starts, ends = [(0, 0, 0, 0), (1, 31, 0, 0)], [(0, 31, 31, 0), (1, 0, 31, 0)]
+    found, _ = _found(spark, sf_dir, PLAIN, starts, ends, tile=8, name="bidirectional_long_range_dijkstra")
+    return found.select("route_id", "end_row", "end_col", "cost_units")
+
+
 def shortest_paths_by_tiles(spark, sf_dir):
     found, steps = _found(spark, sf_dir, PLAIN, [(0, 0, 0, 0), (1, 31, 0, 0)], [(0, 31, 31, 0), (1, 0, 31, 0)], tile=16)
     # The cost of a path, added up anew from its steps.
