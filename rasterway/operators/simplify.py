@@ -36,7 +36,7 @@ def thinned(shapes: DataFrame, column: str, tolerance: float) -> DataFrame:
     """
 
     def one(batch: pa.RecordBatch, k: int):
-        return _shape([p[planar.bends(p, tolerance)] for p in parts_of(batch.column(column)[k])])
+        return _shape([p[planar.corners(p, tolerance)] for p in parts_of(batch.column(column)[k])])
 
     return _mapped(shapes, column, one)
 
@@ -59,8 +59,9 @@ def _arcs(batches):
             for part, p in enumerate(parts_of(batch.column("_shape")[k])):
                 cuts = sorted(set(marked.get(part, ())))
                 ring = len(p) > 3 and (p[0] == p[-1]).all()
-                if ring:  # begins at a cut, or at its smallest point
-                    first = cuts[0] if cuts else int(np.lexsort([p[:-1, 1], p[:-1, 0]])[0])
+                if ring:  # begins at a cut, or at the point farthest from the middle, a corner if there is one
+                    off = np.hypot(*(p[:-1] - (p.min(0) + p.max(0)) / 2).T)
+                    first = cuts[0] if cuts else int(np.lexsort([p[:-1, 1], p[:-1, 0], -off])[0])
                     p = np.vstack([np.roll(p[:-1], -first, 0), p[first : first + 1]])
                     cuts = [c - first for c in cuts if c < len(p) - 1]
                 cuts = sorted({0, len(p) - 1, *cuts})
@@ -84,9 +85,9 @@ def _cut(batches, tolerance: float, once: bool):
             p = parts_of(batch.column("points")[k])[0]
             if once:
                 far = planar.farthest(p)[0]
-                kept = np.union1d(planar.bends(p[: far + 1], tolerance), far + planar.bends(p[far:], tolerance))
+                kept = np.union1d(planar.corners(p[: far + 1], tolerance), far + planar.corners(p[far:], tolerance))
             else:
-                kept = planar.bends(p, tolerance)
+                kept = planar.corners(p, tolerance)
             first = batch.column("at")[k].as_py()
             for a, b in zip(kept[:-1], kept[1:]) if len(p) > 1 else [(0, 0)]:
                 arcs.append(batch.column("arc")[k].as_py())

@@ -125,3 +125,13 @@ def test_simplified_shapes_are_rasterized(spark):
     shapes = spark.createDataFrame([(1, [(float(x), float(y)) for x, y in wavy], 1.0, 0)], "id long, ring array<struct<x:double,y:double>>, value double, order int")
     cells = lambda **k: {(r.row, r.col) for r in zonal.rasterized(shapes, Grid(6, 6, f=6.0), **k).where("value = 1").collect()}
     assert cells(simplify=True) == cells() == {(r, c) for r in range(2, 6) for c in range(4)}
+
+
+def test_small_bends_at_the_far_end_of_an_unshared_border_go(spark):
+    for b in (0.4, -0.4):  # farthest from a chord of the whole border, yet 0.4 off the side between its own neighbours
+        outer = np.array([(0, 0), (10, 0), (10 + b, 5), (10, 10), (0, 10)], float)
+        assert planar.corners(outer, 0.5).tolist() == [0, 1, 3, 4] and planar.corners(outer, 0.3).tolist() == [0, 1, 2, 3, 4]
+        alone = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (-abs(b), 5.0), (0.0, 0.0)]  # begins nowhere: no neighbour
+        frame = spark.createDataFrame([(1, alone)], "id int, ring array<struct<x:double,y:double>>")
+        got = S.simplified(frame, 0.5).first().ring
+        assert len(got) == 5 and {(p.x, p.y) for p in got} == {(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)}
