@@ -57,6 +57,11 @@ def _mapped(table: DataFrame, column: str, f: Callable[[pa.RecordBatch, int], li
     return table.mapInArrow(run, T.StructType(made))
 
 
+def _tasks(df: DataFrame) -> int:
+    """As many tasks as a shuffle has: work on shapes takes far longer than their bytes tell."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def repaired(shapes: DataFrame, column: str = "ring") -> DataFrame:
     """``shapes`` with valid polygons: what rings enclose an odd number of times.
 
@@ -81,31 +86,36 @@ def united(features: DataFrame, key: str, column: str = "ring", order: list[str]
     rest = [c for c in features.columns if c not in (key, column)]
     by = F.struct(*(order or rest)) if order or rest else F.lit(0)
     first = features.groupBy(key).agg((F.min_by(F.struct(*rest), by) if rest else F.lit(None)).alias("_first"))
-    level = repaired(features.select(F.col(key).alias("_key"), F.col(column).alias("ring")), "ring")
+    # Equal shapes of a key add nothing; the exchange deals the others out, however few files they came in.
+    level = repaired(features.where(F.size(column) > 0).select(F.col(key).alias("_key"), F.col(column).alias("ring")).distinct().repartition(_tasks(features), "_key", "ring"), "ring")
     schema = f"_key {features.schema[key].dataType.simpleString()}, ring {_POINTS}"
 
     def unite(table: pa.Table) -> pa.Table:
+        if table.num_rows == 1:
+            return table.select(["_key", "ring"])
         rings = planar.united([parts_of(r) for r in table.column("ring")])
         return pa.table({"_key": table.column("_key").slice(0, 1), "ring": pa.array([_shape(rings)], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))})
 
     while True:
         level = written(level)
-        sizes = level.groupBy("_key").count().where("count > 1")
-        most = sizes.agg(F.max("count")).first()[0]
-        if most is None:
+        if not level.groupBy("_key").count().where("count > 1").limit(1).count():
             break
-        # Near shapes first: batches are runs along the diagonal of each key's shapes.
+        # Near shapes first: batches are squares of a grid over each key's shapes, so that what lies inside goes early.
         b = G.bounds(F.filter("ring", lambda p: p.isNotNull()))
-        placed = level.join(sizes, "_key", "left").withColumn("_at", b["x0"] + b["y0"] + b["x1"] + b["y1"])
-        span = placed.groupBy("_key").agg(F.min("_at").alias("_low"), F.max("_at").alias("_high"))
-        many = F.ceil(F.col("count") / BATCH)
-        part = F.when((F.col("_high") > F.col("_low")) & (many > 1), F.least(many - 1, F.floor((F.col("_at") - F.col("_low")) / (F.col("_high") - F.col("_low")) * many))).otherwise(0)
-        dealt = placed.join(span, "_key").withColumn("_part", part)
-        # A run that is crowded is dealt out again by its shapes' hashes.
+        placed = level.withColumn("_b", b).select("_key", "ring", (F.col("_b.x0") + F.col("_b.x1")).alias("_x"), (F.col("_b.y0") + F.col("_b.y1")).alias("_y"))
+        span = placed.groupBy("_key").agg(F.count("*").alias("count"), *(f(c).alias(f"{c}{n}") for c in ("_x", "_y") for n, f in (("0", F.min), ("1", F.max))))
+        many = F.ceil(F.col("count") / BATCH).cast("double")
+        w, h = F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")
+        across = F.greatest(F.lit(1.0), F.least(many, F.floor(F.sqrt(F.when(h > 0, many * w / h).otherwise(many * many))).cast("double")))
+        span = span.withColumnRenamed("_key", "_of").withColumns({"_nx": across, "_w": w, "_h": h}).withColumn("_ny", F.greatest(F.lit(1.0), F.floor(many / F.col("_nx")).cast("double")))
+        at = lambda c, size, n: F.when(F.col(size) > 0, F.least(F.col(n) - 1, F.floor((F.col(c) - F.col(f"{c}0")) / F.col(size) * F.col(n)))).otherwise(0)
+        dealt = placed.join(span, F.col("_key").eqNullSafe(F.col("_of"))).withColumn("_part", (at("_x", "_w", "_nx") * F.col("_ny") + at("_y", "_h", "_ny")).cast("long"))
+        # A square that is crowded is dealt out again by its shapes' hashes.
         crowd = dealt.groupBy("_key", "_part").agg(F.count("*").alias("_n"))
-        dealt = dealt.join(crowd, ["_key", "_part"]).withColumn("_more", F.pmod(F.xxhash64(F.col("ring")), F.ceil(F.col("_n") / BATCH)))
-        single = dealt.where("count IS NULL").select("_key", "ring")
-        level = dealt.where("count IS NOT NULL").select("_key", "ring", "_part", "_more").groupBy("_key", "_part", "_more").applyInArrow(unite, schema).unionByName(single)
+        crowd = crowd.withColumnsRenamed({"_key": "_k", "_part": "_p"})
+        dealt = dealt.join(crowd, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p"))).drop("_k", "_p").withColumn("_more", F.pmod(F.xxhash64(F.col("ring")), F.ceil(F.col("_n") / BATCH)))
+        parts = dealt.select("_key", "ring", "_part", "_more").repartition(_tasks(features), "_key", "_part", "_more")
+        level = parts.groupBy("_key", "_part", "_more").applyInArrow(unite, schema)
     shapes = level.withColumnRenamed("ring", "_ring")
     return first.join(shapes, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, *(F.col(f"_first.`{c}`").alias(c) for c in rest), F.col("_ring").alias(column))
 

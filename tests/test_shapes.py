@@ -77,6 +77,30 @@ def test_known_shapes():
     assert planar.repaired([ring([(0, 0), (1, 0), (2, 0), (0, 0)])]) == [] and planar.united([]) == []
 
 
+def test_rings_that_turn_one_way_are_repaired_as_overlays_do():
+    rng = np.random.default_rng(5)
+    for n in (3, 4, 5, 9):
+        turn = np.sort(rng.random(n)) * 2 * np.pi
+        for p in (np.stack([np.cos(turn), np.sin(turn)], 1) * 5 + 7, np.stack([np.cos(2 * np.arange(5) * 2 * np.pi / 5), np.sin(2 * np.arange(5) * 2 * np.pi / 5)], 1)):  # the second is a star
+            for q in (p, p[::-1]):
+                q = np.vstack([q, q[:1]])
+                want = planar.overlay([(0, [q])], 1, lambda w: w[:, 0] > 0, even_odd=True)
+                got = planar.repaired([q])
+                assert len(got) == len(want) and all(np.allclose(a, b) for a, b in zip(got, want))
+    assert planar.convex(ring(square(0, 0, 2))) == 1 and planar.convex(ring([(0, 0), (1, 0), (2, 0), (0, 2), (0, 0)])) == 0
+
+
+def test_unions_of_many_shapes_look_at_near_sides_only(monkeypatch):
+    rng = np.random.default_rng(2)
+    boxes = [ring(square(x, y, 1.3)) for x, y in rng.random((1500, 2)) * 200]
+    sides = []
+    monkeypatch.setattr(planar, "_bands", lambda *a, real=planar._bands: ((k, near) for k, near in real(*a) if sides.append(len(k) * len(near)) is None))
+    got = planar.united([[b] for b in boxes])
+    assert 0 < sum(sides) < 6000 * 6000 / 10  # every side was compared with every other
+    spots = rng.random((2000, 2)) * 200
+    assert (winding(got, spots) == (sum(winding([b], spots) for b in boxes) > 0)).all()
+
+
 def test_lines_are_cut_to_regions():
     region = [ring(square(0, 0, 4)), ring(square(1, 1, 2)[::-1])]
     got = planar.lines_inside([ring([(-1, 2), (6, 2), (6, 0.5), (3.5, 0.5)])], region)
