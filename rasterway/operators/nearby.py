@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from rasterway.storage import written
 
+#: Rows that a task makes, about, where pairs of places become pairs of rows.
+ROWS = 1 << 21
 #: Times that squares widen for points that nothing lies near.
 WIDER = 4.0
 
@@ -69,3 +71,31 @@ def nearest(points: DataFrame, shapes: DataFrame, key: str, distance: Column) ->
             return found
         side *= WIDER
     return todo.limit(0).select("id", F.lit(None).cast(shapes.schema[key].dataType).alias(key), F.lit(None).cast("double").alias("distance"))
+
+
+def numbered(table: DataFrame, key: str, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(the distinct values of ``columns`` with a number ``key``, ``table`` with that number)."""
+    distinct = written(table.select(*columns).distinct().withColumn(key, F.monotonically_increasing_id()))
+    same = F.lit(True)
+    for c in columns:
+        same = same & table[c].eqNullSafe(distinct[c])
+    return distinct, written(table.join(distinct, same).select(*(table[c] for c in table.columns), distinct[key]))
+
+
+def expanded(pairs: DataFrame, points: DataFrame, owners: DataFrame, rows: int | None = None) -> DataFrame:
+    """``pairs`` (_place, _shape, ...) once for every pair of a point (_place, id) and an owner (_shape, feature) of them.
+
+    Points of a crowded place are dealt into runs, and there are as many tasks as the pairs
+    of rows need, so that no task makes many more than ``rows``.
+    """
+    rows = rows or ROWS
+    each = pairs.join(owners.groupBy("_shape").agg(F.count("*").alias("_m")), "_shape").groupBy("_place").agg(F.sum("_m").alias("_m"))
+    load = each.join(points.groupBy("_place").agg(F.count("*").alias("_n")), "_place")
+    load = written(load.select("_place", (F.col("_m") * F.col("_n")).alias("_rows"), F.least(F.col("_n"), F.ceil(F.col("_m") * F.col("_n") / rows)).alias("_runs")))
+    total = load.agg(F.sum("_rows")).first()[0] or 0
+    tasks = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // rows))
+    load = load.select("_place", "_runs")
+    left = pairs.join(owners, "_shape").drop("_shape").join(load, "_place").withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_runs") - 1))).drop("_runs")
+    right = points.join(load, "_place").select("_place", "id", F.pmod(F.xxhash64("id"), F.col("_runs")).alias("_run"))
+    by = ["_place", "_run"]
+    return left.repartition(tasks, *by).hint("shuffle_hash").join(right.repartition(tasks, *by), by).drop(*by)

@@ -178,8 +178,18 @@ def within_radius(points: DataFrame, features: DataFrame, radius: float, expand:
 
     With ``expand``, a point without any gets the smallest radius * (1 + 0.05 n) that holds
     one.  Points and features meet on squares of the radius; points that find none
-    there learn how far the nearest is, and then meet squares of their own size.
+    there learn how far the nearest is, and then meet squares of their own size.  Points at
+    one place, and features at one, meet once.
     """
+    places, spots = nearby.numbered(points.select("id", "x", "y"), "_place", "x", "y")
+    sites, owners = nearby.numbered(features.select("feature", "fx", "fy"), "_shape", "fx", "fy")
+    met = _within_radius(places.withColumnRenamed("_place", "id"), sites.withColumnRenamed("_shape", "feature"), radius, expand)
+    met = written(met.select(F.col("id").alias("_place"), F.col("feature").alias("_shape"), "distance", "radius"))
+    return nearby.expanded(met, spots.select("_place", "id"), owners.select("_shape", "feature")).select("id", "feature", "distance", "radius")
+
+
+def _within_radius(points: DataFrame, features: DataFrame, radius: float, expand: bool) -> DataFrame:
+    """``within_radius`` of points and features that each have a place of their own."""
     around = lambda own: F.explode(F.array([own + k for k in (-1, 0, 1)]))
     far = F.sqrt((F.col("x") - F.col("fx")) ** 2 + (F.col("y") - F.col("fy")) ** 2)
 
