@@ -154,8 +154,9 @@ def _to_circle(lines: list[np.ndarray], x: float, y: float, radius: float) -> li
             square = float(d @ d)
             if square == 0:
                 continue
-            half, rest = float(v @ d) / square, (float(v @ v) - radius * radius) / square
-            root = half * half - rest
+            # By the distance from the side's line, so that a circle that just touches it cuts nothing out.
+            half, cross = float(v @ d) / square, float(d[0] * v[1] - d[1] * v[0])
+            root = (radius * radius - cross * cross / square) / square
             if root < 0:
                 open_ = False
                 continue
@@ -202,9 +203,11 @@ def shapes_within_radius(points: DataFrame, features: DataFrame, radius: float,
     go on to squares twice as wide until each has met one.  Lines are cut where they leave
     the circle, areas by a polygon of CORNERS corners on it (null where it just misses them).
     """
-    features = features.where(F.size("points") > 0)
+    # Points at one place and equal shapes meet, and are cut, once.
+    places, spots = nearby.numbered(nearby.placed(points).select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")), "_place", "x", "y")
+    features, owners = nearby.numbered(features.where(F.size("points") > 0).select("feature", "areal", "points"), "_shape", "areal", "points")
+    places, features = places.withColumnRenamed("_place", "id"), features.withColumnRenamed("_shape", "feature")
     sides = written(_sided(features))
-    places = nearby.placed(points).select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     whole = F.lit(float(radius))
     found = written(_least(places, features, sides, float(radius), whole).withColumn("radius", whole))
     if expand and sides.limit(1).count():
@@ -220,7 +223,7 @@ def shapes_within_radius(points: DataFrame, features: DataFrame, radius: float,
             # The radius that reaches the nearest may be a step beyond the square's side.
             more = _least(places.join(near, "id"), features, sides, float(radius) * 2 ** (k + 1) * (1 + growth), F.col("radius"))
             found = found.unionByName(more.join(near, "id").select("id", "feature", "distance", "radius"))
-    pairs = found.join(places, "id").join(features.select("feature", "areal", "points"), "feature")
+    pairs = found.join(places, "id").join(features.select("feature", "areal", "points"), "feature").repartition(_tasks(features), "id", "feature")
 
     def one(batch: pa.RecordBatch, k: int):
         x, y, r = (batch.column(c)[k].as_py() for c in ("x", "y", "radius"))
@@ -230,4 +233,5 @@ def shapes_within_radius(points: DataFrame, features: DataFrame, radius: float,
         turn = np.arange(CORNERS + 1) % CORNERS * (2 * np.pi / CORNERS)
         return _shape(planar.common(own, [np.stack([x + r * np.cos(turn), y + r * np.sin(turn)], 1)]))
 
-    return _mapped(pairs, "points", one).select("id", "feature", "distance", "radius", "points")
+    cut = written(_mapped(pairs, "points", one).select(F.col("id").alias("_place"), F.col("feature").alias("_shape"), "distance", "radius", "points"))
+    return nearby.expanded(cut, spots.select("_place", "id"), owners.select("_shape", "feature")).select("id", "feature", "distance", "radius", "points")

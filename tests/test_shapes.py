@@ -198,3 +198,33 @@ def test_pairs_are_cut_to_regions(spark):
     rows = [(1, True, square(5.0, 5.0, 10.0), region), (2, False, [(-5.0, 5.0), (15.0, 5.0)], region), (3, False, [(1.0, 1.0), None, (50.0, 1.0)], region), (4, False, [(20.0, 20.0), (30.0, 30.0)], region), (5, True, None, region)]
     got = {r.id: shape(r.points) for r in S.clipped(spark.createDataFrame(rows, f"id int, areal boolean, points {KIND}, region {KIND}"), "points", "region", "areal").collect()}
     assert got == {1: square(5.0, 5.0, 5.0), 2: [(0.0, 5.0), (10.0, 5.0)], 3: [(1.0, 1.0)]}
+
+
+def test_points_and_shapes_of_one_place_meet_once(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+    real = S._mapped
+    monkeypatch.setattr(S, "_mapped", lambda t, c, f: real(t, c, lambda b, k: (calls.add(1), f(b, k))[1]))
+    line, box = [(0.0, 0.0), (9.0, 0.0)], square(0.0, 5.0, 2.0)
+    features = spark.createDataFrame([(k, k % 2 == 0, box if k % 2 == 0 else line) for k in range(20)], f"feature int, areal boolean, points {KIND}")
+    points = spark.createDataFrame([(i, 1.0, 1.0) for i in range(50)] + [(99, 500.0, 0.0)], "id int, x double, y double")
+    got = S.shapes_within_radius(points, features, 10.0, expand=False).collect()
+    assert calls.value == 2  # one line and one box at one place, not 1000 pairs
+    assert sorted((r.id, r.feature) for r in got) == [(i, k) for i in range(50) for k in range(20)]
+    assert {(r.feature % 2, r.distance, len(r.points)) for r in got} == {(0, 4.0, 5), (1, 1.0, 2)}
+
+
+def test_crowded_places_are_dealt_over_tasks(spark):
+    pairs = spark.createDataFrame([(1, 7, 0.5), (1, 8, 0.7), (2, 8, 0.9)], "_place long, _shape long, distance double")
+    points = spark.createDataFrame([(1, i) for i in range(400)] + [(2, 400)], "_place long, id long")
+    owners = spark.createDataFrame([(7, 1), (7, 2), (8, 3)], "_shape long, feature int")
+    made = S.nearby.expanded(pairs, points, owners, rows=50)
+    want = sorted([(i, f, d) for i in range(400) for f, d in ((1, 0.5), (2, 0.5), (3, 0.7))] + [(400, 3, 0.9)])
+    assert sorted((r.id, r.feature, r.distance) for r in made.collect()) == want
+    assert max(r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()) < 400  # of 1201
+
+
+def test_a_circle_that_just_touches_a_line_cuts_nothing_out():
+    for x, size in ((719.0, 47.0), (1199.0, 77.0), (2303.0, 61.0), (33.0, 13.0)):
+        for at in np.arange(0.0, size, 1.0):
+            got = S._to_circle([ring([(x, 100.0), (x + size, 100.0)])], x + at, 160.0, 60.0)
+            assert sum(float(np.hypot(*(p[-1] - p[0]))) for p in got) == 0.0
