@@ -41,6 +41,10 @@ from rasterway.llm import shared as S
 from rasterway.llm import words as W
 
 EXAMPLES, NEIGHBOURS, BLOCK = 10_000, 25, 1024
+#: Postings from which on a block keeps a column whole.
+DENSE = 128
+#: Documents, and terms of them, that are searched at once.
+BATCH, BATCH_CELLS = 512, 1 << 16
 #: What a term needs: chi-squared, and examples that hold it.
 ASSOCIATED, LEAST = 25.0, 4
 #: Distance added to that of a neighbour before its vote is divided by it.
@@ -128,7 +132,8 @@ class Index:
     """Unit vectors in blocks, with the largest weight of each column in each block.
 
     Entries are sorted by their commonest column and then the heaviest, so that blocks are
-    alike inside.  A block keeps its postings by column in flat arrays.
+    alike inside.  A block keeps columns of ``DENSE`` postings or more as rows of a matrix
+    and the postings of the others by column in flat arrays.
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray, np.ndarray]], columns: int):
@@ -137,44 +142,118 @@ class Index:
         self.order = np.lexsort([heavy, common])
         blocks = -(-len(vectors) // BLOCK)
         size = np.array([len(c) for c, _, _ in vectors], np.int64)[self.order]
-        column = np.concatenate([np.zeros(0, np.int64), *(vectors[k][0] for k in self.order)]).astype(np.int64)
-        weight = np.concatenate([np.zeros(0), *(vectors[k][2] for k in self.order)])
+        #: Where each entry's columns and weights begin, in this order.
+        self.begin = np.append(0, np.cumsum(size))
+        self.column = np.concatenate([np.zeros(0, np.int64), *(vectors[k][0] for k in self.order)]).astype(np.int32)
+        self.weight = np.concatenate([np.zeros(0), *(vectors[k][2] for k in self.order)])
+        self.most = columns
         entry = np.repeat(np.arange(len(vectors)), size)
         self.bound = np.zeros((columns, blocks), np.float32)
-        np.maximum.at(self.bound, (column, entry // BLOCK), np.nextafter(weight.astype(np.float32), np.float32(2)))
-        #: By block: where each column's postings begin, their entries and weights.
-        self.posts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        np.maximum.at(self.bound, (self.column, entry // BLOCK), np.nextafter(self.weight.astype(np.float32), np.float32(2)))
+        #: By block: each column's row of the matrix or -1, the matrix; where each other column's postings begin, their entries and weights.
+        self.posts: list[tuple[np.ndarray, ...]] = []
         cuts = np.searchsorted(entry, np.arange(blocks + 1) * BLOCK)
         for a, b in zip(cuts, cuts[1:]):
-            by = np.argsort(column[a:b], kind="stable")
-            begin = np.searchsorted(column[a:b][by], np.arange(columns + 1)).astype(np.int32)
-            self.posts.append((begin, (entry[a:b] % BLOCK)[by].astype(np.int16), weight[a:b][by]))
+            column, slot, weight = self.column[a:b], entry[a:b] % BLOCK, self.weight[a:b].astype(np.float32)
+            dense = np.flatnonzero(np.bincount(column, minlength=columns) >= DENSE)
+            place = np.full(columns, -1, np.int32)
+            place[dense] = np.arange(len(dense))
+            on = place[column] >= 0
+            matrix = np.zeros((len(dense), BLOCK), np.float32)
+            matrix[place[column[on]], slot[on]] = weight[on]
+            by = np.flatnonzero(~on)[np.argsort(column[~on], kind="stable")]
+            begin = np.searchsorted(column[by], np.arange(columns + 1)).astype(np.int32)
+            self.posts.append((place, matrix, begin, slot[by].astype(np.int16), weight[by]))
 
     def nearest(self, c: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(entries, cosines) of the k largest cosines and all that equal the last."""
-        bound = w @ self.bound[c] if len(c) else np.zeros(self.bound.shape[1])
-        found, cosines, worst, many = [], [], 0.0, 0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] * (1 + 1e-5) < worst or bound[b] <= 0:
-                break
-            begin, slots, weights = self.posts[b]
-            first = begin[c]
-            n = begin[c + 1] - first
-            at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
-            scores = np.bincount(slots[at], weights[at] * np.repeat(w, n), BLOCK)
-            at = np.flatnonzero((scores > 0) & (scores >= worst))
-            found.append(self.order[b * BLOCK + at])
-            cosines.append(scores[at])
-            many += len(at)
-            if many >= k:
-                known = np.concatenate(cosines)
-                worst = np.partition(known, -k)[-k] - 1e-9
+        return self.nearest_of([(c, w)], k)[0]
+
+    def nearest_of(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """What ``nearest`` gives, of each (columns, weights)."""
+        out = [(np.zeros(0, int), np.zeros(0))] * len(vectors)
+        some = [i for i, (c, _) in enumerate(vectors) if len(c)]
+        stop = np.cumsum([len(vectors[i][0]) for i in some])
+        i = 0
+        while i < len(some):
+            before = stop[i - 1] if i else 0
+            j = min(i + BATCH, max(i + 1, int(np.searchsorted(stop, before + BATCH_CELLS, side="right"))))
+            for to, found in zip(some[i:j], self._batch([vectors[x] for x in some[i:j]], k)):
+                out[to] = found
+            i = j
+        return out
+
+    def _scores(self, block: int, row: np.ndarray, rows: int, c: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Single-precision cosines of ``rows`` vectors, given by cells, with a block's entries."""
+        place, matrix, begin, slots, weights = self.posts[block]
+        to = place[c]
+        on = to >= 0
+        q = np.zeros((rows, len(matrix)), np.float32)
+        q[row[on], to[on]] = w[on]
+        scores = q @ matrix
+        row, c, w = row[~on], c[~on], w[~on]
+        first = begin[c]
+        n = begin[c + 1] - first
+        at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        if len(at):
+            scores += np.bincount(np.repeat(row, n) * BLOCK + slots[at], weights[at] * np.repeat(w, n), rows * BLOCK).reshape(rows, BLOCK)
+        return scores
+
+    def _batch(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int):
+        """What ``nearest`` gives of vectors that are not empty.
+
+        Each takes the blocks in the order of its own bounds; those that come to the same
+        block together are multiplied at once, in single precision.  Entries within its
+        error of the k-th best get their cosines in double precision.
+        """
+        size = np.array([len(c) for c, _ in vectors])
+        start = np.cumsum(size) - size
+        column = np.concatenate([c for c, _ in vectors]).astype(np.int64)
+        weight = np.concatenate([w for _, w in vectors])
+        bound = np.add.reduceat(weight[:, None] * self.bound[column], start, axis=0)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        # No term is negative and no cosine exceeds 1, so a cell adds a rounding at most; twice, for the k-th and the entry.
+        slack = (size + 6) * 2.0**-23 + 1e-9
+        best = np.zeros((len(vectors), k), np.float32)
+        found: list[tuple[np.ndarray, ...]] = []
+        live = np.arange(len(vectors))
+        for rank in range(bound.shape[1]):
+            block = order[live, rank]
+            reach = bound[live, block]
+            on = (reach > 0) & (reach * (1 + 1e-5) >= best[live].min(1) - slack[live])
+            live, block = live[on], block[on]
+            for b in np.unique(block).tolist():
+                own = live[block == b]
+                n = size[own]
+                at = np.arange(n.sum()) + np.repeat(start[own] - (np.cumsum(n) - n), n)
+                scores = self._scores(b, np.repeat(np.arange(len(own)), n), len(own), column[at], weight[at])
+                better = np.flatnonzero(scores.max(1) > best[own].min(1))
+                if len(better):
+                    both = np.concatenate([best[own[better]], scores[better]], axis=1)
+                    best[own[better]] = np.partition(both, -k, axis=1)[:, -k:]
+                x, slot = np.nonzero((scores > 0) & (scores >= (best[own].min(1) - slack[own])[:, None]))
+                found.append((own[x], b * BLOCK + slot, scores[x, slot]))
         if not found:
-            return np.zeros(0, int), np.zeros(0)
-        entries, cosines = np.concatenate(found), np.concatenate(cosines)
-        keep = cosines >= worst
-        order = np.lexsort([entries[keep], -cosines[keep]])
-        return entries[keep][order], cosines[keep][order]
+            return [(np.zeros(0, int), np.zeros(0))] * len(vectors)
+        of, entry, score = (np.concatenate(x) for x in zip(*found))
+        near = np.flatnonzero(score >= (best.min(1) - slack)[of])
+        near = near[np.argsort(of[near], kind="stable")]
+        cuts = np.searchsorted(of[near], np.arange(len(vectors) + 1))
+        own, out = np.zeros(self.most), []
+        for (c, w), a, b in zip(vectors, cuts, cuts[1:]):
+            at = entry[near[a:b]]
+            first, n = self.begin[at], self.begin[at + 1] - self.begin[at]
+            cell = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+            own[c] = w
+            cosines = np.bincount(np.repeat(np.arange(len(at)), n), self.weight[cell] * own[self.column[cell]], len(at))
+            own[c] = 0
+            entries = self.order[at]
+            if len(at) >= k:
+                keep = cosines >= np.partition(cosines, -k)[-k] - 1e-9
+                entries, cosines = entries[keep], cosines[keep]
+            by = np.lexsort([entries, -cosines])
+            out.append((entries[by], cosines[by]))
+        return out
 
 
 class Voters:
@@ -189,16 +268,19 @@ class Voters:
         self.empty = next((k for k, (v, *_) in enumerate(entries) if not v), None)
         self.cache: dict[bytes, tuple] = {}
 
-    def neighbours(self, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key = hashlib.blake2b(np.concatenate([c, n]).astype(np.int32).tobytes(), digest_size=16).digest()
-        if key not in self.cache:
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            if len(c):
-                self.cache[key] = self.index.nearest(c, _weighed(c, n, self.idf), NEIGHBOURS)
-            else:
-                self.cache[key] = (np.array([] if self.empty is None else [self.empty], int), np.ones(int(self.empty is not None)))
-        return self.cache[key]
+    def neighbours(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(entries, cosines) of each (columns, counts)."""
+        keys = [hashlib.blake2b(np.concatenate([c, n]).astype(np.int32).tobytes(), digest_size=16).digest() for c, n in vectors]
+        known = {key: self.cache[key] for key in keys if key in self.cache}
+        new = {key: v for key, v in zip(keys, vectors) if key not in known}
+        nearest = self.index.nearest_of([(c, _weighed(c, n, self.idf)) for c, n in new.values()], NEIGHBOURS)
+        none = (np.array([] if self.empty is None else [self.empty], int), np.ones(int(self.empty is not None)))
+        found = {key: x if len(c) else none for (key, (c, _)), x in zip(new.items(), nearest)}
+        if len(self.cache) + len(found) > CACHE:
+            self.cache.clear()
+        self.cache |= dict(list(found.items())[:CACHE])
+        known |= found
+        return [known[key] for key in keys]
 
     def share(self, at: np.ndarray, cosine: np.ndarray, own: np.ndarray | None = None) -> float:
         """The positive share of distance-weighted votes; ``own`` is taken from an equal entry's."""
@@ -262,7 +344,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         voters = S.kept(("voters", name), lambda: Voters(*state.value))
         for batch in batches:
             label = batch.column("label").to_pylist()
-            out = [voters.share(*voters.neighbours(*_cells(v)), np.array([weight[0], 0]) if k == 0 else np.array([0, weight[1]])) for v, k in zip(batch.column("v").to_pylist(), label)]
+            near = voters.neighbours([_cells(v) for v in batch.column("v").to_pylist()])
+            out = [voters.share(*x, np.array([weight[0], 0]) if k == 0 else np.array([0, weight[1]])) for x, k in zip(near, label)]
             yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(label, pa.int32()), pa.array([weight[k] for k in label])], ["raw", "label", "weight"])
 
     steps = calibration.fit(labelled.select("label", "v").mapInArrow(raw, "raw double, label int, weight double"), 0.0, 1.0)
@@ -271,7 +354,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
         voters = S.kept(("voters", name), lambda: Voters(*state.value))
         for batch in batches:
             for i, j, c, n, cuts in _cells_of(known_terms.value, batch.column("text")):
-                near = [voters.neighbours(c[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:])]
+                near = voters.neighbours([(c[a:b], n[a:b]) for a, b in zip(cuts, cuts[1:])])
                 share = np.array([voters.share(*x) for x in near])
                 evidence = [[e for k in at[:5].tolist() for e in voters.ids[k]][:5] for at, _ in near]
                 columns = [batch.column("doc_id").slice(i, j - i), batch.column("held_out").slice(i, j - i), pa.array(calibration.apply(share, 0.0, 1.0, steps)), pa.array(evidence, pa.list_(pa.int64()))]

@@ -92,6 +92,27 @@ def test_index_finds_what_a_full_scan_finds(monkeypatch, block):
         assert np.allclose(cosines, full[entries])
 
 
+@pytest.mark.parametrize("dense, batch, cells", [(1, 512, 1 << 16), (20, 7, 30), (1000, 1, 1)])
+def test_vectors_searched_together_find_what_a_full_scan_finds(monkeypatch, dense, batch, cells):
+    monkeypatch.setattr(toxicity, "BLOCK", 64)
+    monkeypatch.setattr(toxicity, "DENSE", dense)
+    monkeypatch.setattr(toxicity, "BATCH", batch)
+    monkeypatch.setattr(toxicity, "BATCH_CELLS", cells)
+    rng = np.random.default_rng(6)
+    full = np.zeros((700, 50))
+    for v in full:
+        c = rng.choice(50, rng.integers(0, 30), replace=False)
+        v[c] = rng.integers(1, 5, len(c))
+        v /= max(np.linalg.norm(v), 1)
+    vectors = [(np.flatnonzero(v), v[v > 0]) for v in full]
+    index = toxicity.Index([(c, np.ones(len(c), int), w) for c, w in vectors], 50)
+    for (entries, cosines), v in zip(index.nearest_of(vectors[:200], 9), full):
+        c = full @ v
+        want = np.flatnonzero((c >= np.sort(c)[-9] - 1e-9) & (c > 0))
+        assert sorted(entries.tolist()) == want.tolist()
+        assert np.allclose(cosines, c[entries], atol=1e-12) and (np.diff(cosines) <= 0).all()
+
+
 def test_calibration_rises(spark):
     rng = random.Random(0)
     rows = [(x := rng.random(), int(rng.random() < x), 1.0) for _ in range(4000)]
