@@ -2,9 +2,10 @@
 
 Tokens are intervals of bytes.  A task gathers documents into chunks; for each block of a
 chunk DuckDB holds one table of intervals a tokenizer.  An ASOF join finds for every A
-token the B token in which it ends, which tells the offsets where both end; a window sum
-of these numbers the groups; another ASOF join ranges B tokens into the groups; and a
-join by group gives the linked pairs of ids of each document.  A chunk numbers its
+token the B token in which it ends, which tells the offsets where both end; a window
+numbers these; two more ASOF joins range the tokens of both into the groups between them;
+and a join by group gives the linked pairs of ids of each document.  Tables of a block
+are dropped before the next, so that a worker holds one block's.  A chunk numbers its
 distinct pairs and counts their documents; Spark merges these partial counts, finds the
 highest of each A id and sends each chunk the counts of its own pairs back.  Only distinct
 pairs of chunks are shuffled as rows, never tokens or links.
@@ -34,8 +35,8 @@ from rasterway.llm import shared as S
 from rasterway.llm import tokens
 
 #: Text bytes of a block, which DuckDB aligns at once, and of a chunk, which numbers its pairs.
-BLOCK_BYTES, CHUNK_BYTES = 3 << 20, 24 << 20
-#: Bytes of a group between the ends of its tokens of A beyond which it is wide.
+BLOCK_BYTES, CHUNK_BYTES = 1 << 20, 12 << 20
+#: Bytes of a group beyond which it is wide.
 WIDE = 64
 #: Different spaced words whose pieces a worker remembers.
 WORDS = 1 << 19
@@ -53,22 +54,23 @@ _SCHEMA = pa.schema(
 _DDL = "chunk long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, ids array<long>, docs array<int>"
 
 _ALIGNED = """
-CREATE OR REPLACE TEMP TABLE ga AS
-SELECT pos, doc, id, stop, sum(cut) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) - cut AS grp
-FROM (SELECT a.*, (a.stop = b.stop)::INT AS cut FROM a ASOF JOIN b ON a.stop <= b.stop);
-CREATE OR REPLACE TEMP TABLE cuts AS SELECT grp, max(stop) AS stop, max(stop) - min(stop) > {wide} AS wide FROM ga GROUP BY grp;
-CREATE OR REPLACE TEMP TABLE gb AS SELECT b.pos, b.id, cuts.grp, cuts.wide FROM b ASOF JOIN cuts ON b.stop <= cuts.stop;
+CREATE OR REPLACE TEMP TABLE ends AS SELECT a.stop FROM (SELECT stop FROM a) a ASOF JOIN (SELECT stop FROM b) b ON a.stop <= b.stop WHERE a.stop = b.stop;
+CREATE OR REPLACE TEMP TABLE cuts AS
+SELECT stop, (row_number() OVER (ORDER BY stop))::INT - 1 AS grp, stop - lag(stop, 1, 0) OVER (ORDER BY stop) > {wide} AS wide FROM ends;
+CREATE OR REPLACE TEMP TABLE ga AS SELECT a.stop, a.doc, a.id, cuts.grp, cuts.wide FROM a ASOF JOIN cuts ON a.stop <= cuts.stop;
+CREATE OR REPLACE TEMP TABLE gb AS SELECT b.stop, b.id, cuts.grp, cuts.wide FROM b ASOF JOIN cuts ON b.stop <= cuts.stop;
 """
 #: Groups of more bytes than WIDE link each id once, with how often it stands there, so that a link a pair of tokens is never made.
 _LINKED = """
-SELECT doc, pair, sum(n) AS n FROM (
-  SELECT doc, ga.id::BIGINT << 32 | gb.id AS pair, count(*) AS n FROM ga JOIN gb USING (grp) WHERE NOT wide GROUP BY 1, 2
+SELECT doc, pair, sum(n)::BIGINT AS n FROM (
+  SELECT doc, ga.id::BIGINT << 32 | gb.id AS pair, count(*) AS n FROM ga JOIN gb USING (grp) WHERE NOT ga.wide AND NOT gb.wide GROUP BY 1, 2
   UNION ALL
   SELECT x.doc, x.id::BIGINT << 32 | y.id AS pair, x.n * y.n AS n
-  FROM (SELECT grp, doc, id, count(*) AS n FROM ga WHERE grp IN (SELECT grp FROM cuts WHERE wide) GROUP BY ALL) x
+  FROM (SELECT grp, doc, id, count(*) AS n FROM ga WHERE wide GROUP BY ALL) x
   JOIN (SELECT grp, id, count(*) AS n FROM gb WHERE wide GROUP BY ALL) y USING (grp)
 ) GROUP BY doc, pair ORDER BY doc, pair
 """
+_DROPPED = "".join(f"DROP TABLE {t};" for t in ("ends", "cuts", "ga", "gb"))
 
 
 class PlainEncoder(tokens.Encoder):
@@ -209,11 +211,12 @@ class Aligner:
             size = np.where(good, np.diff(bounds), 0)
             on = good[doc]
             place = (own + (np.cumsum(size) - size)[doc])[on]
-            self.db.register(name, pa.table({"pos": np.arange(len(place), dtype=np.int32), "doc": doc[on], "id": ids[on], "stop": place}))
+            self.db.register(name, pa.table({"doc": doc[on], "id": ids[on], "stop": place if place[-1] >> 31 else place.astype(np.int32)}))
         self.db.execute(_ALIGNED.format(wide=WIDE))
-        a = self.db.execute("SELECT doc, id, grp::INT AS grp FROM ga ORDER BY pos").fetchnumpy()
-        b = self.db.execute("SELECT id, grp::INT AS grp FROM gb ORDER BY pos").fetchnumpy()
+        a = self.db.execute("SELECT doc, id, grp FROM ga ORDER BY stop").fetchnumpy()
+        b = self.db.execute("SELECT id, grp FROM gb ORDER BY stop").fetchnumpy()
         links = self.db.execute(_LINKED).fetchnumpy()
+        self.db.execute(_DROPPED)
         for name in ("a", "b"):
             self.db.unregister(name)
         doc_a, id_a, grp_a, id_b, grp_b = (np.asarray(x) for x in (a["doc"], a["id"], a["grp"], b["id"], b["grp"]))

@@ -110,6 +110,14 @@ def test_texts_that_do_not_come_back_have_no_tokens():
     assert [len(p) for p, _ in pairs] == [2, 0, 0, 1] and (np.array([n.sum() for _, n in pairs]) == counts["n_links"]).all()
 
 
+def test_nothing_of_a_block_stays():
+    own = op.aligner(*PATHS)
+    for text in ("the house " * 2000, "a"):
+        own.aligned(pa.array([text, "=" * 300 + " x"]))
+        assert own.db.execute("SELECT count(*) FROM duckdb_tables()").fetchall() == [(0,)]
+        assert own.db.execute("SELECT sum(memory_usage_bytes) FROM duckdb_memory()").fetchall()[0][0] < 2 << 20
+
+
 def test_empty_and_clashing_columns(spark):
     assert op.align(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert op.align(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()[0].n_links == 0
