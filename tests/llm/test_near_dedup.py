@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+from rasterway.llm import components
 from rasterway.llm import near_dedup as op
 
 
@@ -86,3 +87,21 @@ def test_long_texts(spark):
     rows = [(1, " ".join(many)), (2, " ".join(other)), (3, " ".join(many[:20_000])), (4, " ".join(reversed(many)))]
     got = {r.doc_id: r.class_id for r in op.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_rounds_of_components_write_few_files(spark, monkeypatch):
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    tables = []
+    monkeypatch.setattr(components, "written", lambda df, write=components.written: tables.append(write(df)) or tables[-1])
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        # Chains of five nodes each.
+        links = [(k, k + 1) for k in range(3000) if k % 5 < 4]
+        found = components.components(spark.createDataFrame(links, "a long, b long")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r["node"], r["class"]) for r in found) == [(k, k - k % 5) for k in range(3000)]
+    assert len(tables) > 2 and all(len(t.inputFiles()) <= components.LEAST_FILES for t in tables[1:])
