@@ -91,7 +91,7 @@ def _in_bloom(bloom: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 def _chunked(batch):
     data, offsets = S.utf8(batch.column("text"))
-    for i, j in S.chunks(offsets):
+    for i, j in S.chunks(offsets, S.WIDE_CHUNK_BYTES):
         chunk = data[offsets[i] : offsets[j]]
         starts, ends, first = W.split(chunk, offsets[i : j + 1] - offsets[i], W.FOLDED)
         yield i, j, W.hashes(chunk, starts, ends, W.FOLDED), first
@@ -186,7 +186,7 @@ def _bloom_of(marks: DataFrame) -> bytes:
             np.bitwise_or.at(value, n, np.int64(1) << (at & 31))
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value)], ["word", "bits"])
 
-    words = marks.select("mark").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    words = marks.select("mark").mapInArrow(S.lean(bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     table = words.toArrow()
     bloom = np.zeros(BLOOM_BITS // 32, np.uint32)
     bloom[table["word"].to_numpy()] = table["bits"].to_numpy().astype(np.uint32)
@@ -199,7 +199,7 @@ def hits(docs: DataFrame, items: DataFrame, key: str, window: int = 10) -> DataF
     ``docs`` needs ``key`` and text, ``items`` item_id and text.
     """
     spark = docs.sparkSession
-    found = S.written(items.select("item_id", "text").mapInArrow(_item_windows(window), "item string, len int, h1 long, h2 long, mark long"))
+    found = S.written(items.select("item_id", "text").mapInArrow(S.lean(_item_windows(window)), "item string, len int, h1 long, h2 long, mark long"))
     windows = found.where("mark IS NULL").select("item", "len", "h1", "h2").distinct()
     lengths = sorted(r[0] for r in found.where(f"mark IS NULL AND len < {window}").select("len").distinct().collect())
 
@@ -211,7 +211,7 @@ def hits(docs: DataFrame, items: DataFrame, key: str, window: int = 10) -> DataF
     short = found.where(f"mark IS NULL AND len < {window}").select("h1", "len").mapInArrow(short_marks, "mark long")
     marked = found.where("mark IS NOT NULL").limit(1).count() > 0
     bloom = spark.sparkContext.broadcast(_bloom_of(found.where("mark IS NOT NULL").select("mark").unionByName(short)))
-    spans = docs.select(F.col(key).alias("_row"), "text").mapInArrow(_document_spans(window, bloom, lengths, marked), f"_row {docs.schema[key].dataType.simpleString()}, at int, len int, h1 long, h2 long")
+    spans = docs.select(F.col(key).alias("_row"), "text").mapInArrow(S.lean(_document_spans(window, bloom, lengths, marked)), f"_row {docs.schema[key].dataType.simpleString()}, at int, len int, h1 long, h2 long")
     # An item's ids first: a window that many items share joins once.
     owners = windows.groupBy("len", "h1", "h2").agg(F.collect_set("item").alias("items"))
     # A passage may stand in a third of all documents: its windows are salted.

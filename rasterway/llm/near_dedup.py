@@ -91,7 +91,7 @@ def _sketches(batches):
     for batch in batches:
         data, offsets = S.utf8(batch.column("text"))
         ids = batch.column("doc_id")
-        for i, j in S.chunks(offsets):
+        for i, j in S.chunks(offsets, S.WIDE_CHUNK_BYTES):
             chunk = data[offsets[i] : offsets[j]]
             starts, ends, first = W.split(chunk, offsets[i : j + 1] - offsets[i], W.SPACED)
             words = W.hashes(chunk, starts, ends, W.SPACED)
@@ -230,7 +230,7 @@ def _classified(docs: DataFrame, similarity: float) -> DataFrame:
     """(_id, _tie, class) of every distinct row; class is null where there are no words."""
     slim = _keyed(docs).select(F.col("_id").alias("doc_id"), "_tie", "text")
     schema = "doc_id long, _tie long, node binary, size int, slots binary, parity binary, keys array<long>"
-    sketched = S.written(slim.mapInArrow(_sketches, schema))
+    sketched = S.written(slim.mapInArrow(S.lean(_sketches), schema))
     some = sketched.where("node IS NOT NULL")
     nodes = some.groupBy("node").agg(F.min(F.struct("doc_id", "_tie")).alias("row"), F.first("size").alias("size"), F.first("slots").alias("slots"), F.first("parity").alias("parity"), F.first("keys").alias("keys"))
     nodes = S.written(nodes)
@@ -245,10 +245,10 @@ def _classified(docs: DataFrame, similarity: float) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         b = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return S.written(pairs.join(a, "a").join(b, "b").mapInArrow(_verify(similarity), "a binary, b binary"))
+        return S.written(pairs.join(a, "a").join(b, "b").mapInArrow(S.lean(_verify(similarity)), "a binary, b binary"))
 
     def stars(bucket: DataFrame) -> DataFrame:
-        return bucket.groupBy("key", "block").applyInArrow(_stars, "a binary, b binary").distinct()
+        return bucket.groupBy("key", "block").applyInArrow(S.lean_group(_stars), "a binary, b binary").distinct()
 
     blocks = F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / BLOCK)).alias("block")
     level = members.select("key", "node", "slots", "count", blocks)
@@ -273,7 +273,7 @@ def _classified(docs: DataFrame, similarity: float) -> DataFrame:
         columns = ["key", "i", "j", "node", "size", "parity", "class"]
         left = now.where("outside").withColumn("i", own(i)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), j - 1))).select(columns)
         right = now.withColumn("j", own(j)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), i - 1))).select(columns)
-        pairs = left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInArrow(_cross(similarity, best), "a binary, b binary").distinct()
+        pairs = left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInArrow(S.lean_groups(_cross(similarity, best)), "a binary, b binary").distinct()
         pairs = S.written(pairs.join(tried, ["a", "b"], "left_anti"))
         links = S.written(links.unionByName(verified(pairs)))
         tried = tried.unionByName(pairs)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 from typing import Any
 
@@ -18,8 +19,8 @@ __all__ = ["shared_dir", "written"]
 GROUP_BYTES = 4 << 20
 #: Groups that even small tables are dealt into.
 LEAST_GROUPS = 64
-#: Text bytes handled at once by the vectorised kernels.
-CHUNK_BYTES = 2 << 20
+#: Text bytes handled at once by the vectorised kernels, and by those that hold some twenty times as many.
+CHUNK_BYTES, WIDE_CHUNK_BYTES = 2 << 20, 1 << 19
 
 
 #: What this worker process keeps from task to task: one model or cache, that of the last operator.
@@ -37,6 +38,49 @@ def kept(key: tuple, build: Callable[[], Any]) -> Any:
     return _KEPT[key]
 
 
+def give_back() -> None:
+    """Free memory of this process goes back to the system, where the C library can do so."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """``run`` over a task's batches; its worker, which is used again, keeps no freed memory of it."""
+
+    def of_task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return of_task
+
+
+def lean_group(run: Callable) -> Callable:
+    """``run`` of a group's table; no freed memory is kept."""
+
+    def of_group(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return of_group
+
+
+def lean_groups(run: Callable) -> Callable:
+    """``run`` of two tables of a group; no freed memory is kept."""
+
+    def of_groups(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return run(left, right)
+        finally:
+            give_back()
+
+    return of_groups
+
+
 def groups_for(docs: DataFrame, column: str = "text", group_bytes: int = GROUP_BYTES) -> int:
     """How many hash groups to deal ``docs`` into so that each stays small."""
     total = docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

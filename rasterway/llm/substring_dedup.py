@@ -112,6 +112,7 @@ def _symbols(window: int, n: int):
 
     def flush(keys: list[np.ndarray], pairs: list[np.ndarray]) -> pa.RecordBatch:
         k, p = np.concatenate(keys), np.concatenate(pairs)
+        keys.clear(), pairs.clear()
         # One record a key: the first in order; others are repeated here already.
         order = np.lexsort([k["at"], k["tie"], k["doc"], k["key"]])
         new = np.ones(len(k), bool)
@@ -143,7 +144,7 @@ def _symbols(window: int, n: int):
         keys, pairs, held = [np.empty(0, _KEY)], [np.empty(0, _SPAN)], 0
         for batch in batches:
             ids, data, offsets, ties = _docs(batch)
-            for i, j in S.chunks(offsets):
+            for i, j in S.chunks(offsets, S.WIDE_CHUNK_BYTES):
                 _, _, first, words, s = _parsed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 doc, tie, spans = ids[i:j], ties[i:j], W.Spans(words)
                 ok = np.flatnonzero(_holdable(s, first, window))
@@ -248,7 +249,7 @@ def _windows(window: int, n: int):
         repeated, removed = (_Found(S.unpack(kinds.get(k, []), t)) for k, t in (("repeated", _POINT), ("removed", _RANGE)))
         ids, data, offsets, ties = _docs(docs)
         found = [np.empty(0, _SPAN)]
-        for i, j in S.chunks(offsets):
+        for i, j in S.chunks(offsets, S.WIDE_CHUNK_BYTES):
             _, _, first, words, s = _parsed(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             total = len(words)
             open_ = np.zeros(total, bool)
@@ -286,7 +287,7 @@ def _kept(columns: list[str]):
         removed = _Found(S.unpack(_by_kind(known).get("removed", []), _RANGE))
         ids, data, offsets, ties = _docs(docs)
         n_words, n_removed, texts = [], [], []
-        for i, j in S.chunks(offsets):
+        for i, j in S.chunks(offsets, S.WIDE_CHUNK_BYTES):
             chunk = data[offsets[i] : offsets[j]]
             starts, ends, first = W.split(chunk, offsets[i : j + 1] - offsets[i], W.SPACED)
             begin, end = _ranges_of(removed, ids[i:j], ties[i:j], first)
@@ -315,14 +316,14 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     columns = docs.columns
     n = S.groups_for(docs) | 1
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_words long", "n_removed long", "kept_text string"])
-    records = docs.select("doc_id", "text").mapInArrow(_symbols(window, n), _PACKED)
-    known = records.groupBy("to").applyInArrow(_compare(n), _PACKED)
+    records = docs.select("doc_id", "text").mapInArrow(S.lean(_symbols(window, n)), _PACKED)
+    known = records.groupBy("to").applyInArrow(S.lean_group(_compare(n)), _PACKED)
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
     tie = F.xxhash64(F.coalesce("text", F.lit("")))
     dealt = docs.withColumn("_home", F.pmod(doc.bitwiseXOR(F.shiftright(doc, 17)).bitwiseXOR(tie), F.lit(n)).cast("int"))
-    open_windows = dealt.groupBy("_home").cogroup(known.groupBy("to")).applyInArrow(_windows(window, n), _PACKED)
-    decided = open_windows.groupBy("to").applyInArrow(_compare(n), _PACKED)
-    return dealt.groupBy("_home").cogroup(decided.groupBy("to")).applyInArrow(_kept(columns), schema)
+    open_windows = dealt.groupBy("_home").cogroup(known.groupBy("to")).applyInArrow(S.lean_groups(_windows(window, n)), _PACKED)
+    decided = open_windows.groupBy("to").applyInArrow(S.lean_group(_compare(n)), _PACKED)
+    return dealt.groupBy("_home").cogroup(decided.groupBy("to")).applyInArrow(S.lean_groups(_kept(columns)), schema)
 
 
 def digests(kept: DataFrame) -> DataFrame:

@@ -1,8 +1,12 @@
 import numpy as np
 import zlib
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 from rasterway.llm import substring_dedup as op
 
@@ -87,3 +91,25 @@ def test_texts_of_one_id_that_share_a_crc_keep_their_own_words(spark):
     for ids in ((1, 5, 5), (None, 5, 5), (None, None, None)):
         got = op.remove_repeats(spark.createDataFrame(list(zip(ids, (a, a, b))), "doc_id long, text string")).collect()
         assert sum(r.n_removed for r in got if r.kept_text == b) == 0 and any(r.kept_text == b for r in got)
+
+
+HELD = """
+import random, re
+from pathlib import Path
+import pyarrow as pa
+from rasterway.llm import shared, substring_dedup as op
+held = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) >> 10
+rng = random.Random(3)
+text = lambda: " ".join(f"word{rng.randrange(50_000)}" for _ in range(400))
+batch = lambda: pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array([text() for _ in range(2000)])], ["doc_id", "text"])
+before = held()
+for _ in shared.lean(op._symbols(20, 64))(batch() for _ in range(2)):
+    pass
+print(held() - before)
+"""
+
+
+def test_workers_keep_no_freed_memory():
+    """A worker is used again by the next operator: what this one needed is not held until then."""
+    out = subprocess.run([sys.executable, "-c", HELD], env=os.environ | {"PYTHONPATH": str(Path(__file__).parents[2])}, capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 75
